@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, media, packing, warc
+from . import chat, media, mixing, packing, secrets, warc
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -92,14 +92,110 @@ FROM e GROUP BY conv_id
 """
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.train(secrets.labelled_samples(spark))
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    count = lambda kind: F.size(F.filter("found.base", lambda s: s["kind"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[count(k) for k in ("assign", "access", "hex")],
+        F.sha2(secrets.joined(F.col("found.base")), 256).alias("base_sha256"),
+        secrets.joined(F.col("found.spans")).alias("spans"),
+    )
+
+
+#: Production parameters of the mix: the budget as a share of all tokens, epochs at most, weights of domains and languages.
+MIX_SHARE, MIX_EPOCHS = 0.8, 2
+DOMAIN_WEIGHTS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1}
+LANGUAGE_WEIGHTS = {"en": 4, "fr": 2, "de": 2, "es": 2}
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    """Adds ``domain``, one of ``d0`` to ``d3`` by the number of the source; sources without a number are ``d0``."""
+    number = F.nullif(F.regexp_extract(F.coalesce("source", F.lit("")), r"(\d{1,9})$", 1), F.lit(""))
+    return docs.withColumn("domain", F.concat(F.lit("d"), F.coalesce(number.cast("int") % 4, F.lit(0)).cast("string")))
+
+
+def mix_weights(spark: SparkSession) -> list[DataFrame | None]:
+    values = lambda d: ", ".join(f"('{k}', {v}.0D)" for k, v in d.items())
+    domains = spark.sql(f"SELECT * FROM VALUES {values(DOMAIN_WEIGHTS)} AS t(domain, weight)")
+    languages = spark.sql(f"SELECT * FROM VALUES {values(LANGUAGE_WEIGHTS)} AS t(lang, weight)")
+    return [domains, domains.select("domain").crossJoin(languages), None]  # 4 by 4 constants
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_domain(table(spark, sf_dir, "documents"))
+    taken = mixing.mix(docs, ["domain", "lang", "source"], MIX_SHARE, mix_weights(spark), MIX_EPOCHS)
+    return taken.select("doc_id", "domain", "lang", "source", "tokens", "epochs")
+
+
+def _share_sql(name: str, source: str, parent: str, own: str) -> str:
+    """CTEs that grant ``budget`` to the rows of ``source(parent, own, capacity, weight, budget)``."""
+    keys, order = ", ".join(dict.fromkeys(f"{parent}, {own}".split(", "))), ", ".join(own.split(", "))
+    w = f"PARTITION BY {parent} ORDER BY CASE WHEN weight > 0 THEN capacity / weight ELSE 'Infinity'::DOUBLE END, {order}"
+    return f"""
+{name}_a AS (
+  SELECT *, budget - coalesce(sum(capacity) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS rest,
+         sum(weight) OVER ({w} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights
+  FROM {source}
+), {name}_b AS (
+  SELECT *, weight > 0 AND rest * weight >= capacity * weights AS filled FROM {name}_a
+), {name}_c AS (
+  SELECT *, max(CASE WHEN NOT filled AND weights > 0 THEN rest / weights END) OVER (PARTITION BY {parent}) AS factor,
+         max(CASE WHEN filled THEN 0 ELSE 1 END) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS opened
+  FROM {name}_b
+), {name} AS (
+  SELECT {keys}, CASE WHEN opened = 0 THEN capacity WHEN weight > 0 THEN least(capacity, greatest(0.0, coalesce(factor, 0.0)) * weight) ELSE 0.0 END AS granted
+  FROM {name}_c
+)"""
+
+
+def _case_sql(column: str, weights: dict) -> str:
+    return f"CASE {column} {' '.join(f"WHEN '{k}' THEN {v}.0" for k, v in weights.items())} ELSE 1.0 END"
+
+
+OP10_SQL = f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS l, coalesce(source, '') AS s, lang, source, coalesce(text, '') AS text,
+         'd' || coalesce(CAST(try_cast(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) AS INTEGER) % 4 AS VARCHAR), '0') AS d,
+         CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT) AS tokens, md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), leaves AS (
+  SELECT d, l, s, CAST(sum(tokens) AS BIGINT) AS tokens FROM docs GROUP BY d, l, s
+), top AS (
+  SELECT 0 AS r, d, CAST(sum(tokens) * {MIX_EPOCHS} AS DOUBLE) AS capacity, {_case_sql("d", DOMAIN_WEIGHTS)}::DOUBLE AS weight FROM leaves GROUP BY d
+), top2 AS (
+  SELECT *, least(sum(capacity) OVER (), floor(sum(capacity) OVER () / {MIX_EPOCHS} * {MIX_SHARE}::DOUBLE)) AS budget FROM top
+), {_share_sql("g1", "top2", "r", "d")}, mid AS (
+  SELECT d, l, CAST(sum(tokens) * {MIX_EPOCHS} AS DOUBLE) AS capacity, {_case_sql("l", LANGUAGE_WEIGHTS)}::DOUBLE AS weight, any_value(granted) AS budget
+  FROM leaves JOIN g1 USING (d) GROUP BY d, l
+), {_share_sql("g2", "mid", "d", "d, l")}, low AS (
+  SELECT d, l, s, CAST(sum(tokens) * {MIX_EPOCHS} AS DOUBLE) AS capacity, 1.0::DOUBLE AS weight, any_value(granted) AS budget
+  FROM leaves JOIN g2 USING (d, l) GROUP BY d, l, s
+), {_share_sql("g3", "low", "d, l", "d, l, s")}, plan AS (
+  SELECT d, l, s, CASE WHEN tokens > 0 THEN CAST(floor(granted + 1e-6) AS BIGINT) // tokens ELSE 0 END AS whole,
+         CASE WHEN tokens > 0 THEN CAST(floor(granted + 1e-6) AS BIGINT) % tokens ELSE 0 END AS rest
+  FROM g3 JOIN leaves USING (d, l, s)
+), placed AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY d, l, s ORDER BY h, doc_id, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM docs JOIN plan USING (d, l, s)
+)
+SELECT doc_id, d AS domain, lang, source, tokens, CAST(whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS epochs
+FROM placed WHERE whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END > 0
+"""
+
+
 QUERIES = {
     "op3_warc": op3_warc,
+    "op6_secrets": op6_secrets,
     "op7_packing": op7_packing,
     "op8_media": op8_media,
     "op9_chat": op9_chat,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES = {
     "op3_warc": OP3_SQL,
     "op9_chat": OP9_SQL,
+    "op10_mixing": OP10_SQL,
 }
