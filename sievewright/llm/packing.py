@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ OPEN_WINDOWS = 64
 MIN_FILL = 8
 END_ID = 1
 #: Distinct chunks that a tokenizing worker remembers at most; when full, it starts anew.
-CACHE = 300_000
+CACHE = 1_000_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = [x.split()[0] for x in PIECE.split(", ")]
 
@@ -39,57 +41,65 @@ NAMES = [x.split()[0] for x in PIECE.split(", ")]
 class ChunkTokenizer:
     """Ids of whole texts for a vocabulary whose pre-tokenizer never joins across ASCII white space.
 
-    A text is cut at spaces, tabs and line ends; the ids of a chunk do not depend on its neighbours, so each distinct
-    chunk is tokenized once and looked up afterwards. The ids equal those of the library on the whole text.
+    Texts are cut at ASCII white space and their chunks dictionary-encoded. The ids of a chunk do not depend on its
+    neighbours, so each distinct chunk is tokenized once and looked up afterwards; chunks not seen before are tokenized
+    many at a time, parted by a mark that none of them holds. The ids equal those of the library on the whole text.
     """
 
+    MARK = "\x00"
+
     def __init__(self, path: str, cache: int = CACHE) -> None:
         from tokenizers import Tokenizer
 
         self.tok, self.limit = Tokenizer.from_file(path), cache
+        (self.mark,) = self.tok.encode(self.MARK, add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.flat = np.zeros(1 << 20, np.uint32)
         self.used = 0
-        self.starts: list[np.ndarray] = [np.zeros(0, np.int64)]
-        self.sizes: list[np.ndarray] = [np.zeros(0, np.int64)]
+        self.starts = self.sizes = np.zeros(0, np.int64)
 
     def learn(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 20_000):
-            part = chunks[at : at + 20_000]
-            ids = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            new = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
-            while self.used + len(new) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(new)] = new
-            n = len(self.index)
-            self.index.update(zip(part, range(n, n + len(part)), strict=True))
-            self.starts.append(self.used + np.cumsum(size) - size)
-            self.sizes.append(size)
-            self.used += len(new)
-        self.starts, self.sizes = [np.concatenate(self.starts)], [np.concatenate(self.sizes)]
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of the texts and the number of ids of each."""
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        flat = [w for ws in words for w in ws]
-        fresh = {w for w in flat if w not in self.index}
+        plain = [c for c in chunks if self.MARK not in c]
+        odd = [c for c in chunks if self.MARK in c]
+        groups = [plain[at : at + 1000] for at in range(0, len(plain), 1000)]
+        new, sizes = [], []
+        for e in self.tok.encode_batch_fast([f" {self.MARK} ".join([*g, ""]) for g in groups], add_special_tokens=False):
+            ids = np.array(e.ids, np.uint32)
+            at = np.flatnonzero(ids == self.mark)
+            sizes.append(np.diff(at, prepend=-1) - 1)
+            new.append(np.delete(ids, at))
+        for e in self.tok.encode_batch_fast(odd, add_special_tokens=False):
+            new.append(np.array(e.ids, np.uint32))
+            sizes.append(np.array([len(e.ids)]))
+        ids, size = np.concatenate([np.zeros(0, np.uint32), *new]), np.concatenate([np.zeros(0, np.int64), *sizes])
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        n = len(self.index)
+        self.index.update(zip([*plain, *odd], range(n, n + len(chunks)), strict=True))
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(size) - size])
+        self.sizes = np.concatenate([self.sizes, size])
+        self.used += len(ids)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of the texts (none null) and the number of ids of each."""
+        words = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        coded = words.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        fresh = [w for w in chunks if w not in self.index]
         if len(self.index) + len(fresh) > self.limit:
             self.clear()
-            fresh = set(flat)
-        if fresh:
-            self.learn(sorted(fresh))
-        at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
-        size, start = self.sizes[0][at], self.starts[0][at]
+            fresh = chunks
+        self.learn(fresh)
+        place = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))[coded.indices.to_numpy()]
+        size, start = self.sizes[place], self.starts[place]
         ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(start - (ends - size), size) + np.arange(total)]
-        cut = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-        bounds = np.concatenate([[0], ends])[cut]
-        return ids, np.diff(bounds, prepend=0)
+        ids = self.flat[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        cut = np.cumsum(pc.list_value_length(words).to_numpy())
+        return ids, np.diff(np.concatenate([[0], ends])[cut], prepend=0)
 
 
 class Packer:
@@ -171,23 +181,16 @@ def _pack(path: str, batch_bytes: int = 4 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, packer = ChunkTokenizer(path), Packer(_first(0))
 
-        def feed(docs: list, texts: list[str]) -> None:
-            ids, sizes = tok(texts)
-            at = 0
-            for doc, n in zip(docs, sizes.tolist(), strict=True):
-                packer.add(doc, np.append(ids[at : at + n], np.uint32(END_ID)))
-                at += n
-
         for b in batches:
-            docs, texts, size = [], [], 0
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                docs.append(doc)
-                texts.append(text or "")
-                size += len(texts[-1])
-                if size >= batch_bytes:
-                    feed(docs, texts)
-                    docs, texts, size = [], [], 0
-            feed(docs, texts)
+            texts = pc.fill_null(b.column(1), "")
+            # so many documents at a time that their text stays near the limit
+            part = np.cumsum(pc.binary_length(texts).to_numpy()) // batch_bytes
+            for at, end in pairwise([0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]):
+                ids, sizes = tok(texts.slice(at, end - at))
+                first = 0
+                for doc, n in zip(b.column(0).slice(at, end - at).to_pylist(), sizes.tolist(), strict=True):
+                    packer.add(doc, np.append(ids[first : first + n], np.uint32(END_ID)))
+                    first += n
             yield _rows(packer.rows)
             packer.rows = []
         left = []
