@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, media, mixing, packing, quality, secrets, warc
+from . import chat, embeddings, media, mixing, packing, quality, secrets, warc
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -98,6 +98,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = secrets.train(secrets.labelled_samples(spark))
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
@@ -194,6 +198,7 @@ FROM placed WHERE whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END > 0
 QUERIES = {
     "op3_warc": op3_warc,
     "op4_quality": op4_quality,
+    "op5_embeddings": op5_embeddings,
     "op6_secrets": op6_secrets,
     "op7_packing": op7_packing,
     "op8_media": op8_media,
