@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, embeddings, media, mixing, packing, quality, secrets, warc
+from . import chat, embeddings, jaccard, media, mixing, packing, quality, secrets, warc
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -20,6 +20,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_sets(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_archive(table(spark, sf_dir, "pages"))
     return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -196,6 +200,7 @@ FROM placed WHERE whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END > 0
 
 
 QUERIES = {
+    "op2_jaccard": op2_jaccard,
     "op3_warc": op3_warc,
     "op4_quality": op4_quality,
     "op5_embeddings": op5_embeddings,
