@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, embeddings, jaccard, media, mixing, packing, quality, secrets, warc
+from . import chat, embeddings, jaccard, media, mixing, packing, quality, secrets, suffixes, warc
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -20,6 +20,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_sets(table(spark, sf_dir, "documents"), words=3, percent=90)
 
@@ -200,6 +205,7 @@ FROM placed WHERE whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END > 0
 
 
 QUERIES = {
+    "op1_suffixes": op1_suffixes,
     "op2_jaccard": op2_jaccard,
     "op3_warc": op3_warc,
     "op4_quality": op4_quality,
