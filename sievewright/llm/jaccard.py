@@ -65,7 +65,7 @@ def band_edges(percent: int, most: int) -> tuple[int, ...]:
 
 
 def _binomial(n: int, p: float, k: int) -> float:
-    if p >= 1:
+    if p >= 1 or k > n:
         return float(k == n)
     return exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(p) + (n - k) * log(1 - p))
 
