@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .components import connected_components
+from ..operators.components import connected_components
 
 THRESHOLD = 0.9
 MISS = 0.002

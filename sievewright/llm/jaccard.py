@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .components import connected_components
+from ..operators.components import connected_components
 from .embeddings import _forest
 
 #: Chance of a shingle to be shared by two unrelated sets, and number of sets met, for the costs of a plan.

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from sievewright.llm import jaccard as J
-from sievewright.llm.components import connected_components
+from sievewright.operators.components import connected_components
 
 
 def shingles(text, k):
