@@ -33,7 +33,7 @@ OPEN_WINDOWS = 64
 MIN_FILL = 8
 END_ID = 1
 #: Distinct chunks that a tokenizing worker remembers at most; when full, it starts anew.
-CACHE = 1_000_000
+CACHE = 250_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = [x.split()[0] for x in PIECE.split(", ")]
 
@@ -64,9 +64,9 @@ class ChunkTokenizer:
     def learn(self, chunks: list[str]) -> None:
         plain = [c for c in chunks if self.MARK not in c]
         odd = [c for c in chunks if self.MARK in c]
-        groups = [plain[at : at + 1000] for at in range(0, len(plain), 1000)]
         new, sizes = [], []
-        for e in self.tok.encode_batch_fast([f" {self.MARK} ".join([*g, ""]) for g in groups], add_special_tokens=False):
+        for first in range(0, len(plain), 1000):  # an encoding holds far more than its ids: few at a time
+            e = self.tok.encode(f" {self.MARK} ".join([*plain[first : first + 1000], ""]), add_special_tokens=False)
             ids = np.array(e.ids, np.uint32)
             at = np.flatnonzero(ids == self.mark)
             sizes.append(np.diff(at, prepend=-1) - 1)
@@ -177,7 +177,7 @@ def _rows(rows: list[tuple], left: list[tuple] = ()) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:7]), pa.array(columns[7], pa.list_(pa.int64()))], names=[*NAMES, "ids"])
 
 
-def _pack(path: str, batch_bytes: int = 4 << 20):
+def _pack(path: str, batch_bytes: int = 2 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, packer = ChunkTokenizer(path), Packer(_first(0))
 
