@@ -100,7 +100,7 @@ def decode_list(c: Column, variant: str = "rewrite") -> Column:
     ``perturb``: null items go, blank ones and padding stay; ``nan`` and ``null`` are empty lists.
     ``json``: JSON lists only, anything else is empty; items are stripped, blank and null ones go.
     """
-    listed = F.from_json(c, JSON_STRINGS)
+    listed = F.from_json(c, JSON_STRINGS, {"allowSingleQuotes": "false"})
     loose = F.coalesce(listed, F.from_json(c, JSON_STRINGS, {"allowSingleQuotes": "true"}))
     empty = F.array().cast(JSON_STRINGS)
     blank = F.trim(F.coalesce(c, F.lit(""))) == ""
