@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import bind
+
 
 def is_finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
@@ -33,10 +35,12 @@ def sane_perplexity(c: Column) -> Column:
 
 def burstiness(values: Column) -> Column:
     """Population standard deviation by mean of an array; 0 for fewer than two values or a mean that is not positive."""
-    n = F.size(values)
-    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
-    spread = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
-    return F.when(n < 2, 0.0).when(mean <= 0, 0.0).otherwise(spread / mean)
+
+    def of(v: Column, mean: Column) -> Column:
+        spread = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(v))
+        return F.when((F.size(v) < 2) | (mean <= 0), 0.0).otherwise(spread / mean)
+
+    return bind(values, lambda v: F.when(F.size(v) == 0, 0.0).otherwise(bind(F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v), lambda mean: of(v, mean))))
 
 
 def cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import bind
+
 # ---- white space, keys, ids
 
 #: White space as Python's str methods see it: Java's Unicode class plus the four separator controls.
@@ -269,11 +271,13 @@ def extract_fills(c: Column) -> Column:
 
 def apply_fills(c: Column, fills: Column) -> Column:
     """Masks replaced in order; empty if there are fewer fills than masks."""
-    pieces = F.split(c, MASK)
-    whole = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(fills, i), F.lit("")))), "")
-    n = F.size(pieces) - 1
-    exact = F.array_join(F.transform(pieces, lambda p, i: F.when(i < n, F.concat(p, F.get(fills, i))).otherwise(p)), "")
-    return F.when(F.size(fills) < n, F.lit("")).otherwise(F.coalesce(exact, whole))
+
+    def of(pieces: Column, f: Column) -> Column:
+        n = F.size(pieces) - 1
+        whole = F.array_join(F.transform(pieces, lambda p, i: F.when(i < n, F.concat(p, F.get(f, i))).otherwise(p)), "")
+        return F.when(F.size(f) < n, F.lit("")).otherwise(whole)
+
+    return bind(F.split(c, MASK), lambda pieces: bind(fills, lambda f: of(pieces, f)))
 
 
 def seeded_positions(n: Column, most: int, count: int, *key: Column) -> Column:
@@ -285,12 +289,13 @@ def seeded_positions(n: Column, most: int, count: int, *key: Column) -> Column:
 
 def replace_words(c: Column, places: Column, fill: Column) -> Column:
     """Words at the places replaced by ``fill``."""
-    return F.array_join(F.transform(words(c), lambda w, i: F.when(F.array_contains(places, i), fill).otherwise(w)), " ")
+    return bind(places, lambda at: F.array_join(F.transform(words(c), lambda w, i: F.when(F.array_contains(at, i), fill).otherwise(w)), " "))
 
 
 def mask_words(c: Column, places: Column) -> Column:
     """Words at the (ascending) places replaced by masks numbered from the left."""
-    return F.array_join(F.transform(words(c), lambda w, i: F.when(F.array_contains(places, i), F.concat(F.lit("<extra_id_"), (F.array_position(places, i) - 1).cast("string"), F.lit(">"))).otherwise(w)), " ")
+    mask = lambda at, i: F.concat(F.lit("<extra_id_"), (F.array_position(at, i) - 1).cast("string"), F.lit(">"))
+    return bind(places, lambda at: F.array_join(F.transform(words(c), lambda w, i: F.when(F.array_contains(at, i), mask(at, i)).otherwise(w)), " "))
 
 
 # ---- prompts and responses

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import bind
 from ..functions.numbers import burstiness, sane_perplexity
 from ..functions.text import normalize_space, sentences
 
@@ -26,11 +27,11 @@ def word_tokens(c: Column) -> Column:
 def ngrams(tokens: Column, low: int, high: int) -> Column:
     """All n-grams of an array, joined by blanks, for n from low to high."""
 
-    def of(n: int) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(tokens)), lambda i: i + n <= F.size(tokens))
-        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i + 1, F.lit(n)), " "))
+    def of(t: Column, n: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(t)), lambda i: i + n <= F.size(t))
+        return F.transform(starts, lambda i: F.array_join(F.slice(t, i + 1, F.lit(n)), " "))
 
-    return F.concat(*[of(n) for n in range(low, high + 1)])
+    return bind(tokens, lambda t: F.concat(*[of(t, n) for n in range(low, high + 1)]))
 
 
 def char_ngrams(c: Column, low: int, high: int) -> Column:

@@ -47,8 +47,9 @@ def cumulative_usage(df: DataFrame, by: list[str], depth: str = "depth") -> Data
 
 def consecutive_depth(depths: Column) -> Column:
     """How many of the depths 1, 2, … are there without a gap."""
-    d = F.array_distinct(depths)
-    return F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(d), F.lit(1))), lambda i: F.size(F.filter(d, lambda x: (x >= 1) & (x <= i))) == i)).cast("int")
+    # of the sorted distinct depths from 1 on those that are as large as their place
+    own = F.array_sort(F.array_distinct(F.filter(depths, lambda x: x >= 1)))
+    return F.size(F.filter(own, lambda x, i: x == i + 1)).cast("int")
 
 
 def quality_summary(df: DataFrame, by: list[str], score: str, least: int) -> DataFrame:
