@@ -8,8 +8,10 @@ in a row with one anchor form one context, the bytes that they span. Anchors tha
 anchor are equal, all their windows repeat; for the rest one copy of each distinct context goes to its anchor's block. There
 the suffixes smaller than their successors are sorted directly, the others are induced by bucket scans, and windows whose common
 prefix with a neighbour reaches ``length`` repeat. Anchors with more than ``MOST_CONTEXTS`` distinct contexts, say a passage
-that very many documents share with changes, are dealt out further, by the window itself: there each cell holds equal strings
-only, is counted with map-side combine, and needs no sorting.
+that very many documents share with changes, are dealt out further: windows by their distance to the anchor, ``STEP`` at a
+time, and by the bytes that all windows of such a step have in common, to cells that are sorted like anchors. A cell that is
+still too large is dealt out by the window itself: there equal strings alone are together, are counted with map-side
+combine, and need no sorting.
 
 Data movement: about one anchor row for every 85 bytes, combined before it is shuffled; texts go through one shuffle, used for cutting
 contexts and for the result. Groups of copies collapse to one context with a count. The share of an anchor's rows that is joined
@@ -36,6 +38,8 @@ from ..session import stored
 LENGTH = 200
 GRAM = 32
 MOST_CONTEXTS = 512
+#: Windows of a crowded anchor that are dealt out together.
+STEP = 16
 BLOCK_BYTES = 1 << 18
 NO_ID = -(2**63)
 
@@ -241,8 +245,44 @@ def _blocks(length: int):
     return run
 
 
+def anchor_place(body: bytes, length: int = LENGTH, gram: int = GRAM) -> int:
+    """Where in a context the gram lies that all its windows have as their anchor."""
+    return int(np.argmin(gram_hashes(np.frombuffer(body[:length], np.uint8), gram) >> U(32)))
+
+
+PIECES = "anchor long, context long, n long, place int, cell long, piece long, part binary"
+
+
+def _pieces(length: int, gram: int, step: int):
+    """Contexts of crowded anchors cut to pieces of up to ``step`` windows; ``cell`` names anchor, distance and common bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                rows = []
+                for anchor, context, n, body in zip(*(b.slice(at, 1000).column(c).to_pylist() for c in ("anchor", "context", "n", "body")), strict=True):
+                    place, last = anchor_place(body, length, gram), len(body) - length
+                    for j in range((place - last) // step if place > last else 0, place // step + 1):
+                        high = place - j * step
+                        low = high - step + 1
+                        core = xxhash.xxh3_64_intdigest(body[high : low + length], seed=j)
+                        part = body[max(low, 0) : min(high, last) + length]
+                        rows.append((anchor, context, n, max(low, 0), _signed(core ^ (anchor & (2**64 - 1))), _signed(xxhash.xxh3_64_intdigest(part)), part))
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
+
+    return run
+
+
+def _signed(x: int) -> int:
+    return x - 2**64 if x >= 2**63 else x
+
+
 def _cells(length: int):
-    """Each window of a context by its 128-bit name."""
+    """Each window of a piece by its 128-bit name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -263,6 +303,32 @@ def _cells(length: int):
     return run
 
 
+def _sorted_runs(bodies: DataFrame, length: int) -> DataFrame:
+    """Repeated windows of ``bodies(anchor, context, body)`` by suffix arrays of whole anchors."""
+    return bodies.select("anchor", "context", "body").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_blocks(length), RUNS)
+
+
+def _counted_runs(bodies: DataFrame, length: int) -> DataFrame:
+    """Repeated windows of ``bodies(anchor, context, n, body)`` by counts of the windows."""
+    cells = stored(bodies.select("anchor", "context", "n", "body").mapInArrow(_cells(length), "anchor long, context long, n long, cell binary, place int"), "cells")
+    full = cells.groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1").select("cell")
+    return cells.join(full.hint("merge"), "cell").groupBy("anchor", "context").agg(F.collect_list(F.struct(F.col("place").alias("first"), F.col("place").alias("last"))).alias("runs"))
+
+
+def _crowded_runs(bodies: DataFrame, length: int, gram: int, step: int, most: int) -> DataFrame:
+    """Repeated windows of contexts of crowded anchors, by cells."""
+    pieces = stored(bodies.select("anchor", "context", "n", "body").mapInArrow(_pieces(length, gram, step), PIECES), "pieces")
+    distinct = pieces.groupBy("cell", "piece").agg(F.sum("n").alias("n"), F.min("part").alias("body"))
+    distinct = stored(distinct.select(F.col("cell").alias("anchor"), F.col("piece").alias("context"), "n", "body"), "distinct")
+    crowds = stored(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")), "crowds")
+    distinct = distinct.join(crowds.hint("merge"), "anchor")
+    runs = _sorted_runs(distinct.filter(F.col("contexts") <= most), length).unionByName(_counted_runs(distinct.filter(F.col("contexts") > most), length))
+    copied = distinct.filter("n > 1").select("anchor", "context", F.array(F.struct(F.lit(0).alias("first"), (F.octet_length("body") - length).alias("last"))).alias("runs"))
+    every = runs.unionByName(copied).select(F.col("anchor").alias("cell"), F.col("context").alias("piece"), "runs")
+    hit = pieces.drop("part").join(stored(every, "cell-runs").hint("merge"), ["cell", "piece"])
+    return hit.select("anchor", "context", F.transform("runs", lambda r: F.struct((r["first"] + F.col("place")).alias("first"), (r["last"] + F.col("place")).alias("last"))).alias("runs"))
+
+
 CUT = "id long, n_bytes long, n_removed long, n_spans long, spans array<struct<first:int,end:int>>, kept binary"
 
 
@@ -291,7 +357,7 @@ def _cut(length: int):
     return run
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, most_contexts: int = MOST_CONTEXTS, step: int = STEP) -> DataFrame:
     """``key, n_bytes, n_removed, n_spans, spans, kept`` for every row; ``kept`` are the bytes that stay."""
     body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(body, F.lit(b"")).alias("body"))
@@ -299,7 +365,9 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     found = docs.mapInArrow(_find(length, gram), "id long, tag long, first int, more int, anchor long, context long")
     found = stored(found, "anchors")
     groups = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).filter("n > 1")
-    again = found.join(groups.select("anchor", (F.col("low") != F.col("high")).alias("mixed")).hint("merge"), "anchor")
+    # written first, so that the join has an exchange of its own on either side, which AQE can split
+    groups = stored(groups.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "groups")
+    again = found.join(groups.hint("merge"), "anchor")
     again = stored(again, "repeated")
     equal = again.filter("not mixed").select("id", "tag", "first", (F.col("first") + F.col("more")).alias("last"))
     mixed = again.filter("mixed")
@@ -309,12 +377,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     holders = contexts.select("anchor", "context", "n", "contexts", "r.*")
     bodies = docs.hint("merge").join(holders, ["id", "tag"])
     bodies = bodies.select("anchor", "context", "n", "contexts", F.substring(F.col("body"), F.col("first") + 1, F.col("more") + length).alias("body"))
-    sorted_ = bodies.filter(F.col("contexts") <= most_contexts).select("anchor", "context", "body").repartition("anchor").sortWithinPartitions("anchor")
-    runs = sorted_.mapInArrow(_blocks(length), RUNS)
-    cells = bodies.filter(F.col("contexts") > most_contexts).select("anchor", "context", "n", "body").mapInArrow(_cells(length), "anchor long, context long, n long, cell binary, place int")
-    cells = stored(cells, "cells")
-    full = cells.groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1").select("cell")
-    hit = cells.join(full.hint("merge"), "cell").groupBy("anchor", "context").agg(F.collect_list(F.struct(F.col("place").alias("first"), F.col("place").alias("last"))).alias("runs"))
+    runs = _sorted_runs(bodies.filter(F.col("contexts") <= most_contexts), length)
+    hit = _crowded_runs(bodies.filter(F.col("contexts") > most_contexts), length, gram, step, most_contexts)
     # contexts that occur more than once repeat as a whole
     copied = contexts.filter("n > 1").select("anchor", "context", F.array(F.struct(F.lit(0).alias("first"), F.col("r.more").alias("last"))).alias("runs"))
     every = runs.unionByName(hit).unionByName(copied).groupBy("anchor", "context").agg(F.flatten(F.collect_list("runs")).alias("runs"))
