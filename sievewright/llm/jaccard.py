@@ -9,8 +9,10 @@ so that of two sets the one that leaves out more decides. ``plan_band`` chooses
 cost: keys made plus chance meetings expected.
 
 Sets that share a key are candidates. They are not listed as pairs: each key links its sets to its smallest one, and the
-components of these links ("clusters") hold every similar pair. Within a cluster all overlaps are counted exactly, in
-blocks; a block comparison gives a spanning forest of the links it finds. Equal sets are one class, of which one
+components of these links ("clusters") hold every similar pair. Clusters are first screened by sketches, a byte sum for each
+of about ``n / 2`` hash buckets: sets whose sketches differ in more buckets than similar sets may differ in shingles are
+not similar. In the clusters that remain all overlaps are counted exactly. Both are done in blocks; a comparison of
+blocks gives a spanning forest of the links it finds. Equal sets are one class, of which one
 document stands for all. Keys are combined in each batch before they are shuffled, big clusters are dealt out in blocks against
 blocks: no key, cluster or group of copies is ever in one task, and nothing is capped.
 
@@ -43,6 +45,8 @@ SHARED, OTHERS = 0.02, 1000.0
 MOST_SPARE = 24
 #: A block of a cluster holds so many sets and shingles at most.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 20
+#: And a block that is screened so many sketches.
+SCREEN_SETS = 1024
 
 U = np.uint64
 
@@ -161,6 +165,18 @@ def keys_of(s: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """A byte for each of a power of two of buckets, at least half as many as shingles: the sum of its shingles' bytes.
+
+    Adding both halves gives the sketch with half as many buckets; each bucket that differs between two sketches stands for
+    at least one shingle that only one of the sets has.
+    """
+    width = 1 << max(3, (len(s) // 2).bit_length())
+    mixed = mix(s ^ U(0x9FB21C651E98DF25))
+    sums = np.bincount((mixed & U(width - 1)).astype(np.int64), (mixed >> U(56)).astype(np.float64), width)
+    return sums.astype(np.int64).astype(np.uint8)
+
+
 def _slices(b: pa.RecordBatch, text: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts add up to about ``size`` bytes."""
     part = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy()) // size
@@ -178,7 +194,8 @@ def _describe(words: int):
                 sets = shingle_sets(part.column(1), words)
                 sizes = [len(s) for s in sets]
                 names = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.string())], names=["id", "n", "name"])
+                sketches = pa.array([sketch(s).tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.string()), sketches], names=["id", "n", "name", "sketch"])
 
     return run
 
@@ -256,31 +273,70 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, chunk:
     return out.astype(np.int64)
 
 
-def _verify(percent: int):
-    def group(key: tuple, rows: list) -> tuple[list, list]:
-        _, i, j = key
+def _sides(rows: list, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    block = np.array([r[-1] for r in rows])
+    left = np.flatnonzero(block == i)
+    return left, left if i == j else np.flatnonzero(block == j)
+
+
+def _by_overlap(percent: int):
+    """Links between the blocks of ``rows(id, set, block)`` by exact overlaps."""
+
+    def links(rows: list, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        left, right = _sides(rows, i, j)
         sets = [np.frombuffer(r[1], np.uint64) for r in rows]
-        block = np.array([r[2] for r in rows])
-        left = np.flatnonzero(block == i)
-        right = left if i == j else np.flatnonzero(block == j)
-        if not len(left) or not len(right):
-            return [], []
         size = np.array([len(s) for s in sets])
         both = overlaps(sets, left, right)
         near = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
         a, b = np.nonzero(np.triu(near, 1) if i == j else near)
-        forest = _forest(left[a], right[b], len(rows))
-        return [rows[x][0] for x, _ in forest], [rows[y][0] for _, y in forest]
+        return left[a], right[b]
+
+    return links
+
+
+def _by_sketch(percent: int):
+    """Pairs of ``rows(id, n, sketch, block)`` that may be similar: by their sizes and the buckets in which they differ."""
+
+    def links(rows: list, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        left, right = _sides(rows, i, j)
+        size = np.array([r[1] for r in rows])
+        own = [np.frombuffer(r[2], np.uint8) for r in rows]
+        width = np.array([len(x) for x in own])
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for w in np.unique(width).tolist():
+            # sets of similar sizes have sketches of the same width or one twice as wide, which is folded
+            near = {k: v for k in right.tolist() if (v := own[k] if width[k] == w else own[k][:w] + own[k][w:] if width[k] == 2 * w else None) is not None}
+            at = np.array(list(near), np.int64)
+            if not len(at):
+                continue
+            table = np.stack(list(near.values()))
+            for x in left[(width[left] == w) | (width[left] == 2 * w)].tolist():
+                # a pair is met once: where the narrower of both has this width
+                other = np.flatnonzero((width[at] == w) | (width[x] == w))
+                other = other[at[other] > x] if i == j else other
+                other = other[100 * np.minimum(size[at[other]], size[x]) >= percent * np.maximum(size[at[other]], size[x])]
+                if len(other):
+                    mine = own[x] if width[x] == w else own[x][:w] + own[x][w:]
+                    differ = (table[other] != mine).sum(1)
+                    other = other[differ * (100 + percent) <= (100 - percent) * (size[at[other]] + size[x])]
+                    found.append((np.full(len(other), x), at[other]))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    return links
+
+
+def _compare(columns: list[str], links):
+    """Rows sorted by cluster and pair of blocks: each pair of blocks is compared and gives a spanning forest of its links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
 
         def done() -> pa.RecordBatch:
-            a, b = group(key, rows) if len(rows) > 1 else ([], [])
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            forest = _forest(*links(rows, *key[1:]), len(rows)) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([rows[x][0] for x, _ in forest], pa.int64()), pa.array([rows[y][0] for _, y in forest], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for c, i, j, *row in zip(*(batch.column(x).to_pylist() for x in ("cluster", "i", "j", "id", "text", "block")), strict=True):
+            for c, i, j, *row in zip(*(batch.column(x).to_pylist() for x in ("cluster", "i", "j", *columns, "block")), strict=True):
                 if (c, i, j) != key:
                     yield done()
                     key, rows = (c, i, j), []
@@ -290,10 +346,24 @@ def _verify(percent: int):
     return run
 
 
+def _pairs_of_blocks(df: DataFrame, columns: list[str], links) -> DataFrame:
+    """Links within clusters; a cluster of ``g`` blocks is dealt out to pairs of blocks."""
+    dealt = df.withColumn("block", F.pmod(F.xxhash64("id"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *columns, "block")
+    return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_compare(columns, links), "a long, b long")
+
+
+def _with_blocks(members: DataFrame, blocks) -> DataFrame:
+    """Members of clusters of two or more, with the number of blocks ``g``."""
+    weight = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles")).filter("sets > 1").select("cluster", blocks.cast("int").alias("g"))
+    return members.join(stored(weight, "clusters").hint("merge"), "cluster")
+
+
 def similar_sets(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_shingles, component_id`` for every row: documents link when ``100 * intersection >= percent * union``."""
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    described = stored(docs.mapInArrow(_describe(words), "id long, n long, name string"), "sets")
+    full = stored(docs.mapInArrow(_describe(words), "id long, n long, name string, sketch binary"), "sets")
+    described = full.select("id", "n", "name")
     classes = described.filter("id is not null and name is not null").groupBy("name").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
     classes = stored(classes, "classes")
     # keys of all documents, combined in each batch; a copy meets its class's other documents under every key
@@ -303,14 +373,13 @@ def similar_sets(df: DataFrame, words: int = 5, percent: int = 80, key: str = "d
     loose = connected_components(links)
     members = loose.join(classes.select(F.col("rep").alias("node"), "n").hint("merge"), "node")
     members = stored(members.select(F.col("node").alias("id"), F.col("component").alias("cluster"), "n"), "members")
-    weight = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles")).filter("sets > 1")
-    weight = weight.select("cluster", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("g"))
-    wanted = members.join(weight.hint("merge"), "cluster").select("id", "cluster", "g")
-    # an id that repeats has the text of each of its rows here; the row of the class is told by its name
+    screened = _with_blocks(members, F.ceil(F.col("sets") / SCREEN_SETS)).join(full.select("id", "sketch").hint("merge"), "id")
+    tight = connected_components(_pairs_of_blocks(screened, ["id", "n", "sketch"], _by_sketch(percent)))
+    members = members.drop("cluster").join(tight.select(F.col("node").alias("id"), F.col("component").alias("cluster")).hint("merge"), "id")
+    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    wanted = _with_blocks(stored(members, "tight"), blocks).select("id", "cluster", "g")
     bodies = docs.join(wanted.hint("merge"), "id").select("id", "cluster", "g", "text").mapInArrow(_sets(words), "id long, cluster long, g int, text binary")
-    dealt = bodies.withColumn("block", F.pmod(F.xxhash64("id"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "text", "block")
-    found = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_verify(percent), "a long, b long")
+    found = _pairs_of_blocks(bodies, ["id", "text"], _by_overlap(percent))
     components = connected_components(found)
     named = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("name", F.coalesce("component", "rep").alias("component_id"))
     linked = described.filter("id is not null and name is not null").join(named.hint("merge"), "name").select("id", "n", "component_id")

@@ -55,6 +55,7 @@ def run(spark, rows, k, percent):
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (1, 50)])
 def test_against_all_pairs(spark, monkeypatch, k, percent):
     monkeypatch.setattr(J, "BLOCK_SETS", 7)
+    monkeypatch.setattr(J, "SCREEN_SETS", 9)
     rng = random.Random(k)
     words = ["w%d" % i for i in range(300)]
     rows = []
@@ -91,6 +92,25 @@ def test_similar_sets_share_a_key(percent):
             assert len(np.intersect1d(J.keys_of(a, percent), J.keys_of(b, percent)))
 
 
+def test_screen_keeps_every_similar_pair():
+    rng = np.random.default_rng(4)
+    rows, sets = [], []
+    for k in range(160):
+        s = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 120))).astype(np.uint64)) if k % 3 == 0 or not sets else sets[-1][int(rng.integers(0, 6)) :]
+        sets.append(np.unique(np.concatenate([s, rng.integers(0, 2**63, int(rng.integers(0, 8))).astype(np.uint64)])))
+        rows.append((k, len(sets[-1]), J.sketch(sets[-1]).tobytes(), k % 2))
+    for percent in (50, 80, 90):
+        got = set()
+        for i, j in ((0, 0), (0, 1), (1, 1)):
+            a, b = J._by_sketch(percent)(rows, i, j)
+            got |= {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
+        for a in range(160):
+            for b in range(a):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                    assert (b, a) in got
+
+
 def test_nulls_repeats_and_empty(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
