@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,8 @@ WINDOW = 2048
 OPEN_WINDOWS = 64
 MIN_FILL = 8
 END_ID = 1
-#: Distinct chunks that a tokenizing worker remembers at most; when full, it starts anew.
-CACHE = 250_000
+#: When a tokenizing worker remembers more distinct chunks, it starts anew with the next batch.
+CACHE = 800_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = [x.split()[0] for x in PIECE.split(", ")]
 
@@ -42,66 +42,81 @@ class ChunkTokenizer:
     """Ids of whole texts for a vocabulary whose pre-tokenizer never joins across ASCII white space.
 
     Texts are cut at ASCII white space and their chunks dictionary-encoded. The ids of a chunk do not depend on its
-    neighbours, so each distinct chunk is tokenized once and looked up afterwards; chunks not seen before are tokenized
-    many at a time, parted by a mark that none of them holds. The ids equal those of the library on the whole text.
+    neighbours, so each distinct chunk is tokenized once and looked up afterwards. The ids equal those of the library on the whole text.
     """
 
-    MARK = "\x00"
+    #: A chunk of letters, then marks of which none starts a contraction: the pre-tokenizer cuts there in any case.
+    APART = r"^(?P<stem>\pL+)(?P<marks>[.,;:!?#$%&*|]+)$"
 
     def __init__(self, path: str, cache: int = CACHE) -> None:
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tok, self.limit = Tokenizer.from_file(path), cache
-        (self.mark,) = self.tok.encode(self.MARK, add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.flat = np.zeros(1 << 20, np.uint32)
         self.used = 0
-        self.starts = self.sizes = np.zeros(0, np.int64)
+        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if self.MARK not in c]
-        odd = [c for c in chunks if self.MARK in c]
-        new, sizes = [], []
-        for first in range(0, len(plain), 1000):  # an encoding holds far more than its ids: few at a time
-            e = self.tok.encode(f" {self.MARK} ".join([*plain[first : first + 1000], ""]), add_special_tokens=False)
-            ids = np.array(e.ids, np.uint32)
-            at = np.flatnonzero(ids == self.mark)
-            sizes.append(np.diff(at, prepend=-1) - 1)
-            new.append(np.delete(ids, at))
-        for e in self.tok.encode_batch_fast(odd, add_special_tokens=False):
-            new.append(np.array(e.ids, np.uint32))
-            sizes.append(np.array([len(e.ids)]))
-        ids, size = np.concatenate([np.zeros(0, np.uint32), *new]), np.concatenate([np.zeros(0, np.int64), *sizes])
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        n = len(self.index)
-        self.index.update(zip([*plain, *odd], range(n, n + len(chunks)), strict=True))
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(size) - size])
-        self.sizes = np.concatenate([self.sizes, size])
-        self.used += len(ids)
+        for first in range(0, len(chunks), 2000):  # an encoding holds far more than its ids: few at a time
+            part = chunks[first : first + 2000]
+            new = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
+            size = np.fromiter(map(len, new), np.int64, len(new))
+            ids = np.fromiter(chain.from_iterable(new), np.uint32, int(size.sum()))
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat[self.used : self.used + len(ids)] = ids
+            n = len(self.index)
+            while n + len(part) > len(self.starts):
+                self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+            self.starts[n : n + len(part)] = self.used + np.cumsum(size) - size
+            self.sizes[n : n + len(part)] = size
+            self.index.update(zip(part, range(n, n + len(part)), strict=True))
+            self.used += len(ids)
+
+    def places(self, chunks: pa.Array) -> np.ndarray:
+        """Where the ids of distinct chunks are kept; new ones are learned."""
+        words = chunks.to_pylist()
+        fresh = [w for w in words if w not in self.index]
+        if fresh:
+            self.learn(fresh)
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts (none null) and the number of ids of each."""
+        if len(self.index) > self.limit:
+            self.clear()
         words = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         coded = words.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        fresh = [w for w in chunks if w not in self.index]
-        if len(self.index) + len(fresh) > self.limit:
-            self.clear()
-            fresh = chunks
-        self.learn(fresh)
-        place = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))[coded.indices.to_numpy()]
+        # letters and the marks after them are looked up apart, so that there are fewer distinct chunks
+        apart = pc.extract_regex(coded.dictionary, self.APART)
+        stems = pc.coalesce(pc.struct_field(apart, "stem"), coded.dictionary).dictionary_encode()
+        marks = pc.fill_null(pc.struct_field(apart, "marks"), "").dictionary_encode()
+        two = np.stack([self.places(stems.dictionary)[stems.indices.to_numpy()], self.places(marks.dictionary)[marks.indices.to_numpy()]], 1)
+        place = two[coded.indices.to_numpy()].ravel()
         size, start = self.sizes[place], self.starts[place]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        cut = np.cumsum(pc.list_value_length(words).to_numpy())
+        cut = 2 * np.cumsum(pc.list_value_length(words).to_numpy())
         return ids, np.diff(np.concatenate([[0], ends])[cut], prepend=0)
 
 
+#: A worker's tokenizers by path; they outlive a task, as do the chunks that they know.
+KNOWN: dict[str, ChunkTokenizer] = {}
+
+
+def chunk_tokenizer(path: str) -> ChunkTokenizer:
+    if path not in KNOWN:
+        KNOWN[path] = ChunkTokenizer(path)
+    return KNOWN[path]
+
+
 class Packer:
     """Open windows of one task. ``emit`` gets (rows of pieces, sequence number)."""
 
@@ -177,9 +192,9 @@ def _rows(rows: list[tuple], left: list[tuple] = ()) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:7]), pa.array(columns[7], pa.list_(pa.int64()))], names=[*NAMES, "ids"])
 
 
-def _pack(path: str, batch_bytes: int = 2 << 20):
+def _pack(path: str, batch_bytes: int = 6 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, packer = ChunkTokenizer(path), Packer(_first(0))
+        tok, packer = chunk_tokenizer(path), Packer(_first(0))
 
         for b in batches:
             texts = pc.fill_null(b.column(1), "")
