@@ -16,8 +16,11 @@ windows; repeated rows are packed each; an empty table gives an empty result; ex
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain, pairwise
 
 import numpy as np
@@ -38,6 +41,13 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 NAMES = [x.split()[0] for x in PIECE.split(", ")]
 
 
+@cache
+def loose_letters() -> str:
+    """A class of the letters that are not all letters once the tokenizer has normalized them (NFC, lower case)."""
+    letters = (c for c in map(chr, range(sys.maxunicode + 1)) if c.isalpha())
+    return "[" + "".join(c for c in letters if not unicodedata.normalize("NFC", c).lower().isalpha()) + "]"
+
+
 class ChunkTokenizer:
     """Ids of whole texts for a vocabulary whose pre-tokenizer never joins across ASCII white space.
 
@@ -45,7 +55,8 @@ class ChunkTokenizer:
     neighbours, so each distinct chunk is tokenized once and looked up afterwards. The ids equal those of the library on the whole text.
     """
 
-    #: A chunk of letters, then marks of which none starts a contraction: the pre-tokenizer cuts there in any case.
+    #: A chunk of letters, then marks of which none starts a contraction. The pre-tokenizer cuts there where the letters are
+    #: still letters once normalized; chunks with other letters (``loose_letters``) are looked up whole.
     APART = r"^(?P<stem>\pL+)(?P<marks>[.,;:!?#$%&*|]+)$"
 
     def __init__(self, path: str, cache: int = CACHE) -> None:
@@ -96,8 +107,10 @@ class ChunkTokenizer:
         coded = words.flatten().dictionary_encode()
         # letters and the marks after them are looked up apart, so that there are fewer distinct chunks
         apart = pc.extract_regex(coded.dictionary, self.APART)
-        stems = pc.coalesce(pc.struct_field(apart, "stem"), coded.dictionary).dictionary_encode()
-        marks = pc.fill_null(pc.struct_field(apart, "marks"), "").dictionary_encode()
+        stem = pc.struct_field(apart, "stem")
+        cut_there = pc.fill_null(pc.invert(pc.match_substring_regex(stem, loose_letters())), False)
+        stems = pc.if_else(cut_there, stem, coded.dictionary).dictionary_encode()
+        marks = pc.if_else(cut_there, pc.struct_field(apart, "marks"), "").dictionary_encode()
         two = np.stack([self.places(stems.dictionary)[stems.indices.to_numpy()], self.places(marks.dictionary)[marks.indices.to_numpy()]], 1)
         place = two[coded.indices.to_numpy()].ravel()
         size, start = self.sizes[place], self.starts[place]

@@ -16,6 +16,12 @@ def whole_ids(texts):
     return [[*tok.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
 
 
+def whole_batch(texts):
+    from tokenizers import Tokenizer
+
+    return [e.ids for e in Tokenizer.from_file(tokenizer_path()).encode_batch(texts, add_special_tokens=False)]
+
+
 def check(rows, docs, most_padding=1.0):
     ids = dict(zip(docs, whole_ids(docs.values()), strict=True))
     seen, sequences = {k: [] for k in ids}, {}
@@ -54,6 +60,18 @@ def test_edge_cases(spark):
     check(packing.pack(df, tokenizer_path()).collect(), docs)
 
 
+def test_letters_that_are_no_letters_once_normalized():
+    import pyarrow as pa
+
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha()]
+    for before, marks in (("", ".,"), ("\u09b8\u09ae", "?")):
+        texts = [f"{before}{c}{marks}" for c in letters]
+        ids, sizes = packing.ChunkTokenizer(tokenizer_path())(pa.array(texts))
+        whole = whole_batch(texts)
+        assert sizes.tolist() == list(map(len, whole))
+        assert ids.tolist() == [i for x in whole for i in x]
+
+
 def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "same text"), (1, "same text")], "doc_id long, text string")
     rows = packing.pack(df, tokenizer_path()).collect()
