@@ -20,8 +20,8 @@ Words are runs of bytes other than the six ASCII blanks, with A-Z lowered. Shing
 their words; two different shingles of one pair of documents coincide with a chance below 1e-12.
 
 Defined cases: a document with fewer words than a shingle is one shingle of all of them; without words, and for null text, the set
-is empty and links with nothing; texts are read whole; rows that repeat an id have that id's component; rows with a null id are kept,
-link with nothing and have a null component; an empty table gives an empty result; extra columns are ignored.
+is empty and links with nothing; texts are read whole; rows that repeat an id have that id's component, which links all groups that the
+id has texts in (with a key of its own for every row, groups are of texts alone); rows with a null id are kept, link with nothing and have a null component; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -359,6 +359,15 @@ def _with_blocks(members: DataFrame, blocks) -> DataFrame:
     return members.join(stored(weight, "clusters").hint("merge"), "cluster")
 
 
+def _shared_ids(described: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links of every id that has several sets to the documents that stand for them."""
+    known = described.filter("id is not null")
+    several = known.groupBy("id").agg(F.min("name").alias("low"), F.max("name").alias("high"), F.count("name").alias("sets"), F.count(F.lit(1)).alias("rows"))
+    several = stored(several.filter("low != high or (sets > 0 and sets < rows)").select("id"), "several")
+    named = known.join(several, "id").select("id", "name").join(classes.select("name", "rep"), "name")
+    return named.select(F.col("id").alias("a"), F.col("rep").alias("b"))
+
+
 def similar_sets(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_shingles, component_id`` for every row: documents link when ``100 * intersection >= percent * union``."""
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
@@ -380,8 +389,10 @@ def similar_sets(df: DataFrame, words: int = 5, percent: int = 80, key: str = "d
     wanted = _with_blocks(stored(members, "tight"), blocks).select("id", "cluster", "g")
     bodies = docs.join(wanted.hint("merge"), "id").select("id", "cluster", "g", "text").mapInArrow(_sets(words), "id long, cluster long, g int, text binary")
     found = _pairs_of_blocks(bodies, ["id", "text"], _by_overlap(percent))
-    components = connected_components(found)
+    components = connected_components(found.unionByName(_shared_ids(described, classes)))
     named = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("name", F.coalesce("component", "rep").alias("component_id"))
     linked = described.filter("id is not null and name is not null").join(named.hint("merge"), "name").select("id", "n", "component_id")
-    alone = described.filter("id is null or name is null").select("id", "n", F.col("id").alias("component_id"))
-    return linked.unionByName(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    empty = described.filter("id is not null and name is null").join(components.withColumnRenamed("node", "id"), "id", "left")
+    empty = empty.select("id", "n", F.coalesce("component", "id").alias("component_id"))
+    alone = described.filter("id is null").select("id", "n", F.col("id").alias("component_id"))
+    return linked.unionByName(empty).unionByName(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")

@@ -119,6 +119,16 @@ def test_nulls_repeats_and_empty(spark):
     assert J.similar_sets(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("last", [2, 7])
+def test_rows_of_one_id_have_one_component(spark, last):
+    x, y = "a b c d e f", "g h i j k l"
+    rows = [(3, x), (5, x), (5, y), (last, y), (5, ""), (last, None), (8, ""), (9, x + " m"), (9, "n"), (10, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.component_id) for r in J.similar_sets(df).collect()}
+    least = min(3, last)
+    assert found == {(3, least), (5, least), (last, least), (8, 8), (9, 9), (10, 9)}
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(200)] + [(1000 + rng.randrange(300), 1000 + rng.randrange(300)) for _ in range(250)] + [(5000, 5000 + i) for i in range(300)] + [(7, 7), (None, 3)]

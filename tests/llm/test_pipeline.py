@@ -71,3 +71,15 @@ def test_stages_keep_columns_and_cope_with_odd_rows(spark):
             if name != "packing":
                 assert df.columns == docs.columns
             df.collect()
+
+
+def test_one_row_of_each_group_stays_where_ids_repeat_or_lack(spark):
+    x, y, z, near = "a b c d e f g", "h i j k l m n", "o p q r s t u", " ".join(map(str, range(60)))
+    rows = [(3, x), (5, x), (5, y), (7, y), (9, z), (9, z), (None, near), (None, near + " 60"), (None, "p"), (None, ""), (None, None), (11, ""), (11, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(*r, "en", "src1", 1) for r in rows], schema).repartition(3)
+    out = P.keep_one_of_near_duplicates(spark, docs, SF)
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert out.columns == docs.columns
+    either = near if (None, near) in got else near + " 60"
+    assert got == sorted([(3, x), (5, y), (9, z), (None, either), (None, "p"), (None, ""), (None, None), (11, ""), (11, None)], key=str)
