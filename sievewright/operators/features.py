@@ -91,17 +91,23 @@ def bigram_scores(df: DataFrame, key: str, tokens: Column, k: float = 1.0) -> Da
     return long.join(model, ["a", "b"]).groupBy(key).agg(F.count(F.lit(1)).alias("tokens"), F.avg("logp").alias("ll"))
 
 
-def sentence_perplexities(df: DataFrame, key: str, text: str, model: DataFrame) -> DataFrame:
+def sentence_perplexities(df: DataFrame, key: str, text: str, model: DataFrame, scored_only: bool = False) -> DataFrame:
     """Document and sentence perplexities under a token model: the detector's features.
 
-    ``doc_perplexity``, mean and population deviation over sentences, and their ratio.
+    ``doc_perplexity``, mean and population deviation over sentences, and their ratio, for every document. The perplexity
+    of a sentence or document without tokens is 1; a document without sentences counts as one sentence. With ``scored_only``
+    sentences without tokens are left out, and so are documents that have no others.
     """
-    parts = df.select(key, F.posexplode(sentences(F.col(text))).alias("s", "sentence"))
+    parts = df.select(key, F.posexplode_outer(sentences(F.col(text))).alias("s", "sentence"))
     long = parts.select(key, "s", F.explode(word_tokens(fold(F.col("sentence")))).alias("token")).join(model.select("token", "logp"), "token")
-    per = long.groupBy(key, "s").agg(F.sum("logp").alias("lp"), F.count(F.lit(1)).alias("n"))
-    per = per.select(key, "s", "lp", "n", sane_perplexity(F.exp(-F.col("lp") / F.col("n"))).alias("ppl"))
+    # every sentence, or document without one, has a row that adds nothing
+    both = long.select(key, "s", "logp", F.lit(1).alias("n")).unionAll(parts.select(key, "s", F.lit(0.0).alias("logp"), F.lit(0).alias("n")))
+    per = both.groupBy(key, "s").agg(F.sum("logp").alias("lp"), F.sum("n").alias("n"))
+    per = per.select(key, "s", "lp", "n", sane_perplexity(F.exp(-F.try_divide("lp", "n"))).alias("ppl"))
+    if scored_only:
+        per = per.filter("n > 0")
     return per.groupBy(key).agg(
-        sane_perplexity(F.exp(-F.sum("lp") / F.sum("n"))).alias("doc_perplexity"),
+        sane_perplexity(F.exp(-F.try_divide(F.sum("lp"), F.sum("n")))).alias("doc_perplexity"),
         F.avg("ppl").alias("sentence_perplexity_mean"),
         F.stddev_pop("ppl").alias("sentence_perplexity_std"),
         burstiness(F.array_sort(F.collect_list("ppl"))).alias("burstiness"),

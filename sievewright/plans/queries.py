@@ -279,7 +279,7 @@ SELECT doc_id, round(exp(-sum(lp) / sum(n)), 5) AS doc_perplexity, round(avg(ppl
 """)
 def q_burstiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity features under the unigram model."""
-    return rounded(X.sentence_perplexities(table(spark, sf_dir, "documents"), "doc_id", "text", _model(spark, sf_dir)), 5)
+    return rounded(X.sentence_perplexities(table(spark, sf_dir, "documents"), "doc_id", "text", _model(spark, sf_dir), scored_only=True), 5)
 
 
 @query(f"""

@@ -202,3 +202,15 @@ def test_positions_and_lookup(spark):
 
 def test_char_ngrams(spark):
     assert one(spark, "ab  c", lambda c: X.char_ngrams(c, 3, 5)) == [" ab", "ab ", " ab ", " c "]
+
+
+def test_perplexities_of_documents_and_sentences_without_tokens(spark):
+    docs = spark.createDataFrame([(1, "aa bb. cc aa!"), (2, None), (3, ""), (4, "? a."), (5, "aa bb. ?! cc aa.")], "doc_id long, text string")
+    model = X.unigram_model(docs, X.word_tokens(X.fold(F.col("text"))))
+    got = {r.doc_id: r for r in X.sentence_perplexities(docs, "doc_id", "text", model).collect()}
+    assert set(got) == {1, 2, 3, 4, 5}
+    for i in (2, 3, 4):
+        assert tuple(got[i])[1:] == (1.0, 1.0, 0.0, 0.0)
+    assert got[5].doc_perplexity == pytest.approx(got[1].doc_perplexity)
+    assert got[5].sentence_perplexity_mean == pytest.approx((2 * got[1].sentence_perplexity_mean + 1) / 3)
+    assert got[5].burstiness == pytest.approx(got[5].sentence_perplexity_std / got[5].sentence_perplexity_mean)
