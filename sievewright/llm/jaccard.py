@@ -1,27 +1,34 @@
 """Exact Jaccard self-join of word-shingle sets by partitioning the universe.
 
-Sets are dealt to size bands. In a band two similar sets differ in ``H`` shingles at most. The universe of shingles
-is hashed to segments, and pigeonholes give the candidates: the weights of a band's segments add up to ``H + 1 + E``.
-A plain segment has weight 1 and is indexed by its subset of the set; a segment with one-deletion neighbourhood
-has weight 2 and is indexed by its subset and every subset with one shingle less. So two similar sets agree on a key even if
-each leaves out plain segments worth ``E``: a set leaves out those with the fewest shingles, all up to a size or none of it,
-so that of two sets the one that leaves out more decides. ``plan_band`` chooses the numbers of both sorts and ``E`` by their
-cost: keys made plus chance meetings expected.
-
-Sets that share a key are candidates. They are not listed as pairs: each key links its sets to its smallest one, and the
-components of these links ("clusters") hold every similar pair. Clusters are first screened by sketches, a byte sum for each
-of about ``n / 2`` hash buckets: sets whose sketches differ in more buckets than similar sets may differ in shingles are
-not similar. In the clusters that remain all overlaps are counted exactly. Both are done in blocks; a comparison of
-blocks gives a spanning forest of the links it finds. Equal sets are one class, of which one
-document stands for all. Keys are combined in each batch before they are shuffled, big clusters are dealt out in blocks against
-blocks: no key, cluster or group of copies is ever in one task, and nothing is capped.
+Sets are dealt to size bands, each ``BAND`` times as wide as the one before; a set is indexed in its own band and, where it
+has smaller partners, in the band below. In a band the universe of shingles is hashed to segments, and pigeonholes give the
+candidates: two similar sets differ in ``H`` shingles at most, and the weights of a band's segments add up to ``H + 1 + E``. A plain
+segment has weight 1 and is indexed by its subset of the set; a segment with one-deletion neighbourhood has weight 2 and is
+indexed by its subset and every subset with one shingle less. ``plan_band`` chooses the numbers of both sorts and ``E``.
+
+Which plain segments a set leaves out is decided by cost, that is by how many sets hold a key: all keys are counted over all
+documents, and in the order of these counts a set leaves out its most frequent ones, as many as its own sizes of partners allow. Both sets of
+a similar pair agree on more weight than either leaves out; the rarest plain key on which they agree is left out
+by neither, as both use one order. Keys that only one set holds need not be kept, so most sets drop out here, and passages that many
+documents share give no candidates but where a set is little else.
+
+The sets that share a kept key are candidates. Each key first links its sets to its first one; these pairs are verified and
+the components of the links found. Only keys whose sets then lie in several components go on: there the sets outside the largest
+component meet all others. A pair is compared by sketches (byte sums of hash buckets: more buckets that differ than similar
+sets may differ in shingles exclude it), then by exact overlap. So a group of near copies costs about one comparison a set, and
+only sets that stay unlike under one key are compared one by one. Nothing is capped.
+
+Equal sets are one class, of which one document stands for all. Texts are shingled once for keys and counts, candidates' texts
+once more for their sets. Keys travel packed, those of a slice of texts together, to slots of bounded size.
 
 Words are runs of bytes other than the six ASCII blanks, with A-Z lowered. Shingles are compared by 64-bit hashes of
 their words; two different shingles of one pair of documents coincide with a chance below 1e-12.
 
 Defined cases: a document with fewer words than a shingle is one shingle of all of them; without words, and for null text, the set
-is empty and links with nothing; texts are read whole; rows that repeat an id have that id's component, which links all groups that the
-id has texts in (with a key of its own for every row, groups are of texts alone); rows with a null id are kept, link with nothing and have a null component; an empty table gives an empty result; extra columns are ignored.
+is empty and links with nothing; texts are read whole, whatever their length; any ``percent`` from 1 to 100 is exact, but below
+50 many segments are empty in both sets and candidates grow towards all pairs; rows that repeat an id have that id's component, which links all groups that the
+id has texts in (with a key of its own for every row, groups are of texts alone); rows with a null id are kept, link with nothing and have a null
+component; ties do not arise (a component is named by its smallest id); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,20 +40,21 @@ from math import exp, lgamma, log
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
 from ..operators.components import connected_components
-from .embeddings import _forest
+from ..session import discard, stored
+from .memory import frugal
 
-#: Chance of a shingle to be shared by two unrelated sets, and number of sets met, for the costs of a plan.
+#: A band's last size by its first.
+BAND = 2.0
+#: Cost of a plan: chance of a shingle to be shared by two unrelated sets, and number of sets met under a key that says nothing.
 SHARED, OTHERS = 0.02, 1000.0
-MOST_SPARE = 24
-#: A block of a cluster holds so many sets and shingles at most.
-BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 20
-#: And a block that is screened so many sketches.
-SCREEN_SETS = 1024
+#: A set can leave out this share of ``H`` at least.
+LEAST_SPARE = 0.25
+#: Text bytes whose keys make a slot, and that are packed together.
+SLOT_BYTES, SLICE_BYTES = 32 << 20, 16 << 20
 
 U = np.uint64
 
@@ -62,9 +70,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 @cache
 def band_edges(percent: int, most: int) -> tuple[int, ...]:
     """First sizes of the bands up to ``most``; a set's partners are in its own band and the two next to it."""
+    wide = max(BAND, 100 / percent)
     edges = [1]
     while edges[-1] <= most:
-        edges.append(max(edges[-1] + 1, -(-edges[-1] * 100 // percent)))
+        edges.append(max(edges[-1] + 1, int(np.ceil(edges[-1] * wide))))
     return tuple(edges)
 
 
@@ -74,22 +83,32 @@ def _binomial(n: int, p: float, k: int) -> float:
     return exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(p) + (n - k) * log(1 - p))
 
 
+def _beyond(mean: float, most: int) -> float:
+    """Expected excess over ``most`` of a Poisson number."""
+    if mean <= 0:
+        return 0.0
+    below = [exp(-mean + k * log(mean) - lgamma(k + 1)) for k in range(most + 1)]
+    return max(0.0, mean - most + sum((most - k) * p for k, p in enumerate(below)))
+
+
 @cache
 def plan_band(low: int, high: int, percent: int) -> tuple[int, int, int]:
-    """``(plain, deleting, spare)``: segments of either sort and ``E`` for sets of ``low`` to ``high`` shingles."""
+    """``(plain, deleting, spare)``: segments of either sort and ``E`` for sets of ``low`` to ``high`` shingles.
+
+    Costs are the keys made for the middle size, and the sets met under keys that say little and are more than ``E``.
+    """
     differ = high * (100 - percent) // percent
-    best = None
-    for deleting in range(min(4, (differ + 1) // 2 + 1) if differ else 1):
-        for spare in range(MOST_SPARE + 1):
+    middle, best = (low + high) // 2, None
+    least = int(np.ceil(LEAST_SPARE * differ))
+    for deleting in range(min(3, (differ + 1) // 2) + 1 if differ else 1):
+        for spare in sorted({least + k * max(1, differ // 16) for k in range(33)}):
             plain = differ + 1 + spare - 2 * deleting
-            if plain < 0 or (plain == 0 and spare):
+            if plain < 0 or (plain == 0 and spare > least):
                 continue
-            m, size = plain + deleting, (low + high) // 2
-            few = [_binomial(low, 1 / m, k) for k in range(3)]
-            empty = plain * few[0]
-            beyond = sum(exp(-empty + k * log(max(empty, 1e-12)) - lgamma(k + 1)) for k in range(spare + 1, spare + 8))
-            chance = OTHERS * (plain * (few[1] * SHARED + few[2] * SHARED**2) + beyond * 20 + deleting * (few[0] * 20 + few[1] * 20 + few[2] * 2 * SHARED))
-            cost = m + deleting * size / m + chance
+            m = plain + deleting
+            few = [_binomial(middle, 1 / m, k) for k in range(3)]
+            weak = _beyond(plain * (few[0] + few[1] * SHARED), spare)
+            cost = m + deleting * middle / m + OTHERS * (weak + deleting * (few[0] + few[1] + few[2] * SHARED))
             if best is None or cost < best[0]:
                 best = (cost, (plain, deleting, spare))
     return best[1]
@@ -126,22 +145,29 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     return out
 
 
-def keys_of(s: np.ndarray, percent: int) -> np.ndarray:
-    """All keys under which a set is indexed, in its own band and in the band below if partners can lie there."""
+def keys_of(s: np.ndarray, percent: int) -> list[tuple[int, np.ndarray, int, np.ndarray]]:
+    """For each band that a set is indexed in: the band, the keys of its plain segments, how many of them it leaves out, and its other keys.
+
+    Empty plain segments come last in every set's order: they are left out first and, if there are more than
+    it may leave out, the others are among the other keys, which every set keeps.
+    """
     n = len(s)
     edges = band_edges(percent, 1 << (max(n, 1)).bit_length())
     own = int(np.searchsorted(edges, n, side="right")) - 1
     out = []
     for band in (own, own - 1):
-        if band < 0 or (band < own and (edges[band + 1] - 1) * 100 < percent * n):
+        if band < 0:
             continue
         low, high = edges[band], edges[band + 1] - 1
-        if high * (100 - percent) // percent == 0:
-            continue  # similar sets are equal: one class already
-        plain, deleting, spare = plan_band(low, high, percent)
+        if high * (100 - percent) // percent == 0 or (band < own and high * 100 < percent * n):
+            continue  # similar sets are equal: one class already; or no partner can lie there
+        plain, deleting, _ = plan_band(low, high, percent)
         m = plain + deleting
+        # so much may this set and a partner that meets it in this band differ
+        partner = min(high, n * 100 // percent) if band < own else n * 100 // percent
+        differ = (n + partner) * (100 - percent) // (100 + percent)
         with np.errstate(over="ignore"):
-            salted = mix(s + U(band + 1) * U(0xD1B54A32D192ED03))
+            salted = mix(s + U(((band + 1) * 0xD1B54A32D192ED03) & (2**64 - 1)))
             segment = (salted >> U(33)).astype(np.int64) % m
             mass = mix(salted ^ U(0x2545F4914F6CDD1D))
             order = np.argsort(segment, kind="stable")
@@ -150,19 +176,21 @@ def keys_of(s: np.ndarray, percent: int) -> np.ndarray:
             filled = np.flatnonzero(count)
             total[filled] = np.add.reduceat(mass[order], (np.cumsum(count) - count)[filled])
             tag = lambda mass, segment, count: mix(mass + mix((segment.astype(np.uint64) << U(32)) + count.astype(np.uint64) + (U(band) << U(52))))
-            # plain segments are the first ones; leave out the emptiest, size by size, as long as they are worth no more than the spare weight
-            sizes = count[:plain]
-            least = 0
-            while least <= n and (sizes <= least).sum() <= spare:
-                least += 1
-            kept = np.flatnonzero(sizes >= least)
-            out.append(tag(total[kept], kept, count[kept]))
+            full = filled[filled < plain]
+            empty = np.flatnonzero(count[:plain] == 0)
+            spare = plain + 2 * deleting - 1 - differ
+            drop = max(0, spare - len(empty))
+            kept = [np.zeros(0, np.uint64)]
+            if spare < len(empty):
+                blank = np.sort(tag(total[empty], empty, count[empty]))
+                kept.append(blank[spare:])
             if deleting:
                 tail = np.arange(plain, m)
-                out.append(tag(total[tail], tail, count[tail]))
                 inside = segment >= plain
-                out.append(tag(total[segment[inside]] - mass[inside], segment[inside], count[segment[inside]] - 1))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+                kept.append(tag(total[tail], tail, count[tail]))
+                kept.append(tag(total[segment[inside]] - mass[inside], segment[inside], count[segment[inside]] - 1))
+            out.append((band, tag(total[full], full, count[full]), drop, np.unique(np.concatenate(kept))))
+    return out
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -185,178 +213,204 @@ def _slices(b: pa.RecordBatch, text: int, size: int = 4 << 20) -> Iterator[pa.Re
         yield b.slice(at, end - at)
 
 
-def _describe(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+def fold(x: np.ndarray, width: int) -> np.ndarray:
+    """A sketch with ``width`` buckets, at most as many as it has."""
+    return x.reshape(-1, width).sum(0, dtype=np.uint8)
 
-        for b in batches:
-            for part in _slices(b, 1):
-                sets = shingle_sets(part.column(1), words)
-                sizes = [len(s) for s in sets]
-                names = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets]
-                sketches = pa.array([sketch(s).tobytes() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.string()), sketches], names=["id", "n", "name", "sketch"])
 
-    return run
+INDEX = "slot long, kind int, id long, n long, name binary, grp long, amount long, keys binary, grps binary"
+DESCRIBED, GROUP, KEY = 0, 1, 2
 
 
-def _combine(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One row a key with its smallest node, and links of the key's other nodes to it."""
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-    head = node[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(key) else node
-    links = np.unique(np.stack([node, head], 1)[node != head], axis=0)
-    return key[first], node[first], links[:, 0], links[:, 1]
+def _columns(size: int, **given) -> pa.RecordBatch:
+    types = {"slot": pa.int64(), "kind": pa.int32(), "id": pa.int64(), "n": pa.int64(), "name": pa.binary(), "grp": pa.int64(), "amount": pa.int64(), "keys": pa.binary(), "grps": pa.binary()}
+    return pa.RecordBatch.from_arrays([given[c] if isinstance(given.get(c), pa.Array) else pa.array(given[c], t) if c in given else pa.nulls(size, t) for c, t in types.items()], names=list(types))
 
 
-def _index(words: int, percent: int):
-    """Keys of all documents; those met twice in a batch of texts are combined at once. Rows: key and node, or two linked nodes."""
+def _index(words: int, percent: int, slots: int, slice_bytes: int):
+    """One pass over the texts: a row for each document, a row for each group of keys (of a set in a band), and packed keys for each slot."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for b in batches:
-            for part in _slices(b, 1, 16 << 20):
-                ids, keys = part.column(0).to_pylist(), []
+            for part in _slices(b, 1, slice_bytes):
+                keys, grps, groups, known = [], [], [], set()
                 for small in _slices(part, 1):
-                    keys += [keys_of(s, percent) for s in shingle_sets(small.column(1), words)]
-                node = np.repeat(np.array([i if i is not None else 0 for i in ids], np.int64), [len(k) if i is not None else 0 for i, k in zip(ids, keys, strict=True)])
-                key = np.concatenate([np.zeros(0, np.uint64), *(k for i, k in zip(ids, keys, strict=True) if i is not None)])
-                k, n, a, z = _combine(key.view(np.int64), node)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k, np.zeros(len(a), np.int64)]), mask=np.concatenate([np.zeros(len(k), bool), np.ones(len(a), bool)])), pa.array(np.concatenate([n, a])), pa.array(np.concatenate([np.zeros(len(k), np.int64), z]), mask=np.concatenate([np.ones(len(k), bool), np.zeros(len(a), bool)]))], names=["key", "node", "peer"])
+                    sets = shingle_sets(small.column(1), words)
+                    names = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                    own = [0 if x is None else int.from_bytes(x[:4]) % slots for x in names]
+                    yield _columns(len(sets), slot=own, kind=[DESCRIBED] * len(sets), id=small.column(0), n=[len(s) for s in sets], name=names)
+                    for i, name, s in zip(small.column(0).to_pylist(), names, sets, strict=True):
+                        if i is None or name is None or name in known:
+                            continue
+                        known.add(name)
+                        for band, plain, drop, kept in keys_of(s, percent):
+                            for sort, some, amount in (("p", plain, drop), ("k", kept, 0)):
+                                if len(some) > amount:
+                                    grp = xxhash.xxh3_64_intdigest(name + b"%d%s" % (band, sort.encode())) >> 1
+                                    groups.append((grp, amount, name))
+                                    keys.append(some)
+                                    grps.append(np.full(len(some), grp, np.int64))
+                if not groups:
+                    continue
+                grp, amount, name = zip(*groups, strict=True)
+                yield _columns(len(groups), slot=[g % slots for g in grp], kind=[GROUP] * len(groups), grp=grp, amount=amount, name=name)
+                key, grp = np.concatenate(keys), np.concatenate(grps)
+                place = ((key >> U(32)) * U(slots) >> U(32)).astype(np.int64)
+                order = np.argsort(place, kind="stable")
+                key, grp, place = key[order], grp[order], place[order]
+                used, first = np.unique(place, return_index=True)
+                ends = [*first[1:].tolist(), len(place)]
+                cut = list(zip(first.tolist(), ends, strict=True))
+                yield _columns(len(used), slot=used, kind=[KEY] * len(used), keys=[key[x:y].tobytes() for x, y in cut], grps=[grp[x:y].tobytes() for x, y in cut])
 
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and node: links every node of a key to the key's first node, also across batches."""
-    last_key, last_head = None, 0
+COUNTED = "kind int, id long, n long, name binary, grp long, amount long, `key` long"
+
+
+@frugal
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by slot: keys that several groups hold, with their number of groups; other rows as they are."""
+    names = [x.split()[0].strip("`") for x in COUNTED.split(", ")]
+    slot, keys, grps = None, [], []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        key, grp = np.frombuffer(b"".join(keys), np.int64), np.frombuffer(b"".join(grps), np.int64)
+        order = np.lexsort((grp, key))
+        key, grp = key[order], grp[order]
+        # copies of a set bring the same group again
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (grp[1:] != grp[:-1])]) if len(key) else np.zeros(0, bool)
+        key, grp = key[new], grp[new]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(key)))
+        many = np.repeat(size, size)
+        hit = many > 1
+        for at in range(0, int(hit.sum()), 1 << 18):
+            k, g, m = (x[hit][at : at + (1 << 18)] for x in (key, grp, many))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), KEY, np.int32)), *(pa.nulls(len(k), t) for t in (pa.int64(), pa.int64(), pa.binary())), pa.array(g), pa.array(m), pa.array(k)], names=names)
+
     for b in batches:
-        if not b.num_rows:
-            continue
-        key, node = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-        first = np.concatenate([[key[0] != last_key], key[1:] != key[:-1]])
-        at = np.cumsum(first) - 1
-        heads = node[first]
-        head = np.where(at < 0, last_head, heads[np.maximum(at, 0)] if len(heads) else last_head)
-        last_key, last_head = key[-1], head[-1]
-        links = np.unique(np.stack([node, head], 1)[node != head], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+        plain = b.filter(pc.less(b.column("kind"), KEY))
+        if plain.num_rows:
+            yield pa.RecordBatch.from_arrays([*(plain.column(c) for c in names[:-1]), pa.nulls(plain.num_rows, pa.int64())], names=names)
+        packed = b.filter(pc.equal(b.column("kind"), KEY))
+        for s, k, g in zip(*(packed.column(c).to_pylist() for c in ("slot", "keys", "grps")), strict=True):
+            if s != slot:
+                yield from done()
+                slot, keys, grps = s, [], []
+            keys.append(k)
+            grps.append(g)
+    yield from done()
 
 
 def _sets(words: int):
+    """``id, n, body, sketch`` of texts."""
+
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            place = b.schema.get_field_index("text")
-            for part in _slices(b, place):
-                sets = pa.array([s.tobytes() for s in shingle_sets(part.column(place), words)], pa.binary())
-                yield part.set_column(place, "text", sets)
+            for part in _slices(b, 1):
+                sets = shingle_sets(part.column(1), words)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], names=["id", "n", "body", "sketch"])
 
     return run
 
 
-def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, chunk: int = 4096) -> np.ndarray:
-    """Sizes of the intersections of the sets at ``left`` with those at ``right``."""
-    own = np.concatenate([np.zeros(0, np.int64), *(np.full(len(s), k) for k, s in enumerate(sets))])
-    token, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
-    shared = np.bincount(place, minlength=len(token)) > 1
-    number = np.cumsum(shared) - 1
-    keep = shared[place]
-    own, place = own[keep], number[place[keep]]
-    order = np.argsort(place, kind="stable")
-    own, place = own[order], place[order]
-    out = np.zeros((len(left), len(right)), np.float32)
-    for at in range(0, int(shared.sum()), chunk):
-        a, b = np.searchsorted(place, [at, at + chunk])
-        x = np.zeros((len(sets), chunk), np.float32)
-        x[own[a:b], place[a:b] - at] = 1
-        out += x[left] @ x[right].T
-    return out.astype(np.int64)
-
-
-def _sides(rows: list, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-    block = np.array([r[-1] for r in rows])
-    left = np.flatnonzero(block == i)
-    return left, left if i == j else np.flatnonzero(block == j)
-
-
-def _by_overlap(percent: int):
-    """Links between the blocks of ``rows(id, set, block)`` by exact overlaps."""
-
-    def links(rows: list, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-        left, right = _sides(rows, i, j)
-        sets = [np.frombuffer(r[1], np.uint64) for r in rows]
-        size = np.array([len(s) for s in sets])
-        both = overlaps(sets, left, right)
-        near = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
-        a, b = np.nonzero(np.triu(near, 1) if i == j else near)
-        return left[a], right[b]
-
-    return links
-
-
-def _by_sketch(percent: int):
-    """Pairs of ``rows(id, n, sketch, block)`` that may be similar: by their sizes and the buckets in which they differ."""
-
-    def links(rows: list, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-        left, right = _sides(rows, i, j)
-        size = np.array([r[1] for r in rows])
-        own = [np.frombuffer(r[2], np.uint8) for r in rows]
-        width = np.array([len(x) for x in own])
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for w in np.unique(width).tolist():
-            # sets of similar sizes have sketches of the same width or one twice as wide, which is folded
-            near = {k: v for k in right.tolist() if (v := own[k] if width[k] == w else own[k][:w] + own[k][w:] if width[k] == 2 * w else None) is not None}
-            at = np.array(list(near), np.int64)
-            if not len(at):
-                continue
-            table = np.stack(list(near.values()))
-            for x in left[(width[left] == w) | (width[left] == 2 * w)].tolist():
-                # a pair is met once: where the narrower of both has this width
-                other = np.flatnonzero((width[at] == w) | (width[x] == w))
-                other = other[at[other] > x] if i == j else other
-                other = other[100 * np.minimum(size[at[other]], size[x]) >= percent * np.maximum(size[at[other]], size[x])]
-                if len(other):
-                    mine = own[x] if width[x] == w else own[x][:w] + own[x][w:]
-                    differ = (table[other] != mine).sum(1)
-                    other = other[differ * (100 + percent) <= (100 - percent) * (size[at[other]] + size[x])]
-                    found.append((np.full(len(other), x), at[other]))
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+def may_be_similar(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
+    """False only if sets of ``n`` and ``m`` shingles with these sketches are not similar."""
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    width = min(len(a), len(b))
+    differ = int((fold(a, width) != fold(b, width)).sum())
+    return differ * (100 + percent) <= (100 - percent) * (n + m)
+
 
-    return links
+def similar(x: bytes, y: bytes, percent: int) -> bool:
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _compare(columns: list[str], links):
-    """Rows sorted by cluster and pair of blocks: each pair of blocks is compared and gives a spanning forest of its links."""
+def _verify(percent: int, exact: bool):
+    columns = ("a_body", "b_body") if exact else ("a_n", "a_sketch", "b_n", "b_sketch")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                rows = zip(*(part.column(c).to_pylist() for c in columns), strict=True)
+                keep = pa.array([(similar if exact else may_be_similar)(*r, percent) for r in rows], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(keep)
 
-        def done() -> pa.RecordBatch:
-            forest = _forest(*links(rows, *key[1:]), len(rows)) if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([rows[x][0] for x, _ in forest], pa.int64()), pa.array([rows[y][0] for _, y in forest], pa.int64())], names=["a", "b"])
+    return run
 
-        for batch in batches:
-            for c, i, j, *row in zip(*(batch.column(x).to_pylist() for x in ("cluster", "i", "j", *columns, "block")), strict=True):
-                if (c, i, j) != key:
-                    yield done()
-                    key, rows = (c, i, j), []
-                rows.append(row)
-        yield done()
 
-    return run
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The similar ones of ``pairs(a, b)``; a set is joined to each of its pairs, and AQE splits sets of very many pairs."""
 
+    def joined(some: DataFrame, columns: list[str]) -> DataFrame:
+        for end in ("a", "b"):
+            some = some.join(sets.select(F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in columns]).hint("merge"), end)
+        return some
 
-def _pairs_of_blocks(df: DataFrame, columns: list[str], links) -> DataFrame:
-    """Links within clusters; a cluster of ``g`` blocks is dealt out to pairs of blocks."""
-    dealt = df.withColumn("block", F.pmod(F.xxhash64("id"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *columns, "block")
-    return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_compare(columns, links), "a long, b long")
+    screened = stored(joined(pairs, ["n", "sketch"]).mapInArrow(_verify(percent, False), "a long, b long"), "screened")
+    found = stored(joined(screened, ["body"]).mapInArrow(_verify(percent, True), "a long, b long"), "links")
+    discard(screened)
+    return found
 
 
-def _with_blocks(members: DataFrame, blocks) -> DataFrame:
-    """Members of clusters of two or more, with the number of blocks ``g``."""
-    weight = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles")).filter("sets > 1").select("cluster", blocks.cast("int").alias("g"))
-    return members.join(stored(weight, "clusters").hint("merge"), "cluster")
+def candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From ``docs(id, text)``: ``described(id, n, name)`` of every row, ``classes(name, rep, n)``, and ``met(key, rep, n)``, the classes under kept keys that several hold."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slots = 1 + size // SLOT_BYTES
+    packed = docs.mapInArrow(_index(words, percent, slots, SLICE_BYTES), INDEX).repartition("slot").sortWithinPartitions("slot")
+    counted = stored(packed.mapInArrow(_count, COUNTED), "keys")
+    described = counted.filter(F.col("kind") == DESCRIBED).select("id", "n", "name")
+    classes = described.filter("id is not null and name is not null").groupBy("name").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
+    classes = stored(classes, "classes")
+    # a group leaves out its most frequent keys, as many as its row tells; keys held once are rarest and not even here
+    groups = counted.filter(F.col("kind") == GROUP).groupBy("grp").agg(F.max("amount").alias("drop"), F.max("name").alias("name"))
+    ranked = counted.filter(F.col("kind") == KEY).select("grp", "key", "amount").join(groups.hint("merge"), "grp")
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("amount"), F.desc("key"))))
+    kept = stored(ranked.filter(F.col("rank") > F.col("drop")).select("key", "name"), "kept")
+    held = stored(kept.join(classes.hint("merge"), "name").select("key", "rep", "n"), "held")
+    several = stored(held.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low != high").select("key"), "several")
+    met = stored(held.join(several.hint("merge"), "key").select("key", "rep", "n"), "met")
+    discard(kept, held, several)
+    return described, classes, met
+
+
+def _first_pairs(met: DataFrame, percent: int) -> DataFrame:
+    """Every class of a key with the key's smallest class, if their sizes allow."""
+    head = stored(met.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head")).select("key", F.col("head.rep").alias("b"), F.col("head.n").alias("bn")), "heads")
+    pairs = met.join(head.hint("merge"), "key").filter((F.col("rep") != F.col("b")) & _sizes_allow(F.col("n"), F.col("bn"), percent))
+    return stored(pairs.select(F.col("rep").alias("a"), "b").distinct(), "first-pairs")
+
+
+def _sizes_allow(n, m, percent: int):
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+
+def _other_pairs(met: DataFrame, components: DataFrame, percent: int) -> DataFrame:
+    """Classes of a key that are still in different components: those outside its largest component with all others."""
+    owned = met.join(components.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    owned = stored(owned, "owned")
+    parts = owned.groupBy("key", "component").agg(F.count(F.lit(1)).alias("many")).groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("many", "component")).alias("top"))
+    parts = stored(parts.filter("parts > 1").select("key", F.col("top.component").alias("top")), "parts")
+    open_keys = stored(owned.join(parts.hint("merge"), "key"), "open")
+    discard(owned, parts)
+    few = open_keys.filter("component != top").select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"))
+    rest = open_keys.select("key", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
+    pairs = few.join(rest.hint("merge"), "key").filter((F.col("ac") != F.col("bc")) & _sizes_allow(F.col("an"), F.col("bn"), percent))
+    out = stored(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "other-pairs")
+    discard(open_keys)
+    return out
 
 
 def _shared_ids(described: DataFrame, classes: DataFrame) -> DataFrame:
@@ -370,26 +424,19 @@ def _shared_ids(described: DataFrame, classes: DataFrame) -> DataFrame:
 
 def similar_sets(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_shingles, component_id`` for every row: documents link when ``100 * intersection >= percent * union``."""
+    if not 1 <= percent <= 100 or words < 1:
+        raise ValueError("percent must be 1 to 100 and words 1 at least")
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    full = stored(docs.mapInArrow(_describe(words), "id long, n long, name string, sketch binary"), "sets")
-    described = full.select("id", "n", "name")
-    classes = described.filter("id is not null and name is not null").groupBy("name").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
-    classes = stored(classes, "classes")
-    # keys of all documents, combined in each batch; a copy meets its class's other documents under every key
-    indexed = stored(docs.mapInArrow(_index(words, percent), "key long, node long, peer long"), "keys")
-    starred = indexed.filter("key is not null").select("key", "node").repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "a long, b long")
-    links = starred.unionByName(indexed.filter("peer is not null").select(F.col("node").alias("a"), F.col("peer").alias("b")))
-    loose = connected_components(links)
-    members = loose.join(classes.select(F.col("rep").alias("node"), "n").hint("merge"), "node")
-    members = stored(members.select(F.col("node").alias("id"), F.col("component").alias("cluster"), "n"), "members")
-    screened = _with_blocks(members, F.ceil(F.col("sets") / SCREEN_SETS)).join(full.select("id", "sketch").hint("merge"), "id")
-    tight = connected_components(_pairs_of_blocks(screened, ["id", "n", "sketch"], _by_sketch(percent)))
-    members = members.drop("cluster").join(tight.select(F.col("node").alias("id"), F.col("component").alias("cluster")).hint("merge"), "id")
-    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
-    wanted = _with_blocks(stored(members, "tight"), blocks).select("id", "cluster", "g")
-    bodies = docs.join(wanted.hint("merge"), "id").select("id", "cluster", "g", "text").mapInArrow(_sets(words), "id long, cluster long, g int, text binary")
-    found = _pairs_of_blocks(bodies, ["id", "text"], _by_overlap(percent))
-    components = connected_components(found.unionByName(_shared_ids(described, classes)))
+    described, classes, met = candidates(docs, words, percent)
+    wanted = stored(met.select(F.col("rep").alias("id")).distinct(), "wanted")
+    sets = stored(docs.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(_sets(words), "id long, n long, body binary, sketch binary"), "sets")
+    pairs = _first_pairs(met, percent)
+    links = _verified(pairs, sets, percent)
+    discard(pairs, wanted)
+    pairs = _other_pairs(met, connected_components(links), percent)
+    more = _verified(pairs, sets, percent)
+    discard(met, sets)
+    components = connected_components(links.unionByName(more).unionByName(_shared_ids(described, classes)))
     named = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("name", F.coalesce("component", "rep").alias("component_id"))
     linked = described.filter("id is not null and name is not null").join(named.hint("merge"), "name").select("id", "n", "component_id")
     empty = described.filter("id is not null and name is null").join(components.withColumnRenamed("node", "id"), "id", "left")

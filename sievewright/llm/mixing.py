@@ -9,15 +9,17 @@ subtree reaches the parent's siblings. A leaf's capacity is its tokens times ``m
 Each leaf takes the token-prefix of its seeded epochs: whole epochs as often as they fit, then the documents of one
 more epoch, in the order of a seeded hash, whose tokens up to and including their own fit into what is left.
 
-Data movement: documents are summed by (leaf, hash bin) with map-side combine; running sums over a leaf's
-``BINS`` bins tell which bins are taken whole, and only the documents of the one bin on the border are sorted, so a hot leaf is
-never in one task. Bins are chosen by hash, so the border bin of a leaf holds about a ``BINS``-th of it.
-The statistics have at most leaves times ``BINS`` rows and stay distributed.
+Data movement: documents are summed by (leaf, first four digits of the hash) with map-side combine, which gives slim rows. Running
+sums over a leaf's ``16 ** 2`` coarse bins, then over the fine bins of the one on the border, tell which documents are
+taken whole; only those of the fine bin on the border, a 65536-th of a leaf by hash, are sorted. The plan has a row for each leaf and is
+broadcast if there are at most ``MOST_BROADCAST`` of them, so that the others are filtered in the scan and no text is shuffled;
+with more leaves it is joined by a shuffle.
 
 Defined cases: null levels are the leaf value ``''``; null or empty text has no tokens and is taken whenever an epoch of
-its bin position is; equal hashes are ordered by id, rows repeated with the same id by text; a zero or absent budget
-takes nothing but documents without tokens before the border; weights must not be negative, and if all siblings
-have weight 0 they get nothing; an empty table gives an empty result; extra columns are kept unless they clash with added names.
+its bin position is; equal hashes are ordered by id, rows repeated with the same id by text, equal rows one after the other; texts of any
+length count whole; a zero or absent budget takes nothing but documents without tokens before the border; weights must
+not be negative, and if all siblings have weight 0 they get nothing; an empty table gives an empty result; extra columns of any name are kept, but
+those named ``tokens`` or ``epochs`` are replaced.
 """
 
 from __future__ import annotations
@@ -25,8 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 256
+from ..session import stored
+
 SEED = 42
+#: A broadcast plan holds so many leaves at most, each of a few hundred bytes.
+MOST_BROADCAST = 20_000
 
 
 def tokens_of(text: Column) -> Column:
@@ -78,6 +83,13 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], total_share: float, weigh
     return leaves.join(granted, levels).select(*levels, "tokens", F.floor(F.col("budget") + 1e-6).cast("long").alias("budget"))
 
 
+def _border(bins: DataFrame, names: list[str], bin_name: str) -> DataFrame:
+    """Of ``bins(names.., bin_name, bin_tokens, rest, start)`` the one of each leaf in which ``rest`` tokens end; ``start`` becomes the tokens before it."""
+    before = Window.partitionBy(*names).orderBy(bin_name).rowsBetween(Window.unboundedPreceding, -1)
+    found = bins.withColumn("start", F.col("start") + F.coalesce(F.sum("bin_tokens").over(before), F.lit(0)))
+    return found.filter((F.col("start") <= F.col("rest")) & (F.col("start") + F.col("bin_tokens") > F.col("rest")))
+
+
 def mix(
     docs: DataFrame,
     levels: list[str],
@@ -93,30 +105,36 @@ def mix(
     ``total_share`` is the budget as a share of all tokens of the table. ``levels`` name the tree's columns, top first.
     """
     weights = weights or [None] * len(levels)
-    names = [f"_level{i}" for i in range(len(levels))]
-    work = docs
-    for name, level in zip(names, levels, strict=True):
-        work = work.withColumn(name, F.coalesce(F.col(level).cast("string"), F.lit("")))
-    work = work.withColumn("tokens", tokens_of(F.col(text))).withColumn("_hash", seeded_hash(seed, F.col(key)))
-    work = work.withColumn("_bin", (F.conv(F.substring("_hash", 1, 4), 16, 10).cast("long") * BINS / 65536).cast("int"))
+    names = [f"level{i}" for i in range(len(levels))]
     own_weights = [w if w is None else w.toDF(*names[: i + 1], "weight") for i, w in enumerate(weights)]
-
-    bins = work.groupBy(*names, "_bin").agg(F.sum("tokens").alias("bin_tokens"))
-    leaves = bins.groupBy(*names).agg(F.sum("bin_tokens").alias("tokens"))
+    # the document is carried as one column, so that its columns' names are free
+    work = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("tokens", "epochs")]).alias("row"),
+        *[F.coalesce(F.col(level).cast("string"), F.lit("")).alias(name) for name, level in zip(names, levels, strict=True)],
+        tokens_of(F.col(text)).alias("tokens"),
+        seeded_hash(seed, F.col(key)).alias("hash"),
+        F.col(key).alias("key"),
+        F.col(text).alias("text"),
+    )
+    fine_bin, coarse_bin = F.substring("hash", 1, 4).alias("fine"), F.substring("fine", 1, 2).alias("coarse")
+    fine = stored(work.groupBy(*names, fine_bin).agg(F.sum("tokens").alias("bin_tokens")), "mix-bins").select("*", coarse_bin)
+    coarse = fine.groupBy(*names, "coarse").agg(F.sum("bin_tokens").alias("bin_tokens"))
+    leaves = coarse.groupBy(*names).agg(F.sum("bin_tokens").alias("tokens"))
     budgets = leaf_budgets(leaves, names, total_share, own_weights, max_epochs)
     plan = budgets.select(
         *names,
-        F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long").alias("_whole"),
-        F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(0).alias("_rest"),
+        F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long").alias("whole"),
+        F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(0).alias("rest"),
     )
-    before = Window.partitionBy(*names).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = bins.withColumn("_before", F.coalesce(F.sum("bin_tokens").over(before), F.lit(0))).join(plan, names)
-    ranges = ranges.select(*names, "_bin", "_before", "_whole", "_rest", (F.col("_before") + F.col("bin_tokens")).alias("_after"))
-    placed = work.join(ranges.hint("merge"), [*names, "_bin"])
-    inside, border = F.col("_after") <= F.col("_rest"), (F.col("_before") <= F.col("_rest")) & (F.col("_after") > F.col("_rest"))
-    kept = [c for c in docs.columns if c not in ("tokens", "epochs")] + ["tokens"]
-    sure = placed.filter(~border).withColumn("epochs", F.col("_whole") + inside.cast("long"))
-    upto = Window.partitionBy(*names, "_bin").orderBy("_hash", key, text).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = placed.filter(border).withColumn("_upto", F.col("_before") + F.sum("tokens").over(upto))
-    edge = edge.withColumn("epochs", F.col("_whole") + (F.col("_upto") <= F.col("_rest")).cast("long"))
-    return sure.select(*kept, "epochs").unionByName(edge.select(*kept, "epochs")).filter("epochs > 0")
+    plan = stored(plan, "mix-plan")
+    # the coarse bin in which a leaf's last epoch ends, then the fine one
+    edge = _border(coarse.join(plan, names).withColumn("start", F.lit(0)), names, "coarse").select(*names, "coarse", "rest", "start")
+    edge = _border(fine.join(edge.hint("merge"), [*names, "coarse"]), names, "fine").select(*names, F.col("fine").alias("edge"), "start")
+    plan = stored(plan.join(edge, names, "left"), "mix-edges")
+    placed = work.join(F.broadcast(plan) if plan.count() <= MOST_BROADCAST else plan.hint("merge"), names).withColumn("fine", fine_bin)
+    at_edge = F.coalesce(F.col("fine") == F.col("edge"), F.lit(False))
+    sure = placed.filter(~at_edge).withColumn("epochs", F.col("whole") + F.coalesce(F.col("fine") < F.col("edge"), F.lit(True)).cast("long"))
+    upto = F.sum("tokens").over(Window.partitionBy(*names).orderBy("hash", "key", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = placed.filter(at_edge).withColumn("upto", F.col("start") + upto)
+    last = last.withColumn("epochs", F.col("whole") + (F.col("upto") <= F.col("rest")).cast("long"))
+    return sure.select("row", "tokens", "epochs").unionByName(last.select("row", "tokens", "epochs")).filter("epochs > 0").select("row.*", "tokens", "epochs")

@@ -8,10 +8,12 @@ carry their ids, are merged in the same way by fewer tasks, and each window that
 sequences whose lengths are powers of two (these need no padding).
 
 Pieces are written to the shared folder before the merge, so the rows of both steps come from one run. Memory is
-bounded by the open windows and one batch of documents. Sequence ids are unique, not dense.
+bounded by the open windows, ``BATCH_BYTES`` of texts (or one longer text) and ``CACHE_BYTES`` of chunks that the
+tokenizer remembers, which it forgets when the task ends. Sequence ids are unique, not dense.
 
 Defined cases: null text is empty; an empty document is its end id alone; a document of any length is cut into
-windows; repeated rows are packed each; an empty table gives an empty result; extra columns are ignored.
+windows; repeated rows are packed each; of open windows that fit equally well the oldest gets the piece, of equally full ones the
+oldest is emitted; an empty table gives an empty result; extra columns are ignored. A vocabulary whose ids depend on what lies beyond white space is refused.
 """
 
 from __future__ import annotations
@@ -30,13 +32,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .memory import frugal
 
 WINDOW = 2048
 OPEN_WINDOWS = 64
 MIN_FILL = 8
 END_ID = 1
-#: When a tokenizing worker remembers more distinct chunks, it starts anew with the next batch.
-CACHE = 800_000
+#: When a tokenizing task's chunks take more bytes, it forgets them and starts anew with the next batch.
+CACHE_BYTES = 24 << 20
+#: What the index of chunks takes for each of them, besides its text and ids.
+CHUNK_BYTES = 150
+BATCH_BYTES = 2 << 20
+#: The ids of these must be those of their chunks, one after the other.
+PROBES = ["a b", " Don't  stop\tat 12.5 %, \u00e9t\u00e9!\n\n3rd line... ", "x\ny \u4f60\u597d z_1 <a> (b) -c- \u0130. d"]
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = [x.split()[0] for x in PIECE.split(", ")]
 
@@ -59,25 +67,33 @@ class ChunkTokenizer:
     #: still letters once normalized; chunks with other letters (``loose_letters``) are looked up whole.
     APART = r"^(?P<stem>\pL+)(?P<marks>[.,;:!?#$%&*|]+)$"
 
-    def __init__(self, path: str, cache: int = CACHE) -> None:
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tok, self.limit = Tokenizer.from_file(path), cache
+        self.tok, self.limit = Tokenizer.from_file(path), cache_bytes
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        for probe in PROBES:
+            if (whole := self.encode([probe])[0]) != [i for ids in self.encode(probe.split()) for i in ids]:
+                raise ValueError(f"{path}: the ids of a text are not those of its chunks between white space, {whole} for {probe!r}")
         self.clear()
 
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.used = 0
-        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.used = self.held = 0
+        self.starts, self.sizes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
     def learn(self, chunks: list[str]) -> None:
         for first in range(0, len(chunks), 2000):  # an encoding holds far more than its ids: few at a time
             part = chunks[first : first + 2000]
-            new = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
+            new = self.encode(part)
             size = np.fromiter(map(len, new), np.int64, len(new))
             ids = np.fromiter(chain.from_iterable(new), np.uint32, int(size.sum()))
             while self.used + len(ids) > len(self.flat):
@@ -90,6 +106,7 @@ class ChunkTokenizer:
             self.sizes[n : n + len(part)] = size
             self.index.update(zip(part, range(n, n + len(part)), strict=True))
             self.used += len(ids)
+            self.held += sum(map(len, part)) + 4 * len(ids) + CHUNK_BYTES * len(part)
 
     def places(self, chunks: pa.Array) -> np.ndarray:
         """Where the ids of distinct chunks are kept; new ones are learned."""
@@ -101,7 +118,7 @@ class ChunkTokenizer:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts (none null) and the number of ids of each."""
-        if len(self.index) > self.limit:
+        if self.held > self.limit:
             self.clear()
         words = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         coded = words.flatten().dictionary_encode()
@@ -120,7 +137,7 @@ class ChunkTokenizer:
         return ids, np.diff(np.concatenate([[0], ends])[cut], prepend=0)
 
 
-#: A worker's tokenizers by path; they outlive a task, as do the chunks that they know.
+#: A worker's tokenizers by path; they outlive a task, the chunks that they know do not.
 KNOWN: dict[str, ChunkTokenizer] = {}
 
 
@@ -205,8 +222,8 @@ def _rows(rows: list[tuple], left: list[tuple] = ()) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:7]), pa.array(columns[7], pa.list_(pa.int64()))], names=[*NAMES, "ids"])
 
 
-def _pack(path: str, batch_bytes: int = 6 << 20):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(path: str, batch_bytes: int = BATCH_BYTES):
+    def pack_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, packer = chunk_tokenizer(path), Packer(_first(0))
 
         for b in batches:
@@ -229,6 +246,13 @@ def _pack(path: str, batch_bytes: int = 6 << 20):
                 at += len(ids)
         yield _rows([], left)
 
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from pack_all(batches)
+        finally:
+            chunk_tokenizer(path).clear()
+
     return run
 
 

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import frugal
+
 FOLDS = 5
 PER_CLASS = 2048
 RANK = 64
@@ -132,6 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         part = usable.filter(F.col("y") == y).orderBy(*order).limit(per_class)
         sample = part if sample is None else sample.unionByName(part)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = features(b.column("text").to_pylist())
@@ -151,6 +154,7 @@ def classify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     docs = docs.drop("held_out", "score", "predicted")
     place = docs.columns.index(text)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:

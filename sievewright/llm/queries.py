@@ -112,8 +112,9 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = secrets.train(secrets.labelled_samples(spark))
-    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = secrets.train(secrets.labelled_samples(spark, docs))
+    found = secrets.scan(docs, model)
     count = lambda kind: F.size(F.filter("found.base", lambda s: s["kind"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     return found.select(
         "doc_id",

@@ -1,29 +1,34 @@
 """Secret scanning in DataFrame expressions only.
 
 Base rules give three kinds of spans: ``assign`` (a key word, a sign, a value of 12 characters or more), ``access``
-(key ids) and ``hex`` (runs of 16 hex digits or more). The method adds ``random`` spans: runs of token characters that no
-base span overlaps, scored by two first-order character Markov models, one of random strings and one of ordinary
-identifiers. A run is a secret if the log-likelihood ratio per transition reaches ``THRESHOLD``.
+(key ids) and ``hex`` (runs of 16 hex digits or more). The method adds ``random`` spans: runs of token characters outside
+base spans (what is left of a run that a base span overlaps is judged by itself), scored by two first-order character Markov models, one of random
+strings and one of ordinary identifiers. A run is a secret if the log-likelihood ratio per transition reaches ``THRESHOLD``.
 
-The models are trained by a DataFrame job from labelled samples. The default samples are generated: random strings
-are the alphanumeric, base64 and hex forms of hashes, ordinary identifiers are joined words (camel case, snake
-case, paths, numbered names). Only the table of log ratios comes to the driver: 128 x 128 numbers for any input.
+The models are trained by a DataFrame job from labelled samples. Random strings are made by rule: hashes in base64, in its
+form for addresses, in letters and digits, capitals, and hex. Ordinary identifiers are words joined in eight shapes (camel case, snake
+case, paths, numbered names); the words are those of a sample of the corpus, the ``SAMPLE_DOCS`` documents whose texts'
+hashes are smallest, ``VOCABULARY`` words at most, and ``WORDS``. Only the table of log ratios comes to the driver: 128 x 128
+numbers for any input.
 
 Matches are found in whole texts: ``split`` gives the pieces between matches and ``regexp_extract_all`` the matches, so that
 running lengths are the positions, in code points. The scan is a map without a shuffle.
 
 Defined cases: null text is empty; an empty text has no spans; a text of any length is scanned in time linear in its
-length for a given number of matches; repeated rows are scanned each; an empty table gives an empty result; added
-columns are the struct ``found`` only, so other columns cannot clash with it but by that name, which is replaced.
+length for a given number of matches; repeated rows are scanned each; spans of different kinds with one start are in the
+order of ``KINDS``; an empty table gives an empty result; the only added column is the struct ``found``, and a column of that name is replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fresh
+
 #: Fixed patterns of the base rules; a value or run that is too short is dropped after matching.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -36,9 +41,10 @@ KINDS = ["assign", "access", "hex", "random"]
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 THRESHOLD = 0.6
 SIZE = 128
-SAMPLES = 4000
+SAMPLES = 8000
+SAMPLE_DOCS, VOCABULARY = 500, 5000
 SMOOTHING = 0.05
-#: Words that ordinary identifiers are joined from.
+#: Fixed words that ordinary identifiers are joined from, besides those of the corpus.
 WORDS = (
     "account action active address agent array async batch block buffer button cache call change check child class clear client close code column command "
     "comment config content context control count create current cursor data date default delete depth detail device directory document domain edit email "
@@ -52,25 +58,48 @@ WORDS = (
 ).split()
 
 
-def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
-    """``sample string, random boolean``: ``n`` strings of either label, generated by rule."""
-    words = F.split(F.lit(" ".join(WORDS)), " ")
+def corpus_words(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row ``words``: the array of ``WORDS`` and the words of 3 to 14 ASCII letters of a bounded sample of the documents."""
+    body = docs.select(F.col(text).alias("text")).filter("text is not null")
+    some = body.select(F.xxhash64("text").alias("hash")).orderBy("hash").limit(SAMPLE_DOCS).distinct()
+    # at most SAMPLE_DOCS numbers are broadcast; copies of a text count once
+    chosen = body.withColumn("hash", F.xxhash64("text")).join(F.broadcast(some), "hash").groupBy("hash").agg(F.first("text").alias("text"))
+    words = chosen.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![a-z0-9])[a-z]{3,14}(?![a-z0-9])"), F.lit(0)))).alias("word"))
+    words = words.distinct().orderBy(F.xxhash64("word"), "word").limit(VOCABULARY)
+    fixed = F.split(F.lit(" ".join(WORDS)), " ")
+    return words.agg(F.array_sort(F.collect_list("word")).alias("words")).select(F.array_union(fixed, "words").alias("words"))
+
+
+def labelled_samples(spark: SparkSession, docs: DataFrame | None = None, n: int = SAMPLES) -> DataFrame:
+    """``sample string, random boolean``: ``n`` strings of either label; the words of ordinary ones come from ``docs`` too."""
+    words = spark.range(1).select(F.split(F.lit(" ".join(WORDS)), " ").alias("words")) if docs is None else corpus_words(docs)
     i = F.col("id")
-    pick = lambda salt: F.get(words, F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(WORDS))).cast("int"))
+    pick = lambda salt: F.get("words", F.pmod(F.xxhash64(i, F.lit(salt)), F.size("words")).cast("int"))
     digest = F.sha2(F.concat(F.lit("sample"), i.cast("string")), 256)
     raw = F.base64(F.unhex(digest))
-    random = F.when(i % 4 == 0, F.regexp_replace(raw, "[+/=]", "")).when(i % 4 == 1, raw).when(i % 4 == 2, F.substr(digest, F.lit(1), F.lit(40))).otherwise(F.upper(F.regexp_replace(raw, "[+/=]", "")))
+    letters = F.regexp_replace(raw, "[+/=]", "")
+    random = (
+        F.when(i % 6 == 0, letters)
+        .when(i % 6 == 1, raw)
+        .when(i % 6 == 2, F.substr(digest, F.lit(1), F.lit(40)))
+        .when(i % 6 == 3, F.upper(letters))
+        .when(i % 6 == 4, F.translate(F.regexp_replace(raw, "=", ""), "+/", "-_"))
+        .otherwise(F.lower(letters))
+    )
     number = F.pmod(F.xxhash64(i, F.lit(9)), F.lit(2000)).cast("string")
     a, b, c, d = (pick(k) for k in range(4))
     ordinary = (
-        F.when(i % 6 == 0, F.concat(a, F.initcap(b), F.initcap(c), F.initcap(d)))
-        .when(i % 6 == 1, F.concat_ws("_", a, b, c, number))
-        .when(i % 6 == 2, F.concat_ws("/", a, b, c, F.concat(d, number)))
-        .when(i % 6 == 3, F.upper(F.concat_ws("_", a, b, c)))
-        .when(i % 6 == 4, F.concat_ws("-", a, b, c, d))
+        F.when(i % 8 == 0, F.concat(a, F.initcap(b), F.initcap(c), F.initcap(d)))
+        .when(i % 8 == 1, F.concat_ws("_", a, b, c, number))
+        .when(i % 8 == 2, F.concat_ws("/", a, b, c, F.concat(d, number)))
+        .when(i % 8 == 3, F.upper(F.concat_ws("_", a, b, c)))
+        .when(i % 8 == 4, F.concat_ws("-", a, b, c, d))
+        .when(i % 8 == 5, F.concat(F.initcap(a), F.initcap(b), F.initcap(c), number))
+        .when(i % 8 == 6, F.concat(F.lit("https/"), a, F.lit("/"), b, F.lit("="), number, F.lit("/"), c))
         .otherwise(F.concat(a, b, c, d))
     )
-    return spark.range(n).select(F.explode(F.array(F.struct(random.alias("sample"), F.lit(True).alias("random")), F.struct(ordinary.alias("sample"), F.lit(False).alias("random"))))).select("col.*")
+    both = F.array(F.struct(random.alias("sample"), F.lit(True).alias("random")), F.struct(ordinary.alias("sample"), F.lit(False).alias("random")))
+    return spark.range(n).join(F.broadcast(words)).select(F.explode(both)).select("col.*")  # words is one row
 
 
 def train(samples: DataFrame) -> list[float]:
@@ -125,18 +154,34 @@ def scan(df: DataFrame, model: list[float], text: str = "text", threshold: float
     nothing = F.array().cast(EMPTY)
     size = {"assign": F.regexp_extract_all(body, F.lit(ASSIGN), F.lit(2))}
     base = [F.when(body.rlike(HINT[k]), _named(k, _positions(body, rx, size.get(k), LEAST[k]))).otherwise(nothing) for k, rx in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX))]
-    df = df.withColumn("_base", F.array_sort(F.concat(*base)))
+    spans, clear = fresh(df.columns, "base_spans"), fresh(df.columns, "clear_text")
+    df = df.withColumn(spans, F.array_sort(F.concat(*base)))
+    # base spans become blanks, so that no run touches one
+    df = df.withColumn(clear, F.when(F.size(spans) == 0, body).otherwise(_replaced(body, F.col(spans), lambda s: F.repeat(F.lit(" "), s["end"] - s["start"]))))
     ratios = F.split(F.lit(",".join(f"{x:.6g}" for x in model)), ",").cast("array<double>")
 
     def score(s: Column) -> Column:
-        chars = F.split(F.substr(body, s["start"] + 1, s["end"] - s["start"]), "")
+        chars = F.split(F.substr(F.col(clear), s["start"] + 1, s["end"] - s["start"]), "")
         total = F.aggregate(chars, F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")), lambda a, c: F.struct(F.ascii(c).alias("last"), (a["sum"] + F.when(a["last"] < 0, 0.0).otherwise(F.get(ratios, a["last"] * SIZE + F.ascii(c)))).alias("sum")), lambda a: a["sum"])
         return total / (s["end"] - s["start"] - 1)
 
-    free = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
-    runs = F.filter(_positions(body, RUN), lambda s: free(s) & (score(s) >= threshold))
-    added = F.when(body.rlike(HINT["random"]), _named("random", runs)).otherwise(nothing)
-    return df.withColumn("found", F.struct(F.col("_base").alias("base"), F.array_sort(F.concat("_base", added)).alias("spans"))).drop("_base")
+    runs = F.filter(_positions(F.col(clear), RUN), lambda s: score(s) >= threshold)
+    added = F.when(F.col(clear).rlike(HINT["random"]), _named("random", runs)).otherwise(nothing)
+    return df.withColumn("found", F.struct(F.col(spans).alias("base"), F.array_sort(F.concat(spans, added)).alias("spans"))).drop(spans, clear)
+
+
+def _replaced(text: Column, spans: Column, mark: Callable[[Column], Column]) -> Column:
+    """``text`` with spans (in order of start) replaced by ``mark``; of overlapping ones the first is, the others' rest is cut, as long as ``mark`` is for the rest."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        rest = F.struct(F.greatest(a["at"], s["start"]).alias("start"), s["end"].alias("end"))
+        fresh_one = F.concat(a["out"], F.array(F.substr(text, a["at"] + 1, s["start"] - a["at"]), mark(rest)))
+        longer = F.concat(a["out"], F.array(F.lit(""), mark(rest)))
+        out = F.when(s["start"] >= a["at"], fresh_one).when(s["end"] > a["at"], longer).otherwise(a["out"])
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
+
+    return F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1, F.char_length(text))))
 
 
 def joined(spans: Column) -> Column:
@@ -147,11 +192,14 @@ def joined(spans: Column) -> Column:
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """``text`` with every found span replaced by ``mark``, spans that overlap by one; needs ``found``. Null text stays null."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    # spans that overlap become one first
+    start = F.array().cast("array<struct<start:int,end:int>>")
 
     def step(a: Column, s: Column) -> Column:
-        fresh = F.concat(a["out"], F.array(F.substr(F.col(text), a["at"] + 1, s["start"] - a["at"]), F.lit(mark)))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], fresh).otherwise(a["out"]).alias("out"))
+        last = F.element_at(a, -1)
+        own = F.struct(s["start"].alias("start"), s["end"].alias("end"))
+        joined_one = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when(F.size(a) == 0, F.array(own)).when(s["start"] < last["end"], F.concat(F.slice(a, 1, F.size(a) - 1), F.array(joined_one))).otherwise(F.concat(a, F.array(own)))
 
-    whole = F.aggregate("found.spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(F.col(text), a["at"] + 1, F.char_length(text))))
+    whole = _replaced(F.col(text), F.aggregate("found.spans", start, step), lambda s: F.lit(mark))
     return df.withColumn(text, F.when(F.size("found.spans") > 0, whole).otherwise(F.col(text)))

@@ -52,10 +52,10 @@ def run(spark, rows, k, percent):
     return {r.doc_id: (r.n_shingles, r.component_id) for r in found}
 
 
-@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (1, 50)])
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (1, 50), (1, 30), (2, 10)])
 def test_against_all_pairs(spark, monkeypatch, k, percent):
-    monkeypatch.setattr(J, "BLOCK_SETS", 7)
-    monkeypatch.setattr(J, "SCREEN_SETS", 9)
+    monkeypatch.setattr(J, "SLOT_BYTES", 4000)
+    monkeypatch.setattr(J, "SLICE_BYTES", 3000)
     rng = random.Random(k)
     words = ["w%d" % i for i in range(300)]
     rows = []
@@ -77,38 +77,59 @@ def test_whole_table(spark):
     assert run(spark, rows, 3, 90) == brute(rows, 3, 90)
 
 
-@pytest.mark.parametrize("percent", [80, 90])
-def test_similar_sets_share_a_key(percent):
+def kept_keys(s, percent, order):
+    """The keys that a set keeps under an order of keys (the first ones are left out first)."""
+    out = set()
+    for band, plain, drop, other in J.keys_of(s, percent):
+        ranked = sorted(plain.tolist(), key=order)
+        out |= {(band, k) for k in ranked[drop:]} | {(band, k) for k in other.tolist()}
+    return out
+
+
+@pytest.mark.parametrize("percent", [10, 30, 50, 80, 90])
+def test_similar_sets_share_a_kept_key_under_any_order(percent):
     rng = np.random.default_rng(percent)
-    for _ in range(400):
-        n = int(rng.integers(1, 400))
-        s = rng.integers(0, 2**63, n + 400).astype(np.uint64)
+    met = 0
+    for turn in range(1500):
+        n = int(rng.integers(1, 12 if turn % 2 else 400))
+        s = rng.integers(0, 2**63, 11 * n + 50).astype(np.uint64)
         a = np.unique(s[:n])
         drop = int(rng.integers(0, max(1, (100 - percent) * n // 100) + 1))
-        add = int(rng.integers(0, max(1, n // 8) + 1))
+        add = int(rng.integers(0, max(1, n * (100 - percent) // percent) + 1))
         b = np.unique(np.concatenate([a[drop:], s[n : n + add]]))
         both = len(np.intersect1d(a, b))
         if len(b) and 100 * both >= percent * (len(a) + len(b) - both) and both < max(len(a), len(b)):
-            assert len(np.intersect1d(J.keys_of(a, percent), J.keys_of(b, percent)))
+            met += 1
+            order = lambda k, salt=turn: hash((k, salt))
+            assert kept_keys(a, percent, order) & kept_keys(b, percent, order)
+    assert met > 100
 
 
 def test_screen_keeps_every_similar_pair():
     rng = np.random.default_rng(4)
-    rows, sets = [], []
+    sets = []
     for k in range(160):
         s = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 120))).astype(np.uint64)) if k % 3 == 0 or not sets else sets[-1][int(rng.integers(0, 6)) :]
         sets.append(np.unique(np.concatenate([s, rng.integers(0, 2**63, int(rng.integers(0, 8))).astype(np.uint64)])))
-        rows.append((k, len(sets[-1]), J.sketch(sets[-1]).tobytes(), k % 2))
-    for percent in (50, 80, 90):
-        got = set()
-        for i, j in ((0, 0), (0, 1), (1, 1)):
-            a, b = J._by_sketch(percent)(rows, i, j)
-            got |= {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    sketches = [J.sketch(s).tobytes() for s in sets]
+    for percent in (10, 30, 50, 80, 90):
         for a in range(160):
             for b in range(a):
                 both = len(np.intersect1d(sets[a], sets[b]))
-                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                    assert (b, a) in got
+                true = 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both)
+                assert J.similar(sets[a].tobytes(), sets[b].tobytes(), percent) == true
+                if true:
+                    assert J.may_be_similar(len(sets[a]), sketches[a], len(sets[b]), sketches[b], percent)
+
+
+def test_group_of_near_copies_and_one_very_long_text(spark):
+    rng = random.Random(8)
+    base = [str(k) for k in range(80)]
+    rows = [(i, " ".join([*base[:40], f"x{i}", *base[40:]])) for i in range(300)]
+    rows += [(1000 + i, " ".join(rng.choice(base) for _ in range(30)) + " " + " ".join(base)) for i in range(40)]
+    long = [f"l{k}" for k in range(40_000)]
+    rows += [(2000, " ".join(long)), (2001, " ".join(long[:-2000])), (2002, " ".join(long[10_000:]))]
+    assert run(spark, rows, 5, 80) == brute(rows, 5, 80)
 
 
 def test_nulls_repeats_and_empty(spark):
