@@ -12,9 +12,9 @@ a similar pair agree on more weight than either leaves out; the rarest plain key
 by neither, as both use one order. Keys that only one set holds need not be kept, so most sets drop out here, and passages that many
 documents share give no candidates but where a set is little else.
 
-The sets that share a kept key are candidates. Each key first links its sets to its first one; these pairs are verified and
-the components of the links found. Only keys whose sets then lie in several components go on: there the sets outside the largest
-component meet all others. A pair is compared by sketches (byte sums of hash buckets: more buckets that differ than similar
+The sets that share a kept key are candidates; of keys that the same sets hold one is enough. Each key first links its sets to its
+first one; these pairs are verified and linked sets merged. Only keys whose sets are then still apart go on: there the sets
+outside the largest component meet all others. A pair is compared by sketches (byte sums of hash buckets: more buckets that differ than similar
 sets may differ in shingles exclude it), then by exact overlap. So a group of near copies costs about one comparison a set, and
 only sets that stay unlike under one key are compared one by one. Nothing is capped.
 
@@ -378,11 +378,13 @@ def candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Da
     groups = counted.filter(F.col("kind") == GROUP).groupBy("grp").agg(F.max("amount").alias("drop"), F.max("name").alias("name"))
     ranked = counted.filter(F.col("kind") == KEY).select("grp", "key", "amount").join(groups.hint("merge"), "grp")
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("amount"), F.desc("key"))))
-    kept = stored(ranked.filter(F.col("rank") > F.col("drop")).select("key", "name"), "kept")
+    kept = ranked.filter(F.col("rank") > F.col("drop")).select("key", "name")
     held = stored(kept.join(classes.hint("merge"), "name").select("key", "rep", "n"), "held")
-    several = stored(held.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low != high").select("key"), "several")
+    # of keys that the same classes hold one says all; equal numbers, sums and parities of 64-bit hashes stand for the same classes
+    groups = held.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("parity"))
+    several = stored(groups.filter("many > 1").groupBy("many", "sum", "parity").agg(F.min("key").alias("key")).select("key"), "several")
     met = stored(held.join(several.hint("merge"), "key").select("key", "rep", "n"), "met")
-    discard(kept, held, several)
+    discard(held, several)
     return described, classes, met
 
 
@@ -397,9 +399,19 @@ def _sizes_allow(n, m, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _other_pairs(met: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """Classes of a key that are still in different components: those outside its largest component with all others."""
-    owned = met.join(components.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+def _merged(links: DataFrame) -> DataFrame:
+    """``rep, component`` for the smaller ends' sake: each class that has a link to a smaller one with that one's own smallest, two steps on.
+
+    Classes with one component are linked; not all linked ones have one.
+    """
+    first = stored(links.groupBy("a").agg(F.min("b").alias("b")), "first-links")
+    second = first.select(F.col("a").alias("b"), F.col("b").alias("c"))
+    return stored(first.join(second.hint("merge"), "b", "left").select(F.col("a").alias("rep"), F.coalesce("c", "b").alias("component")), "merged")
+
+
+def _other_pairs(met: DataFrame, merged: DataFrame, percent: int) -> DataFrame:
+    """Classes of a key that are still apart: those outside its largest component with all others."""
+    owned = met.join(merged.hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     owned = stored(owned, "owned")
     parts = owned.groupBy("key", "component").agg(F.count(F.lit(1)).alias("many")).groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("many", "component")).alias("top"))
     parts = stored(parts.filter("parts > 1").select("key", F.col("top.component").alias("top")), "parts")
@@ -433,7 +445,7 @@ def similar_sets(df: DataFrame, words: int = 5, percent: int = 80, key: str = "d
     pairs = _first_pairs(met, percent)
     links = _verified(pairs, sets, percent)
     discard(pairs, wanted)
-    pairs = _other_pairs(met, connected_components(links), percent)
+    pairs = _other_pairs(met, _merged(links), percent)
     more = _verified(pairs, sets, percent)
     discard(met, sets)
     components = connected_components(links.unionByName(more).unionByName(_shared_ids(described, classes)))

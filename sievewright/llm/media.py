@@ -4,15 +4,16 @@ Every payload becomes an 8-bit greyscale PNG of 64 samples a row and is appended
 a row keeps digest, shard, offset and length. Metadata columns are filled by range reads of the first bytes of a
 member (the PNG header), full reads verify the stored bytes by their digest and give back the payload.
 
-Shards are written by the scan's own tasks into the shared folder through ``pyarrow.fs`` (any file system that it
-knows by URI), so that no payload is shuffled. A shard's name holds a random part and rows become visible with the
-table that lists them, so a task that runs again leaves at most an unreferenced shard. Within a shard a payload is
-stored once; copies in other shards hold the same bytes under the same digest. Shards roll over at ``SHARD_BYTES``;
+Every payload is stored once over all shards: digests are counted first (slim rows), payloads that several rows share are reduced to one
+row each and written apart, all others are written by the scan's own tasks, so that no payload but the shared ones is shuffled. The digests of
+shared payloads are broadcast if there are ``MOST_BROADCAST`` of them at most, else joined by a shuffle. Shards go to the shared folder
+through ``pyarrow.fs`` (any file system that it knows by URI). A shard's name holds a random part and rows become visible with the
+table that lists them, so a task that runs again leaves at most an unreferenced shard. Shards roll over at ``SHARD_BYTES``;
 a shard's bytes in memory are bounded by that and one payload.
 
 Defined cases: null text is empty; the empty payload is 64 zero bytes; lengths that are a multiple of 64 get no
 padding; equal texts give equal values in every column but shard, offset and the row's key; repeated rows are all
-kept; an empty table gives an empty result; extra columns are ignored.
+kept; payloads may have any length; ties do not arise; keys of any type, also null or repeated, are kept; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +26,18 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, stored
+from .memory import frugal
 
 WIDTH = 64
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
+#: Digests of shared payloads that are broadcast, 32 bytes each.
+MOST_BROADCAST = 200_000
+#: Stored bytes that one task reads.
+READ_BYTES = 16 << 20
 LEVEL = 6
 HEADER_BYTES = 33
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -109,30 +115,36 @@ class _Shards:
         self.begin()
 
 
-def _writer(root: str, key_type: pa.DataType):
+def _writer(root: str):
+    """Rows ``key, text, shared``: payloads that are not shared are stored; the others' rows have no shard yet."""
+
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        shards, keys, rows = _Shards(root), [], []
+        shards = _Shards(root)
         for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            rows = []
+            for text, shared in zip(b.column("text").to_pylist(), b.column("shared").to_pylist(), strict=True):
                 data = (text or "").encode()
                 payload = data + bytes(max(-len(data) % WIDTH, WIDTH if not data else 0))
                 digest = hashlib.sha256(payload).hexdigest()
-                keys.append(key)
-                rows.append((digest, *shards.add(digest, payload), len(data)))
+                rows.append((digest, *((None, None, None) if shared else shards.add(digest, payload)), len(data)))
             # rows whose shard is still open are safe to give out: the listing is read after the task has ended
-            yield _index(keys, rows, key_type)
-            keys, rows = [], []
+            types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([b.column("key"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["key", "digest", "shard", "offset", "length", "n_bytes"])
         shards.flush()
 
     return run
 
 
-def _index(keys: list, rows: list, key_type: pa.DataType) -> pa.RecordBatch:
-    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(keys, key_type), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["key", "digest", "shard", "offset", "length", "n_bytes"])
+def payload_digest(text: Column) -> Column:
+    """SHA-256 of the padded payload, as 32 bytes."""
+    body = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+    size = F.octet_length(body)
+    padding = F.when(size == 0, WIDTH).otherwise((F.lit(WIDTH) - size % WIDTH) % WIDTH)
+    return F.unhex(F.sha2(F.concat(body, F.unhex(F.repeat(F.lit("00"), padding))), 256))
 
 
 def write_media(df: DataFrame, key: str, text: str, root: str | None = None) -> tuple[DataFrame, str]:
@@ -141,9 +153,18 @@ def write_media(df: DataFrame, key: str, text: str, root: str | None = None) ->
     if root.startswith("file:") or "://" not in root:
         fs, path = _file_system(root)
         fs.create_dir(path, recursive=True)
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), payload_digest(F.col(text)).alias("address"))
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_writer(root, pa.int64()), f"key {kind}, {INDEX}")
-    return stored(rows, "media-index"), root
+    several = stored(rows.groupBy("address").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("address", F.lit(True).alias("shared")), "shared")
+    few = F.broadcast(several) if several.count() <= MOST_BROADCAST else several.hint("merge")
+    marked = rows.join(few, "address", "left").select("key", "text", F.coalesce("shared", F.lit(False)).alias("shared"))
+    own = stored(marked.mapInArrow(_writer(root), f"key {kind}, {INDEX}"), "media-own")
+    # of equal payloads one text is kept, combined before the shuffle
+    once = rows.join(few, "address").groupBy("address").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select(F.lit(None).cast(kind).alias("key"), "text", F.lit(False).alias("shared"))
+    common = stored(once.mapInArrow(_writer(root), f"key {kind}, {INDEX}"), "media-shared").select("digest", "shard", "offset", "length")
+    columns = ["key", "digest", "shard", "offset", "length", "n_bytes"]
+    placed = own.filter("shard is null").select("key", "digest", "n_bytes").join(common.hint("merge"), "digest").select(*columns)
+    return stored(own.filter("shard is not null").select(*columns).unionByName(placed), "media-index"), root
 
 
 FEATURES = "width int, height int"
@@ -152,6 +173,7 @@ FEATURES = "width int, height int"
 def with_header_metadata(listing: DataFrame, root: str) -> DataFrame:
     """Adds ``width`` and ``height`` from range reads of each member's header; no payload is read."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _file_system(root)
         name, f = None, None
@@ -170,8 +192,10 @@ def with_header_metadata(listing: DataFrame, root: str) -> DataFrame:
 
 
 def _by_shard(listing: DataFrame) -> DataFrame:
-    """Rows of a shard together, in the order of their bytes; shards have a bounded size, so no task is hot."""
-    return listing.repartition("shard").sortWithinPartitions("shard", "offset")
+    """Members that lie near each other together, in the order of their bytes; a task gets about ``READ_BYTES`` of them, and a member's rows are slim."""
+    total = listing.agg(F.sum("length")).first()[0] or 0
+    part = F.floor(F.col("offset") / (4 << 20))
+    return listing.repartition(max(1, total // READ_BYTES), "shard", part).sortWithinPartitions("shard", "offset")
 
 
 READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -180,6 +204,7 @@ READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes
 def read_media(listing: DataFrame, root: str) -> DataFrame:
     """Header metadata, then every stored member read back, verified and described; a member is decoded once per run of rows."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 

@@ -18,8 +18,8 @@ contexts and for the result. Groups of copies collapse to one context with a cou
 is split by AQE.
 
 Defined cases: null text is empty; texts shorter than ``length`` stay; texts of any length are read whole; rows that repeat are
-documents of their own, so their long enough texts are removed; rows that repeat an id with other texts are kept apart; a null id is kept; an
-empty table gives an empty result; extra columns are ignored.
+documents of their own, so their long enough texts are removed; rows that repeat an id with other texts are kept apart; a null id is kept; ties do not arise (every place of a string that
+repeats is removed); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +41,8 @@ MOST_CONTEXTS = 512
 #: Windows of a crowded anchor that are dealt out together.
 STEP = 16
 BLOCK_BYTES = 1 << 18
-NO_ID = -(2**63)
+#: Added to the checksum of rows without an id.
+NO_ID = 1 << 40
 
 U = np.uint64
 
@@ -311,7 +312,7 @@ def _sorted_runs(bodies: DataFrame, length: int) -> DataFrame:
 def _counted_runs(bodies: DataFrame, length: int) -> DataFrame:
     """Repeated windows of ``bodies(anchor, context, n, body)`` by counts of the windows."""
     cells = stored(bodies.select("anchor", "context", "n", "body").mapInArrow(_cells(length), "anchor long, context long, n long, cell binary, place int"), "cells")
-    full = cells.groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1").select("cell")
+    full = stored(cells.groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1").select("cell"), "full")
     return cells.join(full.hint("merge"), "cell").groupBy("anchor", "context").agg(F.collect_list(F.struct(F.col("place").alias("first"), F.col("place").alias("last"))).alias("runs"))
 
 
@@ -360,8 +361,9 @@ def _cut(length: int):
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, most_contexts: int = MOST_CONTEXTS, step: int = STEP) -> DataFrame:
     """``key, n_bytes, n_removed, n_spans, spans, kept`` for every row; ``kept`` are the bytes that stay."""
     body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(body, F.lit(b"")).alias("body"))
-    docs = docs.select("id", F.coalesce(F.crc32("body"), F.lit(0)).alias("tag"), "body")
+    docs = df.select(F.col(key).cast("long").alias("id"), F.coalesce(body, F.lit(b"")).alias("body"))
+    # rows are told apart by id and a checksum of the text, those without an id by 96 bits of the text
+    docs = docs.select(F.coalesce("id", F.xxhash64("body")).alias("id"), (F.crc32("body") + F.when(F.col("id").isNull(), NO_ID).otherwise(0)).alias("tag"), "body")
     found = docs.mapInArrow(_find(length, gram), "id long, tag long, first int, more int, anchor long, context long")
     found = stored(found, "anchors")
     groups = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).filter("n > 1")
@@ -382,8 +384,9 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     # contexts that occur more than once repeat as a whole
     copied = contexts.filter("n > 1").select("anchor", "context", F.array(F.struct(F.lit(0).alias("first"), F.col("r.more").alias("last"))).alias("runs"))
     every = runs.unionByName(hit).unionByName(copied).groupBy("anchor", "context").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    every = stored(every, "runs")  # as above: a context of very many copies can be split
     varied = mixed.join(every.hint("merge"), ["anchor", "context"]).select("id", "tag", F.explode("runs").alias("w"), F.col("first").alias("at"))
     varied = varied.select("id", "tag", (F.col("at") + F.col("w.first")).alias("first"), (F.col("at") + F.col("w.last")).alias("last"))
     windows = equal.unionByName(varied).groupBy("id", "tag").agg(F.collect_list(F.struct("first", "last")).alias("windows"))
-    out = docs.hint("merge").join(windows, ["id", "tag"], "left").select("id", "body", "windows").mapInArrow(_cut(length), CUT)
-    return out.select(F.nullif(F.col("id"), F.lit(NO_ID)).alias(key), "n_bytes", "n_removed", "n_spans", "spans", "kept")
+    out = docs.hint("merge").join(windows, ["id", "tag"], "left").select(F.when(F.col("tag") < NO_ID, F.col("id")).alias("id"), "body", "windows").mapInArrow(_cut(length), CUT)
+    return out.select(F.col("id").alias(key), "n_bytes", "n_removed", "n_spans", "spans", "kept")

@@ -46,12 +46,32 @@ def test_clusters_copies_and_odd_vectors(spark, monkeypatch):
     assert all(got[i] == want[i] for i in want if i is None or i >= 9500)
 
 
-def test_no_link_below_and_recall(spark):
-    df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").filter("vec_id < 1500")
-    rows = [(r.vec_id, list(r.embedding)) for r in df.collect()]
+def test_recall_by_band_of_cosine(spark):
+    rng = np.random.default_rng(3)
+    rows, planted = [], {}
+    for low, high in ((0.85, 0.9), (0.9, 0.91), (0.91, 0.95), (0.95, 1.0)):
+        for _ in range(250):
+            u = rng.standard_normal(64)
+            u /= np.linalg.norm(u)
+            w = rng.standard_normal(64)
+            w -= (w @ u) * u
+            c = rng.uniform(low, high)
+            v = c * u + np.sqrt(1 - c * c) * w / np.linalg.norm(w)
+            planted[len(rows)] = (low, len(rows) + 1)
+            rows += [(len(rows) + k, [float(x) for x in np.float32(x * rng.uniform(0.1, 9))]) for k, x in enumerate((u, v))]
     got, want = run(spark, rows), brute(rows)
     assert all(got[i][0] <= want[i][0] for i in want)
-    assert sum(v[0] for v in got.values()) >= 0.99 * sum(v[0] for v in want.values())
+    for low in (0.9, 0.91, 0.95):
+        pairs = [i for i, (b, j) in planted.items() if b == low and want[i][0]]
+        assert len(pairs) > 200 and sum(got[i][0] == want[i][0] for i in pairs) >= 0.99 * len(pairs), low
+    assert not any(got[i][0] for i, (b, j) in planted.items() if b == 0.85 and not want[i][0])
+
+
+def test_an_id_with_two_vectors(spark):
+    x, y = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    df = spark.createDataFrame([(3, x), (5, [1.0, 0.01, 0.0]), (5, y), (7, [0.0, 1.0, 0.01]), (7, [0.0, 1.0, 0.02]), (9, [0.0, 0.0, 1.0])], "vec_id long, embedding array<float>")
+    found = sorted((r.vec_id, r.n_links, r.component_id) for r in E.near_duplicates(df).collect())
+    assert found == [(3, 1, 3), (5, 1, 3), (5, 2, 3), (7, 2, 3), (7, 2, 3), (9, 0, 9)]
 
 
 def test_empty(spark):

@@ -50,7 +50,7 @@ def test_against_brute_force(spark):
     docs = {r.doc_id: r.asDict() for r in table.collect()}
     model = quality.fit(table, spark.read.parquet(f"{SF}/labels.parquet"))
     texts = [d["text"] for d in docs.values()]
-    docs = {i: d for (i, d), score in zip(docs.items(), model.score(quality.features(texts)), strict=True) if score >= 0.3}
+    docs = {i: d for (i, d), score in zip(docs.items(), model.score(quality.features(texts), list(docs)), strict=True) if score >= 0.3}
     found = groups([(i, d["text"]) for i, d in docs.items()], 5, 80)
     docs = {i: d for i, d in docs.items() if found[i][1] == i}
     for d in docs.values():
@@ -73,6 +73,29 @@ def test_stages_keep_columns_and_cope_with_odd_rows(spark):
             df.collect()
 
 
+def test_columns_that_clash_are_carried_along(spark):
+    names = ["score", "predicted", "held_out", "found", "domain", "tokens", "epochs", "row", "number", "base_spans", "clear_text", "_base", "_bin", "_hash", "level0", "fine", "odd name"]
+    rows = [(i, f"text number {i} " + " ".join(f"w{i}x{k}" for k in range(30)) + (" password=abcdefghijklmnop" if i % 3 == 0 else ""), "en", f"src{i % 3}", 1, *[f"{n}-{i}" for n in names]) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        kept = out.collect()
+        assert kept and all(r[n] == f"{n}-{r.doc_id}" for r in kept for n in names), name
+    assert P.pack_sequences(spark, docs, SF).count() >= 12
+
+
+def test_very_long_texts_and_ties(spark):
+    long = " ".join(f"w{k}" for k in range(60_000))
+    rows = [(1, long), (2, long + " end"), (3, "token = " + "a1b2" * 50_000), (4, long[: len(long) // 2]), (7, "short text of some words"), (7, "short text of some words")]
+    docs = spark.createDataFrame([(*r, "en", "src1", len(r[1])) for r in rows], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    assert sorted(r.doc_id for r in P.keep_one_of_near_duplicates(spark, docs, SF).collect()) == [1, 3, 4, 7]
+    clean = {r.doc_id: r for r in P.redact_secrets(spark, docs, SF).collect()}
+    assert clean[3].text == "[secret]" and clean[3].n_chars == 8 and clean[1].text == long
+    assert P.mix_sources(spark, docs, SF).count() > 0
+    assert sum(r.length for r in P.pack_sequences(spark, docs, SF).collect() if r.doc_id == 1) > 60_000
+
+
 def test_one_row_of_each_group_stays_where_ids_repeat_or_lack(spark):
     x, y, z, near = "a b c d e f g", "h i j k l m n", "o p q r s t u", " ".join(map(str, range(60)))
     rows = [(3, x), (5, x), (5, y), (7, y), (9, z), (9, z), (None, near), (None, near + " 60"), (None, "p"), (None, ""), (None, None), (11, ""), (11, None)]

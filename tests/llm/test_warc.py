@@ -1,6 +1,7 @@
 """Exact round trip of the archive."""
 
 import hashlib
+import re
 
 from sievewright.llm import warc
 
@@ -18,8 +19,13 @@ def test_round_trip(spark):
         assert (r.payload_bytes, r.payload_digest) == (len(body), hashlib.sha1(body).hexdigest())
         if r.record_type == "response":
             head, http, payload = bytes(r.record).split(b"\r\n\r\n", 2)
-            assert payload == body and r.refers_to is None
+            assert payload == body + b"\r\n\r\n" and r.refers_to is None
             assert f"Content-Length: {len(http) + 4 + len(body)}".encode() in head.split(b"\r\n")
+    heads = [dict(x.split(b": ", 1) for x in bytes(r.record).split(b"\r\n\r\n")[0].split(b"\r\n")[1:]) for r in found]
+    assert all(re.fullmatch(rb"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", h[b"WARC-Date"]) for h in heads)
+    names = {h[b"WARC-Record-ID"] for h in heads}
+    assert len(names) == len(rows) and all(h[b"WARC-Refers-To"] in names for h in heads if h[b"WARC-Type"] == b"revisit")
+    assert all(bytes(r.record).endswith(b"\r\n\r\n\r\n\r\n") for r in found if r.record_type == "revisit")
     assert {k: v.refers_to for k, v in by.items() if v.record_type == "revisit"} == {1: 9, 5: 9}
     assert by[None].record_type == "response"
 
@@ -28,6 +34,8 @@ def test_store_holds_each_payload_once_and_repeated_ids_stay(spark):
     rows = [(i % 2, "u", "same " * 300, "") for i in range(6)]
     path = warc.write_archive(spark.createDataFrame(rows, PAGES))
     assert spark.read.parquet(f"{path}/payloads").count() == 1
+    found = warc.read_archive(spark, path).collect()
+    assert len({bytes(r.record).split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0] for r in found}) == 6
     assert sorted(r.record_type for r in warc.read_archive(spark, path).collect()) == ["response"] * 3 + ["revisit"] * 3
 
 
