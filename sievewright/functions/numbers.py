@@ -28,6 +28,11 @@ def clipped_logit(p: Column, eps: float = 1e-6) -> Column:
     return F.log(q / (1 - q))
 
 
+def clipped_margin(p: Column, eps: float = 1e-6) -> Column:
+    """As ``clipped_logit``, but the rest to one is cut below only: a probability of 0 gives ``ln(eps)``."""
+    return F.log(F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps)) / F.least(F.greatest(1 - p, F.lit(eps)), F.lit(1.0)))
+
+
 def sane_perplexity(c: Column) -> Column:
     """1 where the value is no positive finite number."""
     return F.when(is_finite(c) & (c > 0), c).otherwise(1.0)

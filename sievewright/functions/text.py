@@ -101,9 +101,13 @@ def decode_list(c: Column, variant: str = "rewrite") -> Column:
     ``strict``: as ``rewrite`` but items are stripped, null items go and the texts ``nan`` and ``null`` are empty lists.
     ``perturb``: null items go, blank ones and padding stay; ``nan`` and ``null`` are empty lists.
     ``json``: JSON lists only, anything else is empty; items are stripped, blank and null ones go.
+    ``answers``: as ``strict``, but the texts ``nan`` and ``null`` are items.
+    ``literal``: a list of quoted items as a program prints it, items as they are; anything else is the one item, null is a null item.
+
+    Lists may be JSON or literals: items in single or double quotes, with escaped quotes, line ends and code points inside, and ``None``.
     """
     listed = F.from_json(c, JSON_STRINGS, {"allowSingleQuotes": "false"})
-    loose = F.coalesce(listed, F.from_json(c, JSON_STRINGS, {"allowSingleQuotes": "true"}))
+    loose = F.coalesce(listed, literal_list(c))
     empty = F.array().cast(JSON_STRINGS)
     blank = F.trim(F.coalesce(c, F.lit(""))) == ""
     if variant == "rewrite":
@@ -115,12 +119,48 @@ def decode_list(c: Column, variant: str = "rewrite") -> Column:
         return F.when(missing, empty).otherwise(F.filter(items, lambda x: x != ""))
     if variant == "perturb":
         return F.when(missing, empty).otherwise(F.filter(F.coalesce(loose, F.array(c)), lambda x: x.isNotNull()))
+    if variant == "answers":
+        items = F.transform(F.filter(F.coalesce(loose, F.array(c)), lambda x: x.isNotNull()), normal_strip)
+        return F.when(blank, empty).otherwise(F.filter(items, lambda x: x != ""))
+    if variant == "literal":
+        return F.coalesce(literal_list(c), F.array(c))
     if variant == "json":
         items = F.transform(F.filter(F.coalesce(listed, empty), lambda x: x.isNotNull()), normal_strip)
         return F.filter(items, lambda x: x != "")
     raise ValueError(f"unknown variant {variant}")
 
 
+#: One item of a literal list: quoted text in which a backslash takes the next character with it, a number or a constant.
+ITEM = r"""(?s)'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|-?\d+(?:\.\d+)?|None|null|True|False"""
+
+
+def unescaped(c: Column) -> Column:
+    """Text with backslash escapes resolved, those of quotes, line ends, tabs and code points."""
+    pieces = F.regexp_extract_all(c, F.lit(r"(?s)(\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|\\.|[^\\]+)"), F.lit(1))
+    known = F.create_map(*[F.lit(x) for kv in {"n": "\n", "t": "\t", "r": "\r", "\n": ""}.items() for x in kv])
+
+    def one(x: Column) -> Column:
+        mark = F.substr(x, F.lit(2), F.lit(1))
+        # the code point's two bytes in UTF-16
+        hexed = F.decode(F.unhex(F.lpad(F.substr(x, F.lit(3)), 4, "0")), "UTF-16BE")
+        return F.when(F.substr(x, F.lit(1), F.lit(1)) != "\\", x).when((F.length(x) > 2) & mark.isin("u", "x"), hexed).otherwise(F.coalesce(F.try_element_at(known, mark), mark))
+
+    return F.when(F.contains(c, F.lit("\\")), F.array_join(F.transform(pieces, one), "")).otherwise(c)
+
+
+def literal_list(c: Column) -> Column:
+    """The items of a list as a program prints it; null if the cell is none."""
+    rest = F.regexp_replace(c, ITEM, "")  # of a list brackets, commas and blanks are left
+    found = F.regexp_extract_all(c, F.lit(f"({ITEM})"), F.lit(1))
+
+    def item(x: Column) -> Column:
+        quoted = F.substr(x, F.lit(1), F.lit(1)).isin("'", '"')
+        return F.when(quoted, unescaped(F.substr(x, F.lit(2), F.length(x) - 2))).when(~x.isin("None", "null"), x)
+
+    fits = rest.rlike(r"^\s*\[[\s,]*\]\s*$") & (F.size(found) - F.regexp_count(rest, F.lit(","))).isin(0, 1)
+    return F.when(fits, F.transform(found, item))
+
+
 def normal_strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
@@ -301,8 +341,18 @@ def mask_words(c: Column, places: Column) -> Column:
 # ---- prompts and responses
 
 
-def rewrite_prompt(text: Column, prefix: str) -> Column:
-    return F.trim(F.concat_ws("\n", F.lit(prefix), F.lit(""), text))
+def rewrite_prompt(text: Column, prefix: str, question: Column | None = None, domain: Column | None = None) -> Column:
+    """Instruction, domain, question and the answer to rewrite, each under its heading."""
+    lines = [F.lit(prefix.strip()), F.lit(""), F.concat(F.lit("Domain: "), F.coalesce(F.nullif(domain, F.lit("")) if domain is not None else F.lit(None), F.lit("unknown")))]
+    lines += [F.lit("Question:"), F.trim(F.coalesce(question, F.lit(""))) if question is not None else F.lit(""), F.lit(""), F.lit("Answer to rewrite:"), F.trim(F.coalesce(text, F.lit("")))]
+    return F.trim(F.concat_ws("\n", *lines))
+
+
+def quality_prompt(text: Column, statement: str) -> Column:
+    """The prompt of a quality check: a statement, the five steps of the scale with their numbers, the form of the answer, the document."""
+    steps = [f"{score} = {name.title()}" for name, score in LIKERT.items()]
+    lines = ["Judge the document by the statement.", "", f'Statement: "{statement}"', *steps, "", 'Answer in JSON with "score" (1 to 5), "label" and "reason".', "", "Document:"]
+    return F.trim(F.concat_ws("\n", *[F.lit(x) for x in lines], F.trim(F.coalesce(text, F.lit("")))))
 
 
 def response_text(c: Column) -> Column:
@@ -310,3 +360,94 @@ def response_text(c: Column) -> Column:
     parts = F.from_json(F.get_json_object(c, "$.output"), "array<struct<content:array<struct<text:string>>>>")
     joined = F.array_join(F.flatten(F.transform(F.coalesce(parts, F.array().cast("array<struct<content:array<struct<text:string>>>>")), lambda o: F.transform(F.coalesce(o["content"], F.array().cast("array<struct<text:string>>")), lambda x: F.coalesce(x["text"], F.lit(""))))), "")
     return F.trim(F.coalesce(F.nullif(F.get_json_object(c, "$.output_text"), F.lit("")), joined))
+
+
+def response_usage(c: Column) -> Column:
+    """``struct(requests, input_tokens, output_tokens, total_tokens)`` of a response object; numbers that are missing are 0."""
+    names = ["input_tokens", "output_tokens", "total_tokens"]
+    return F.struct(F.lit(1).cast("long").alias("requests"), *[F.coalesce(F.get_json_object(c, f"$.usage.{n}").try_cast("double").cast("long"), F.lit(0).cast("long")).alias(n) for n in names])
+
+
+# ---- filters
+
+#: Fixed marks of texts that are left out, each as it is written.
+EXCLUDED = ["nsfw", "NSFW"]
+
+
+def not_excluded(c: Column) -> Column:
+    """No mark of ``EXCLUDED`` in the text; upper and lower case are told apart."""
+    keep = F.lit(True)
+    for mark in EXCLUDED:
+        keep = keep & ~F.contains(c, F.lit(mark))
+    return keep
+
+
+def rough_tokens(c: Column) -> Column:
+    """Number of words and punctuation marks, which stands for a tokenizer's count."""
+    return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x09-\x0D\x20]"))
+
+
+def within_tokens(*texts: Column, most: int = 512) -> Column:
+    """Every one of the texts has at most ``most`` tokens."""
+    keep = F.lit(True)
+    for c in texts:
+        keep = keep & (rough_tokens(c) <= most)
+    return keep
+
+
+# ---- spans
+
+
+def span_starts(n: Column, span: int, buffer: int, share: float, *key: Column) -> Column:
+    """Places, ascending, where spans of ``span`` of ``n`` words begin: ``share * n / (span + 2 * buffer)`` of them, rounded down.
+
+    Words are dealt out in runs of ``span + 2 * buffer``; the runs are chosen by a hash of the key, and the words around a span
+    are its buffer, so that two spans are at least twice ``buffer`` apart.
+    """
+    run = span + 2 * buffer
+    count = F.floor(F.lit(share) * n / run).cast("int")
+    runs = F.filter(F.sequence(F.lit(0), F.floor(n / run).cast("int")), lambda i: (i + 1) * run <= n)
+    ranked = F.array_sort(F.transform(runs, lambda i: F.struct(F.md5(F.concat_ws("|", *[k.cast("string") for k in key], i.cast("string"))).alias("h"), i.alias("i"))))
+    return F.array_sort(F.transform(F.slice(ranked, F.lit(1), count), lambda r: r["i"] * run + buffer))
+
+
+def mask_spans(c: Column, starts: Column, span: int) -> Column:
+    """``span`` words from each of the (ascending) starts on become one mask; masks are numbered from the left."""
+    return bind(words(c), lambda w: bind(starts, lambda at: F.array_join(F.flatten(_with_spans(w, at, span, lambda k: F.array(F.concat(F.lit("<extra_id_"), k.cast("string"), F.lit(">"))))), " ")))
+
+
+def _with_spans(w: Column, at: Column, span: int, instead) -> Column:
+    """Arrays of words: what lies before each span, what stands for it, and what follows the last."""
+    begin = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(at, k - 1) + span)
+    before = F.transform(at, lambda a, k: F.concat(F.slice(w, begin(k) + 1, a - begin(k)), instead(k)))
+    rest = F.when(F.size(at) == 0, w).otherwise(F.slice(w, F.get(at, F.size(at) - 1) + span + 1, F.size(w)))
+    return F.concat(before, F.array(rest))
+
+
+def replace_spans(c: Column, starts: Column, span: int, fills: Column) -> Column:
+    """``struct(text, log)``: each span replaced by its fill (any number of words); the log has a start, the old and the new words for each.
+
+    A missing fill leaves its span as it is.
+    """
+
+    def of(w: Column, at: Column) -> Column:
+        old = lambda k: F.slice(w, F.get(at, k) + 1, F.lit(span))
+        new = lambda k: F.coalesce(F.split(F.get(fills, k), " "), old(k))
+        text = F.array_join(F.flatten(_with_spans(w, at, span, new)), " ")
+        log = F.transform(at, lambda a, k: F.struct(a.alias("start"), F.array_join(old(k), " ").alias("old"), F.array_join(new(k), " ").alias("new")))
+        return F.struct(text.alias("text"), log.alias("log"))
+
+    return bind(words(c), lambda w: bind(starts, lambda at: of(w, at)))
+
+
+# ---- times
+
+
+def utc_iso(c: Column) -> Column:
+    """A timestamp as ``2026-01-31T12:00:00Z``; session time zones other than UTC are converted."""
+    return F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def run_id(c: Column) -> Column:
+    """A timestamp as ``20260131T120000Z``."""
+    return F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyyMMdd'T'HHmmss'Z'")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import bind
 from ..functions.numbers import burstiness, sane_perplexity
 from ..functions.text import normalize_space, sentences
+from ..session import stored
+from .ranges import numbered
 
 #: Word tokens: two or more word characters.
 TOKEN = r"(?U)(\b\w\w+\b)"
@@ -68,27 +70,72 @@ def tfidf(counts: DataFrame, vocab: DataFrame, documents: int | Column, key: str
     return w.join(norm, key).select(key, "term", F.try_divide("w", "norm").alias("weight"))
 
 
+#: The two blocks of the stacked features: terms, least number of documents, most terms.
+BLOCKS = {"word": (lambda c: ngrams(word_tokens(fold(c)), 1, 2), 2, 20_000), "char": (lambda c: char_ngrams(fold(c), 3, 5), 2, 15_000)}
+
+
+def stacked_vocabulary(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``block, term, df, place``: the terms of both blocks, numbered from 0 through both; bounded by the blocks' sizes."""
+    out, start = None, 0
+    for name, (terms, least, most) in BLOCKS.items():
+        v = vocabulary(term_counts(df, key, terms(F.col(text))), least, most)
+        # a window over at most ``most`` terms
+        v = v.select(F.lit(name).alias("block"), "term", "df", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("term")) - 1 + start).alias("place"))
+        out, start = v if out is None else out.unionByName(v), start + most
+    return out
+
+
+def stacked_tfidf(df: DataFrame, key: str, text: str, vocab: DataFrame | None = None, documents: int | None = None) -> DataFrame:
+    """``key, block, place, term, weight``: TF-IDF of both blocks, each of length 1 in every document.
+
+    With ``vocab`` and ``documents`` of a training set the same terms and document frequencies are used for other rows.
+    """
+    vocab = stored(stacked_vocabulary(df, key, text), "vocabulary") if vocab is None else vocab
+    documents = df.count() if documents is None else documents
+    out = None
+    for name, (terms, _, _) in BLOCKS.items():
+        own = vocab.filter(F.col("block") == name)
+        w = tfidf(term_counts(df, key, terms(F.col(text))), own, documents, key).join(own.select("term", "block", "place"), "term")
+        out = w if out is None else out.unionByName(w)
+    return out.select(key, "block", "place", "term", "weight")
+
+
 # ---- language model
 
 
 def unigram_model(df: DataFrame, tokens: Column, k: float = 1.0) -> DataFrame:
-    """``token, n, rank, logp``: add-k smoothed; the rank counts from 1 by frequency, then token."""
+    """``token, n, logp``: add-k smoothed; written once, so that its readers do not count again and their joins can be split."""
     own = df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     totals = own.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "token")
     scored = own.join(F.broadcast(totals))  # one row
-    return scored.select("token", "n", F.row_number().over(w).alias("rank"), F.log((F.col("n") + k) / (F.col("total") + k * F.col("types"))).alias("logp"))
+    return stored(scored.select("token", "n", F.log((F.col("n") + k) / (F.col("total") + k * F.col("types"))).alias("logp")), "tokens")
+
+
+def with_rank(model: DataFrame) -> DataFrame:
+    """Adds ``rank``, from 1 by frequency, then token."""
+    return numbered(model, [], [F.desc("n"), F.col("token")], "rank")
+
+
+def model_means(counts: DataFrame, model: DataFrame, key: list[str], values: dict[str, Column]) -> DataFrame:
+    """``key, tokens`` and the means of ``values`` over the tokens of each key, from ``counts(key.., term, n)``; frequent tokens are one row a key and not one an occurrence."""
+    joined = counts.withColumnRenamed("term", "token").withColumnRenamed("n", "_n").join(model, "token")
+    return joined.groupBy(*key).agg(F.sum("_n").alias("tokens"), *[(F.sum(c * F.col("_n")) / F.sum("_n")).alias(name) for name, c in values.items()])
 
 
 def bigram_scores(df: DataFrame, key: str, tokens: Column, k: float = 1.0) -> DataFrame:
-    """``key, tokens, ll``: mean log-probability of each token after the one before, add-k smoothed; the first token is not scored."""
+    """``key, tokens, ll``: mean log-probability of each token after the one before, add-k smoothed; the first token is not scored.
+
+    Pairs are counted in each document first; the counts are written, and their join with the model can be split.
+    """
     pairs = F.transform(F.filter(F.sequence(F.lit(1), F.size("_t")), lambda i: i < F.size("_t")), lambda i: F.struct(F.get("_t", i - 1).alias("a"), F.get("_t", i).alias("b")))
-    long = df.select(key, tokens.alias("_t")).select(key, F.explode(pairs).alias("p")).select(key, "p.*")
-    both = long.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    first = both.groupBy("a").agg(F.sum("n").alias("na"))
-    types = both.agg(F.count_distinct("b").alias("types"))
+    long = df.select(key, tokens.alias("_t")).select(key, F.explode(pairs).alias("p")).groupBy(key, "p.a", "p.b").agg(F.count(F.lit(1)).alias("m"))
+    long = stored(long, "pairs")
+    both = long.groupBy("a", "b").agg(F.sum("m").alias("n"))
+    first = long.groupBy("a").agg(F.sum("m").alias("na"))
+    types = long.agg(F.count_distinct("b").alias("types"))
     model = both.join(first, "a").join(F.broadcast(types)).select("a", "b", F.log((F.col("n") + k) / (F.col("na") + k * F.col("types"))).alias("logp"))  # one row
-    return long.join(model, ["a", "b"]).groupBy(key).agg(F.count(F.lit(1)).alias("tokens"), F.avg("logp").alias("ll"))
+    model = stored(model, "pair-model")
+    return long.join(model, ["a", "b"]).groupBy(key).agg(F.sum("m").alias("tokens"), (F.sum(F.col("logp") * F.col("m")) / F.sum("m")).alias("ll"))
 
 
 def sentence_perplexities(df: DataFrame, key: str, text: str, model: DataFrame, scored_only: bool = False) -> DataFrame:
@@ -99,9 +146,10 @@ def sentence_perplexities(df: DataFrame, key: str, text: str, model: DataFrame,
     sentences without tokens are left out, and so are documents that have no others.
     """
     parts = df.select(key, F.posexplode_outer(sentences(F.col(text))).alias("s", "sentence"))
-    long = parts.select(key, "s", F.explode(word_tokens(fold(F.col("sentence")))).alias("token")).join(model.select("token", "logp"), "token")
+    counted = parts.select(key, "s", F.explode(word_tokens(fold(F.col("sentence")))).alias("token")).groupBy(key, "s", "token").agg(F.count(F.lit(1)).alias("n"))
+    long = counted.join(model.select("token", "logp"), "token")
     # every sentence, or document without one, has a row that adds nothing
-    both = long.select(key, "s", "logp", F.lit(1).alias("n")).unionAll(parts.select(key, "s", F.lit(0.0).alias("logp"), F.lit(0).alias("n")))
+    both = long.select(key, "s", (F.col("logp") * F.col("n")).alias("logp"), "n").unionAll(parts.select(key, "s", F.lit(0.0).alias("logp"), F.lit(0).alias("n")))
     per = both.groupBy(key, "s").agg(F.sum("logp").alias("lp"), F.sum("n").alias("n"))
     per = per.select(key, "s", "lp", "n", sane_perplexity(F.exp(-F.try_divide("lp", "n"))).alias("ppl"))
     if scored_only:

@@ -1,15 +1,16 @@
 """Evaluation of binary classifiers: confusion counts, curves and operating points, for any grouping columns.
 
-Scores are aggregated to one row per group and distinct score with map-side combine before any window runs, so that a
-window sees distinct scores and not rows. ``y`` is 1 for positives. Rows whose score or label is missing or not a number are left out of curves.
+Scores are aggregated to one row per group and distinct score with map-side combine; their running counts come from ranges of scores
+(``ranges.running``), so that no task holds all scores of a group, however many are distinct. ``y`` is 1 for positives. Rows whose score or label is missing or not a number are left out of curves.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import metric_name, ratio
+from .ranges import running
 
 COUNTS = ["tn", "fp", "fn", "tp"]
 
@@ -49,12 +50,12 @@ def evaluate(df: DataFrame, by: list[str], y: str = "y", score: str = "score", t
 
 
 def score_table(df: DataFrame, by: list[str], y: str = "y", score: str = "score") -> DataFrame:
-    """One row per group and distinct score, from the highest: own counts (p, n), running counts (tp, fp) and totals."""
+    """One row per group and distinct score, from the highest: own counts (p, n), running counts (tp, fp), totals, and the own counts of the score below (next_p, next_n)."""
     clean = df.filter(F.col(score).isNotNull() & ~F.isnan(score) & F.col(y).isNotNull())
     own = clean.groupBy(*by, F.col(score).alias("threshold")).agg(_hit(F.col(y) == 1).alias("p"), _hit(F.col(y) != 1).alias("n"))
-    w = Window.partitionBy(*by)
-    run = w.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    return own.select("*", F.sum("p").over(run).alias("tp"), F.sum("n").over(run).alias("fp"), F.sum("p").over(w).alias("positives"), F.sum("n").over(w).alias("negatives"))
+    run = running(own, by, [F.desc("threshold")], {"tp": F.col("p"), "fp": F.col("n")}, {"next_p": F.col("p"), "next_n": F.col("n")})
+    totals = clean.groupBy(F.struct(*by, F.lit(0).alias("_all")).alias("_g")).agg(_hit(F.col(y) == 1).alias("positives"), _hit(F.col(y) != 1).alias("negatives"))
+    return run.withColumn("_g", F.struct(*by, F.lit(0).alias("_all"))).join(totals, "_g").drop("_g")
 
 
 def roc_points(df: DataFrame, by: list[str], y: str = "y", score: str = "score") -> DataFrame:
@@ -63,10 +64,10 @@ def roc_points(df: DataFrame, by: list[str], y: str = "y", score: str = "score")
     The origin with an infinite threshold comes first. Groups with one class have no rows.
     """
     t = score_table(df, by, y, score).filter("positives > 0 and negatives > 0")
-    w = Window.partitionBy(*by).orderBy(F.desc("threshold"))
-    bend = lambda c: F.lead(c).over(w) - 2 * F.col(c) + F.lag(c).over(w)
-    keep = (F.coalesce(bend("tp"), F.lit(1)) != 0) | (F.coalesce(bend("fp"), F.lit(1)) != 0)
-    kept = t.withColumn("_keep", keep).filter("_keep").select(*by, "threshold", "tp", "fp", "positives", "negatives")
+    # where the counts of the score below are the same, the curve goes straight on; the first and the last point stay
+    first = (F.col("tp") == F.col("p")) & (F.col("fp") == F.col("n"))
+    turns = F.col("next_p").isNull() | (F.col("next_p") != F.col("p")) | (F.col("next_n") != F.col("n"))
+    kept = t.filter(first | turns).select(*by, "threshold", "tp", "fp", "positives", "negatives")
     origin = kept.groupBy(*by, "positives", "negatives").agg(F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))
     points = kept.unionByName(origin)
     return points.select(*by, ratio(F.col("fp"), F.col("negatives")).alias("fpr"), ratio(F.col("tp"), F.col("positives")).alias("tpr"), "threshold", "tp", "fp", "positives", "negatives")
@@ -88,9 +89,11 @@ def pr_points(df: DataFrame, by: list[str], y: str = "y", score: str = "score")
 
 
 def pr_auc(df: DataFrame, by: list[str], y: str = "y", score: str = "score") -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(F.desc("threshold"))
-    step = (F.col("precision") + F.lag("precision").over(w)) / 2 * (F.col("recall") - F.lag("recall").over(w))
-    return pr_points(df, by, y, score).withColumn("_a", step).groupBy(*by).agg(F.sum("_a").alias("pr_auc"))
+    """Area under precision by recall; the point before a score's own follows from its counts, the end point (1, 0) is the first."""
+    t = score_table(df, by, y, score).filter("positives > 0")
+    tp, fp, p, n = (F.col(c) for c in ("tp", "fp", "p", "n"))
+    before = F.when(tp + fp == p + n, 1.0).otherwise(ratio(tp - p, tp - p + fp - n))
+    return t.groupBy(*by).agg(F.sum((ratio(tp, tp + fp) + before) / 2 * ratio(p, F.col("positives"))).alias("pr_auc"))
 
 
 def _at_point(points: DataFrame, by: list[str], order: Column) -> DataFrame:
@@ -166,3 +169,39 @@ def metrics_at_targets(df: DataFrame, by: list[str], targets: list[float], y: st
         part = part.select(*by, *[F.col(c).alias(metric_name("actual_fpr" if c == "fpr" else c, t)) for c in ("threshold", "fpr", "tpr", "accuracy", "precision", "recall", "f1")])
         out = part if out is None else out.join(part, by, "outer")
     return out
+
+
+def binary_block(df: DataFrame, by: list[str], threshold: float, targets: list[float], y: str = "y", score: str = "score") -> DataFrame:
+    """One row a group: counts and rates at a threshold, ``num_samples``, ``roc_auc`` and the columns of each fixed-FPR target."""
+    counted = confusion(df, by, threshold, y, score).withColumn("num_samples", F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"))
+    out = counted.join(roc_auc(df, by, y, score), by, "left")
+    return out.join(metrics_at_targets(df, by, targets, y, score), by, "left") if targets else out
+
+
+def nested(df: DataFrame, by: list[str], inner: str, threshold: float = 0.5, y: str = "y", score: str = "score") -> DataFrame:
+    """Counts and rates of each group (``whole`` is 1) and of each ``inner`` value inside it (0), by grouping sets over one scan; nulls are groups."""
+    said, real = F.col(score) >= threshold, F.col(y) == 1
+    cells = df.groupingSets([by, [*by, inner]], *by, inner)
+    counted = cells.agg(F.grouping(inner).cast("int").alias("whole"), _hit(~said & ~real).alias("tn"), _hit(said & ~real).alias("fp"), _hit(~said & real).alias("fn"), _hit(said & real).alias("tp"))
+    return with_rates(counted)
+
+
+def roc_comparison(points: DataFrame, detector: str, dataset: str, datasets: list[str], labels: dict[str, str]) -> DataFrame:
+    """``label, dataset, fpr, tpr``: curves of the chosen data sets, detectors under their labels, the upper end of each vertical step."""
+    named = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), F.col(detector)), F.col(detector)) if labels else F.col(detector)
+    return points.filter(F.col(dataset).isin(datasets)).groupBy(named.alias("label"), dataset, "fpr").agg(F.max("tpr").alias("tpr"))
+
+
+#: Fixed thresholds of the perplexity-ratio detector; a machine text scores below.
+RATIO_THRESHOLDS = {"accuracy": 0.9015, "low_fpr": 0.8536}
+
+
+def ratio_decisions(score: Column) -> dict[str, Column]:
+    return {name: score < t for name, t in RATIO_THRESHOLDS.items()}
+
+
+def require_targets(targets: list[float]) -> list[float]:
+    """Targets between 0 and 1, each once, in their order."""
+    if wrong := [t for t in targets if not 0 < t < 1]:
+        raise ValueError(f"rates must lie between 0 and 1: {wrong}")
+    return list(dict.fromkeys(targets))

@@ -70,6 +70,30 @@ def predict_trees(df: DataFrame, model: PipelineModel, key: str) -> DataFrame:
     return predictions(done, key, "boosted_trees")
 
 
+def save_model(model: PipelineModel, path: str) -> None:
+    """The fitted stages with their parameters, replacing what is there."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def cached_features(df: DataFrame, folder: str, config: dict, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``make(df)``, written once under the digest of ``config`` and the plan's inputs, and read again by later calls with the same."""
+    import hashlib
+    import json
+
+    from ..sources.io import exists
+
+    spark = df.sparkSession
+    state = json.dumps({"config": config, "files": sorted(df.inputFiles()), "schema": df.schema.simpleString()}, sort_keys=True, default=str)
+    path = f"{folder}/features-{hashlib.sha1(state.encode()).hexdigest()[:16]}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        make(df).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 FEATURES = ["doc_perplexity", "sentence_perplexity_mean", "sentence_perplexity_std", "burstiness"]
 
 
@@ -110,3 +134,68 @@ def score_texts(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]
             yield pdf.assign(**{name: [values[i] for i in pdf.index]})
 
     return df.mapInPandas(run, StructType([*df.schema.fields, StructField(name, DoubleType())]))
+
+
+def generate(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], list[str]]], prompt_words: int = 30, least_words: int = 55, tries: int = 10, batch: int = 16, name: str = "sampled") -> DataFrame:
+    """Adds a machine text begun by the first words of ``text``, by a generator that ``load`` makes once a task.
+
+    A batch is generated again, ``tries`` times at most, until its shortest text has ``least_words`` words; the last try stays.
+    """
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    def run(batches: Iterator) -> Iterator:
+        generator = load()
+        for pdf in batches:
+            prompts = pdf[text].fillna("").map(lambda t: " ".join(t.split(" ")[:prompt_words])).tolist()
+            out: list[str] = []
+            for at in range(0, len(prompts), batch):
+                part: list[str] = []
+                for _ in range(tries):
+                    part = generator(prompts[at : at + batch])
+                    if min((len(t.split(" ")) for t in part), default=least_words) >= least_words:
+                        break
+                out += part
+            yield pdf.assign(**{name: out})
+
+    return df.mapInPandas(run, StructType([*df.schema.fields, StructField(name, StringType())]))
+
+
+def fill_masks(df: DataFrame, text: str, masked: str, load: Callable[[], Callable[[list[str]], list[str]]], tries: int = 20, name: str = "perturbed") -> DataFrame:
+    """Adds ``masked`` with its masks filled by a filler that ``load`` makes once a task.
+
+    Answers that fill too few masks are asked for again, ``tries`` times at most; a text that is still not filled stays as ``text`` has it.
+    """
+    import re
+
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    from ..functions.text import MASK
+
+    mark = re.compile(MASK)
+
+    def filled(pattern: str, answer: str) -> str | None:
+        pieces = mark.split(pattern)
+        fills = [x.strip() for x in mark.split(answer.replace("<pad>", "").replace("</s>", "").strip())[1:-1]]
+        if len(fills) < len(pieces) - 1:
+            return None
+        return "".join(p + f for p, f in zip(pieces, [*fills, ""], strict=False))
+
+    def run(batches: Iterator) -> Iterator:
+        filler = load()
+        for pdf in batches:
+            patterns, out = pdf[masked].fillna("").tolist(), pdf[text].tolist()
+            left = list(range(len(patterns)))
+            for _ in range(tries):
+                if not left:
+                    break
+                answers = filler([patterns[k] for k in left])
+                again = []
+                for k, answer in zip(left, answers, strict=True):
+                    if (done := filled(patterns[k], answer)) is None:
+                        again.append(k)
+                    else:
+                        out[k] = done
+                left = again
+            yield pdf.assign(**{name: out})
+
+    return df.mapInPandas(run, StructType([*df.schema.fields, StructField(name, StringType())]))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import numbered
+
 
 def keep_first(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
     """The first row of every key in the given order."""
@@ -78,7 +80,7 @@ def join_one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def with_occurrence(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Adds ``occurrence``, the number from 0 of a row among those with its keys."""
-    return df.withColumn("occurrence", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
+    return numbered(df, keys, [F.col(order)], "occurrence").withColumn("occurrence", (F.col("occurrence") - 1).cast("int"))
 
 
 def join_by_occurrence(left: DataFrame, right: DataFrame, keys: list[str], left_order: str, right_order: str) -> DataFrame:
@@ -99,11 +101,7 @@ def join_by_position(left: DataFrame, right: DataFrame, left_order: str, right_o
 
 def with_position(df: DataFrame, order: str) -> DataFrame:
     """Adds ``position`` from 0 in the order of a column with distinct values."""
-    ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    local = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    sizes = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
-    return local.join(before, "_part").withColumn("position", F.col("_before") + F.col("_n") - 1).drop("_part", "_n", "_before")
+    return numbered(df, [], [F.col(order)], "position").withColumn("position", F.col("position") - 1)
 
 
 def misclassified(df: DataFrame, label: str, prediction: str) -> DataFrame:

@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fresh
 from .components import connected_components
+from .ranges import numbered
 
 
 def hash_order(seed: int, *keys: str) -> list[Column]:
@@ -17,8 +19,11 @@ def hash_order(seed: int, *keys: str) -> list[Column]:
 
 def take_per_group(df: DataFrame, by: list[str], n: Column | int, key: str, seed: int = 42) -> DataFrame:
     """The first ``n`` rows of each group in hash order; ``n`` may be a column."""
-    w = Window.partitionBy(*by).orderBy(*hash_order(seed, key))
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    rank = fresh(df.columns, "_rn")
+    if isinstance(n, int):  # a limit that Spark applies before the shuffle
+        w = Window.partitionBy(*by).orderBy(*hash_order(seed, key))
+        return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n).drop(rank)
+    return numbered(df, by, hash_order(seed, key), rank).filter(F.col(rank) <= n).drop(rank)
 
 
 def require_per_group(df: DataFrame, by: str, n: int) -> None:
@@ -90,7 +95,7 @@ def shard(df: DataFrame, by: str, order: str, shards: int) -> DataFrame:
     """Adds ``shard`` from 1: rows of a group are dealt in turn, in the given order."""
     if shards < 1:
         raise ValueError("shards must be positive")
-    return df.withColumn("shard", (F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) % shards + 1)
+    return numbered(df, [by], [F.col(order)], "shard").withColumn("shard", ((F.col("shard") - 1) % shards + 1).cast("int"))
 
 
 def group_components(df: DataFrame, left: str, right: str) -> DataFrame:
@@ -118,11 +123,13 @@ def group_splits(groups: DataFrame, group: str, stratum: str, test: float, val:
         c = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
         c = c.withColumn("_size", F.ceil(F.round(F.sum("n").over(everything) * share, 9)).cast("long"))
         c = c.withColumn("_fits", (F.min("n").over(everything) >= 2) & (F.col("_size") >= F.count(F.lit(1)).over(everything)))
-        takes = allocate(c, stratum, F.col("_size")).select(stratum, "take").join(c.select(stratum, "_size", "_fits"), stratum)
-        d = df.join(takes, stratum)
-        inside = F.row_number().over(Window.partitionBy(stratum).orderBy(*hash_order(seed, group)))
-        overall = F.row_number().over(everything.orderBy(*hash_order(seed, group)))
-        return d.withColumn("_a", inside).withColumn("_b", overall).withColumn("_in", F.when(F.col("_fits"), F.col("_a") <= F.col("take")).otherwise(F.col("_b") <= F.col("_size"))).select(group, stratum, "_in")
+        fits, size = c.agg(F.max("_fits"), F.max("_size")).first()  # one row
+        if not fits:
+            placed = numbered(df, [], hash_order(seed, group), "_place")
+            return placed.select(group, stratum, (F.col("_place") <= (size or 0)).alias("_in"))
+        takes = allocate(c, stratum, F.col("_size")).select(stratum, "take")
+        placed = numbered(df, [stratum], hash_order(seed, group), "_place").join(takes, stratum)
+        return placed.select(group, stratum, (F.col("_place") <= F.col("take")).alias("_in"))
 
     first = quota(groups.select(group, stratum), test)
     rest = quota(first.filter("not _in").select(group, stratum), val / (1 - test))

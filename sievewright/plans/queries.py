@@ -53,7 +53,7 @@ WITH {PREDS_SQL}, said AS (SELECT *, score >= 0.5 AS said FROM preds), c AS (SEL
 SELECT detector, split, tn, fp, fn, tp, {RATES_SQL} FROM c
 """)
 def q_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and rates of every detector and split at one threshold."""
+    """A1, A2: counts and rates of every detector and split at one threshold."""
     return rounded(M.confusion(preds(spark, sf_dir), BY))
 
 
@@ -140,7 +140,7 @@ def _point(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {ROC_SQL} SELECT {POINT_SQL} FROM points WHERE fpr <= 0.1 QUALIFY row_number() OVER (PARTITION BY detector, split ORDER BY tpr DESC, fpr DESC) = 1")
 def q_tpr_at_fpr_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rule A, the last point of the largest tpr."""
+    """Rule A, the last point of the largest tpr."""
     return _point(M.operating_point_a(_roc(spark, sf_dir), BY, 0.1))
 
 
@@ -174,7 +174,7 @@ SELECT detector, split, CASE WHEN isinf(threshold) THEN 0.0 ELSE round(threshold
        round((t + negatives - f) / (positives + negatives), 8) AS accuracy, round(pc, 8) AS precision, round(coalesce(2 * pc * tpr / nullif(pc + tpr, 0), 0), 8) AS f1 FROM e
 """)
 def q_tpr_at_fpr_d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rule D from stored curve rows, with fractional counts."""
+    """Rule D from stored curve rows, with fractional counts."""
     return rounded(M.operating_point_d(_roc(spark, sf_dir), BY, 0.001))
 
 
@@ -207,7 +207,7 @@ SELECT domain, max(round(tp / p::DOUBLE, 8)) FILTER (detector = 'coarse') AS coa
 FROM v CROSS JOIN m LEFT JOIN c USING (domain, detector) GROUP BY domain
 """)
 def q_report_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variants by detectors, absent cells null, as a table."""
+    """Variants by detectors, absent cells null, as a table."""
     cells = spark.sql("SELECT * FROM VALUES ('src0'), ('src1'), ('src2'), ('none') AS v(domain) CROSS JOIN VALUES ('coarse'), ('fine') AS m(detector)")
     got = M.confusion(preds(spark, sf_dir), ["domain", "detector"]).select("domain", "detector", "recall")
     return rounded(cells.join(got, ["domain", "detector"], "left").groupBy("domain").pivot("detector", ["coarse", "fine"]).agg(F.max("recall")))
@@ -235,7 +235,7 @@ SELECT count(*) - count(DISTINCT t) AS duplicate_texts, count(*) - count(DISTINC
        (SELECT count(*) FROM (SELECT t FROM k GROUP BY t HAVING count(DISTINCT y) > 1)) AS conflicting_texts FROM k
 """)
 def q_text_key_dupes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A6, U4."""
+    """A6."""
     d = docs(spark, sf_dir).select("y", F.md5(normal("text")).alias("t"), F.md5(normal("domain")).alias("p"))
     return Q.duplicate_summary(d, "p", "t", "y")
 
@@ -271,15 +271,15 @@ def _model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {MODEL_SQL}, s AS (SELECT doc_id, unnest({SENTENCES_SQL}) AS text, unnest(range(len({SENTENCES_SQL}))) AS s FROM documents),
-st AS (SELECT doc_id, s, unnest({TOKENS.format(FOLD)}) AS token FROM s),
-per AS (SELECT doc_id, s, sum(logp) AS lp, count(*) AS n, exp(-sum(logp) / count(*)) AS ppl FROM st JOIN model USING (token) GROUP BY doc_id, s)
-SELECT doc_id, round(exp(-sum(lp) / sum(n)), 5) AS doc_perplexity, round(avg(ppl), 5) AS sentence_perplexity_mean, round(stddev_pop(ppl), 5) AS sentence_perplexity_std,
+WITH {MODEL_SQL}, l AS (SELECT doc_id, CASE WHEN len({SENTENCES_SQL}) = 0 THEN [''] ELSE {SENTENCES_SQL} END AS l FROM documents), s AS (SELECT doc_id, unnest(l) AS text, unnest(range(len(l))) AS s FROM l),
+st AS (SELECT doc_id, s, unnest({TOKENS.format(FOLD)}) AS token FROM s), j AS (SELECT doc_id, s, logp FROM st JOIN model USING (token)),
+per AS (SELECT doc_id, s, coalesce(sum(logp), 0) AS lp, count(logp) AS n, CASE WHEN count(logp) = 0 THEN 1.0 ELSE exp(-sum(logp) / count(logp)) END AS ppl FROM s LEFT JOIN j USING (doc_id, s) GROUP BY doc_id, s)
+SELECT doc_id, round(CASE WHEN sum(n) = 0 THEN 1.0 ELSE exp(-sum(lp) / sum(n)) END, 5) AS doc_perplexity, round(avg(ppl), 5) AS sentence_perplexity_mean, round(stddev_pop(ppl), 5) AS sentence_perplexity_std,
        CASE WHEN count(*) < 2 THEN 0.0 ELSE round(stddev_pop(ppl) / avg(ppl), 5) END AS burstiness FROM per GROUP BY doc_id
 """)
 def q_burstiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity features under the unigram model."""
-    return rounded(X.sentence_perplexities(table(spark, sf_dir, "documents"), "doc_id", "text", _model(spark, sf_dir), scored_only=True), 5)
+    return rounded(X.sentence_perplexities(table(spark, sf_dir, "documents"), "doc_id", "text", _model(spark, sf_dir)), 5)
 
 
 @query(f"""
@@ -288,9 +288,9 @@ FROM tok JOIN model USING (token) GROUP BY doc_id
 """)
 def q_token_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-likelihood, rank and log-rank."""
-    long = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.word_tokens(X.fold(F.col("text")))).alias("token"))
-    got = long.join(_model(spark, sf_dir), "token").groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.round(F.avg("logp"), 7).alias("ll"), F.round(F.avg("rank"), 5).alias("mean_rank"), F.round(F.avg(F.log("rank")), 7).alias("mean_log_rank"))
-    return got
+    counts = X.term_counts(table(spark, sf_dir, "documents"), "doc_id", X.word_tokens(X.fold(F.col("text"))))
+    got = X.model_means(counts, X.with_rank(_model(spark, sf_dir)).select("token", "logp", "rank"), ["doc_id"], {"ll": F.col("logp"), "mean_rank": F.col("rank"), "mean_log_rank": F.log("rank")})
+    return got.select("doc_id", "tokens", F.round("ll", 7).alias("ll"), F.round("mean_rank", 5).alias("mean_rank"), F.round("mean_log_rank", 7).alias("mean_log_rank"))
 
 
 @query(f"""
@@ -330,7 +330,7 @@ def q_tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH w AS (SELECT item_id, ' ' || w || ' ' AS w FROM (SELECT item_id, unnest(string_split({norm_sql('text')}, ' ')) AS w FROM benchmark) WHERE w <> ''),
+WITH w AS (SELECT item_id, ' ' || w || ' ' AS w FROM (SELECT doc_id AS item_id, unnest(string_split({norm_sql('text')}, ' ')) AS w FROM documents) WHERE w <> ''),
 g AS (
   SELECT item_id, substr(w, i, n) AS term FROM (SELECT item_id, w, n, unnest(range(1, length(w) - n + 2)) AS i FROM w, (VALUES (3), (4), (5)) AS v(n) WHERE length(w) > n)
   UNION ALL SELECT item_id, w FROM w WHERE length(w) <= 5
@@ -339,7 +339,7 @@ SELECT term, count(DISTINCT item_id) AS df, count(*) AS total FROM g GROUP BY te
 """)
 def q_char_wb_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M4: character n-grams inside padded words."""
-    c = X.term_counts(table(spark, sf_dir, "benchmark"), "item_id", X.char_ngrams(F.col("text"), 3, 5))
+    c = X.term_counts(table(spark, sf_dir, "documents"), "doc_id", X.char_ngrams(F.col("text"), 3, 5))
     return c.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("total"))
 
 
@@ -350,7 +350,7 @@ SELECT doc_id, len(w)::BIGINT AS words, md5(array_to_string(w[1:len(w) - 1], ' '
 FROM m
 """)
 def q_word_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word bands, last word dropped, first words kept, a marked substring excluded."""
+    """Word bands, last word dropped, first words kept, a marked substring excluded."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n", F.size(T.words(F.col("text"))).cast("long"))
     # one number decides for all rows whether the long texts are enough
     most = d.agg(F.max("n").alias("most"))
@@ -384,7 +384,7 @@ def q_style_dashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_style_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All three passes; tests hold hand-made texts against expected ones."""
+    """All three passes; tests hold hand-made texts against expected ones."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return d.select("doc_id", T.cleanup_style(F.col("text")).alias("clean")).select("doc_id", F.md5("clean").alias("clean_md5"), F.length("clean").alias("chars"))
 
@@ -460,10 +460,14 @@ def q_curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-likelihood against five perturbed copies that leave out every fifth token."""
     d = table(spark, sf_dir, "documents").select("doc_id", X.word_tokens(X.fold(F.col("text"))).alias("t"))
     model = _model(spark, sf_dir).select("token", "logp")
-    own = d.select("doc_id", F.explode("t").alias("token")).join(model, "token").groupBy("doc_id").agg(F.avg("logp").alias("ll"))
-    long = d.select("doc_id", F.posexplode("t").alias("i", "token")).join(model, "token").select("doc_id", "i", "logp", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
-    # tokens count from 1
-    per = long.filter((F.col("i") + 1) % 5 != F.col("k")).groupBy("doc_id", "k").agg(F.avg("logp").alias("ll"))
+    # sums for each fifth of a document's tokens (they count from 1); a copy leaves one out
+    fifths = d.select("doc_id", F.posexplode("t").alias("i", "token")).groupBy("doc_id", ((F.col("i") + 1) % 5).alias("k"), "token").agg(F.count(F.lit(1)).alias("n"))
+    fifths = fifths.join(model, "token").groupBy("doc_id", "k").agg(F.sum(F.col("n") * F.col("logp")).alias("lp"), F.sum("n").alias("n"))
+    every = fifths.groupBy("doc_id").agg(F.sum("lp").alias("all_lp"), F.sum("n").alias("all_n"), F.map_from_entries(F.collect_list(F.struct("k", F.struct("lp", "n")))).alias("of"))
+    own = every.select("doc_id", (F.col("all_lp") / F.col("all_n")).alias("ll"))
+    left = every.select("doc_id", "all_lp", "all_n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.struct(k.alias("k"), F.try_element_at("of", k.cast("bigint")).alias("o")))).alias("x"))
+    lp, n = F.col("all_lp") - F.coalesce("x.o.lp", F.lit(0.0)), F.col("all_n") - F.coalesce("x.o.n", F.lit(0))
+    per = left.filter(n > 0).select("doc_id", F.col("x.k").alias("k"), (lp / n).alias("ll"))
     stats = X.perturbation_statistics(per, "doc_id", "ll")
     both = own.join(stats, "doc_id")
     d1 = N.curvature(F.col("ll"), F.col("mean_ll"))
@@ -526,7 +530,7 @@ def q_pair_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {QA_SQL} SELECT conv_id, turn, md5(CASE WHEN prompt <> '' THEN 'Question: ' || prompt || ' Answer: ' || text ELSE text END) AS qa FROM qa WHERE label = 'ai'")
 def q_question_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X4, X10."""
+    """X4."""
     return qa(spark, sf_dir).filter("label = 'ai'").select("conv_id", "turn", F.md5(T.question_answer(F.col("prompt"), F.col("text"))).alias("qa"))
 
 
@@ -542,13 +546,13 @@ def q_holdout_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {PREDS_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY domain, y ORDER BY doc_id) - 1 AS occurrence FROM preds WHERE detector = 'coarse'),
-b AS (SELECT domain, y, doc_id AS other_id, row_number() OVER (PARTITION BY domain, y ORDER BY doc_id) - 1 AS occurrence FROM preds WHERE detector = 'fine' AND doc_id % 2 = 0)
+b AS (SELECT domain, y, doc_id AS other_id, row_number() OVER (PARTITION BY domain, y ORDER BY doc_id) - 1 AS occurrence FROM preds WHERE detector = 'fine')
 SELECT a.doc_id, a.occurrence::INTEGER AS occurrence, b.other_id FROM a LEFT JOIN b USING (domain, y, occurrence)
 """)
 def q_cumcount_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The n-th row of a key meets the n-th row of that key."""
     p = preds(spark, sf_dir)
-    right = p.filter("detector = 'fine' and doc_id % 2 = 0").select("domain", "y", F.col("doc_id").alias("other_id"))
+    right = p.filter("detector = 'fine'").select("domain", "y", F.col("doc_id").alias("other_id"))
     return Q.join_by_occurrence(p.filter("detector = 'coarse'").select("domain", "y", "doc_id"), right, ["domain", "y"], "doc_id", "other_id").select("doc_id", "occurrence", "other_id")
 
 
@@ -598,7 +602,7 @@ WITH {_alloc_sql('greatest(1, round_even((SELECT count(*) FROM documents) * 0.13
 SELECT doc_id, source FROM documents JOIN takes USING (source) QUALIFY row_number() OVER (PARTITION BY source ORDER BY {ORDER}, doc_id) <= take
 """)
 def q_fraction_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A proportional sample in hash order; sampling is the feature."""
+    """A proportional sample in hash order; sampling is the feature."""
     return S.sample_fraction(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", 0.13, "doc_id")
 
 
@@ -626,7 +630,7 @@ def q_sample_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, source, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 4 + 1 AS INTEGER) AS shard FROM documents")
 def q_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R18, J12."""
+    """R18."""
     return S.shard(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 4)
 
 

@@ -80,12 +80,96 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """JSON lines; a broken line fails the read with its file and text."""
+def broken_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line, text`` of the lines that are no JSON objects; lines count from 1 in each file, whose blocks are read whole for that."""
+    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
+    return files.filter((F.trim("text") != "") & F.try_parse_json("text").isNull() | (F.trim("text") != "") & ~F.trim("text").startswith("{")).select("file", (F.col("line") + 1).alias("line"), "text")
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str | None = None, check: bool = False) -> DataFrame:
+    """JSON lines; a broken line fails the read, with ``check`` by its file and line number before anything else is read."""
+    if check and (bad := broken_lines(spark, path).limit(1).collect()):
+        raise ValueError(f"{bad[0]['file']}:{bad[0]['line']}: no JSON object: {bad[0]['text'][:80]}")
     reader = spark.read.option("mode", "FAILFAST")
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def ensure_folder(spark: SparkSession, path: str) -> str:
+    p, fs = _folder(spark, path)
+    fs.mkdirs(p)
+    return path
+
+
+def reset_folder(spark: SparkSession, path: str, preserve: list[str] | None = None) -> list[str]:
+    """Empties a folder but for the names to preserve; returns the names that were deleted."""
+    p, fs = _folder(spark, ensure_folder(spark, path))
+    gone = []
+    for status in fs.listStatus(p):
+        name = status.getPath().getName()
+        if name not in (preserve or []):
+            fs.delete(status.getPath(), True)
+            gone.append(name)
+    return sorted(gone)
+
+
+def first_existing(spark: SparkSession, candidates: list[str]) -> str:
+    for path in candidates:
+        if exists(spark, path):
+            return path
+    raise FileNotFoundError(", ".join(candidates))
+
+
+def copy_first(spark: SparkSession, candidates: list[str], target: str) -> str:
+    """``target`` if it exists, else a copy of the first candidate that does."""
+    if not exists(spark, target):
+        (a, fs), (b, out) = _folder(spark, first_existing(spark, candidates)), _folder(spark, target)
+        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, a, out, b, False, spark._jsc.hadoopConfiguration())
+    return target
+
+
+def write_by_source(df: DataFrame, folder: str, source: str = "source") -> dict[str, int]:
+    """All rows as ``unified_<rows>`` and those of each source under ``by_source/<column>=<value>``; returns the counts, which also go to the manifest."""
+    counts = {str(r[0]): r["count"] for r in df.groupBy(source).count().orderBy(source).collect()}
+    write_table(df, f"{folder}/unified_{sum(counts.values())}.parquet")
+    df.write.mode("overwrite").partitionBy(source).parquet(f"{folder}/by_source")
+    write_manifest(df.sparkSession, {"rows_by_source": counts}, f"{folder}/manifest")
+    return counts
+
+
+def read_environment(spark: SparkSession, path: str) -> dict[str, str]:
+    """``NAME=value`` lines of a file; comments and lines without a sign are skipped, quotes around a value go. Nothing is set."""
+    out = {}
+    for (line,) in spark.read.text(path).collect() if exists(spark, path) else []:  # a settings file
+        name, sign, value = line.strip().partition("=")
+        if sign and not name.startswith("#"):
+            out[name.strip()] = value.strip().strip("'\"")
+    return out
+
+
+def read_prefix(spark: SparkSession, path: str | None, default: str) -> str:
+    """A prompt's opening from a file, the default if there is none or it is blank."""
+    if path and exists(spark, path) and (text := "\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect()).strip()):
+        return text
+    return default
+
+
+def with_default_domain(df: DataFrame, split: str, domain: str = "domain") -> DataFrame:
+    """Rows without a domain get the name of their split."""
+    own = F.nullif(normalize_space(F.col(domain)), F.lit("")) if domain in df.columns else F.lit(None).cast("string")
+    return df.withColumn(domain, F.coalesce(own, F.lit(split)))
+
+
+def read_curve(spark: SparkSession, path: str, tab: bool = False) -> DataFrame:
+    """A curve written by ``write_curve``; numbers that cannot be read are null."""
+    df = spark.read.options(header=True, sep="\t" if tab else ",").csv(path)
+    return df.select(*[F.col(c).try_cast("double").alias(c) for c in ("fpr", "tpr", "threshold")])
+
+
 def write_manifest(spark: SparkSession, content: dict, path: str) -> None:
     """One JSON file with sorted keys."""
     spark.createDataFrame([(json.dumps(content, sort_keys=True, indent=2),)], "value string").coalesce(1).write.mode("overwrite").text(path)
