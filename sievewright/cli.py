@@ -33,6 +33,13 @@ def parser() -> argparse.ArgumentParser:
     p = command("evaluate", help="metrics of predictions")
     p.add_argument("--samples", required=True)
     p.add_argument("--target-fpr", type=float, action="append")
+    command("merge", help="wide rows of all shard folders that match, once each")
+    command("test-set", help="every table that matches as a test set").add_argument("--more", action="append", default=[])
+    p = command("export", help="shared JSON of an evaluation")
+    p.add_argument("--dataset", required=True)
+    p.add_argument("--before")
+    command("train", help="fit and save the SVM detector")
+    command("score", help="score samples by a saved detector").add_argument("--model", required=True)
     return top
 
 
@@ -47,6 +54,16 @@ def main(argv: list[str] | None = None) -> None:
         P.shard_command(spark, a.source, a.out, a.shards)
     elif a.command == "estimate":
         P.estimate_command(spark, a.source, a.out, a.model, a.depths, a.budget)
+    elif a.command == "merge":
+        P.merge_command(spark, a.source, a.out)
+    elif a.command == "test-set":
+        P.test_set_command(spark, [a.source, *a.more], a.out)
+    elif a.command == "export":
+        P.export_command(spark, a.source, a.dataset, a.out, a.before)
+    elif a.command == "train":
+        P.train_command(spark, a.source, a.out)
+    elif a.command == "score":
+        P.score_command(spark, a.model, a.source, a.out)
     else:
         P.evaluate_command(spark, a.source, a.samples, a.out, a.target_fpr or [0.01, 0.001])
 

@@ -344,15 +344,15 @@ def mask_words(c: Column, places: Column) -> Column:
 def rewrite_prompt(text: Column, prefix: str, question: Column | None = None, domain: Column | None = None) -> Column:
     """Instruction, domain, question and the answer to rewrite, each under its heading."""
     lines = [F.lit(prefix.strip()), F.lit(""), F.concat(F.lit("Domain: "), F.coalesce(F.nullif(domain, F.lit("")) if domain is not None else F.lit(None), F.lit("unknown")))]
-    lines += [F.lit("Question:"), F.trim(F.coalesce(question, F.lit(""))) if question is not None else F.lit(""), F.lit(""), F.lit("Answer to rewrite:"), F.trim(F.coalesce(text, F.lit("")))]
-    return F.trim(F.concat_ws("\n", *lines))
+    lines += [F.lit("Question:"), normal_strip(F.coalesce(question, F.lit(""))) if question is not None else F.lit(""), F.lit(""), F.lit("Answer to rewrite:"), normal_strip(F.coalesce(text, F.lit("")))]
+    return normal_strip(F.concat_ws("\n", *lines))
 
 
 def quality_prompt(text: Column, statement: str) -> Column:
     """The prompt of a quality check: a statement, the five steps of the scale with their numbers, the form of the answer, the document."""
     steps = [f"{score} = {name.title()}" for name, score in LIKERT.items()]
     lines = ["Judge the document by the statement.", "", f'Statement: "{statement}"', *steps, "", 'Answer in JSON with "score" (1 to 5), "label" and "reason".', "", "Document:"]
-    return F.trim(F.concat_ws("\n", *[F.lit(x) for x in lines], F.trim(F.coalesce(text, F.lit("")))))
+    return normal_strip(F.concat_ws("\n", *[F.lit(x) for x in lines], normal_strip(F.coalesce(text, F.lit("")))))
 
 
 def response_text(c: Column) -> Column:

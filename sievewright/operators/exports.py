@@ -158,10 +158,10 @@ def read_results(spark: SparkSession, pattern: str, side: str | None = None) ->
     """JSON result files (each one object) with ``folder`` and ``file``, and the text ``args`` of the side-car file of the same folder, if ``side`` names one."""
     path = F.col("_metadata.file_path")
     split = lambda df: df.withColumn("folder", F.regexp_extract("path", r"^(.*)/[^/]+$", 1)).withColumn("file", F.regexp_extract("path", r"([^/]+)$", 1)).drop("path")
-    results = split(spark.read.option("wholetext", True).text(pattern).select(F.col("value").alias("result"), path.alias("path")))
+    results = split(spark.read.text(pattern, wholetext=True).select(F.col("value").alias("result"), path.alias("path")))
     if side is None:
         return results
-    args = split(spark.read.option("wholetext", True).text(side).select(F.col("value").alias("args"), path.alias("path"))).drop("file")
+    args = split(spark.read.text(side, wholetext=True).select(F.col("value").alias("args"), path.alias("path"))).drop("file")
     return results.join(args, "folder", "left")
 
 

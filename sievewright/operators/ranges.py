@@ -19,11 +19,11 @@ def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, C
     The order must be total in each group.
     """
     following = following or {}
-    part, seen, key = fresh(df.columns, "_part"), fresh(df.columns, "_seen"), fresh(df.columns, "_group")
+    part, seen, key, place = (fresh([*df.columns, *sums, *following], c) for c in ("_part", "_seen", "_group", "_place"))
     ranged = stored(df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn(part, F.spark_partition_id()), "ranges")
     inside = Window.partitionBy(*by, part).orderBy(*order)
-    first = {f"{seen}_{name}": F.min_by(c, F.col(f"{seen}_n")) for name, c in following.items()}
-    local = ranged.withColumn(f"{seen}_n", F.row_number().over(inside))
+    first = {f"{seen}_{name}": F.min_by(c, F.col(place)) for name, c in following.items()}
+    local = ranged.withColumn(place, F.row_number().over(inside))
     parts = local.groupBy(*by, part).agg(*[F.sum(c).alias(f"{seen}_{name}") for name, c in sums.items()], *[c.alias(name) for name, c in first.items()])
     # one row for each group and range that holds some of it
     across = Window.partitionBy(*(by or [F.lit(0)])).orderBy(part)

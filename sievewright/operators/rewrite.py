@@ -24,6 +24,36 @@ def estimate_usage(df: DataFrame, by: list[str], prompt: Column, text: Column, d
     return out.withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens"))
 
 
+#: Tokens that the answer of a quality check is taken for.
+QUALITY_OUTPUT = 64
+
+
+def estimate_with_checks(df: DataFrame, by: list[str], prompt: Column, text: Column, depths: int, check: Column, checked: int) -> DataFrame:
+    """Usage of each depth alone and run up, with the quality calls made at depth ``checked``: ``depth``, then for each number ``x``: ``x, cumulative_x, rewrite_x, quality_x``.
+
+    ``prompt`` and ``check`` are the whole prompts of a rewriting and of a checking request; a check answers with ``QUALITY_OUTPUT`` tokens.
+    """
+    base = df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("requests"), F.sum(estimate_tokens(prompt)).alias("input_tokens"), F.sum(estimate_tokens(text)).alias("output_tokens"), F.sum(estimate_tokens(check)).alias("_check_input"),
+    ).withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens"))
+    quality = {"requests": F.col("requests"), "input_tokens": F.col("_check_input"), "output_tokens": F.col("requests") * QUALITY_OUTPUT, "total_tokens": F.col("_check_input") + F.col("requests") * QUALITY_OUTPUT}
+    rows = base.withColumn("depth", F.explode(F.sequence(F.lit(1), F.lit(depths))))
+    now, since = F.col("depth") == checked, F.col("depth") >= checked
+    none = F.lit(0).cast("long")
+    out = []
+    for c in USAGE:
+        out += [(F.col(c) + F.when(now, quality[c]).otherwise(none)).alias(f"_{c}"), (F.col(c) * F.col("depth") + F.when(since, quality[c]).otherwise(none)).alias(f"cumulative_{c}"), F.col(c).alias(f"rewrite_{c}"), F.when(now, quality[c]).otherwise(none).alias(f"quality_{c}")]
+    return rows.select(*by, "depth", *out).withColumnsRenamed({f"_{c}": c for c in USAGE})
+
+
+def usage_with_checks(calls: DataFrame, by: list[str]) -> DataFrame:
+    """From ``calls(by.., depth, quality boolean, usage..)``: sums per depth of all, of rewriting and of quality calls, and the running sums of all and of rewriting."""
+    sums = [F.sum(F.when(cond, F.col(c)).otherwise(0)).cast("long").alias(f"{name}{c}") for c in USAGE for name, cond in (("", F.lit(True)), ("rewrite_", ~F.col("quality")), ("quality_", F.col("quality")))]
+    own = calls.groupBy(*by, "depth").agg(*sums)
+    run = Window.partitionBy(*(by or [F.lit(0)])).orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)  # a few depths
+    return own.select("*", *[F.sum(f"{name}{c}").over(run).alias(f"cumulative_{name}{c}") for c in USAGE for name in ("", "rewrite_")])
+
+
 def with_cost(df: DataFrame, model: str, prices: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Adds ``cost`` at the model's prices."""
     table = PRICES | (prices or {})

@@ -249,8 +249,16 @@ def q_token_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.rough_tokens(text).cast("long").alias("tokens"), T.within_tokens(text).alias("short"), T.not_excluded(text).alias("allowed"))
 
 
+def _strip_sql(c: str) -> str:
+    blank = norm_sql("x").partition("[")[2].partition("]")[0]
+    return f"regexp_replace({c}, '^[{blank}]+|[{blank}]+$', '', 'g')"
+
+
+PROMPT_SQL = f"'Rewrite this.' || chr(10) || chr(10) || 'Domain: ' || domain || chr(10) || 'Question:' || chr(10) || {_strip_sql('prompt')} || chr(10) || chr(10) || 'Answer to rewrite:' || chr(10) || {_strip_sql('text')}"
+
+
 @query(f"""
-WITH {QA_SQL} SELECT conv_id, turn, md5(trim('Rewrite this.' || chr(10) || chr(10) || 'Domain: ' || domain || chr(10) || 'Question:' || chr(10) || trim(prompt, ' ') || chr(10) || chr(10) || 'Answer to rewrite:' || chr(10) || trim(text, ' '), ' ')) AS prompt,
+WITH {QA_SQL} SELECT conv_id, turn, md5({_strip_sql(PROMPT_SQL)}) AS prompt,
        substr(sha1('rewrite||' || domain || '||' || text), 1, 16) AS cache_id FROM qa WHERE label = 'ai'
 """)
 def q_rewrite_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -365,3 +373,32 @@ def q_text_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.concat(F.lit("[ WP ] "), F.coalesce("text", F.lit("")), F.lit(" [ OT ]"))
     places = F.array(*[F.lit(k) for k in (1, 3, 5)])
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.drop_prompt_tags(t)).alias("untagged"), F.md5(T.truncate_at(t, ". ", 2)).alias("two_parts"), F.md5(T.replace_words(t, places, F.lit("_"))).alias("replaced"))
+
+
+def _est_sql(c: str) -> str:
+    return f"CASE WHEN length(trim({c}, ' ')) = 0 THEN 0 ELSE greatest(1, ceil(length(trim({c}, ' ')) / 4.0)) END"
+
+
+@query(f"""
+WITH {QA_SQL}, b AS (SELECT domain, count(*) AS r, sum({_est_sql("'Rewrite ' || prompt || text")}) AS i, sum({_est_sql('text')}) AS o, sum({_est_sql("'Check ' || text")}) AS c FROM qa WHERE label = 'ai' GROUP BY domain)
+SELECT domain, d::INTEGER AS depth, (r + CASE WHEN d = 2 THEN r ELSE 0 END)::BIGINT AS requests, (i + CASE WHEN d = 2 THEN c ELSE 0 END)::BIGINT AS input_tokens, (o + CASE WHEN d = 2 THEN r * 64 ELSE 0 END)::BIGINT AS output_tokens,
+       (i * d + CASE WHEN d >= 2 THEN c ELSE 0 END)::BIGINT AS cumulative_input_tokens, (o * d + CASE WHEN d >= 2 THEN r * 64 ELSE 0 END)::BIGINT AS cumulative_output_tokens, CASE WHEN d = 2 THEN c + r * 64 ELSE 0 END::BIGINT AS quality_total_tokens
+FROM b, range(1, 4) AS t(d)
+""")
+def q_check_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage of three depths with a quality call at the second."""
+    rows = qa(spark, sf_dir).filter("label = 'ai'")
+    out = W.estimate_with_checks(rows, ["domain"], F.concat(F.lit("Rewrite "), "prompt", "text"), F.col("text"), 3, F.concat(F.lit("Check "), "text"), 2)
+    return out.select("domain", "depth", "requests", "input_tokens", "output_tokens", "cumulative_input_tokens", "cumulative_output_tokens", "quality_total_tokens")
+
+
+@query(f"""
+WITH {QA_SQL}, c AS (SELECT domain, (turn % 3 + 1)::INTEGER AS depth, label = 'human' AS q, length(prompt) AS i, length(text) AS o FROM qa),
+s AS (SELECT domain, depth, count(*) AS requests, count(*) FILTER (q) AS quality_requests, sum(i + o)::BIGINT AS total_tokens, coalesce(sum(i + o) FILTER (NOT q), 0)::BIGINT AS rewrite_total_tokens FROM c GROUP BY ALL)
+SELECT *, sum(total_tokens) OVER w::BIGINT AS cumulative_total_tokens, sum(rewrite_total_tokens) OVER w::BIGINT AS cumulative_rewrite_total_tokens FROM s WINDOW w AS (PARTITION BY domain ORDER BY depth)
+""")
+def q_check_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage with and without quality calls, and their running sums."""
+    rows = qa(spark, sf_dir).select("domain", (F.col("turn") % 3 + 1).cast("int").alias("depth"), (F.col("label") == "human").alias("quality"), F.lit(1).cast("long").alias("requests"), F.length("prompt").cast("long").alias("input_tokens"), F.length("text").cast("long").alias("output_tokens"))
+    out = W.usage_with_checks(rows.withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens")), ["domain"])
+    return out.select("domain", "depth", "requests", "quality_requests", "total_tokens", "rewrite_total_tokens", "cumulative_total_tokens", "cumulative_rewrite_total_tokens")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_space
+from ..operators import exports, models, remap
 from ..operators import metrics as M
 from ..operators import quality as Q
 from ..operators import reshape as R
@@ -90,3 +91,44 @@ def evaluate_command(spark: SparkSession, predictions: str, samples: str, out: s
     io.write_table(summary, f"{out}/metrics_summary.parquet")
     io.write_table(M.evaluate(joined, [*by, "domain"], score="prob_ai"), f"{out}/metrics_by_domain.parquet")
     io.write_table(M.roc_points(joined, by, score="prob_ai").select(*by, "fpr", "tpr", "threshold"), f"{out}/roc_points.parquet")
+
+
+def test_set_command(spark: SparkSession, sources: list[str], out: str) -> None:
+    """Every table as a test set of its own, named by its file: samples without duplicates, all of split ``test``, and a manifest of the counts."""
+    counts = {}
+    for path in sources:
+        name = path.rstrip("/").rpartition("/")[2].rpartition(".")[0]
+        wide = io.read_wide(spark, path).withColumn("_number", F.col("hc3_row_id"))
+        df = deduplicated(R.to_samples(wide, "_number", name)).withColumn("split", F.lit("test"))
+        io.write_table(df, f"{out}/{name}/test.parquet")
+        counts[name] = io.count_rows(spark, f"{out}/{name}/test.parquet")
+    if not counts:
+        raise FileNotFoundError("no test tables")
+    io.write_manifest(spark, {"num_samples": counts}, f"{out}/manifest")
+
+
+def merge_command(spark: SparkSession, pattern: str, out: str) -> None:
+    """Wide rows of all shard folders, of equal ids, sources and questions the earliest shard's."""
+    rows = io.read_shards(spark, pattern).withColumn("_position", F.col("hc3_row_id"))
+    io.write_table(remap.merge_shards(rows, remap.IDENTITY, "shard", "_position").select(*io.WIDE), out)
+
+
+def export_command(spark: SparkSession, metrics: str, dataset: str, out: str, before: str | None = None) -> None:
+    """Shared JSON payloads from the folder that ``evaluate`` wrote, over those of an older export."""
+    rows = io.read_table(spark, f"{metrics}/metrics_summary.parquet").withColumn("dataset_name", F.lit(dataset))
+    rows = rows.withColumn("num_samples", F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"))
+    curve = io.read_table(spark, f"{metrics}/roc_points.parquet")
+    exports.write_shared(exports.share_payloads(rows, curve, exports.read_shared(spark, before) if before else None), out)
+
+
+def train_command(spark: SparkSession, samples: str, out: str) -> None:
+    """The SVM detector of the samples' train split, calibrated on the val split, saved with its curve."""
+    df = io.read_table(spark, samples, ["sample_id", "text", "label", "split"]).withColumn("y", (F.col("label") == "ai").cast("int"))
+    model, curve = models.fit_svm(df.filter("split = 'train'"), df.filter("split = 'val'"))
+    models.save_model(model, f"{out}/svm")
+    models.save_model(curve, f"{out}/curve")
+
+
+def score_command(spark: SparkSession, model: str, samples: str, out: str) -> None:
+    df = io.read_table(spark, samples, ["sample_id", "text"])
+    io.write_table(models.predict_svm(df, models.load_model(f"{model}/svm"), models.load_model(f"{model}/curve"), "sample_id"), out)

@@ -82,7 +82,7 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 def broken_lines(spark: SparkSession, path: str) -> DataFrame:
     """``file, line, text`` of the lines that are no JSON objects; lines count from 1 in each file, whose blocks are read whole for that."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
     return files.filter((F.trim("text") != "") & F.try_parse_json("text").isNull() | (F.trim("text") != "") & ~F.trim("text").startswith("{")).select("file", (F.col("line") + 1).alias("line"), "text")
 
 
@@ -141,10 +141,20 @@ def write_by_source(df: DataFrame, folder: str, source: str = "source") -> dict[
     return counts
 
 
+def read_small_text(spark: SparkSession, path: str) -> str:
+    """A settings file as one text, hidden ones too."""
+    p, fs = _folder(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def read_environment(spark: SparkSession, path: str) -> dict[str, str]:
     """``NAME=value`` lines of a file; comments and lines without a sign are skipped, quotes around a value go. Nothing is set."""
     out = {}
-    for (line,) in spark.read.text(path).collect() if exists(spark, path) else []:  # a settings file
+    for line in read_small_text(spark, path).splitlines() if exists(spark, path) else []:
         name, sign, value = line.strip().partition("=")
         if sign and not name.startswith("#"):
             out[name.strip()] = value.strip().strip("'\"")
@@ -153,7 +163,7 @@ def read_environment(spark: SparkSession, path: str) -> dict[str, str]:
 
 def read_prefix(spark: SparkSession, path: str | None, default: str) -> str:
     """A prompt's opening from a file, the default if there is none or it is blank."""
-    if path and exists(spark, path) and (text := "\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect()).strip()):
+    if path and exists(spark, path) and (text := read_small_text(spark, path).strip()):
         return text
     return default
 
@@ -176,7 +186,7 @@ def write_manifest(spark: SparkSession, content: dict, path: str) -> None:
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict:
-    return json.loads("\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect()))
+    return json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
 
 
 def write_bundle(df: DataFrame, folder: str, manifest: dict | None = None, split: str = "split") -> None:
