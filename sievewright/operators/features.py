@@ -53,6 +53,12 @@ def term_counts(df: DataFrame, key: str, terms: Column) -> DataFrame:
     return df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
+def char_term_counts(df: DataFrame, key: str, text: Column, low: int, high: int) -> DataFrame:
+    """``key, term, n`` of character n-grams inside words; a document's equal words are counted before they are cut up."""
+    words = df.select(key, F.explode(F.split(normalize_space(text), " ")).alias("w")).filter("w != ''").groupBy(key, "w").agg(F.count(F.lit(1)).alias("m"))
+    return words.select(key, "m", F.explode(char_ngrams(F.col("w"), low, high)).alias("term")).groupBy(key, "term").agg(F.sum("m").alias("n"))
+
+
 def vocabulary(counts: DataFrame, least_df: int, most: int) -> DataFrame:
     """``term, df, total`` of terms in ``least_df`` documents or more, the ``most`` most frequent; ties by term."""
     v = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("total")).filter(F.col("df") >= least_df)
@@ -70,32 +76,43 @@ def tfidf(counts: DataFrame, vocab: DataFrame, documents: int | Column, key: str
     return w.join(norm, key).select(key, "term", F.try_divide("w", "norm").alias("weight"))
 
 
-#: The two blocks of the stacked features: terms, least number of documents, most terms.
-BLOCKS = {"word": (lambda c: ngrams(word_tokens(fold(c)), 1, 2), 2, 20_000), "char": (lambda c: char_ngrams(fold(c), 3, 5), 2, 15_000)}
+#: The two blocks of the stacked features: term counts, least number of documents, most terms.
+BLOCKS = {
+    "word": (lambda df, key, text: term_counts(df, key, ngrams(word_tokens(fold(F.col(text))), 1, 2)), 2, 20_000),
+    "char": (lambda df, key, text: char_term_counts(df, key, fold(F.col(text)), 3, 5), 2, 15_000),
+}
+STACKED = sum(most for _, _, most in BLOCKS.values())
+
+
+def stacked_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``block, key, term, n`` of both blocks, written once."""
+    out = None
+    for name, (count, _, _) in BLOCKS.items():
+        part = count(df, key, text).select(F.lit(name).alias("block"), key, "term", "n")
+        out = part if out is None else out.unionByName(part)
+    return stored(out, "term-counts")
 
 
-def stacked_vocabulary(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``block, term, df, place``: the terms of both blocks, numbered from 0 through both; bounded by the blocks' sizes."""
+def stacked_vocabulary(counts: DataFrame) -> DataFrame:
+    """``block, term, df, place`` from ``stacked_counts``: the terms of both blocks, numbered from 0 through both; bounded by the blocks' sizes."""
     out, start = None, 0
-    for name, (terms, least, most) in BLOCKS.items():
-        v = vocabulary(term_counts(df, key, terms(F.col(text))), least, most)
+    for name, (_, least, most) in BLOCKS.items():
+        v = vocabulary(counts.filter(F.col("block") == name), least, most)
         # a window over at most ``most`` terms
         v = v.select(F.lit(name).alias("block"), "term", "df", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("term")) - 1 + start).alias("place"))
         out, start = v if out is None else out.unionByName(v), start + most
-    return out
+    return stored(out, "vocabulary")
 
 
-def stacked_tfidf(df: DataFrame, key: str, text: str, vocab: DataFrame | None = None, documents: int | None = None) -> DataFrame:
+def stacked_tfidf(counts: DataFrame, vocab: DataFrame, documents: int, key: str) -> DataFrame:
     """``key, block, place, term, weight``: TF-IDF of both blocks, each of length 1 in every document.
 
-    With ``vocab`` and ``documents`` of a training set the same terms and document frequencies are used for other rows.
+    The vocabulary and number of documents may be those of other rows, which the features are then fitted to.
     """
-    vocab = stored(stacked_vocabulary(df, key, text), "vocabulary") if vocab is None else vocab
-    documents = df.count() if documents is None else documents
     out = None
-    for name, (terms, _, _) in BLOCKS.items():
+    for name in BLOCKS:
         own = vocab.filter(F.col("block") == name)
-        w = tfidf(term_counts(df, key, terms(F.col(text))), own, documents, key).join(own.select("term", "block", "place"), "term")
+        w = tfidf(counts.filter(F.col("block") == name).select(key, "term", "n"), own, documents, key).join(own.select("term", "block", "place"), "term")
         out = w if out is None else out.unionByName(w)
     return out.select(key, "block", "place", "term", "weight")
 

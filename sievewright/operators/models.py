@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, Normalizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import clipped_logit
+from ..functions import fresh
+from ..functions.numbers import clipped_logit, clipped_margin
 from ..session import stored
-from .features import fold, ngrams, word_tokens
+from ..sources.io import exists, read_manifest, write_manifest
+from .features import STACKED, stacked_counts, stacked_tfidf, stacked_vocabulary
 
-TERMS = 1 << 14
+#: Terms that the trees see: those of both blocks that most documents hold.
+TREE_TERMS = 1024
 
 
 def balanced(df: DataFrame, y: str = "y") -> DataFrame:
@@ -25,24 +30,53 @@ def balanced(df: DataFrame, y: str = "y") -> DataFrame:
     return df.join(F.broadcast(sizes.join(F.broadcast(total))), y).withColumn("weight", F.col("_all") / (F.col("_k") * F.col("_own"))).drop("_own", "_all", "_k")
 
 
-def text_vectors(text: str = "text") -> list:
-    """Pipeline stages from ``terms`` (see ``with_terms``) to unit ``features``."""
-    return [HashingTF(inputCol="terms", outputCol="tf", numFeatures=TERMS), IDF(inputCol="tf", outputCol="tfidf", minDocFreq=2), Normalizer(inputCol="tfidf", outputCol="features")]
+@dataclass
+class TextModel:
+    """Fitted stages on stacked TF-IDF features, and what the features were fitted to: the vocabulary and the number of documents."""
 
+    vocabulary: DataFrame
+    documents: int
+    size: int
+    stages: PipelineModel
 
-def with_terms(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.withColumn("terms", ngrams(word_tokens(fold(F.col(text))), 1, 2))
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.stages.transform(with_features(df, self.vocabulary, self.documents, self.size)[0])
 
+    def save(self, path: str) -> None:
+        self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+        write_manifest(self.vocabulary.sparkSession, {"documents": self.documents, "size": self.size}, f"{path}/features")
+        self.stages.write().overwrite().save(f"{path}/stages")
 
-def _training_rows(df: DataFrame, y: str, more: list[str] | None = None) -> DataFrame:
-    """Terms, label and weight, written once: every pass of a fit reads them and not the texts."""
-    return stored(balanced(with_terms(df), y).select("terms", y, "weight", *(more or [])), "training")
+    @classmethod
+    def load(cls, path: str) -> TextModel:
+        spark = SparkSession.getActiveSession()
+        return cls(spark.read.parquet(f"{path}/vocabulary"), **read_manifest(spark, f"{path}/features"), stages=PipelineModel.load(f"{path}/stages"))
 
 
-def fit_svm(df: DataFrame, calibration: DataFrame, y: str = "y") -> tuple[PipelineModel, LogisticRegression]:
-    """A balanced linear SVM on TF-IDF vectors, and a logistic curve fitted to its margins on other rows."""
-    model = Pipeline(stages=[*text_vectors(), LinearSVC(labelCol=y, weightCol="weight", maxIter=15, regParam=1e-3)]).fit(_training_rows(df, y))
-    margins = stored(margin(model.transform(with_terms(calibration))).select("margin", y), "margins")
+def with_features(df: DataFrame, vocab: DataFrame | None = None, documents: int | None = None, size: int = STACKED) -> tuple[DataFrame, DataFrame, int]:
+    """``df`` with sparse ``features`` of ``size`` places from ``text``, the vocabulary and the number of documents; both are fitted to ``df`` where they are not given.
+
+    Vectors are made from sorted lists of (place, weight), one row a document; a text without known terms has an empty one.
+    """
+    key = fresh(df.columns, "_row")
+    rows = stored(df.withColumn(key, F.monotonically_increasing_id()), "rows")
+    counts = stacked_counts(rows.select(key, "text"), key, "text")
+    if vocab is None:
+        vocab, documents = stacked_vocabulary(counts), rows.count()
+        if size < STACKED:  # the window sees a bounded vocabulary
+            common = vocab.orderBy(F.desc("df"), "block", "term").limit(size)
+            vocab = stored(common.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("block", "term")) - 1), "common")
+    weights = stacked_tfidf(counts, vocab, documents, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "weight"))).alias("_w"))
+    vector = F.udf(lambda w: SparseVector(size, [x[0] for x in w or []], [x[1] for x in w or []]), VectorUDT())
+    return rows.join(weights, key, "left").withColumn("features", vector("_w")).drop(key, "_w"), vocab, documents
+
+
+def fit_svm(df: DataFrame, calibration: DataFrame, y: str = "y") -> tuple[TextModel, PipelineModel]:
+    """A balanced linear SVM on stacked TF-IDF vectors, and a logistic curve fitted to its margins on other rows."""
+    vectors, vocab, documents = with_features(df.select("text", y))
+    stages = Pipeline(stages=[LinearSVC(labelCol=y, weightCol="weight", maxIter=100, regParam=1e-3)]).fit(stored(balanced(vectors, y).select("features", y, "weight"), "training"))
+    model = TextModel(vocab, documents, STACKED, stages)
+    margins = stored(margin(model.transform(calibration.select("text", y))).select("margin", y), "margins")
     curve = Pipeline(stages=[VectorAssembler(inputCols=["margin"], outputCol="m"), LogisticRegression(featuresCol="m", labelCol=y, rawPredictionCol="r", probabilityCol="p", predictionCol="d")]).fit(margins)
     return model, curve
 
@@ -51,32 +85,36 @@ def margin(df: DataFrame) -> DataFrame:
     return df.withColumn("margin", vector_to_array("rawPrediction")[1])
 
 
-def predict_svm(df: DataFrame, model: PipelineModel, curve: PipelineModel, key: str) -> DataFrame:
-    done = curve.transform(margin(model.transform(with_terms(df))))
+def predict_svm(df: DataFrame, model: TextModel, curve: PipelineModel, key: str) -> DataFrame:
+    done = curve.transform(margin(model.transform(df)))
     return predictions(done.withColumn("prob_ai", vector_to_array("p")[1]), key, "svm_tfidf", "margin")
 
 
-def fit_trees(df: DataFrame, y: str = "y", rounds: int = 8) -> PipelineModel:
-    """Boosted trees on hashed TF-IDF vectors; stops early on rows marked ``validation`` where there are any."""
+def fit_trees(df: DataFrame, y: str = "y", rounds: int = 12) -> TextModel:
+    """Boosted trees on the ``TREE_TERMS`` most common places of the stacked TF-IDF vectors; stops early on rows marked ``validation`` where there are any."""
     trees = GBTClassifier(labelCol=y, weightCol="weight", maxIter=rounds, maxDepth=4, stepSize=0.1, subsamplingRate=0.8, seed=42)
-    if "validation" in df.columns:
+    more = [c for c in ("validation",) if c in df.columns]
+    if more:
         trees = trees.setValidationIndicatorCol("validation")
-    stages = [HashingTF(inputCol="terms", outputCol="tf", numFeatures=256), IDF(inputCol="tf", outputCol="tfidf", minDocFreq=2), Normalizer(inputCol="tfidf", outputCol="features")]
-    return Pipeline(stages=[*stages, trees]).fit(_training_rows(df, y, [c for c in ("validation",) if c in df.columns]))
+    vectors, vocab, documents = with_features(df.select("text", y, *more), size=TREE_TERMS)
+    return TextModel(vocab, documents, TREE_TERMS, Pipeline(stages=[trees]).fit(stored(balanced(vectors, y).select("features", y, "weight", *more), "training")))
 
 
-def predict_trees(df: DataFrame, model: PipelineModel, key: str) -> DataFrame:
-    done = model.transform(with_terms(df)).withColumn("prob_ai", vector_to_array("probability")[1])
-    return predictions(done, key, "boosted_trees")
+def predict_trees(df: DataFrame, model: TextModel, key: str) -> DataFrame:
+    done = model.transform(df).withColumn("prob_ai", vector_to_array("probability")[1])
+    return predictions(done, key, "boosted_trees", logit=clipped_margin)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """The fitted stages with their parameters, replacing what is there."""
-    model.write().overwrite().save(path)
+def save_model(model: PipelineModel | TextModel, path: str) -> None:
+    """The fitted stages with their parameters, of text models the vocabulary too, replacing what is there."""
+    if isinstance(model, TextModel):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> PipelineModel | TextModel:
+    return TextModel.load(path) if exists(SparkSession.getActiveSession(), f"{path}/vocabulary") else PipelineModel.load(path)
 
 
 def cached_features(df: DataFrame, folder: str, config: dict, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -84,8 +122,6 @@ def cached_features(df: DataFrame, folder: str, config: dict, make: Callable[[Da
     import hashlib
     import json
 
-    from ..sources.io import exists
-
     spark = df.sparkSession
     state = json.dumps({"config": config, "files": sorted(df.inputFiles()), "schema": df.schema.simpleString()}, sort_keys=True, default=str)
     path = f"{folder}/features-{hashlib.sha1(state.encode()).hexdigest()[:16]}"
@@ -114,8 +150,8 @@ def predict_logistic(df: DataFrame, model: PipelineModel, key: str, threshold: f
     return out.join(df.select(key, *FEATURES), key).withColumn("decision_threshold", F.lit(threshold))
 
 
-def predictions(df: DataFrame, key: str, detector: str, score: str | None = None, threshold: float = 0.5) -> DataFrame:
-    s = F.col(score) if score else clipped_logit(F.col("prob_ai"))
+def predictions(df: DataFrame, key: str, detector: str, score: str | None = None, threshold: float = 0.5, logit: Callable[[Column], Column] = clipped_logit) -> DataFrame:
+    s = F.col(score) if score else logit(F.col("prob_ai"))
     return df.select(key, F.lit(detector).alias("detector_name"), s.alias("score"), "prob_ai", F.when(F.col("prob_ai") >= threshold, "ai").otherwise("human").alias("pred_label"))
 
 

@@ -334,7 +334,8 @@ SELECT doc_id, count(*) AS terms, round(sum(weight * weight), 6) AS squares, arg
 def q_stacked_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M4: word (1, 2) and in-word character (3, 5) blocks over all documents, each scaled to length 1 before they are stacked; one row a document."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    stacked = X.stacked_tfidf(d, "doc_id", "text")
+    counts = X.stacked_counts(d, "doc_id", "text")
+    stacked = X.stacked_tfidf(counts, X.stacked_vocabulary(counts), d.count(), "doc_id")
     return rounded(stacked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.sum(F.col("weight") * F.col("weight")).alias("squares"), F.max_by("term", F.struct(F.round("weight", 9), "term")).alias("heaviest")), 6)
 
 
