@@ -12,11 +12,11 @@ a similar pair agree on more weight than either leaves out; the rarest plain key
 by neither, as both use one order. Keys that only one set holds need not be kept, so most sets drop out here, and passages that many
 documents share give no candidates but where a set is little else.
 
-The sets that share a kept key are candidates; of keys that the same sets hold one is enough. Each key first links its sets to its
-first one; these pairs are verified and linked sets merged. Only keys whose sets are then still apart go on: there the sets
-outside the largest component meet all others. A pair is compared by sketches (byte sums of hash buckets: more buckets that differ than similar
-sets may differ in shingles exclude it), then by exact overlap. So a group of near copies costs about one comparison a set, and
-only sets that stay unlike under one key are compared one by one. Nothing is capped.
+The sets that share a kept key are candidates; of keys that the same sets hold one is enough. First every set of a key meets the key's
+``HEADS`` smallest ones. Keys whose sets are then still in several components go on: there the sets outside the largest component meet
+all others, by size and by the parities of hash buckets. What remains is compared by sketches (byte sums of buckets: more buckets that differ than similar sets may
+differ in shingles exclude a pair), then by exact overlap: each set with its smallest partner, then one pair for each two groups,
+and all pairs only where that one is unlike. So a group of near copies costs a few comparisons a set. Nothing is capped.
 
 Equal sets are one class, of which one document stands for all. Texts are shingled once for keys and counts, candidates' texts
 once more for their sets. Keys travel packed, those of a slice of texts together, to slots of bounded size.
@@ -40,7 +40,7 @@ from math import exp, lgamma, log
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -53,6 +53,8 @@ BAND = 2.0
 SHARED, OTHERS = 0.02, 1000.0
 #: A set can leave out this share of ``H`` at least.
 LEAST_SPARE = 0.25
+#: Under a key so many of its sets are compared with all others at first.
+HEADS = 8
 #: Text bytes whose keys make a slot, and that are packed together.
 SLOT_BYTES, SLICE_BYTES = 32 << 20, 16 << 20
 
@@ -213,6 +215,16 @@ def _slices(b: pa.RecordBatch, text: int, size: int = 4 << 20) -> Iterator[pa.Re
         yield b.slice(at, end - at)
 
 
+def parity(s: np.ndarray) -> list[int]:
+    """A bit for each of a power of two of buckets, more than shingles: whether it has an odd number of them; as whole numbers of 64 bits.
+
+    Where two such signatures differ, at least one shingle is in only one of the sets; either half may be added to the other.
+    """
+    width = 1 << max(6, len(s).bit_length())
+    odd = np.bincount((mix(s ^ U(0xC2B2AE3D27D4EB4F)) & U(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def fold(x: np.ndarray, width: int) -> np.ndarray:
     """A sketch with ``width`` buckets, at most as many as it has."""
     return x.reshape(-1, width).sum(0, dtype=np.uint8)
@@ -308,14 +320,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(words: int):
-    """``id, n, body, sketch`` of texts."""
+    """``id, n, body, sketch, signature`` of texts."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in _slices(b, 1):
                 sets = shingle_sets(part.column(1), words)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], names=["id", "n", "body", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s).tobytes() for s in sets], pa.binary()), pa.array([parity(s) for s in sets], pa.list_(pa.int64()))], names=["id", "n", "body", "sketch", "signature"])
 
     return run
 
@@ -351,18 +363,51 @@ def _verify(percent: int, exact: bool):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The similar ones of ``pairs(a, b)``; a set is joined to each of its pairs, and AQE splits sets of very many pairs."""
+def _with_sets(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """A set is joined to each of its pairs; both sides are plain tables, so AQE splits sets of very many pairs."""
+    for end in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in columns]).hint("merge"), end)
+    return pairs
+
+
+def _screened(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    return stored(_with_sets(pairs, sets, ["n", "sketch"]).mapInArrow(_verify(percent, False), "a long, b long"), "screened")
+
 
-    def joined(some: DataFrame, columns: list[str]) -> DataFrame:
-        for end in ("a", "b"):
-            some = some.join(sets.select(F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in columns]).hint("merge"), end)
-        return some
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    return stored(_with_sets(pairs, sets, ["body"]).mapInArrow(_verify(percent, True), "a long, b long"), "links")
 
-    screened = stored(joined(pairs, ["n", "sketch"]).mapInArrow(_verify(percent, False), "a long, b long"), "screened")
-    found = stored(joined(screened, ["body"]).mapInArrow(_verify(percent, True), "a long, b long"), "links")
-    discard(screened)
-    return found
+
+def _links_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Similar ones of screened ``pairs(a, b)``, b < a, enough to connect all that are connected by them.
+
+    Each ``a`` is first compared with its smallest ``b``; of the pairs that this leaves between two groups one is compared, and only
+    where that one is not similar all others of these groups.
+    """
+    first = stored(pairs.groupBy("a").agg(F.min("b").alias("b")), "first")
+    found = _similar(first, sets, percent)
+    roots = _roots(found)
+    rest = pairs.join(first.hint("merge"), ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")).hint("merge"), end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
+    rest = rest.filter("a_root != b_root").select("a", "b", F.least("a_root", "b_root").alias("x"), F.greatest("a_root", "b_root").alias("y"))
+    rest = stored(rest, "rest")
+    one = stored(rest.groupBy("x", "y").agg(F.min(F.struct("a", "b")).alias("p")).select("p.*", "x", "y"), "one")
+    second = _similar(one.select("a", "b"), sets, percent)
+    done = stored(one.join(second.hint("merge"), ["a", "b"]).select("x", "y"), "done")
+    third = _similar(rest.join(one.hint("merge"), ["a", "b"], "left_anti").join(done.hint("merge"), ["x", "y"], "left_anti").select("a", "b"), sets, percent)
+    discard(first, roots, rest, one, done)
+    return found.unionByName(second).unionByName(third)
+
+
+def _roots(links: DataFrame, doublings: int = 3) -> DataFrame:
+    """``node, root`` from one link to a smaller node for each: what lies up to ``2 ** doublings`` links on. Nodes with one root are connected."""
+    up = stored(links.groupBy("a").agg(F.min("b").alias("b")), "up")
+    for _ in range(doublings):
+        further = up.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        up, before = stored(up.join(further.hint("merge"), "b", "left").select("a", F.coalesce("c", "b").alias("b")), "up"), up
+        discard(before)
+    return up.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -389,37 +434,45 @@ def candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Da
 
 
 def _first_pairs(met: DataFrame, percent: int) -> DataFrame:
-    """Every class of a key with the key's smallest class, if their sizes allow."""
-    head = stored(met.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head")).select("key", F.col("head.rep").alias("b"), F.col("head.n").alias("bn")), "heads")
-    pairs = met.join(head.hint("merge"), "key").filter((F.col("rep") != F.col("b")) & _sizes_allow(F.col("n"), F.col("bn"), percent))
-    return stored(pairs.select(F.col("rep").alias("a"), "b").distinct(), "first-pairs")
+    """Every class of a key with the ``HEADS`` smallest classes of that key, if their sizes allow."""
+    smallest = Window.partitionBy("key").orderBy("rep")
+    heads = met.withColumn("place", F.row_number().over(smallest)).filter(F.col("place") <= HEADS)
+    heads = stored(heads.select("key", F.col("rep").alias("b"), F.col("n").alias("bn")), "heads")
+    pairs = met.join(heads.hint("merge"), "key").filter((F.col("rep") > F.col("b")) & _sizes_allow(F.col("n"), F.col("bn"), percent))
+    out = stored(pairs.select(F.col("rep").alias("a"), "b").distinct(), "first-pairs")
+    discard(heads)
+    return out
 
 
-def _sizes_allow(n, m, percent: int):
+def _sizes_allow(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _merged(links: DataFrame) -> DataFrame:
-    """``rep, component`` for the smaller ends' sake: each class that has a link to a smaller one with that one's own smallest, two steps on.
-
-    Classes with one component are linked; not all linked ones have one.
-    """
-    first = stored(links.groupBy("a").agg(F.min("b").alias("b")), "first-links")
-    second = first.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    return stored(first.join(second.hint("merge"), "b", "left").select(F.col("a").alias("rep"), F.coalesce("c", "b").alias("component")), "merged")
+def _signatures_allow(x: Column, n: Column, y: Column, m: Column, percent: int) -> Column:
+    """False only if sets with these signatures differ in more shingles than similar ones may; signatures of very unlike widths say nothing."""
+    half = lambda v, k: F.slice(v, F.lit(1) + k * F.floor(F.size(v) / 2).cast("int"), F.floor(F.size(v) / 2).cast("int"))
+    folded = lambda v: F.zip_with(half(v, 0), half(v, 1), lambda p, q: p.bitwiseXOR(q))
+    differ = lambda v, w: F.aggregate(F.zip_with(v, w, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, c: a + c)
+    count = F.when(F.size(x) == F.size(y), differ(x, y)).when(F.size(x) == 2 * F.size(y), differ(folded(x), y)).when(2 * F.size(x) == F.size(y), differ(x, folded(y))).otherwise(F.lit(0))
+    return count * (100 + percent) <= (n + m) * (100 - percent)
 
 
-def _other_pairs(met: DataFrame, merged: DataFrame, percent: int) -> DataFrame:
-    """Classes of a key that are still apart: those outside its largest component with all others."""
-    owned = met.join(merged.hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+def _other_pairs(met: DataFrame, sets: DataFrame, components: DataFrame, percent: int) -> DataFrame:
+    """Classes of a key that are still apart: those outside its largest component with all others, if sizes and signatures allow."""
+    owned = met.join(components.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     owned = stored(owned, "owned")
-    parts = owned.groupBy("key", "component").agg(F.count(F.lit(1)).alias("many")).groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("many", "component")).alias("top"))
-    parts = stored(parts.filter("parts > 1").select("key", F.col("top.component").alias("top")), "parts")
-    open_keys = stored(owned.join(parts.hint("merge"), "key"), "open")
+    parts = owned.groupBy("key", "component").agg(F.count(F.lit(1)).alias("many")).groupBy("key").agg(F.sum("many").alias("all"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("many", "component")).alias("top"))
+    # keys of few classes have had all their pairs
+    parts = stored(parts.filter((F.col("parts") > 1) & (F.col("all") > HEADS + 1)).select("key", F.col("top.component").alias("top")), "parts")
+    open_keys = owned.join(parts.hint("merge"), "key").join(sets.select(F.col("id").alias("rep"), "signature").hint("merge"), "rep")
+    open_keys = stored(open_keys, "open")
     discard(owned, parts)
-    few = open_keys.filter("component != top").select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"))
-    rest = open_keys.select("key", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
-    pairs = few.join(rest.hint("merge"), "key").filter((F.col("ac") != F.col("bc")) & _sizes_allow(F.col("an"), F.col("bn"), percent))
+    few = open_keys.filter("component != top").select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"), F.col("signature").alias("sa"))
+    rest = open_keys.select("key", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"), F.col("signature").alias("sb"), "top")
+    # two classes outside the largest component come up once
+    apart = (F.col("ac") != F.col("bc")) & ((F.col("bc") == F.col("top")) | (F.col("a") > F.col("b")))
+    near = _sizes_allow(F.col("an"), F.col("bn"), percent) & _signatures_allow(F.col("sa"), F.col("an"), F.col("sb"), F.col("bn"), percent)
+    pairs = few.join(rest.withColumnRenamed("key", "same").hint("merge"), (F.col("key") == F.col("same")) & apart & near)
     out = stored(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "other-pairs")
     discard(open_keys)
     return out
@@ -441,13 +494,15 @@ def similar_sets(df: DataFrame, words: int = 5, percent: int = 80, key: str = "d
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     described, classes, met = candidates(docs, words, percent)
     wanted = stored(met.select(F.col("rep").alias("id")).distinct(), "wanted")
-    sets = stored(docs.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(_sets(words), "id long, n long, body binary, sketch binary"), "sets")
+    sets = stored(docs.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(_sets(words), "id long, n long, body binary, sketch binary, signature array<long>"), "sets")
     pairs = _first_pairs(met, percent)
-    links = _verified(pairs, sets, percent)
-    discard(pairs, wanted)
-    pairs = _other_pairs(met, _merged(links), percent)
-    more = _verified(pairs, sets, percent)
-    discard(met, sets)
+    near = _screened(pairs, sets, percent)
+    links = _links_of(near, sets, percent)
+    discard(pairs, near, wanted)
+    pairs = _other_pairs(met, sets, connected_components(links), percent)
+    near = _screened(pairs, sets, percent)
+    more = _links_of(near, sets, percent)
+    discard(pairs, near, met, sets)
     components = connected_components(links.unionByName(more).unionByName(_shared_ids(described, classes)))
     named = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("name", F.coalesce("component", "rep").alias("component_id"))
     linked = described.filter("id is not null and name is not null").join(named.hint("merge"), "name").select("id", "n", "component_id")
