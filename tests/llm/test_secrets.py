@@ -1,7 +1,9 @@
 """Base rules against a regular-expression brute force; the models on held-out samples."""
 
 import hashlib
+import random
 import re
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,5 +83,35 @@ def test_held_out_samples(spark):
     assert wrong <= 0.02 * found.count()
 
 
+def test_precision_and_recall_of_planted_strings(spark):
+    """Random strings of several encodings and identifiers of unseen words, planted in the table's own texts."""
+    rng = random.Random(9)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = S.train(S.labelled_samples(spark, docs))
+    alphabets = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", string.ascii_uppercase + string.digits]
+    secrets = ["".join(rng.choice(rng.choice(alphabets[:1] * 3 + alphabets)) for _ in range(rng.randint(28, 44))) for _ in range(200)]
+    words = "river cloud marble orange silver window garden bridge candle forest helmet island jacket kettle ladder mirror needle oyster pencil rabbit saddle tunnel velvet walnut".split()
+    shapes = [lambda w: "_".join(w), lambda w: w[0] + "".join(x.title() for x in w[1:]), lambda w: "/".join(w), lambda w: "-".join(w), lambda w: "_".join(w).upper()]
+    plain = [rng.choice(shapes)(rng.sample(words, 4)) for _ in range(200)]
+    rows = [(i, f"some words here {x} and more") for i, x in enumerate([*secrets, *plain])]
+    found = {r.doc_id for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).filter(F.size("found.spans") > 0).collect()}
+    right, wrong = len([i for i in found if i < 200]), len([i for i in found if i >= 200])
+    assert right >= 0.95 * 200 and right / (right + wrong) >= 0.95, (right, wrong)
+
+
+def test_rest_of_a_run_that_a_base_span_touches(spark, model):
+    text = "x" + KEY + "=" + "deadbeefdeadbeef"
+    (row,) = run(spark, model, [f"{'ab' * 8}/{KEY} token={KEY[:14]}"])
+    assert row.spans.startswith("hex:0:16,random:16:") and "assign" in row.spans
+    (row,) = run(spark, model, [text])
+    assert "random:0:" in row.spans and "hex" in row.spans
+
+
+def test_added_columns_do_not_clash(spark, model):
+    df = spark.createDataFrame([(1, f"key {KEY}", "b", "c", "d")], "doc_id long, text string, base_spans string, clear_text string, _base string")
+    (row,) = S.scan(df, model).collect()
+    assert (row.base_spans, row.clear_text, row._base) == ("b", "c", "d") and len(row.found.spans) == 1
+
+
 def test_empty(spark, model):
     assert run(spark, model, []) == []
