@@ -46,7 +46,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
@@ -74,12 +74,12 @@ def discard(*tables: DataFrame) -> None:
     """Deletes what ``stored`` wrote for these; for tables that no plan reads any more."""
     for df in tables:
         if path := getattr(df, "_scratch", None):
-            _remove(df.sparkSession, path)
+            remove(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
     """Deletes every scratch table of this application; for the end of a query whose result has been written."""
-    _remove(spark, _own_folder(spark))
+    remove(spark, _own_folder(spark))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

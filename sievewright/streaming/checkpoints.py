@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.quality import keep_latest
+from ..session import remove
 
 
 def record_stream(spark: SparkSession, path: str, schema: str, fmt: str = "json") -> DataFrame:
@@ -15,7 +16,8 @@ def record_stream(spark: SparkSession, path: str, schema: str, fmt: str = "json"
 def keep_latest_table(stream: DataFrame, key: str, order: list[str], path: str, checkpoint: str, once: bool = True):
     """A table at ``path/batch=N`` with the latest record of each key; every batch merges with the one before.
 
-    A batch that runs again writes the same folder anew, so its result is there once.
+    A batch that runs again writes the same folder anew, so its result is there once; the folder before the last one is
+    deleted, as no batch reads it any more. The whole state is written with each batch.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -24,6 +26,8 @@ def keep_latest_table(stream: DataFrame, key: str, order: list[str], path: str,
         if number:
             both = spark.read.schema(batch.schema).parquet(f"{path}/batch={number - 1}").unionByName(batch)
         keep_latest(both, key, order).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if number > 1:
+            remove(spark, f"{path}/batch={number - 2}")
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
