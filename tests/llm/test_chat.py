@@ -35,3 +35,9 @@ def test_typed_parts(spark):
     assert r.formatted == "### user: see \\h <image:0>\\lb><audio:1><document:2><document:3></turn>\n### assistant: </turn>\n"
     assert [(a.ordinal, a.kind, a.ref, a.tokens) for a in r.attachments] == [(0, "image", "s3://a", 256), (1, "audio", "s3://b", 7), (2, "document", "s3://c", 512), (3, "document", None, 512)]
     assert r.expanded_tokens == 256 + 7 + 512 + 512
+
+
+def test_very_long_texts(spark):
+    long = "\\#<: end </turn> " * 100_000
+    (found,) = talk(spark, [(1, 0, "user", long, "x"), (1, 1, "assistant", long, "x")])
+    assert [(t.role, t.text) for t in found["read"]] == [("user", long), ("assistant", long)] and found.loss == long

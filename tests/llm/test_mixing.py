@@ -59,6 +59,18 @@ def test_prefixes(spark):
     assert got == want
 
 
+def test_clashing_columns_and_a_very_long_text(spark, monkeypatch):
+    names = ["level0", "fine", "coarse", "hash", "key", "row", "_bin", "_hash", "whole", "edge"]
+    docs = [(i, "x" * (3_000_000 if i == 7 else 40 + i), "s" + str(i % 3), *[f"{n}{i}" for n in names]) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    rows = {}
+    for most in (20_000, 0):  # by broadcast and by shuffle
+        monkeypatch.setattr(mixing, "MOST_BROADCAST", most)
+        rows[most] = sorted((tuple(r) for r in mixing.mix(df, ["source"], 1.0, max_epochs=1).collect()), key=str)
+    assert rows[0] == rows[20_000] and len(rows[0]) == 60
+    assert all(r[3 : 3 + len(names)] == tuple(f"{n}{r[0]}" for n in names) and r[-2] == math.ceil(len(r[1]) / 4) and r[-1] == 1 for r in rows[0])
+
+
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string"), ["source"], 0.5).count() == 0
 

@@ -39,6 +39,12 @@ def test_store_holds_each_payload_once_and_repeated_ids_stay(spark):
     assert sorted(r.record_type for r in warc.read_archive(spark, path).collect()) == ["response"] * 3 + ["revisit"] * 3
 
 
+def test_very_long_payload(spark):
+    html = "<p>é</p>" * 400_000
+    (r,) = warc.read_archive(spark, warc.write_archive(spark.createDataFrame([(1, "u", html, "")], PAGES))).collect()
+    assert r.payload_bytes == len(html.encode()) and r.payload_digest == hashlib.sha1(html.encode()).hexdigest()
+
+
 def test_empty(spark):
     path = warc.write_archive(spark.createDataFrame([], PAGES))
     assert warc.read_archive(spark, path).count() == 0
