@@ -25,10 +25,62 @@ def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP1_SQL = """
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+), n AS (
+  SELECT doc_id, b, octet_length(b) AS n FROM d
+), w AS (
+  SELECT doc_id, p, md5(b[p + 1 : p + 200]) AS h FROM (SELECT doc_id, b, unnest(range(0, n - 199)) AS p FROM n WHERE n >= 200)
+), r AS (
+  SELECT h FROM w GROUP BY h HAVING count(*) > 1
+), x AS (
+  SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 0 ELSE 1 END AS fresh FROM w JOIN r USING (h)
+), g AS (
+  SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM x
+), i AS (
+  SELECT doc_id, g, min(p) AS a, max(p) + 200 AS z FROM g GROUP BY doc_id, g
+), k AS (
+  SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM i UNION ALL SELECT doc_id, max(z), NULL FROM i GROUP BY doc_id
+), kept AS (
+  SELECT k.doc_id, string_agg(CASE WHEN s < coalesce(e, n) THEN hex(b[s + 1 : coalesce(e, n)]) ELSE '' END, '' ORDER BY s) AS h FROM k JOIN n USING (doc_id) GROUP BY k.doc_id
+), c AS (
+  SELECT doc_id, sum(z - a) AS removed, count(*) AS spans FROM i GROUP BY doc_id
+)
+SELECT n.doc_id, n.n::BIGINT AS n_bytes, coalesce(c.removed, 0)::BIGINT AS n_removed, coalesce(c.spans, 0)::BIGINT AS n_spans,
+       CASE WHEN c.doc_id IS NULL THEN sha256(n.b) ELSE sha256(unhex(kept.h)) END AS kept_sha256
+FROM n LEFT JOIN c USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_sets(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w
+), n AS (
+  SELECT doc_id, len(s) AS n FROM s
+), t AS (
+  SELECT doc_id, hash(unnest(s)) AS h, unnest(s) AS t FROM s
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM t a JOIN t b ON a.h = b.h AND a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_ >= 90 * (x.n + y.n - both_)
+), either AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach AS (
+  SELECT a, b AS r FROM either UNION SELECT reach.a, either.b FROM reach JOIN either ON reach.r = either.a
+), c AS (
+  SELECT a, min(r) AS r FROM reach GROUP BY a
+)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, least(n.doc_id, coalesce(c.r, n.doc_id)) AS component_id FROM n LEFT JOIN c ON c.a = n.doc_id
+"""
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_archive(table(spark, sf_dir, "pages"))
     return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -111,6 +163,27 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON len(a.e) = len(b.e) AND a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
+), either AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach AS (
+  SELECT a, b AS r FROM either UNION SELECT reach.a, either.b FROM reach JOIN either ON reach.r = either.a
+), c AS (
+  SELECT a, min(r) AS r FROM reach GROUP BY a
+), m AS (
+  SELECT a, count(*) AS n FROM either GROUP BY a
+)
+SELECT v.vec_id, coalesce(m.n, 0)::BIGINT AS n_links, least(v.vec_id, coalesce(c.r, v.vec_id)) AS component_id, v.vec_id <= coalesce(c.r, v.vec_id) AS kept
+FROM v LEFT JOIN c ON c.a = v.vec_id LEFT JOIN m ON m.a = v.vec_id
+"""
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = secrets.train(secrets.labelled_samples(spark, docs))
@@ -219,6 +292,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_suffixes": OP1_SQL,
+    "op5_embeddings": OP5_SQL,
+    "op2_jaccard": OP2_SQL,
     "op3_warc": OP3_SQL,
     "op9_chat": OP9_SQL,
     "op10_mixing": OP10_SQL,
