@@ -34,7 +34,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .memory import frugal, give_back
 
 FOLDS = 5
-PER_CLASS = 1024
+PER_CLASS = 512
 RANK = 64
 NEIGHBOURS = 24
 KEEP = 0.3
@@ -152,7 +152,7 @@ class Model:
         self.prior = float(labels.mean())
         self.idf = (np.log((1 + len(x)) / (1 + (x[:, :COUNTS] > 0).sum(0))) + 1).astype(np.float32)
         self.mean, self.std = x[:, COUNTS:].mean(0), x[:, COUNTS:].std(0) + 1e-3
-        w = self.weigh(x)
+        w = self.weigh(x, in_place=True)  # ``x`` is not used any more
         self.basis = leading_vectors(w, rank)
         self.vectors = self._unit(w @ self.basis)
         self.labels = labels.astype(np.float64)
@@ -161,13 +161,14 @@ class Model:
     def _unit(z: np.ndarray) -> np.ndarray:
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
-    def weigh(self, x: np.ndarray) -> np.ndarray:
-        out = np.empty_like(x)
+    def weigh(self, x: np.ndarray, in_place: bool = False) -> np.ndarray:
+        some = x.any(1)[:, None]
+        out = x if in_place else np.empty_like(x)
         at = 0
         for n, weight in BLOCKS.values():
             out[:, at : at + n] = self._unit(x[:, at : at + n] * self.idf[at : at + n]) * weight
             at += n
-        out[:, COUNTS:] = np.clip((x[:, COUNTS:] - self.mean) / self.std, -5, 5) * RATIO_WEIGHT * x.any(1)[:, None]
+        out[:, COUNTS:] = np.clip((x[:, COUNTS:] - self.mean) / self.std, -5, 5) * RATIO_WEIGHT * some
         return out
 
     def latent(self, x: np.ndarray) -> np.ndarray:
@@ -216,8 +217,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     x = np.empty((len(rows), WIDTH), np.float32)
     for k, r in enumerate(rows):
         x[k] = np.frombuffer(r["x"], np.float16)
+    labels, ids = np.array([r["y"] for r in rows], np.float32), [r["id"] for r in rows]
+    del rows
+    model = Model(x, labels, ids)
+    del x
     give_back()
-    return Model(x, np.array([r["y"] for r in rows], np.float32), [r["id"] for r in rows])
+    return model
 
 
 def classify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: float = KEEP, block: int = 256) -> DataFrame:
