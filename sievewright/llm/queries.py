@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, embeddings, jaccard, media, mixing, packing, quality, secrets, suffixes, warc
+from . import chat, codes, embeddings, jaccard, media, mixing, packing, quality, secrets, suffixes, warc
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -278,6 +278,47 @@ FROM placed WHERE whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END > 0
 """
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    done = codes.with_total(coded, "label", "error", "label_error")
+    return done.select("vec_id", "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
+def _lloyd_sql(i: int) -> str:
+    """CTEs of round ``i``: ``s{i}`` assigns to the codebooks ``b{i}``; ``b{i + 1}`` are those of the next one."""
+    return f"""
+d{i} AS (
+  SELECT r, v.p, b.e, sum((v.x - b.x) * (v.x - b.x))::BIGINT AS d FROM c v JOIN b{i} b ON v.p = b.p AND v.j = b.j GROUP BY r, v.p, b.e
+), s{i} AS (
+  SELECT r, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM d{i} GROUP BY r, p
+), t{i} AS (
+  SELECT p, e, j, sum(x)::BIGINT AS x, count(*) AS n FROM c JOIN s{i} USING (r, p) GROUP BY p, e, j
+), b{i + 1} AS (
+  SELECT b.p, b.e, b.j, CASE WHEN t.n IS NULL THEN b.x ELSE (t.x - ((t.x % t.n) + t.n) % t.n) // t.n END AS x FROM b{i} b LEFT JOIN t{i} t USING (p, e, j)
+)"""
+
+
+OP11_SQL = f"""
+WITH v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL
+), k AS (
+  SELECT vec_id, label, list_transform(e, lambda x: CAST(floor(x * 256) AS BIGINT)) AS e, len(e) // 16 AS m FROM v
+  WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), n AS (
+  SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, e) - 1 AS r FROM k
+), c AS (
+  SELECT r, (i - 1) // m AS p, (i - 1) % m AS j, e[i] AS x FROM (SELECT r, m, e, unnest(range(1, len(e) + 1)) AS i FROM n)
+), b0 AS (
+  SELECT p, r AS e, j, x FROM c WHERE r < 64
+), {_lloyd_sql(0)}, {_lloyd_sql(1)}, {_lloyd_sql(2)}, o AS (
+  SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM s2 GROUP BY r
+), h AS (
+  SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, j)) AS h FROM b2
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h.h AS codebooks_sha256 FROM n JOIN o USING (r), h
+"""
+
+
 QUERIES = {
     "op1_suffixes": op1_suffixes,
     "op2_jaccard": op2_jaccard,
@@ -289,6 +330,7 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_chat": op9_chat,
     "op10_mixing": op10_mixing,
+    "op11_codes": op11_codes,
 }
 
 ORACLES = {
@@ -298,4 +340,5 @@ ORACLES = {
     "op3_warc": OP3_SQL,
     "op9_chat": OP9_SQL,
     "op10_mixing": OP10_SQL,
+    "op11_codes": OP11_SQL,
 }
