@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, codes, embeddings, jaccard, media, mixing, packing, quality, secrets, suffixes, warc
+from . import chat, codes, embeddings, jaccard, media, mixing, packing, quality, secrets, suffixes, url_filters, warc
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -319,6 +319,16 @@ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS labe
 """
 
 
+#: Verdict, host and path of each rule.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = url_filters.fit(url_filters.labelled_urls(spark))
+    judged = url_filters.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, weights)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 QUERIES = {
     "op1_suffixes": op1_suffixes,
     "op2_jaccard": op2_jaccard,
@@ -331,6 +341,7 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_mixing": op10_mixing,
     "op11_codes": op11_codes,
+    "op12_url_filters": op12_url_filters,
 }
 
 ORACLES = {
