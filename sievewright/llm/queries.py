@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, codes, embeddings, jaccard, media, mixing, packing, quality, secrets, suffixes, url_filters, warc
+from . import chat, codes, embeddings, jaccard, media, mixing, packing, quality, secrets, suffixes, trie, url_filters, warc
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -329,6 +329,48 @@ def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL
+), o AS (
+  SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, left(text, 32), left(sha256(length(role)::VARCHAR || ':' || role || text), 32)) AS p FROM t
+), k AS (
+  SELECT DISTINCT c, c - c % 100 AS base FROM o
+), f AS (
+  SELECT c, base, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(c::VARCHAR) + 1), lambda i: ascii((c::VARCHAR)[i])::UBIGINT)),
+    lambda s, b: list_reduce(list_prepend(xor(s, b), list_transform(range(8), lambda z: 0::UBIGINT)), lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END)) AS crc FROM k
+), h AS (
+  SELECT c, base, xor(crc, 4294967295::UBIGINT) % 6 AS h FROM f
+), r AS (
+  SELECT h.c, 0 AS part, o.p, o.role, o.text FROM h JOIN o ON o.c = h.base AND o.p <= h.h
+  UNION ALL SELECT h.c, 1, o.p, o.role, o.text FROM h JOIN o ON o.c = h.c AND o.p > h.h
+), n AS (
+  SELECT c, row_number() OVER w AS d, sha256(length(role)::VARCHAR || ':' || role || text) AS item, length(text) AS len FROM r WINDOW w AS (PARTITION BY c ORDER BY part, p)
+), s AS (
+  SELECT c, d, len, sha256(string_agg(item, '' ORDER BY d) OVER (PARTITION BY c ORDER BY d)) AS node FROM n
+  UNION ALL SELECT c, 0, 0, 'root' FROM k
+), u AS (
+  SELECT *, lag(node) OVER (PARTITION BY c ORDER BY d) AS parent, lead(node) OVER (PARTITION BY c ORDER BY d) IS NULL AS last FROM s
+), g AS (
+  SELECT node, any_value(d) AS depth, any_value(parent) AS parent, min(c) AS conv_id, count(*) AS n_convs, any_value(len) AS len,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '')) AS ends_sha256 FROM u GROUP BY node
+), m AS (
+  SELECT parent AS node, count(*) AS n FROM g WHERE parent IS NOT NULL GROUP BY parent
+), x AS (
+  SELECT g.*, coalesce(m.n, 0) AS n_children, q.conv_id AS parent_conv_id FROM g LEFT JOIN m ON m.node = g.node LEFT JOIN g q ON q.node = g.parent
+), a AS (
+  SELECT DISTINCT v.node AS top, w.node FROM u v JOIN u w ON v.c = w.c AND v.d <= w.d
+), b AS (
+  SELECT a.top AS node, count(*) FILTER (x.n_children = 0) AS n_leaves, sum((x.n_convs - 1) * x.len) AS saved FROM a JOIN x ON x.node = a.node GROUP BY a.top
+)
+SELECT x.conv_id, x.depth::BIGINT AS depth, x.parent_conv_id, x.n_convs, x.n_children, b.n_leaves, b.saved::BIGINT AS saved_tokens, x.ends_sha256 FROM x JOIN b ON b.node = x.node
+"""
+
+
 QUERIES = {
     "op1_suffixes": op1_suffixes,
     "op2_jaccard": op2_jaccard,
@@ -342,6 +384,7 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_codes": op11_codes,
     "op12_url_filters": op12_url_filters,
+    "op13_trie": op13_trie,
 }
 
 ORACLES = {
@@ -352,4 +395,5 @@ ORACLES = {
     "op9_chat": OP9_SQL,
     "op10_mixing": OP10_SQL,
     "op11_codes": OP11_SQL,
+    "op13_trie": OP13_SQL,
 }
