@@ -246,9 +246,6 @@ def drop_emoji(c: Column) -> Column:
 
 def markdown_to_prose(c: Column) -> Column:
     """Headers end in a full stop, rules go, bold is unwrapped, and a run of list items becomes ``a. b. c.``; lines are joined by blanks."""
-    nothing = F.array().cast(JSON_STRINGS)
-    start = F.struct(nothing.alias("out"), nothing.alias("held"))
-    flush = lambda a: F.when(F.size(a["held"]) > 0, F.concat(a["out"], F.array(F.concat(F.array_join(a["held"], ". "), F.lit("."))))).otherwise(a["out"])
 
     def plain(line: Column) -> Column:
         header = F.trim(F.regexp_extract(line, r"^#{1,6}\s+(.+)", 1))
@@ -257,14 +254,13 @@ def markdown_to_prose(c: Column) -> Column:
         line = F.regexp_replace(line, r"\*\*([^*]+?)\*\*", "$1")
         return normal_strip(F.regexp_replace(line, r"__([^_]+?)__", "$1"))
 
-    def step(a: Column, line: Column) -> Column:
+    def said(line: Column) -> Column:
         item = normal_strip(F.regexp_extract(line, r"^(?:[-*\u2022]|\d+\.)\s+(.+)", 1))
-        listed = F.struct(a["out"].alias("out"), F.concat(a["held"], F.array(item)).alias("held"))
-        other = F.struct(F.when(line == "", flush(a)).otherwise(F.concat(flush(a), F.array(line))).alias("out"), nothing.alias("held"))
-        return F.when(item != "", listed).otherwise(other)
+        # items that are joined by ". " and end in "." are items with a full stop each, joined as other lines are
+        return F.when(item != "", F.concat(item, F.lit("."))).otherwise(line)
 
-    joined = F.array_join(F.aggregate(F.transform(F.split(c, "\n"), plain), start, step, flush), " ")
-    return F.trim(F.regexp_replace(joined, r"(?U)\s{2,}", " "))
+    lines = F.transform(F.split(c, "\n"), lambda x: bind(plain(x), said))
+    return F.trim(F.regexp_replace(F.array_join(F.filter(lines, lambda x: x != ""), " "), r"(?U)\s{2,}", " "))
 
 
 def cleanup_style(c: Column) -> Column:
@@ -405,10 +401,14 @@ def span_starts(n: Column, span: int, buffer: int, share: float, *key: Column) -
     are its buffer, so that two spans are at least twice ``buffer`` apart.
     """
     run = span + 2 * buffer
-    count = F.floor(F.lit(share) * n / run).cast("int")
-    runs = F.filter(F.sequence(F.lit(0), F.floor(n / run).cast("int")), lambda i: (i + 1) * run <= n)
-    ranked = F.array_sort(F.transform(runs, lambda i: F.struct(F.md5(F.concat_ws("|", *[k.cast("string") for k in key], i.cast("string"))).alias("h"), i.alias("i"))))
-    return F.array_sort(F.transform(F.slice(ranked, F.lit(1), count), lambda r: r["i"] * run + buffer))
+
+    def of(n: Column) -> Column:
+        count = F.floor(F.lit(share) * n / run).cast("int")
+        runs = F.filter(F.sequence(F.lit(0), F.floor(n / run).cast("int")), lambda i: (i + 1) * run <= n)
+        ranked = F.array_sort(F.transform(runs, lambda i: F.struct(F.md5(F.concat_ws("|", *[k.cast("string") for k in key], i.cast("string"))).alias("h"), i.alias("i"))))
+        return F.array_sort(F.transform(F.slice(ranked, F.lit(1), count), lambda r: r["i"] * run + buffer))
+
+    return bind(n, of)
 
 
 def mask_spans(c: Column, starts: Column, span: int) -> Column:
@@ -430,14 +430,14 @@ def replace_spans(c: Column, starts: Column, span: int, fills: Column) -> Column
     A missing fill leaves its span as it is.
     """
 
-    def of(w: Column, at: Column) -> Column:
+    def of(w: Column, at: Column, put: Column) -> Column:
         old = lambda k: F.slice(w, F.get(at, k) + 1, F.lit(span))
-        new = lambda k: F.coalesce(F.split(F.get(fills, k), " "), old(k))
+        new = lambda k: F.coalesce(F.split(F.get(put, k), " "), old(k))
         text = F.array_join(F.flatten(_with_spans(w, at, span, new)), " ")
         log = F.transform(at, lambda a, k: F.struct(a.alias("start"), F.array_join(old(k), " ").alias("old"), F.array_join(new(k), " ").alias("new")))
         return F.struct(text.alias("text"), log.alias("log"))
 
-    return bind(words(c), lambda w: bind(starts, lambda at: of(w, at)))
+    return bind(words(c), lambda w: bind(starts, lambda at: bind(fills, lambda put: of(w, at, put))))
 
 
 # ---- times

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import metric_name, ratio
+from ..session import stored
 from .ranges import running
 
 COUNTS = ["tn", "fp", "fn", "tp"]
@@ -35,7 +36,21 @@ def confusion(df: DataFrame, by: list[str], threshold: Column | float = 0.5, y:
 def median_threshold(df: DataFrame, by: list[str], column: str = "decision_threshold", default: float = 0.5) -> DataFrame:
     """Each group's median decision threshold; the default where there is none."""
     v = F.col(column).try_cast("double")
-    return df.groupBy(*by).agg(F.coalesce(F.median(F.when(~F.isnan(v), v)), F.lit(default)).alias("threshold"))
+    return medians(df.select(*by, F.when(~F.isnan(v), v).alias("_v")), by, "_v").select(*by, F.coalesce("median", F.lit(default)).alias("threshold"))
+
+
+def medians(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``by.., median`` of each group's values that are not null; null where it has none. Ranks come from ranges: no task holds a group's values."""
+    counted = stored(df.groupBy(*by, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_n")), "values")
+    own = counted.filter("_x is not null")
+    totals = own.groupBy(F.struct(*by, F.lit(0)).alias("_g")).agg(F.sum("_n").alias("_total"))
+    run = running(own, by, [F.col("_x")], {"_upto": F.col("_n")}).withColumn("_g", F.struct(*by, F.lit(0))).join(totals, "_g")
+    # the two middle places, which are one for an odd number
+    holds = lambda p: (F.col("_upto") >= p) & (F.col("_upto") - F.col("_n") < p)
+    low, high = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
+    middle = run.groupBy("_g").agg(((F.max(F.when(holds(low), F.col("_x"))) + F.max(F.when(holds(high), F.col("_x")))) / 2).alias("median"))
+    groups = counted.select(*by).distinct().withColumn("_g", F.struct(*by, F.lit(0)))
+    return groups.join(middle, "_g", "left").drop("_g")
 
 
 def evaluate(df: DataFrame, by: list[str], y: str = "y", score: str = "score", threshold: str = "decision_threshold") -> DataFrame:
@@ -52,9 +67,10 @@ def evaluate(df: DataFrame, by: list[str], y: str = "y", score: str = "score", t
 def score_table(df: DataFrame, by: list[str], y: str = "y", score: str = "score") -> DataFrame:
     """One row per group and distinct score, from the highest: own counts (p, n), running counts (tp, fp), totals, and the own counts of the score below (next_p, next_n)."""
     clean = df.filter(F.col(score).isNotNull() & ~F.isnan(score) & F.col(y).isNotNull())
-    own = clean.groupBy(*by, F.col(score).alias("threshold")).agg(_hit(F.col(y) == 1).alias("p"), _hit(F.col(y) != 1).alias("n"))
+    # written, as dealing to ranges reads it twice and the totals once more
+    own = stored(clean.groupBy(*by, F.col(score).alias("threshold")).agg(_hit(F.col(y) == 1).alias("p"), _hit(F.col(y) != 1).alias("n")), "scores")
     run = running(own, by, [F.desc("threshold")], {"tp": F.col("p"), "fp": F.col("n")}, {"next_p": F.col("p"), "next_n": F.col("n")})
-    totals = clean.groupBy(F.struct(*by, F.lit(0).alias("_all")).alias("_g")).agg(_hit(F.col(y) == 1).alias("positives"), _hit(F.col(y) != 1).alias("negatives"))
+    totals = own.groupBy(F.struct(*by, F.lit(0).alias("_all")).alias("_g")).agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
     return run.withColumn("_g", F.struct(*by, F.lit(0).alias("_all"))).join(totals, "_g").drop("_g")
 
 
@@ -193,7 +209,7 @@ def roc_comparison(points: DataFrame, detector: str, dataset: str, datasets: lis
 
 
 #: Fixed thresholds of the perplexity-ratio detector; a machine text scores below.
-RATIO_THRESHOLDS = {"accuracy": 0.9015, "low_fpr": 0.8536}
+RATIO_THRESHOLDS = {"accuracy": 0.9015310749276843, "low_fpr": 0.8536432310785527}
 
 
 def ratio_decisions(score: Column) -> dict[str, Column]:

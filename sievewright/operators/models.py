@@ -1,26 +1,26 @@
-"""Detectors on pyspark.ml, and the scorer protocol."""
+"""Detectors of stacked TF-IDF weights and of perplexity features, and the scorer protocol."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fresh
 from ..functions.numbers import clipped_logit, clipped_margin
-from ..session import stored
+from ..session import discard, stored
 from ..sources.io import exists, read_manifest, write_manifest
 from .features import STACKED, stacked_counts, stacked_tfidf, stacked_vocabulary
-
-#: Terms that the trees see: those of both blocks that most documents hold.
-TREE_TERMS = 1024
+from .linear import Linear, fit_squared_hinge, linear_margin
+from .metrics import best_f1_threshold
+from .trees import Forest, TreeConfig, fit_forest, forest_margin
 
 
 def balanced(df: DataFrame, y: str = "y") -> DataFrame:
@@ -32,76 +32,92 @@ def balanced(df: DataFrame, y: str = "y") -> DataFrame:
 
 @dataclass
 class TextModel:
-    """Fitted stages on stacked TF-IDF features, and what the features were fitted to: the vocabulary and the number of documents."""
+    """A fitted model of stacked TF-IDF weights, and what the weights were fitted to: the vocabulary and the number of documents."""
 
     vocabulary: DataFrame
     documents: int
-    size: int
-    stages: PipelineModel
+    fitted: Forest | Linear
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.stages.transform(with_features(df, self.vocabulary, self.documents, self.size)[0])
+        """``df`` with ``margin``."""
+        rows = with_weights(df, self.vocabulary, self.documents)
+        places = F.transform("weights", lambda w: w["place"].cast("int"))
+        weights = F.transform("weights", lambda w: w["weight"])
+        if isinstance(self.fitted, Forest):
+            return forest_margin(rows, self.fitted, places, weights).drop("weights")
+        return linear_margin(rows.withColumn("places", places).withColumn("weights", weights), self.fitted).drop("places", "weights")
 
     def save(self, path: str) -> None:
+        spark = self.vocabulary.sparkSession
         self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
-        write_manifest(self.vocabulary.sparkSession, {"documents": self.documents, "size": self.size}, f"{path}/features")
-        self.stages.write().overwrite().save(f"{path}/stages")
+        write_manifest(spark, {"documents": self.documents}, f"{path}/features")
+        if isinstance(self.fitted, Forest):
+            write_manifest(spark, {"forest": self.fitted.to_dict()}, f"{path}/model")
+        else:
+            write_manifest(spark, {"linear": {"weights": self.fitted.weights.tolist(), "constant": self.fitted.constant}}, f"{path}/model")
 
     @classmethod
     def load(cls, path: str) -> TextModel:
         spark = SparkSession.getActiveSession()
-        return cls(spark.read.parquet(f"{path}/vocabulary"), **read_manifest(spark, f"{path}/features"), stages=PipelineModel.load(f"{path}/stages"))
+        model = read_manifest(spark, f"{path}/model")
+        fitted = Forest.from_dict(model["forest"]) if "forest" in model else Linear(np.array(model["linear"]["weights"]), model["linear"]["constant"])
+        return cls(spark.read.parquet(f"{path}/vocabulary"), fitted=fitted, **read_manifest(spark, f"{path}/features"))
 
 
-def with_features(df: DataFrame, vocab: DataFrame | None = None, documents: int | None = None, size: int = STACKED) -> tuple[DataFrame, DataFrame, int]:
-    """``df`` with sparse ``features`` of ``size`` places from ``text``, the vocabulary and the number of documents; both are fitted to ``df`` where they are not given.
+def text_weights(df: DataFrame, key: str, vocab: DataFrame | None = None, documents: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """``key, place, weight`` of the stacked TF-IDF blocks of ``text``, the vocabulary and the number of documents; both are fitted to ``df`` where they are not given."""
+    counts = stacked_counts(df.select(key, "text"), key, "text")
+    if vocab is None:
+        vocab, documents = stacked_vocabulary(counts), df.count()
+    return stacked_tfidf(counts, vocab, documents, key).select(key, "place", "weight"), vocab, documents
 
-    Vectors are made from sorted lists of (place, weight), one row a document; a text without known terms has an empty one.
-    """
+
+def with_weights(df: DataFrame, vocab: DataFrame, documents: int) -> DataFrame:
+    """``df`` with ``weights``, a list of (place, weight) sorted by place; a text without known terms has an empty one."""
     key = fresh(df.columns, "_row")
     rows = stored(df.withColumn(key, F.monotonically_increasing_id()), "rows")
-    counts = stacked_counts(rows.select(key, "text"), key, "text")
-    if vocab is None:
-        vocab, documents = stacked_vocabulary(counts), rows.count()
-        if size < STACKED:  # the window sees a bounded vocabulary
-            common = vocab.orderBy(F.desc("df"), "block", "term").limit(size)
-            vocab = stored(common.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("block", "term")) - 1), "common")
-    weights = stacked_tfidf(counts, vocab, documents, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "weight"))).alias("_w"))
-    vector = F.udf(lambda w: SparseVector(size, [x[0] for x in w or []], [x[1] for x in w or []]), VectorUDT())
-    return rows.join(weights, key, "left").withColumn("features", vector("_w")).drop(key, "_w"), vocab, documents
+    long, _, _ = text_weights(rows, key, vocab, documents)
+    lists = long.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "weight"))).alias("weights"))
+    return rows.join(lists, key, "left").withColumn("weights", F.coalesce("weights", F.array().cast(lists.schema["weights"].dataType))).drop(key)
 
 
 def fit_svm(df: DataFrame, calibration: DataFrame, y: str = "y") -> tuple[TextModel, PipelineModel]:
-    """A balanced linear SVM on stacked TF-IDF vectors, and a logistic curve fitted to its margins on other rows."""
-    vectors, vocab, documents = with_features(df.select("text", y))
-    stages = Pipeline(stages=[LinearSVC(labelCol=y, weightCol="weight", maxIter=100, regParam=1e-3)]).fit(stored(balanced(vectors, y).select("features", y, "weight"), "training"))
-    model = TextModel(vocab, documents, STACKED, stages)
-    margins = stored(margin(model.transform(calibration.select("text", y))).select("margin", y), "margins")
+    """A balanced linear SVM (squared hinge) on stacked TF-IDF weights, and a logistic curve fitted to its margins on other rows."""
+    rows = stored(df.select("text", F.col(y).alias("y")), "rows")
+    counts = stacked_counts(rows.withColumn("id", F.monotonically_increasing_id()).select("id", "text"), "id", "text")
+    vocab, documents = stacked_vocabulary(counts), rows.count()
+    lists = with_weights(balanced(rows, "y"), vocab, documents)
+    training = lists.select("y", "weight", F.transform("weights", lambda w: w["place"].cast("int")).alias("places"), F.transform("weights", lambda w: w["weight"]).alias("weights"))
+    model = TextModel(vocab, documents, fit_squared_hinge(stored(training, "training"), STACKED))
+    margins = stored(model.transform(calibration.select("text", y)).select("margin", y), "margins")
     curve = Pipeline(stages=[VectorAssembler(inputCols=["margin"], outputCol="m"), LogisticRegression(featuresCol="m", labelCol=y, rawPredictionCol="r", probabilityCol="p", predictionCol="d")]).fit(margins)
     return model, curve
 
 
-def margin(df: DataFrame) -> DataFrame:
-    return df.withColumn("margin", vector_to_array("rawPrediction")[1])
-
-
 def predict_svm(df: DataFrame, model: TextModel, curve: PipelineModel, key: str) -> DataFrame:
-    done = curve.transform(margin(model.transform(df)))
+    done = curve.transform(model.transform(df))
     return predictions(done.withColumn("prob_ai", vector_to_array("p")[1]), key, "svm_tfidf", "margin")
 
 
-def fit_trees(df: DataFrame, y: str = "y", rounds: int = 12) -> TextModel:
-    """Boosted trees on the ``TREE_TERMS`` most common places of the stacked TF-IDF vectors; stops early on rows marked ``validation`` where there are any."""
-    trees = GBTClassifier(labelCol=y, weightCol="weight", maxIter=rounds, maxDepth=4, stepSize=0.1, subsamplingRate=0.8, seed=42)
-    more = [c for c in ("validation",) if c in df.columns]
-    if more:
-        trees = trees.setValidationIndicatorCol("validation")
-    vectors, vocab, documents = with_features(df.select("text", y, *more), size=TREE_TERMS)
-    return TextModel(vocab, documents, TREE_TERMS, Pipeline(stages=[trees]).fit(stored(balanced(vectors, y).select("features", y, "weight", *more), "training")))
+def fit_trees(df: DataFrame, y: str = "y", config: TreeConfig = TreeConfig()) -> TextModel:
+    """Boosted trees on all places of the stacked TF-IDF weights; rows marked ``validation``, where there are any, tell when to stop, and are not learned from.
+
+    The vocabulary is that of the training rows.
+    """
+    marked = F.coalesce("validation", F.lit(False)) if "validation" in df.columns else F.lit(False)
+    rows = stored(df.select(F.monotonically_increasing_id().alias("id"), "text", F.col(y).alias("y"), marked.alias("validation")), "rows")
+    own, vocab, documents = text_weights(rows.filter("not validation"), "id")
+    weights = own
+    if rows.filter("validation").head():
+        weights = own.unionByName(text_weights(rows.filter("validation"), "id", vocab, documents)[0])
+    weights = stored(weights, "weights")
+    forest = fit_forest(rows.select("id", "y", "validation"), weights, STACKED, config)
+    discard(rows, weights)
+    return TextModel(vocab, documents, forest)
 
 
 def predict_trees(df: DataFrame, model: TextModel, key: str) -> DataFrame:
-    done = model.transform(df).withColumn("prob_ai", vector_to_array("probability")[1])
+    done = model.transform(df).withColumn("prob_ai", 1 / (1 + F.exp(-F.col("margin"))))
     return predictions(done, key, "boosted_trees", logit=clipped_margin)
 
 
@@ -117,16 +133,56 @@ def load_model(path: str) -> PipelineModel | TextModel:
     return TextModel.load(path) if exists(SparkSession.getActiveSession(), f"{path}/vocabulary") else PipelineModel.load(path)
 
 
-def cached_features(df: DataFrame, folder: str, config: dict, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``make(df)``, written once under the digest of ``config`` and the plan's inputs, and read again by later calls with the same."""
+#: Plan leaves whose content the names, sizes and times of their files tell.
+FILE_LEAVES = ("LogicalRelation", "DataSourceV2Relation", "DataSourceV2ScanRelation")
+
+
+def fingerprint(df: DataFrame, config: dict) -> str | None:
+    """A digest of ``config``, of the plan with its literals, and of the state (path, size, time of change) of every file that it reads; null if it reads anything but files."""
     import hashlib
     import json
 
     spark = df.sparkSession
-    state = json.dumps({"config": config, "files": sorted(df.inputFiles()), "schema": df.schema.simpleString()}, sort_keys=True, default=str)
-    path = f"{folder}/features-{hashlib.sha1(state.encode()).hexdigest()[:16]}"
-    if not exists(spark, f"{path}/_SUCCESS"):
-        make(df).write.mode("overwrite").parquet(path)
+    plan = df._jdf.queryExecution().analyzed()
+    leaves = plan.collectLeaves()
+    if any(leaves.apply(i).getClass().getSimpleName() not in FILE_LEAVES for i in range(leaves.size())):
+        return None
+    wide, before = "spark.sql.debug.maxToStringFields", spark.conf.get("spark.sql.debug.maxToStringFields", None)
+    spark.conf.set(wide, str(2**31 - 1))
+    try:
+        text = plan.canonicalized().toString()
+    finally:
+        spark.conf.set(wide, before) if before else spark.conf.unset(wide)
+    names = df.inputFiles()
+    states: list = []
+    if names:
+        files = spark.read.format("binaryFile").load(names).select("path", "length", "modificationTime")
+        row = files.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"), *[F.bit_xor(F.xxhash64(F.lit(k), "path", "length", "modificationTime")).alias(f"h{k}") for k in (0, 1)]).head()
+        states = [row.n, row.bytes, row.h0, row.h1]
+    state = json.dumps({"config": config, "files": states, "plan": text, "schema": df.schema.simpleString()}, sort_keys=True, default=str)
+    return hashlib.sha256(state.encode()).hexdigest()[:32]
+
+
+def cached_features(df: DataFrame, folder: str, config: dict, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``make(df)``, written once under the fingerprint of ``config``, the plan and its files, and read again by later calls with the same.
+
+    The table appears as a whole, by a rename; of two writers the first one's stays. A plan that reads anything but files is not cached.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    name = fingerprint(df, config)
+    if name is None:
+        return make(df)
+    path, own = f"{folder}/features-{name}", f"{folder}/_writing-{uuid.uuid4().hex}"
+    if not exists(spark, path):
+        make(df).write.parquet(own)
+        jvm = spark.sparkContext._jvm
+        source, target = (jvm.org.apache.hadoop.fs.Path(x) for x in (own, path))
+        fs = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        # a rename to a folder that is there would move into it
+        if fs.exists(target) or not fs.rename(source, target):
+            fs.delete(source, True)
     return spark.read.parquet(path)
 
 
@@ -144,15 +200,25 @@ def fit_logistic(df: DataFrame, y: str = "y") -> PipelineModel:
     return Pipeline(stages=stages).fit(stored(balanced(perplexity_matrix(df), y).select(*[f"x_{c}" for c in FEATURES], y, "weight"), "training"))
 
 
+def _logistic_probability(df: DataFrame, model: PipelineModel) -> DataFrame:
+    return model.transform(perplexity_matrix(df)).withColumn("prob_ai", vector_to_array("probability")[1])
+
+
+def choose_threshold(df: DataFrame, model: PipelineModel, y: str = "y") -> float:
+    """The probability that gives the best f1 on rows that the model has not learned from; 0.5 where these have one class or none."""
+    found = best_f1_threshold(_logistic_probability(df, model).select(F.col("prob_ai").alias("score"), F.col(y).alias("y")), []).head()
+    return 0.5 if found is None or found.threshold is None else found.threshold
+
+
 def predict_logistic(df: DataFrame, model: PipelineModel, key: str, threshold: float = 0.5) -> DataFrame:
-    done = model.transform(perplexity_matrix(df)).withColumn("prob_ai", vector_to_array("probability")[1])
-    out = predictions(done, key, "perplexity_logistic", threshold=threshold)
-    return out.join(df.select(key, *FEATURES), key).withColumn("decision_threshold", F.lit(threshold))
+    done = _logistic_probability(df, model)
+    out = predictions(done, key, "perplexity_logistic", threshold=threshold, keep=FEATURES)
+    return out.withColumn("decision_threshold", F.lit(threshold))
 
 
-def predictions(df: DataFrame, key: str, detector: str, score: str | None = None, threshold: float = 0.5, logit: Callable[[Column], Column] = clipped_logit) -> DataFrame:
+def predictions(df: DataFrame, key: str, detector: str, score: str | None = None, threshold: float = 0.5, logit: Callable[[Column], Column] = clipped_logit, keep: list[str] | None = None) -> DataFrame:
     s = F.col(score) if score else logit(F.col("prob_ai"))
-    return df.select(key, F.lit(detector).alias("detector_name"), s.alias("score"), "prob_ai", F.when(F.col("prob_ai") >= threshold, "ai").otherwise("human").alias("pred_label"))
+    return df.select(key, F.lit(detector).alias("detector_name"), s.alias("score"), "prob_ai", F.when(F.col("prob_ai") >= threshold, "ai").otherwise("human").alias("pred_label"), *(keep or []))
 
 
 def score_texts(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], list[float]]], batch: int = 16, name: str = "score") -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_strip, normalize_space
+from ..session import stored
 from .quality import keep_first, require_columns, two_level_lookup
+from .ranges import numbered
 
 #: What tells a source row's identity.
 IDENTITY = ["hc3_row_id", "source", "question"]
@@ -130,8 +132,9 @@ def context_ranks(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     """``key, tokens, mean_rank, mean_log_rank``: the rank, from 1, of each token among those that follow the token before it in all documents, by frequency, then token."""
     pairs = F.transform(F.filter(F.sequence(F.lit(1), F.size("_t")), lambda i: i < F.size("_t")), lambda i: F.struct(F.get("_t", i - 1).alias("a"), F.get("_t", i).alias("b")))
     # counted in each document first: frequent pairs are few rows
-    own = df.select(key, tokens.alias("_t")).select(key, F.explode(pairs).alias("p")).groupBy(key, "p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
-    ranks = own.groupBy("a", "b").agg(F.sum("n").alias("total")).withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("total"), "b")))
+    own = stored(df.select(key, tokens.alias("_t")).select(key, F.explode(pairs).alias("p")).groupBy(key, "p.a", "p.b").agg(F.count(F.lit(1)).alias("n")), "pairs")
+    totals = stored(own.groupBy("a", "b").agg(F.sum("n").alias("total")), "pair-totals")
+    ranks = numbered(totals, ["a"], [F.desc("total"), F.col("b")], "rank")
     ranked = own.join(ranks.select("a", "b", "rank"), ["a", "b"])
     mean = lambda c: F.sum(c * F.col("n")) / F.sum("n")
     return ranked.groupBy(key).agg(F.sum("n").alias("tokens"), mean(F.col("rank")).alias("mean_rank"), mean(F.log("rank")).alias("mean_log_rank"))

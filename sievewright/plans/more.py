@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
@@ -14,7 +14,8 @@ from ..operators import quality as Q
 from ..operators import remap as P
 from ..operators import rewrite as W
 from ..operators import sampling as S
-from ..session import table
+from ..operators.ranges import numbered
+from ..session import stored, table
 from .queries import BY, COUNT_SQL, FOLD, RATES_SQL, ROC_SQL, TOKENS, _wide, query, rounded
 from .views import PREDS_SQL, QA_SQL, norm_sql, normal, preds, qa
 
@@ -98,7 +99,7 @@ def q_roc_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.roc_comparison(M.roc_points(preds(spark, sf_dir), BY), "detector", "split", ["test", "val"], {"fine": "Fine detector"}))
 
 
-@query(f"WITH {PREDS_SQL}, c AS (SELECT *, ((doc_id * 104729) % 1009 + 1) / 1010.0::DOUBLE AS p FROM preds WHERE detector = 'fine') SELECT doc_id, round(ln(least(greatest(p, 1e-6), 1 - 1e-6) / least(greatest(1 - p, 1e-6), 1.0)), 8) AS margin, p < 0.8536 AS low_fpr, p < 0.9015 AS accuracy FROM c")
+@query(f"WITH {PREDS_SQL}, c AS (SELECT *, ((doc_id * 104729) % 1009 + 1) / 1010.0::DOUBLE AS p FROM preds WHERE detector = 'fine') SELECT doc_id, round(ln(least(greatest(p, 1e-6), 1 - 1e-6) / least(greatest(1 - p, 1e-6), 1.0)), 8) AS margin, p < 0.8536432310785527 AS low_fpr, p < 0.9015310749276843 AS accuracy FROM c")
 def q_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Margins with one-sided clipping, and decisions at the two fixed thresholds of the ratio detector."""
     p = ((F.col("doc_id") * 104729) % 1009 + 1) / F.lit(1010.0)
@@ -116,7 +117,7 @@ def q_shard_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows numbered inside shards, matched again to their source by id, source and question."""
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_index"), F.col("doc_id").alias("hc3_row_id"), "source", F.md5("text").alias("question"))
     shards = S.shard(rows, "source", "row_index", 4)
-    inside = shards.withColumn("shard_row", F.row_number().over(Window.partitionBy("shard").orderBy("row_index")) - 1).drop("row_index")
+    inside = numbered(shards, ["shard"], [F.col("row_index")], "_place").withColumn("shard_row", (F.col("_place") - 1).cast("int")).drop("row_index", "_place")
     return P.remap_rows(inside, rows).select("row_index", "shard", "shard_row")
 
 
@@ -185,12 +186,11 @@ def q_distinct_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.distinct_in_order(table(spark, sf_dir, "documents").select(F.md5("text").alias("text"), "doc_id"), "text", "doc_id")
 
 
-@query("WITH w AS (SELECT DISTINCT unnest(string_split(coalesce(text, ''), ' ')) AS word FROM documents) SELECT substr(md5(word), 1, 2) AS bucket, count(*) AS words, md5(string_agg(word, ' ' ORDER BY md5(word))) AS sorted FROM w GROUP BY ALL")
+@query("WITH w AS (SELECT DISTINCT unnest(string_split(coalesce(text, ''), ' ')) AS word FROM documents) SELECT md5(word) AS word, row_number() OVER (ORDER BY md5(word)) AS place FROM w")
 def q_word_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U4: the set of all words, sorted inside 256 buckets by their hash."""
-    words = table(spark, sf_dir, "documents").select(F.explode(T.words(F.coalesce("text", F.lit("")))).alias("word")).distinct()
-    keyed = words.select("word", F.md5("word").alias("h")).groupBy(F.substring("h", 1, 2).alias("bucket")).agg(F.count(F.lit(1)).alias("words"), F.array_sort(F.collect_list(F.struct("h", "word"))).alias("s"))
-    return keyed.select("bucket", "words", F.md5(F.array_join(F.transform("s", lambda x: x["word"]), " ")).alias("sorted"))
+    """U4: the set of all words, numbered in the order of their hash."""
+    words = table(spark, sf_dir, "documents").select(F.explode(T.words(F.coalesce("text", F.lit("")))).alias("word")).select(F.md5("word").alias("word")).distinct()
+    return numbered(stored(words, "words"), [], [F.col("word")], "place")
 
 
 # ---- texts

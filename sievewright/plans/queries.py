@@ -16,7 +16,7 @@ from ..operators import quality as Q
 from ..operators import reshape as R
 from ..operators import rewrite as W
 from ..operators import sampling as S
-from ..session import table
+from ..session import stored, table
 from ..streaming.checkpoints import windowed_counts
 from .views import DOCS_SQL, PREDS_SQL, QA_SQL, docs, norm_sql, normal, preds, qa
 
@@ -784,7 +784,9 @@ def q_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_logreg_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M1-M3: logistic regression on perplexity features."""
+    """M1-M3: logistic regression on perplexity features, told apart at the threshold that is best on the val split."""
     f = X.sentence_perplexities(table(spark, sf_dir, "documents"), "doc_id", "text", _model(spark, sf_dir))
     d = docs(spark, sf_dir).select("doc_id", "y", "split").join(f, "doc_id")
-    return models.predict_logistic(d.filter("split = 'test'"), models.fit_logistic(d.filter("split = 'train'")), "doc_id")
+    d = stored(d, "features")
+    model = models.fit_logistic(d.filter("split = 'train'"))
+    return models.predict_logistic(d.filter("split = 'test'"), model, "doc_id", models.choose_threshold(d.filter("split = 'val'"), model))

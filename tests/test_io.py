@@ -64,5 +64,5 @@ def test_detectors_learn(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, y int")
     test = df.filter("doc_id >= 60")
     labels = {r[0]: r[2] for r in rows}
-    for got in (models.predict_svm(test, *models.fit_svm(df.filter("doc_id < 40"), df.filter("doc_id >= 40 and doc_id < 60")), "doc_id"), models.predict_trees(test, models.fit_trees(df.filter("doc_id < 60"), rounds=2), "doc_id")):
+    for got in (models.predict_svm(test, *models.fit_svm(df.filter("doc_id < 40"), df.filter("doc_id >= 40 and doc_id < 60")), "doc_id"), models.predict_trees(test, models.fit_trees(df.filter("doc_id < 60"), config=models.TreeConfig(rounds=3)), "doc_id")):
         assert all((r.pred_label == "ai") == (labels[r.doc_id] == 1) for r in got.collect())

@@ -182,6 +182,70 @@ def test_models_are_saved_and_features_cached(spark, tmp_path):
     for config in ({"k": 1}, {"k": 1}, {"k": 2}):
         assert models.cached_features(spark.read.parquet(f"{tmp_path}/in"), f"{tmp_path}/cache", config, make).count() == 60
     assert len(calls) == 2
+    # a changed filter, and a file that was overwritten in its place, are other inputs
+    again = lambda d: models.cached_features(d, f"{tmp_path}/cache", {"k": 1}, make)
+    assert again(spark.read.parquet(f"{tmp_path}/in").filter("id < 10")).count() == 10 and again(spark.read.parquet(f"{tmp_path}/in").filter("id < 20")).count() == 20
+    assert len(calls) == 4
+    name = next(p for p in (tmp_path / "in").iterdir() if p.name.startswith("part-"))
+    df.filter("id < 5").coalesce(1).write.parquet(f"{tmp_path}/new")
+    name.write_bytes(next(p for p in (tmp_path / "new").iterdir() if p.name.startswith("part-")).read_bytes())
+    (name.parent / f".{name.name}.crc").unlink()
+    assert again(spark.read.parquet(f"{tmp_path}/in")).count() != 60 and len(calls) == 5
+    assert again(df).count() == 60 and again(df).count() == 60 and len(calls) == 7  # rows that no file holds are not cached
+    assert not [p for p in (tmp_path / "cache").iterdir() if p.name.startswith("_writing")]
+
+
+def test_threshold_is_chosen_on_other_rows(spark):
+    rows = [(i, float(i % 10), 1.0 + i % 10, 0.1, 0.1 * (i % 3), int(i % 10 > 6)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, doc_perplexity double, sentence_perplexity_mean double, sentence_perplexity_std double, burstiness double, y int")
+    model = models.fit_logistic(df.filter("id < 100"))
+    threshold = models.choose_threshold(df.filter("id >= 100"), model)
+    p = {r.id: r.prob_ai for r in models.predict_logistic(df, model, "id").collect()}
+    held = [(p[r[0]], r[5]) for r in rows if r[0] >= 100]
+
+    def judged(t):
+        tp, fp, fn = (sum((v >= t) == a and y == b for v, y in held) for a, b in ((True, 1), (True, 0), (False, 1)))
+        tn = len(held) - tp - fp - fn
+        return (2 * tp / (2 * tp + fp + fn), (tp + tn) / len(held), tp / (tp + fp) if tp + fp else 0, tp / (tp + fn))
+
+    best = max(sorted({0.5, *(v for v, _ in held)}), key=judged)
+    assert threshold == pytest.approx(best)
+    done = models.predict_logistic(df, model, "id", threshold).collect()
+    assert all((r.pred_label == "ai") == (r.prob_ai >= threshold) and r.decision_threshold == threshold and r.burstiness is not None for r in done)
+    assert models.choose_threshold(df.filter("y = 1"), model) == 0.5 == models.choose_threshold(df.filter("id < 0"), model)
+
+
+def test_spans_and_prose_in_linear_time(spark):
+    import time
+
+    from sievewright.functions import text as T
+
+    def took(make, n):
+        df = spark.createDataFrame([(make(n),)], "text string")
+        at = T.span_starts(F.size(T.words(F.col("text"))), 2, 1, 0.3, F.lit("1"))
+        done = df.select(F.md5(T.replace_spans(F.col("text"), at, 2, F.transform(at, lambda _: F.lit("x")))["text"]), F.md5(T.mask_spans(F.col("text"), at, 2)), F.md5(T.markdown_to_prose(F.col("text"))))
+        done.collect()
+        start = time.time()
+        done.collect()
+        return time.time() - start
+
+    for make in (lambda n: "word " * n, lambda n: "- item\n# Header\n" * (n // 4)):
+        assert took(make, 64_000) < 2.3 * took(make, 32_000) + 0.5
+
+
+def test_medians(spark):
+    import statistics
+
+    from sievewright.operators import metrics as M
+
+    rows = [(i % 3 if i % 7 else None, float(i * 37 % 50)) for i in range(301)] + [(9, None), (8, 2.0), (8, None), (7, 1.0), (7, 4.0)]
+    got = {r.g: r.median for r in M.medians(spark.createDataFrame(rows, "g int, v double"), ["g"], "v").collect()}
+    want = {}
+    for g, v in rows:
+        want.setdefault(g, []).extend([] if v is None else [v])
+    assert got == {g: statistics.median(v) if v else None for g, v in want.items()}
+    frame = spark.createDataFrame([("a", 1, 0.9, 0.2), ("a", 0, 0.1, 0.4), ("b", 1, 0.7, float("nan"))], "d string, y int, score double, decision_threshold double")
+    assert {r.d: r.threshold for r in M.median_threshold(frame, ["d"]).collect()} == pytest.approx({"a": 0.3, "b": 0.5})
 
 
 def test_generators_and_fillers(spark):
