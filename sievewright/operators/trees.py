@@ -297,8 +297,11 @@ def _level(work: DataFrame, trees: list[Tree], tree: Tree, totals: dict[int, tup
 
     dealt = work.select(*COLUMNS).mapInArrow(sums, "node long, place long, cut double, g long, h long").repartition("node", "place")
     found = dealt.mapInArrow(best, "node long, gain double, place long, cut double, missing_left boolean, g_left long, h_left long")
-    order = F.struct("gain", -F.col("place"), -F.col("cut"))
-    return found.groupBy("node").agg(F.max_by(F.struct("gain", "place", "cut", "missing_left", "g_left", "h_left"), order).alias("s")).select("node", "s.*").collect()
+    chosen: dict = {}
+    for r in found.collect():  # a row for each node and task at most
+        if r.node not in chosen or (r.gain, -r.place, -r.cut) > (chosen[r.node].gain, -chosen[r.node].place, -chosen[r.node].cut):
+            chosen[r.node] = r
+    return [chosen[n] for n in sorted(chosen)]
 
 
 def fit_tree(work: DataFrame, trees: list[Tree], total: tuple[int, int], size: int, config: TreeConfig, turn: int) -> Tree:

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from sievewright.plans import more  # noqa: F401  (registers further queries)
+from sievewright.plans import language, more  # noqa: F401  (registers further queries)
 from sievewright.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
