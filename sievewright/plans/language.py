@@ -1,4 +1,4 @@
-"""Registered queries of the language model, each beside its DuckDB query. Imported for its registrations."""
+"""Registered queries of the language model and of loaders, each beside its DuckDB query. Imported for its registrations."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import language as L
 from ..operators import metrics as M
 from ..session import table
+from ..sources import io
 from .queries import query, rounded
 
 MAX_LENGTH, STRIDE = 128, 64
@@ -77,3 +78,9 @@ def q_predicted_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean entropy of what the model of all documents predicts at each place."""
     grams = L.window_grams(table(spark, sf_dir, "documents"), "doc_id", _tokens(), MAX_LENGTH, STRIDE)
     return rounded(L.predicted_entropies(grams, L.fit_backoff(grams, 2), "doc_id"), 5)
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS batch FROM documents")
+def q_row_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One column of a file's rows (they lie in the order of their ids) in batches of 64, as the scan numbers them."""
+    return io.read_batches(spark, f"{sf_dir}/documents.parquet", 64, ["doc_id"])

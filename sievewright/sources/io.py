@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_list, normalize_space
 from ..operators.quality import require_columns
+from ..operators.ranges import numbered
 
 SUFFIXES = ["parquet", "csv", "jsonl", "json"]
 WIDE = ["hc3_row_id", "source", "question", "human_answers", "chatgpt_answers"]
@@ -212,3 +213,31 @@ def union_all(*frames: DataFrame) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
+
+
+def read_batches(spark: SparkSession, path: str, batch: int, columns: list[str] | None = None) -> DataFrame:
+    """Adds ``position`` (from 0, in the order of files and rows) and ``batch`` (so many rows each, the last may have fewer).
+
+    Of parquet the scan itself tells a row's place in its file; sizes of files come from a scan of no columns, which footers answer, a row for each file. Other formats are
+    numbered by ranges of Spark's own row order.
+    """
+    if batch <= 0:
+        raise ValueError(f"a batch holds one row at least, not {batch}")
+    df = read_table(spark, path, columns)
+    names = df.columns
+    if suffix(path) == "parquet":
+        placed = df.select(*names, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        sizes = read_table(spark, path).groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count(F.lit(1)).alias("_size"))
+        before = Window.partitionBy(F.lit(0)).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+        starts = sizes.select("_file", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+        place = F.col("_start") + F.col("_row")
+        numbered_rows = placed.join(starts, "_file")
+    else:
+        numbered_rows = numbered(df.withColumn("_row", F.monotonically_increasing_id()), [], [F.col("_row")], "_place")
+        place = F.col("_place") - 1
+    return numbered_rows.select(*names, place.cast("long").alias("position"), F.floor(place / batch).cast("long").alias("batch"))
+
+
+def map_batches(df: DataFrame, make, schema: str) -> DataFrame:
+    """``make`` of each batch of ``read_batches``, a pandas frame in the order of ``position``."""
+    return df.groupBy("batch").applyInPandas(lambda pdf: make(pdf.sort_values("position", ignore_index=True)), schema)
