@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import language as L
 from ..operators import metrics as M
+from ..operators import perturb as B
 from ..session import table
 from ..sources import io
 from .queries import query, rounded
@@ -84,3 +85,24 @@ def q_predicted_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_row_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One column of a file's rows (they lie in the order of their ids) in batches of 64, as the scan numbers them."""
     return io.read_batches(spark, f"{sf_dir}/documents.parquet", 64, ["doc_id"])
+
+
+def _eager(df: DataFrame) -> DataFrame:
+    """A filler that answers seven of eight attempts, by a hash, and names the place of each mask."""
+    ok = F.md5(F.concat_ws("|", "attempt", "key", "copy")) < "e"
+    return df.withColumn("fills", F.when(ok, F.transform("starts", lambda a, i: F.concat(F.lit("f"), i.cast("string")))))
+
+
+@query("""
+WITH c AS (SELECT doc_id, copy, string_split(coalesce(text, ''), ' ') AS w FROM documents, range(2) AS t(copy)),
+a AS (SELECT doc_id, copy, w, CASE WHEN len(w) < 4 OR floor(0.3::DOUBLE * len(w) / 4) = 0 THEN 0 ELSE (SELECT min(i) FROM range(20) AS n(i) WHERE md5(i || '|' || doc_id || '|' || copy) < 'e') END AS a FROM c),
+r AS (SELECT doc_id, copy, i, row_number() OVER (PARTITION BY doc_id, copy ORDER BY md5('7|0|' || a || '|' || doc_id || '|' || copy || '|' || i), i) <= floor(0.3::DOUBLE * len(w) / 4) AS taken FROM (SELECT *, unnest(range(len(w) // 4)) AS i FROM a WHERE a IS NOT NULL)),
+p AS (SELECT doc_id, copy, list(i ORDER BY i) AS p FROM r WHERE taken GROUP BY ALL),
+t AS (SELECT doc_id, copy, w, a, coalesce(p, []) AS p FROM a LEFT JOIN p USING (doc_id, copy))
+SELECT doc_id, copy::INTEGER AS copy, coalesce(a + 1, 20) AS attempts, len(p)::BIGINT AS spans, CASE WHEN a IS NULL THEN 1 ELSE 0 END::BIGINT AS given_up,
+       md5(array_to_string(list_filter(list_transform(w, lambda x, k: CASE WHEN (k - 1) % 4 IN (1, 2) AND list_contains(p, (k - 1) // 4) THEN CASE WHEN (k - 1) % 4 = 1 THEN 'f' || (list_position(p, (k - 1) // 4) - 1) ELSE NULL END ELSE x END), lambda x: x IS NOT NULL), ' ')) AS text FROM t
+""")
+def q_perturb_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two perturbed copies of every text; attempts that fail are masked anew at other places."""
+    done = B.perturb(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", _eager, copies=2, seed=7)
+    return done.select("doc_id", "copy", "attempts", "spans", "given_up", F.md5("text").alias("text"))
