@@ -9,8 +9,10 @@ from ..operators import language as L
 from ..operators import metrics as M
 from ..operators import perturb as B
 from ..session import table
+from ..sources import datasets as D
 from ..sources import io
-from .queries import query, rounded
+from .queries import WIDE_SQL, _detok_sql, _wide, query, rounded
+from .views import QA_SQL, qa
 
 MAX_LENGTH, STRIDE = 128, 64
 
@@ -106,3 +108,59 @@ def q_perturb_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two perturbed copies of every text; attempts that fail are masked anew at other places."""
     done = B.perturb(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", _eager, copies=2, seed=7)
     return done.select("doc_id", "copy", "attempts", "spans", "given_up", F.md5("text").alias("text"))
+
+
+def _numbered_sql(frm: str, key: str, text: str) -> str:
+    return f"SELECT row_number() OVER (ORDER BY sha1('3|' || {key.replace(', ', " || '|' || ")}), {key}) - 1 AS id, md5({text}) AS text FROM ({frm})"
+
+
+_STRIP = r"regexp_replace({0}, '^[\s\x{{1C}}-\x{{1F}}]+|[\s\x{{1C}}-\x{{1F}}]+$', '', 'g')"
+_TIDY = lambda c: f"trim({_detok_sql(c)}, ' ' || chr(10) || chr(9))"
+_LIST = lambda c: f"list_filter(list_transform({c}, lambda x: {_STRIP.format('x')}), lambda x: x <> '')"
+_ASKED = "'Question: ' || domain || ' Answer: ' || {0}"
+
+
+@query(f"""
+WITH {WIDE_SQL}, a AS (SELECT conv_id, domain, {_LIST('human')} AS h, {_LIST('ai')} AS m FROM wide),
+x AS (SELECT conv_id, domain, unnest(h) AS t, unnest(range(len(h))) AS i FROM a)
+{_numbered_sql(f"SELECT * FROM (SELECT conv_id, i, {_TIDY(_ASKED.format('t'))} AS text FROM x) WHERE text <> ''", 'conv_id, i', 'text')}
+""")
+def q_human_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The human answers of wide rows as a data set, its question before each."""
+    wide = _wide(spark, sf_dir).select("conv_id", F.col("domain").alias("question"), F.col("human").alias("human_answers"))
+    return D.human_answers(wide, "conv_id", 3).select("id", F.md5("text").alias("text"))
+
+
+@query(f"""
+WITH {WIDE_SQL}, a AS (SELECT conv_id, domain, {_LIST('human')} AS h, {_LIST('ai')} AS m FROM wide),
+x AS (SELECT conv_id, domain, unnest(h[1 : least(len(h), len(m))]) AS t, unnest(m[1 : least(len(h), len(m))]) AS u, unnest(range(least(len(h), len(m)))) AS i FROM a)
+{_numbered_sql(f"SELECT * FROM (SELECT conv_id, i, {_TIDY(_ASKED.format('t'))} AS o, {_TIDY(_ASKED.format('u'))} AS s FROM x) WHERE o <> '' AND s <> ''", 'conv_id, i', "o || chr(10) || s")}
+""")
+def q_answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The i-th human and machine answers of wide rows as pairs."""
+    wide = _wide(spark, sf_dir).select("conv_id", F.col("domain").alias("question"), F.col("human").alias("human_answers"), F.col("ai").alias("chatgpt_answers"))
+    return D.answer_pairs(wide, "conv_id", 3).select("id", F.md5(F.concat_ws("\n", "original", "sampled")).alias("text"))
+
+
+@query(rf"""
+WITH w AS (SELECT doc_id, text, len(list_filter(string_split(regexp_replace({_STRIP.format('text')}, '[\s\x{{1C}}-\x{{1F}}]+', ' ', 'g'), ' '), lambda x: x <> '')) AS n FROM documents WHERE lang = 'de')
+{_numbered_sql("SELECT * FROM w WHERE n > 100 AND n < 150", 'doc_id', 'text')}
+""")
+def q_language_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The German side of translations with more than 100 and fewer than 150 words."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.struct(F.when(F.col("lang") == "de", F.col("text")).alias("de")).alias("translation"))
+    return D.language(d, "doc_id", "de", 3).select("id", F.md5("text").alias("text"))
+
+
+@query(f"WITH {QA_SQL} {_numbered_sql(f"SELECT conv_id, turn, 'Question: ' || prompt || ' Answer:<<<SEP>>>' || text AS text FROM qa WHERE label = 'ai'", "conv_id || '-' || turn", 'text')}")
+def q_question_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions with their long answers, a separator between them."""
+    rows = qa(spark, sf_dir).filter("label = 'ai'").select(F.concat_ws("-", "conv_id", "turn").alias("key"), F.col("prompt").alias("question"), F.col("text").alias("long_answer"))
+    return D.questions(rows, "key", 3).select("id", F.md5("text").alias("text"))
+
+
+@query(f"WITH {QA_SQL}, s AS (SELECT conv_id, turn, {_TIDY("replace(replace('[ WP ] ' || prompt, '[ WP ]', ''), '[ OT ]', '') || chr(10) || ' ' || text")} AS text FROM qa WHERE label = 'ai') {_numbered_sql("SELECT * FROM s WHERE NOT contains(text, 'nsfw') AND NOT contains(text, 'NSFW')", "conv_id || '-' || turn", 'text')}")
+def q_story_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stories after their prompts, whose tags are dropped."""
+    rows = qa(spark, sf_dir).filter("label = 'ai'").select(F.concat_ws("-", "conv_id", "turn").alias("key"), F.concat(F.lit("[ WP ] "), "prompt").alias("prompt"), F.col("text").alias("story"))
+    return D.stories(rows, "key", 3).select("id", F.md5("text").alias("text"))
