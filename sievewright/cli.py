@@ -38,8 +38,16 @@ def parser() -> argparse.ArgumentParser:
     p = command("export", help="shared JSON of an evaluation")
     p.add_argument("--dataset", required=True)
     p.add_argument("--before")
-    command("train", help="fit and save the SVM detector")
-    command("score", help="score samples by a saved detector").add_argument("--model", required=True)
+    p = command("train", help="fit and save detectors")
+    p.add_argument("--detector", action="append", choices=P.DETECTORS)
+    p.add_argument("--rounds", type=int, default=120)
+    p = command("run", help="prepare, train, score and evaluate")
+    p.add_argument("--test", type=float, default=0.2)
+    p.add_argument("--val", type=float, default=0.1)
+    p.add_argument("--detector", action="append", choices=P.DETECTORS)
+    p.add_argument("--rounds", type=int, default=120)
+    p.add_argument("--target-fpr", type=float, action="append")
+    command("score", help="score samples by all detectors that are saved").add_argument("--model", required=True)
     return top
 
 
@@ -61,7 +69,9 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "export":
         P.export_command(spark, a.source, a.dataset, a.out, a.before)
     elif a.command == "train":
-        P.train_command(spark, a.source, a.out)
+        P.train_command(spark, a.source, a.out, tuple(a.detector or ["svm"]), a.rounds)
+    elif a.command == "run":
+        P.run_command(spark, a.source, a.out, P.PrepareConfig(test=a.test, val=a.val, seed=a.seed), tuple(a.detector or P.DETECTORS), a.rounds, tuple(a.target_fpr or [0.01, 0.001]))
     elif a.command == "score":
         P.score_command(spark, a.model, a.source, a.out)
     else:

@@ -1,7 +1,7 @@
 """Gradient-boosted trees over sparse rows, by histograms that Spark sums.
 
 A row is a list of places and a list of weights; a place that it lacks is missing there. Each place's weights are cut into ``bins`` quantile bins
-(every distinct weight is one where there are no more); a bin is known by its largest weight, the cut. A round fits a tree to the gradients and curvatures of
+(every distinct weight is one where there are no more); a bin is known by its largest weight, the cut, which is infinite for the last one. A round fits a tree to the gradients and curvatures of
 the logistic loss on a sample of the rows, with a sample of the places, level by level.
 
 Data movement: a level is one pass. Each task sums gradient and curvature by (node, place, cut) over its rows, so that a shuffle by (node,
@@ -212,13 +212,15 @@ def splits_of(node: np.ndarray, place: np.ndarray, cut: np.ndarray, g: np.ndarra
 
 
 def with_cuts(weights: DataFrame, bins: int) -> DataFrame:
-    """``id, place, cut`` from ``id, place, weight``: each weight's bin, by its largest weight."""
+    """``id, place, cut`` from ``id, place, weight``: each weight's bin, by its largest weight; the last bin of a place has no end."""
     values = weights.groupBy("place", "weight").agg(F.count(F.lit(1)).alias("n"))
     run = running(values, ["place"], [F.col("weight")], {"upto": F.col("n"), "rank": F.lit(1).cast("long")})
     totals = values.groupBy("place").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"))
     number = F.when(F.col("distinct") <= bins, F.col("rank")).otherwise(F.floor((F.col("upto") - F.col("n")) * bins / F.col("total")))
     numbered = stored(run.join(totals, "place").select("place", "weight", number.alias("bin")), "bins")
     cuts = numbered.groupBy("place", "bin").agg(F.max("weight").alias("cut"))
+    last = cuts.groupBy("place").agg(F.max("bin").alias("last"))
+    cuts = cuts.join(last, "place").select("place", "bin", F.when(F.col("bin") == F.col("last"), float("inf")).otherwise(F.col("cut")).alias("cut"))
     return weights.join(numbered.join(cuts, ["place", "bin"]), ["place", "weight"]).select("id", "place", "cut")
 
 

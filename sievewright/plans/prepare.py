@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_space
-from ..operators import exports, models, remap
+from ..operators import exports, features, models, remap
 from ..operators import metrics as M
 from ..operators import quality as Q
 from ..operators import reshape as R
@@ -121,14 +121,58 @@ def export_command(spark: SparkSession, metrics: str, dataset: str, out: str, be
     exports.write_shared(exports.share_payloads(rows, curve, exports.read_shared(spark, before) if before else None), out)
 
 
-def train_command(spark: SparkSession, samples: str, out: str) -> None:
-    """The SVM detector of the samples' train split, calibrated on the val split, saved with its curve."""
+#: Detectors that can be trained and scored, in order.
+DETECTORS = ("svm", "trees", "perplexity")
+
+
+def train_command(spark: SparkSession, samples: str, out: str, detectors: tuple[str, ...] = ("svm",), rounds: int = 120) -> None:
+    """Detectors of the samples' train split, saved under their names: the SVM with its curve, calibrated on the val split; the trees, which stop by it; and the perplexity
+    detector with its token model and the threshold that is best on it."""
+    if unknown := [d for d in detectors if d not in DETECTORS]:
+        raise ValueError(f"unknown detectors: {unknown}; known are {DETECTORS}")
     df = io.read_table(spark, samples, ["sample_id", "text", "label", "split"]).withColumn("y", (F.col("label") == "ai").cast("int"))
-    model, curve = models.fit_svm(df.filter("split = 'train'"), df.filter("split = 'val'"))
-    models.save_model(model, f"{out}/svm")
-    models.save_model(curve, f"{out}/curve")
+    train, val = df.filter("split = 'train'"), df.filter("split = 'val'")
+    if "svm" in detectors:
+        model, curve = models.fit_svm(train, val)
+        models.save_model(model, f"{out}/svm")
+        models.save_model(curve, f"{out}/curve")
+    if "trees" in detectors:
+        marked = train.withColumn("validation", F.lit(False)).unionByName(val.withColumn("validation", F.lit(True)))
+        models.save_model(models.fit_trees(marked, config=models.TreeConfig(rounds=rounds)), f"{out}/trees")
+    if "perplexity" in detectors:
+        tokens = features.unigram_model(train, features.word_tokens(features.fold(F.col("text"))))
+        tokens.write.mode("overwrite").parquet(f"{out}/perplexity/tokens")
+        tokens = spark.read.parquet(f"{out}/perplexity/tokens")
+        rows = stored(features.sentence_perplexities(df, "sample_id", "text", tokens).join(df.select("sample_id", "y", "split"), "sample_id"), "features")
+        model = models.fit_logistic(rows.filter("split = 'train'"))
+        models.save_model(model, f"{out}/perplexity/model")
+        io.write_manifest(spark, {"threshold": models.choose_threshold(rows.filter("split = 'val'"), model)}, f"{out}/perplexity/threshold")
 
 
 def score_command(spark: SparkSession, model: str, samples: str, out: str) -> None:
+    """Predictions of every detector that is saved under ``model``, one row for each sample and detector."""
     df = io.read_table(spark, samples, ["sample_id", "text"])
-    io.write_table(models.predict_svm(df, models.load_model(f"{model}/svm"), models.load_model(f"{model}/curve"), "sample_id"), out)
+    found = []
+    if io.exists(spark, f"{model}/svm"):
+        found.append(models.predict_svm(df, models.load_model(f"{model}/svm"), models.load_model(f"{model}/curve"), "sample_id"))
+    if io.exists(spark, f"{model}/trees"):
+        found.append(models.predict_trees(df, models.load_model(f"{model}/trees"), "sample_id"))
+    if io.exists(spark, f"{model}/perplexity"):
+        rows = features.sentence_perplexities(df, "sample_id", "text", spark.read.parquet(f"{model}/perplexity/tokens"))
+        threshold = io.read_manifest(spark, f"{model}/perplexity/threshold")["threshold"]
+        found.append(models.predict_logistic(rows, models.load_model(f"{model}/perplexity/model"), "sample_id", threshold))
+    if not found:
+        raise FileNotFoundError(f"no detector under {model}")
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more, allowMissingColumns=True)
+    io.write_table(every, out)
+
+
+def run_command(spark: SparkSession, source: str, out: str, config: PrepareConfig, detectors: tuple[str, ...] = DETECTORS, rounds: int = 120, targets: tuple[float, ...] = (0.01, 0.001)) -> None:
+    """The whole way from wide rows to metrics: ``data``, ``models``, ``predictions`` and ``metrics`` under ``out``."""
+    prepare_command(spark, source, f"{out}/set", config)
+    io.write_table(spark.read.parquet(f"{out}/set/data"), f"{out}/samples.parquet")
+    train_command(spark, f"{out}/samples.parquet", f"{out}/models", detectors, rounds)
+    score_command(spark, f"{out}/models", f"{out}/samples.parquet", f"{out}/predictions.parquet")
+    evaluate_command(spark, f"{out}/predictions.parquet", f"{out}/samples.parquet", f"{out}/metrics", list(targets))

@@ -40,3 +40,18 @@ def test_sample_shard_estimate(spark, wide, tmp_path):
     assert a.requests == 60 and b.total_tokens == 2 * a.total_tokens and a.output_tokens == sum(math.ceil(len(f"machine {i}") / 4) for i in range(60))
     with pytest.raises(ValueError, match="above the budget"):
         cli.main(["estimate", wide, f"{tmp_path}/e2.parquet", "--budget", "0.0000001"])
+
+
+def test_run_all_detectors(spark, tmp_path):
+    rows = [(i, ["finance", "medicine"][i % 2], f"q{i}", f'["people wrote line {i}. It is short, {i * 7 % 13} words"]', f'["the model generated answer {i}. It lists steps {i * 5 % 11}"]') for i in range(50)]
+    wide = f"{tmp_path}/wide.parquet"
+    io.write_table(spark.createDataFrame(rows, "hc3_row_id long, source string, question string, human_answers string, chatgpt_answers string"), wide)
+    cli.main(["run", wide, f"{tmp_path}/run", "--rounds", "2", "--val", "0.2", "--detector", "trees", "--detector", "perplexity"])
+    p = io.read_table(spark, f"{tmp_path}/run/predictions.parquet")
+    assert {r.detector_name: r["count"] for r in p.groupBy("detector_name").count().collect()} == {"boosted_trees": 100, "perplexity_logistic": 100}
+    threshold = io.read_manifest(spark, f"{tmp_path}/run/models/perplexity/threshold")["threshold"]
+    assert {r.decision_threshold for r in p.filter("detector_name = 'perplexity_logistic'").select("decision_threshold").distinct().collect()} == {threshold}
+    m = {(r.detector_name, r.split): r for r in io.read_table(spark, f"{tmp_path}/run/metrics/metrics_summary.parquet").collect()}
+    assert m["boosted_trees", "test"].accuracy == 1 and m["perplexity_logistic", "val"].threshold == pytest.approx(threshold)
+    with pytest.raises(FileNotFoundError):
+        cli.main(["score", f"{tmp_path}/run/samples.parquet", f"{tmp_path}/x.parquet", "--model", f"{tmp_path}/nothing"])
