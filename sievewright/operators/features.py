@@ -2,23 +2,44 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bind
-from ..functions.numbers import burstiness, sane_perplexity
+from ..functions.numbers import sane_perplexity
 from ..functions.text import normalize_space, sentences
 from ..session import stored
 from .ranges import numbered
 
 #: Word tokens: two or more word characters.
 TOKEN = r"(?U)(\b\w\w+\b)"
-#: Accented letters and their plain forms, matched by place.
-ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+
+
+def _accents() -> tuple[str, str]:
+    """Characters of the basic plane and their compatibility forms without combining marks, matched by place, and last the marks themselves, which have none.
+
+    Characters whose form has several others (ligatures, fractions, Hangul syllables) are not among them.
+    """
+    pairs, marks = [], []
+    for c in map(chr, range(0x80, 0x10000)):
+        if unicodedata.combining(c):
+            marks.append(c)
+        elif (form := unicodedata.normalize("NFKD", c)) != c:
+            plain = [x for x in form if not unicodedata.combining(x)]
+            if len(plain) == 1:
+                pairs.append((c, plain[0]))
+            elif not plain:
+                marks.append(c)
+    return "".join(c for c, _ in pairs) + "".join(marks), "".join(p for _, p in pairs)
+
+
+ACCENTS = _accents()
 
 
 def fold(c: Column) -> Column:
-    """Lower case without accents of Latin letters."""
+    """Lower case without accents, in every script."""
     return F.translate(F.lower(F.coalesce(c, F.lit(""))), *ACCENTS)
 
 
@@ -147,9 +168,9 @@ def bigram_scores(df: DataFrame, key: str, tokens: Column, k: float = 1.0) -> Da
     pairs = F.transform(F.filter(F.sequence(F.lit(1), F.size("_t")), lambda i: i < F.size("_t")), lambda i: F.struct(F.get("_t", i - 1).alias("a"), F.get("_t", i).alias("b")))
     long = df.select(key, tokens.alias("_t")).select(key, F.explode(pairs).alias("p")).groupBy(key, "p.a", "p.b").agg(F.count(F.lit(1)).alias("m"))
     long = stored(long, "pairs")
-    both = long.groupBy("a", "b").agg(F.sum("m").alias("n"))
-    first = long.groupBy("a").agg(F.sum("m").alias("na"))
-    types = long.agg(F.count_distinct("b").alias("types"))
+    both = stored(long.groupBy("a", "b").agg(F.sum("m").alias("n")), "pair-counts")
+    first = both.groupBy("a").agg(F.sum("n").alias("na"))
+    types = both.select("b").distinct().agg(F.count(F.lit(1)).alias("types"))
     model = both.join(first, "a").join(F.broadcast(types)).select("a", "b", F.log((F.col("n") + k) / (F.col("na") + k * F.col("types"))).alias("logp"))  # one row
     model = stored(model, "pair-model")
     return long.join(model, ["a", "b"]).groupBy(key).agg(F.sum("m").alias("tokens"), (F.sum(F.col("logp") * F.col("m")) / F.sum("m")).alias("ll"))
@@ -163,19 +184,19 @@ def sentence_perplexities(df: DataFrame, key: str, text: str, model: DataFrame,
     sentences without tokens are left out, and so are documents that have no others.
     """
     parts = df.select(key, F.posexplode_outer(sentences(F.col(text))).alias("s", "sentence"))
-    counted = parts.select(key, "s", F.explode(word_tokens(fold(F.col("sentence")))).alias("token")).groupBy(key, "s", "token").agg(F.count(F.lit(1)).alias("n"))
-    long = counted.join(model.select("token", "logp"), "token")
-    # every sentence, or document without one, has a row that adds nothing
-    both = long.select(key, "s", (F.col("logp") * F.col("n")).alias("logp"), "n").unionAll(parts.select(key, "s", F.lit(0.0).alias("logp"), F.lit(0).alias("n")))
-    per = both.groupBy(key, "s").agg(F.sum("logp").alias("lp"), F.sum("n").alias("n"))
+    # a sentence without tokens, or a document without sentences, keeps a row that adds nothing
+    counted = parts.select(key, "s", F.explode_outer(word_tokens(fold(F.col("sentence")))).alias("token")).groupBy(key, "s", "token").agg(F.count(F.lit(1)).alias("n"))
+    long = counted.join(model.select("token", "logp"), "token", "left")
+    per = long.groupBy(key, "s").agg(F.coalesce(F.sum(F.col("logp") * F.col("n")), F.lit(0.0)).alias("lp"), F.sum(F.when(F.col("logp").isNull(), 0).otherwise(F.col("n"))).alias("n"))
     per = per.select(key, "s", "lp", "n", sane_perplexity(F.exp(-F.try_divide("lp", "n"))).alias("ppl"))
     if scored_only:
         per = per.filter("n > 0")
+    mean, spread = F.avg("ppl"), F.stddev_pop("ppl")
     return per.groupBy(key).agg(
         sane_perplexity(F.exp(-F.try_divide(F.sum("lp"), F.sum("n")))).alias("doc_perplexity"),
-        F.avg("ppl").alias("sentence_perplexity_mean"),
-        F.stddev_pop("ppl").alias("sentence_perplexity_std"),
-        burstiness(F.array_sort(F.collect_list("ppl"))).alias("burstiness"),
+        mean.alias("sentence_perplexity_mean"),
+        spread.alias("sentence_perplexity_std"),
+        F.when((F.count(F.lit(1)) < 2) | (mean <= 0), 0.0).otherwise(spread / mean).alias("burstiness"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import language as L
 from ..operators import metrics as M
 from ..operators import perturb as B
+from ..operators import quality as Q
 from ..session import table
 from ..sources import datasets as D
 from ..sources import io
@@ -164,3 +165,14 @@ def q_story_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stories after their prompts, whose tags are dropped."""
     rows = qa(spark, sf_dir).filter("label = 'ai'").select(F.concat_ws("-", "conv_id", "turn").alias("key"), F.concat(F.lit("[ WP ] "), "prompt").alias("prompt"), F.col("text").alias("story"))
     return D.stories(rows, "key", 3).select("id", F.md5("text").alias("text"))
+
+
+@query("""
+WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents), b AS (SELECT doc_id AS other, md5(coalesce(text, '')) AS digest, row_number() OVER (ORDER BY md5('p' || doc_id)) AS n FROM documents)
+SELECT doc_id, other, digest FROM a JOIN b USING (n)
+""")
+def q_position_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in the order of their ids beside the rows in the order of a hash, place by place."""
+    d = table(spark, sf_dir, "documents")
+    right = d.select(F.col("doc_id").alias("other"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.md5(F.concat(F.lit("p"), F.col("doc_id").cast("string"))).alias("_h"))
+    return Q.join_by_position(d.select("doc_id"), right, "doc_id", "_h").select("doc_id", "other", "digest")

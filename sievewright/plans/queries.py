@@ -260,7 +260,7 @@ def q_sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TOKENS = "regexp_extract_all({}, '[\\p{{L}}\\p{{N}}\\p{{M}}_]{{2,}}')"
-FOLD = f"translate(lower(coalesce(text, '')), '{X.ACCENTS[0]}', '{X.ACCENTS[1]}')"
+FOLD = "translate(lower(coalesce(text, '')), '{}', '{}')".format(*[x.replace("'", "''") for x in X.ACCENTS])
 MODEL_SQL = f"""tok AS (SELECT doc_id, unnest({TOKENS.format(FOLD)}) AS token FROM documents),
 own AS (SELECT token, count(*) AS n FROM tok GROUP BY token),
 model AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) AS rank, ln((n + 1.0) / (sum(n) OVER () + count(*) OVER ())) AS logp FROM own)"""

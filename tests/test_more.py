@@ -295,3 +295,14 @@ def test_commands(spark, tmp_path):
     cli.main(["export", f"{tmp_path}/metrics", f"{tmp_path}/shared", "--dataset", "wide"])
     (r,) = E.read_shared(spark, f"{tmp_path}/shared").collect()
     assert json.loads(r.payload)["experiment_name"] == "wide_svm_tfidf" and json.loads(r.payload)["presentation_metrics"]["roc_auc"] > 0.9
+
+
+def test_accents_of_every_script(spark):
+    import unicodedata
+
+    from sievewright.operators import features as X
+
+    said = ["Éå Ñ ÿ", "ἀρχή ΐ", "Ở ệ đ", "ﾊﾟ Ａ　ｂ", "e\u0301a\u0327", "й ё", "İ", "\u00a0x"]
+    rows = texts(spark, said).select("text", X.fold(F.col("text")).alias("f")).collect()
+    for r in rows:
+        assert r.f == "".join(c for c in unicodedata.normalize("NFKD", r.text.lower()) if not unicodedata.combining(c)), r.text
