@@ -39,7 +39,7 @@ OPEN_WINDOWS = 64
 MIN_FILL = 8
 END_ID = 1
 #: When a tokenizing task's chunks take more bytes, it forgets them and starts anew with the next batch.
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 96 << 20
 #: What the index of chunks takes for each of them, besides its text and ids.
 CHUNK_BYTES = 150
 BATCH_BYTES = 2 << 20
