@@ -52,6 +52,22 @@ def test_stream_keeps_the_latest(spark, tmp_path):
         assert got == [{"a": "x", "b": "y"}, {"a": "z", "b": "y"}][n]
 
 
+def test_changes_table(spark, tmp_path):
+    schema = "k string, at int, v string"
+    batches = [[("a", 1, "x"), ("b", 1, "y")], [("a", 2, "z"), ("a", 0, "old")], [("c", 1, "n")], [("b", 5, "w"), ("c", 0, "late")]]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        C.keep_changes_table(C.record_stream(spark, f"{tmp_path}/in", schema), "k", ["at"], f"{tmp_path}/out", f"{tmp_path}/ck", merge_every=2).awaitTermination(60)
+        want = {}
+        for r in sorted((r for b in batches[: n + 1] for r in b), key=lambda r: r[1]):
+            want[r[0]] = r[2]
+        assert {r.k: r.v for r in C.read_latest(spark, f"{tmp_path}/out", schema, "k", ["at"]).collect()} == want
+    # the third batch was merged; the fourth holds its own keys only
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["batch=3", "state=2"]
+    assert {r.k for r in spark.read.parquet(f"{tmp_path}/out/batch=3").collect()} == {"b", "c"}
+    assert C.read_latest(spark, f"{tmp_path}/none", schema, "k", ["at"]).count() == 0
+
+
 def test_scorer(spark):
     df = spark.createDataFrame([("a",), ("bbb",), (None,)], "text string")
     rows = models.score_texts(df, "text", lambda: lambda texts: [float(len(t)) for t in texts], batch=2).collect()
