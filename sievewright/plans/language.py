@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..operators import language as L
 from ..operators import metrics as M
+from ..operators import models
 from ..operators import perturb as B
 from ..operators import quality as Q
-from ..session import table
+from ..session import stored, table
 from ..sources import datasets as D
 from ..sources import io
-from .queries import WIDE_SQL, _detok_sql, _wide, query, rounded
-from .views import QA_SQL, qa
+from .queries import ORACLES, WIDE_SQL, _detok_sql, _wide, q_burstiness, query, rounded
+from .views import DOCS_SQL, QA_SQL, docs, norm_sql, normal, qa
 
 MAX_LENGTH, STRIDE = 128, 64
 
@@ -176,3 +177,25 @@ def q_position_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     right = d.select(F.col("doc_id").alias("other"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.md5(F.concat(F.lit("p"), F.col("doc_id").cast("string"))).alias("_h"))
     return Q.join_by_position(d.select("doc_id"), right, "doc_id", "_h").select("doc_id", "other", "digest")
+
+
+@query(f"""
+WITH {DOCS_SQL}, k AS (SELECT y, md5({norm_sql('text')}) AS t FROM docs), one AS (SELECT t FROM k GROUP BY t HAVING count(DISTINCT y) = 1), o AS (SELECT * FROM k SEMI JOIN one USING (t))
+SELECT count(*) - count(DISTINCT t) AS duplicate_texts, count(*) - count(DISTINCT (t, y)) AS duplicate_text_labels, 0::BIGINT AS conflicting_texts, 0::BIGINT AS text_train_test, 0::BIGINT AS prompt_train_val FROM o
+""")
+def q_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks pass for texts with one label each, split by a hash of the text; with what they count."""
+    d = docs(spark, sf_dir).select("y", F.md5(normal("text")).alias("t"))
+    one = d.groupBy("t").agg(F.count_distinct("y").alias("n")).filter("n = 1").select("t")
+    first = F.substring("t", 1, 1)
+    rows = stored(d.join(one, "t", "left_semi").withColumn("split", F.when(first < "2", "test").when(first == "2", "val").otherwise("train")), "rows")
+    found = Q.check_integrity(rows, "split", F.col("t"), F.col("t"), "y", deduplicated=False)
+    values = {k: found[k] for k in ("duplicate_texts", "duplicate_text_labels", "conflicting_texts")} | {"text_train_test": found["overlap"]["text"]["train_test"], "prompt_train_val": found["overlap"]["prompt"]["train_val"]}
+    return spark.range(1).select(*[F.lit(v).cast("long").alias(k) for k, v in values.items()])
+
+
+@query("SELECT doc_id, round(ln(1 + doc_perplexity), 6) AS x_doc, round(ln(1 + sentence_perplexity_mean), 6) AS x_mean, sentence_perplexity_std AS x_std, burstiness AS x_burst FROM (" + ORACLES["q_burstiness"] + ") AS f")
+def q_perplexity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the perplexity detector learns from: logarithms of the perplexities, the others as they are."""
+    m = models.perplexity_matrix(q_burstiness(spark, sf_dir))
+    return m.select("doc_id", F.round("x_doc_perplexity", 6).alias("x_doc"), F.round("x_sentence_perplexity_mean", 6).alias("x_mean"), F.col("x_sentence_perplexity_std").alias("x_std"), F.col("x_burstiness").alias("x_burst"))
