@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normal_strip, normalize_space
 from ..session import stored
+from .features import counted, pairs_of, spread
 from .quality import keep_first, require_columns, two_level_lookup
 from .ranges import numbered
 
@@ -130,12 +131,13 @@ def run_counters(df: DataFrame, by: list[str], answers: str, attempts: str, chan
 
 def context_ranks(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     """``key, tokens, mean_rank, mean_log_rank``: the rank, from 1, of each token among those that follow the token before it in all documents, by frequency, then token."""
-    pairs = F.transform(F.filter(F.sequence(F.lit(1), F.size("_t")), lambda i: i < F.size("_t")), lambda i: F.struct(F.get("_t", i - 1).alias("a"), F.get("_t", i).alias("b")))
-    # counted in each document first: frequent pairs are few rows
-    own = stored(df.select(key, tokens.alias("_t")).select(key, F.explode(pairs).alias("p")).groupBy(key, "p.a", "p.b").agg(F.count(F.lit(1)).alias("n")), "pairs")
+    # counted in each document's row first: frequent pairs are few rows; the texts' tokens are cut up by both readers, as pairs are larger than they
+    own = spread(df).select(key, F.explode(counted(pairs_of(tokens))).alias("_c")).select(key, "_c.term.a", "_c.term.b", "_c.n")
     totals = stored(own.groupBy("a", "b").agg(F.sum("n").alias("total")), "pair-totals")
     ranks = numbered(totals, ["a"], [F.desc("total"), F.col("b")], "rank")
-    ranked = own.join(ranks.select("a", "b", "rank"), ["a", "b"])
+    # one number for a pair, told apart by 64 bits
+    pair = F.xxhash64("a", "b").alias("pair")
+    ranked = own.select(key, pair, "n").join(ranks.select(pair, "rank"), "pair")
     mean = lambda c: F.sum(c * F.col("n")) / F.sum("n")
     return ranked.groupBy(key).agg(F.sum("n").alias("tokens"), mean(F.col("rank")).alias("mean_rank"), mean(F.log("rank")).alias("mean_log_rank"))
 
