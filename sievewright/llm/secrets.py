@@ -7,9 +7,8 @@ strings and one of ordinary identifiers. A run is a secret if the log-likelihood
 
 The models are trained by a DataFrame job from labelled samples. Random strings are made by rule: hashes in base64, in its
 form for addresses, in letters and digits, capitals, and hex. Ordinary identifiers are words joined in eight shapes (camel case, snake
-case, paths, numbered names); the words are those of a sample of the corpus, the ``SAMPLE_DOCS`` documents whose texts'
-hashes are smallest, ``VOCABULARY`` words at most, and ``WORDS``. Only the table of log ratios comes to the driver: 128 x 128
-numbers for any input.
+case, paths, numbered names); the words are ``WORDS`` and those of the whole corpus: every distinct word is in one identifier, beside
+two of ``WORDS``. Only the table of log ratios comes to the driver: 128 x 128 numbers for any input.
 
 Matches are found in whole texts: ``split`` gives the pieces between matches and ``regexp_extract_all`` the matches, so that
 running lengths are the positions, in code points. The scan is a map without a shuffle.
@@ -42,7 +41,6 @@ RUN = r"[A-Za-z0-9+/_=-]{20,}"
 THRESHOLD = 0.6
 SIZE = 128
 SAMPLES = 8000
-SAMPLE_DOCS, VOCABULARY = 500, 5000
 SMOOTHING = 0.05
 #: Fixed words that ordinary identifiers are joined from, besides those of the corpus.
 WORDS = (
@@ -59,22 +57,31 @@ WORDS = (
 
 
 def corpus_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row ``words``: the array of ``WORDS`` and the words of 3 to 14 ASCII letters of a bounded sample of the documents."""
-    body = docs.select(F.col(text).alias("text")).filter("text is not null")
-    some = body.select(F.xxhash64("text").alias("hash")).orderBy("hash").limit(SAMPLE_DOCS).distinct()
-    # at most SAMPLE_DOCS numbers are broadcast; copies of a text count once
-    chosen = body.withColumn("hash", F.xxhash64("text")).join(F.broadcast(some), "hash").groupBy("hash").agg(F.first("text").alias("text"))
-    words = chosen.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![a-z0-9])[a-z]{3,14}(?![a-z0-9])"), F.lit(0)))).alias("word"))
-    words = words.distinct().orderBy(F.xxhash64("word"), "word").limit(VOCABULARY)
-    fixed = F.split(F.lit(" ".join(WORDS)), " ")
-    return words.agg(F.array_sort(F.collect_list("word")).alias("words")).select(F.array_union(fixed, "words").alias("words"))
+    """``word``: every distinct word of 3 to 14 ASCII letters of all documents, in lower case."""
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?<![a-z0-9])[a-z]{3,14}(?![a-z0-9])"), F.lit(0))
+    return docs.select(F.explode(F.array_distinct(words)).alias("word")).distinct()
+
+
+def _identifier(shape: Column, number: Column, a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Four words joined in one of eight shapes, some with a number."""
+    return (
+        F.when(shape == 0, F.concat(a, F.initcap(b), F.initcap(c), F.initcap(d)))
+        .when(shape == 1, F.concat_ws("_", a, b, c, number))
+        .when(shape == 2, F.concat_ws("/", a, b, c, F.concat(d, number)))
+        .when(shape == 3, F.upper(F.concat_ws("_", a, b, c)))
+        .when(shape == 4, F.concat_ws("-", a, b, c, d))
+        .when(shape == 5, F.concat(F.initcap(a), F.initcap(b), F.initcap(c), number))
+        .when(shape == 6, F.concat(F.lit("https/"), a, F.lit("/"), b, F.lit("="), number, F.lit("/"), c))
+        .otherwise(F.concat(a, b, c, d))
+    )
 
 
 def labelled_samples(spark: SparkSession, docs: DataFrame | None = None, n: int = SAMPLES) -> DataFrame:
-    """``sample string, random boolean``: ``n`` strings of either label; the words of ordinary ones come from ``docs`` too."""
-    words = spark.range(1).select(F.split(F.lit(" ".join(WORDS)), " ").alias("words")) if docs is None else corpus_words(docs)
+    """``sample string, random boolean``: ``n`` strings of either label, and an ordinary one for every distinct word of ``docs``."""
+    words = F.split(F.lit(" ".join(WORDS)), " ")
     i = F.col("id")
-    pick = lambda salt: F.get("words", F.pmod(F.xxhash64(i, F.lit(salt)), F.size("words")).cast("int"))
+    pick = lambda key, salt: F.get(words, F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(len(WORDS))).cast("int"))
+    number = lambda key: F.pmod(F.xxhash64(key, F.lit(9)), F.lit(2000)).cast("string")
     digest = F.sha2(F.concat(F.lit("sample"), i.cast("string")), 256)
     raw = F.base64(F.unhex(digest))
     letters = F.regexp_replace(raw, "[+/=]", "")
@@ -86,20 +93,14 @@ def labelled_samples(spark: SparkSession, docs: DataFrame | None = None, n: int
         .when(i % 6 == 4, F.translate(F.regexp_replace(raw, "=", ""), "+/", "-_"))
         .otherwise(F.lower(letters))
     )
-    number = F.pmod(F.xxhash64(i, F.lit(9)), F.lit(2000)).cast("string")
-    a, b, c, d = (pick(k) for k in range(4))
-    ordinary = (
-        F.when(i % 8 == 0, F.concat(a, F.initcap(b), F.initcap(c), F.initcap(d)))
-        .when(i % 8 == 1, F.concat_ws("_", a, b, c, number))
-        .when(i % 8 == 2, F.concat_ws("/", a, b, c, F.concat(d, number)))
-        .when(i % 8 == 3, F.upper(F.concat_ws("_", a, b, c)))
-        .when(i % 8 == 4, F.concat_ws("-", a, b, c, d))
-        .when(i % 8 == 5, F.concat(F.initcap(a), F.initcap(b), F.initcap(c), number))
-        .when(i % 8 == 6, F.concat(F.lit("https/"), a, F.lit("/"), b, F.lit("="), number, F.lit("/"), c))
-        .otherwise(F.concat(a, b, c, d))
-    )
+    ordinary = _identifier(i % 8, number(i), *[pick(i, k) for k in range(4)])
     both = F.array(F.struct(random.alias("sample"), F.lit(True).alias("random")), F.struct(ordinary.alias("sample"), F.lit(False).alias("random")))
-    return spark.range(n).join(F.broadcast(words)).select(F.explode(both)).select("col.*")  # words is one row
+    fixed = spark.range(n).select(F.explode(both)).select("col.*")
+    if docs is None:
+        return fixed
+    w = F.col("word")
+    of_words = _identifier(F.pmod(F.xxhash64(w), F.lit(8)), number(w), w, pick(w, 1), w, pick(w, 3))
+    return fixed.unionByName(corpus_words(docs).select(of_words.alias("sample"), F.lit(False).alias("random")))
 
 
 def train(samples: DataFrame) -> list[float]:
