@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import bind
 from ..functions.numbers import sane_perplexity
 from ..session import stored
-from .features import counted, spread
+from .features import counted, over_cores
 
 DISCOUNT = 0.75
 #: Sliding windows: tokens that a window holds, and how far it moves.
@@ -58,7 +58,7 @@ def window_grams(df: DataFrame, key: str, tokens: Column, max_length: int = MAX_
         return F.transform(places, lambda i: F.struct(F.when(i > 1, F.get(t, i - 2)).alias("u"), F.get(t, i - 1).alias("v"), F.get(t, i).alias("w"), seen(i).alias("seen")))
 
     # numbers of few distinct values are small files, their grams are not: each reader cuts them up again
-    ids = stored(spread(df).select(key, F.transform(tokens, lambda x: F.xxhash64(x)).alias("_t")), "token-ids")
+    ids = stored(over_cores(df).select(key, F.transform(tokens, lambda x: F.xxhash64(x)).alias("_t")), "token-ids")
     long = ids.select(key, F.explode(counted(bind(F.col("_t"), of))).alias("_c"))
     return long.select(key, "_c.term.*", "_c.n")
 

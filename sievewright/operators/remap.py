@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normal_strip, normalize_space
 from ..session import stored
-from .features import counted, pairs_of, spread
+from .features import counted, over_cores, pairs_of
 from .quality import keep_first, require_columns, two_level_lookup
 from .ranges import numbered
 
@@ -132,7 +132,7 @@ def run_counters(df: DataFrame, by: list[str], answers: str, attempts: str, chan
 def context_ranks(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     """``key, tokens, mean_rank, mean_log_rank``: the rank, from 1, of each token among those that follow the token before it in all documents, by frequency, then token."""
     # counted in each document's row first: frequent pairs are few rows; the texts' tokens are cut up by both readers, as pairs are larger than they
-    own = spread(df).select(key, F.explode(counted(pairs_of(tokens))).alias("_c")).select(key, "_c.term.a", "_c.term.b", "_c.n")
+    own = over_cores(df).select(key, F.explode(counted(pairs_of(tokens))).alias("_c")).select(key, "_c.term.a", "_c.term.b", "_c.n")
     totals = stored(own.groupBy("a", "b").agg(F.sum("n").alias("total")), "pair-totals")
     ranks = numbered(totals, ["a"], [F.desc("total"), F.col("b")], "rank")
     # one number for a pair, told apart by 64 bits
