@@ -4,10 +4,11 @@ A row is a list of places and a list of weights; a place that it lacks is missin
 (every distinct weight is one where there are no more); a bin is known by its largest weight, the cut, which is infinite for the last one. A round fits a tree to the gradients and curvatures of
 the logistic loss on a sample of the rows, with a sample of the places, level by level.
 
-Data movement: a level is one pass. Each task sums gradient and curvature by (node, place, cut) over its rows, so that a shuffle by (node,
-place) carries sums and no rows; what is missing at a place is the node's total less the sum over its bins. The best
-split of each node, one row, goes to the driver, and from there to the tasks of the next level: the tree, ``2 ** depth`` nodes. Sums are integers (units of ``1 / UNIT``), so that
-trees do not depend on the order of tasks. Margins are written again every ``KEEP`` rounds; in between they come from the stored ones and the trees since.
+Data movement: rows are kept in blocks, each one table row with the places, bins and row numbers of its entries in the order of (place, bin), packed into four bytes each. A level is one pass. Each task sums
+gradient and curvature by (node, place, bin) over its blocks, and gives one row of packed sums for each bucket of places, so that a shuffle by bucket carries sums and no rows; what is missing at a
+place is the node's total less the sum over its bins. A round's totals and losses travel beside its first level. The best split of each node, one row, goes to the driver, and from there to the
+tasks of the next level: the tree, ``2 ** depth`` nodes. Sums are integers (units of ``1 / UNIT``), so that trees do not depend on the order of tasks. Margins are written again every ``KEEP``
+rounds; in between they come from the stored ones and the trees since.
 
 Each split learns to which side missing rows go. Splits need ``least`` curvature on both sides and a positive gain
 ``GL^2/(HL+penalty) + GR^2/(HR+penalty) - G^2/(H+penalty)``; of equal gains the lowest place, then the lowest cut, then missing to the right wins. The first margin is the
@@ -18,10 +19,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,9 @@ from ..session import discard, stored
 from .ranges import running
 
 UNIT = 2.0**30
-KEEP = 10
-#: Rows that are looked at together in a task.
-SLICE = 1024
+KEEP = 20
+#: Rows that are looked at together in a task when margins are predicted, and entries that make a block full when trees are fitted.
+SLICE, ENTRIES = 1024, 1 << 20
 LEAST_GAIN = 1e-6
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -101,21 +103,13 @@ def places_of_round(size: int, share: float, seed: int, turn: int) -> np.ndarray
 
 @dataclass
 class Slice:
-    """Some rows of a batch in one run: places and weights side by side, and how many each row has."""
+    """Some rows in one run: places and weights side by side, and how many each row has."""
 
-    ids: np.ndarray
-    y: np.ndarray
     margin: np.ndarray
-    validation: np.ndarray
     counts: np.ndarray
     places: np.ndarray
     weights: np.ndarray
 
-    @classmethod
-    def of(cls, b: pa.RecordBatch) -> Slice:
-        plain = lambda name: b[name].to_numpy(zero_copy_only=False)
-        return cls(plain("id"), plain("y"), plain("margin"), plain("validation"), np.diff(b["places"].offsets.to_numpy()), b["places"].flatten().to_numpy(), b["weights"].flatten().to_numpy())
-
     def dense(self, wanted: np.ndarray, size: int) -> np.ndarray:
         """Weights of the ``wanted`` places, a column each; missing ones are NaN."""
         column = np.full(size, -1, np.int64)
@@ -127,19 +121,104 @@ class Slice:
         return out
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
+def packed(v: np.ndarray, kind: type) -> bytes:
+    """Whole numbers in the bytes of ``kind``, and those that do not fit beside them."""
+    low = v.astype(kind)
+    rest = v - low.astype(np.int64)
+    at = np.flatnonzero(rest)
+    return np.concatenate([[len(at)], at, rest[at]]).astype(np.int64).tobytes() + low.tobytes()
+
+
+def unpacked(b: pa.BinaryScalar, kind: type) -> np.ndarray:
+    b = b.as_buffer()
+    n = int(np.frombuffer(b, np.int64, 1)[0])
+    at, rest = np.frombuffer(b, np.int64, 2 * n, 8).reshape(2, n)
+    out = np.frombuffer(b, kind, offset=8 + 16 * n).astype(np.int64)
+    out[at] += rest
+    return out
+
+
+@dataclass(frozen=True)
+class Codes:
+    """One number for each (place, bin), in the order of (bucket, place, bin); a place's bucket is its rest by ``buckets``."""
+
+    size: int
+    bins: int
+    buckets: int
+
+    @property
+    def span(self) -> int:
+        return self.bins + 1  # bins count from 0 or from 1
+
+    def first(self, buckets: np.ndarray) -> np.ndarray:
+        """Where the codes of these buckets begin."""
+        return (buckets * (self.size // self.buckets) + np.minimum(buckets, self.size % self.buckets)) * self.span
+
+    def of(self, places: np.ndarray) -> np.ndarray:
+        """The code of bin 0 of each place."""
+        return self.first(places % self.buckets) + places // self.buckets * self.span
+
+    def places(self) -> np.ndarray:
+        """The places in the order of their codes."""
+        places = np.arange(self.size)
+        return places[np.argsort(self.of(places))]
+
+
+#: A block: for each row its id, label and margin; for each entry how far its code lies after the one before, and its row.
+BLOCK = "validation boolean, id binary, y binary, margin binary, step binary, row binary"
+
+
+@dataclass
+class Block:
+    """Training rows or validation rows, whose entries lie in the order of their codes."""
+
+    validation: bool
+    id: np.ndarray
+    y: np.ndarray
+    margin: np.ndarray
+    code: np.ndarray
+    row: np.ndarray
+    codes: Codes
+
+    @classmethod
+    def of(cls, b: pa.RecordBatch, i: int, codes: Codes) -> Block:
+        plain = [np.frombuffer(b[name][i].as_buffer(), kind) for name, kind in (("id", np.int64), ("y", np.float64), ("margin", np.float64))]
+        return cls(b["validation"][i].as_py(), *plain, np.cumsum(unpacked(b["step"][i], np.uint16)), unpacked(b["row"][i], np.uint16), codes)
+
+    @classmethod
+    def made(cls, validation: bool, id: np.ndarray, y: np.ndarray, counts: np.ndarray, places: np.ndarray, bins: np.ndarray, codes: Codes) -> Block:
+        code = codes.of(places.astype(np.int64)) + bins
+        order = np.argsort(code, kind="stable")
+        return cls(validation, id, y, np.zeros(len(id)), code[order], np.repeat(np.arange(len(id)), counts)[order], codes)
+
+    def batch(self) -> pa.RecordBatch:
+        plain = {name: getattr(self, name).tobytes() for name in ("id", "y", "margin")}
+        whole = {**plain, "step": packed(np.diff(self.code, prepend=0), np.uint16), "row": packed(self.row, np.uint16)}
+        return pa.RecordBatch.from_pydict({"validation": pa.array([self.validation]), **{name: pa.array([b], pa.binary()) for name, b in whole.items()}})
+
+    def dense(self, wanted: np.ndarray, size: int) -> np.ndarray:
+        """Bins of the ``wanted`` places, a column each; missing ones are NaN."""
+        out = np.full((len(self.id), len(wanted)), np.nan)
+        first = self.codes.of(wanted)
+        low, high = np.searchsorted(self.code, first), np.searchsorted(self.code, first + self.codes.span)
+        for k, (i, j) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
+            out[self.row[i:j], k] = self.code[i:j] - first[k]
+        return out
+
+
+def blocks(batches: Iterator[pa.RecordBatch], codes: Codes) -> Iterator[Block]:
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            yield Slice.of(batch.slice(at, SLICE))
+        for i in range(batch.num_rows):
+            yield Block.of(batch, i, codes)
 
 
-def nodes_of(rows: Slice, trees: list[Tree], size: int) -> list[np.ndarray]:
+def nodes_of(rows: Slice | Block, trees: list[Tree], size: int) -> list[np.ndarray]:
     """For each tree the node that each row comes to."""
     wanted = np.array(sorted(set().union(*[t.places() for t in trees])), np.int64) if trees else np.zeros(0, np.int64)
     x, column = rows.dense(wanted, size), {p: i for i, p in enumerate(wanted.tolist())}
     out = []
     for tree in trees:
-        node = np.zeros(len(rows.counts), np.int64)
+        node = np.zeros(len(rows.margin), np.int64)
         for number, (place, cut, missing_left) in sorted(tree.splits.items()):
             here = np.flatnonzero(node == number)
             v = x[here, column[place]]
@@ -149,7 +228,7 @@ def nodes_of(rows: Slice, trees: list[Tree], size: int) -> list[np.ndarray]:
     return out
 
 
-def margins_of(rows: Slice, trees: list[Tree], size: int) -> np.ndarray:
+def margins_of(rows: Slice | Block, trees: list[Tree], size: int) -> np.ndarray:
     out = rows.margin.copy()
     for tree, node in zip(trees, nodes_of(rows, trees, size), strict=True):
         values = np.zeros(max(tree.values) + 1)
@@ -158,39 +237,39 @@ def margins_of(rows: Slice, trees: list[Tree], size: int) -> np.ndarray:
     return out
 
 
-def slopes(rows: Slice, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def slopes(rows: Block, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients and curvatures of the loss, in units."""
     p = 1 / (1 + np.exp(-margin))
     return np.rint((p - rows.y) * UNIT).astype(np.int64), np.rint(np.maximum(p * (1 - p), 1e-16) * UNIT).astype(np.int64)
 
 
-def sampled(rows: Slice, config: TreeConfig, turn: int) -> np.ndarray:
-    return ~rows.validation & (uniform(rows.ids, config.seed, 2, turn) < config.rows)
+def sampled(rows: Block, config: TreeConfig, turn: int) -> np.ndarray:
+    return uniform(rows.id, config.seed, 2, turn) < config.rows
+
 
+def summed(key: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of ``g`` and ``h`` over equal keys, sorted by them."""
+    if not len(key):
+        return key, g, h
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[starts], np.add.reduceat(g[order], starts), np.add.reduceat(h[order], starts)
 
-def summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Sums of ``values`` over equal ``keys``, sorted by them."""
-    if not len(keys[0]):
-        return keys, values
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    starts = np.flatnonzero(fresh)
-    return [k[starts] for k in keys], [np.add.reduceat(v[order], starts) for v in values]
 
+def splits_of(key: np.ndarray, g: np.ndarray, h: np.ndarray, totals: list[tuple[int, int, int]], codes: Codes, config: TreeConfig) -> list[tuple]:
+    """The best split of each node among these sums, which hold whole places: ``(node, gain, place, bin, missing_left, g_left, h_left)``.
 
-def splits_of(node: np.ndarray, place: np.ndarray, cut: np.ndarray, g: np.ndarray, h: np.ndarray, totals: dict[int, tuple[int, int]], config: TreeConfig) -> list[tuple]:
-    """The best split of each node among these sums, which hold whole places: ``(node, gain, place, cut, missing_left, g_left, h_left)``."""
-    (node, place, cut), (g, h) = summed([node, place, cut], [g, h])
-    if not len(node):
+    A key is a code, after those of all nodes before in ``totals(node, g, h)``.
+    """
+    key, g, h = summed(key, g, h)
+    if not len(key):
         return []
-    first = np.ones(len(node), bool)
-    first[1:] = (node[1:] != node[:-1]) | (place[1:] != place[:-1])
-    starts = np.flatnonzero(first)
-    group = np.cumsum(first) - 1
-    last = np.append(first[1:], True)
-    all_g, all_h = (np.array([totals[n][k] for n in node.tolist()], np.int64) for k in (0, 1))
+    group = key // codes.span
+    rank, place = group // codes.size, codes.places()[group % codes.size]
+    first = np.append(True, group[1:] != group[:-1])
+    starts, last, group = np.flatnonzero(first), np.append(first[1:], True), np.cumsum(first) - 1
+    all_g, all_h = (np.array([t[k] for t in totals], np.int64)[rank] for k in (1, 2))
     missing_g, missing_h = (t - np.add.reduceat(v, starts)[group] for t, v in ((all_g, g), (all_h, h)))
     upto_g, upto_h = ((c := np.cumsum(v)) - (c[starts] - v[starts])[group] for v in (g, h))
 
@@ -202,17 +281,18 @@ def splits_of(node: np.ndarray, place: np.ndarray, cut: np.ndarray, g: np.ndarra
     right, left = gain(upto_g, upto_h), np.where(last, -np.inf, gain(upto_g + missing_g, upto_h + missing_h))
     best = np.maximum(right, left)
     out = []
-    for n in np.unique(node).tolist():
-        own = np.flatnonzero(node == n)
-        i = own[best[own].argmax()]
+    for n in np.unique(rank).tolist():
+        low, high = np.searchsorted(rank, [n, n + 1])
+        top = low + np.flatnonzero(best[low:high] == best[low:high].max())
+        i = top[place[top] == place[top].min()][0]  # several buckets may lie in one task
         if best[i] > 0:
             with_missing = bool(left[i] > right[i])
-            out.append((n, float(best[i]), int(place[i]), float(cut[i]), with_missing, int(upto_g[i] + with_missing * missing_g[i]), int(upto_h[i] + with_missing * missing_h[i])))
+            out.append((totals[n][0], float(best[i]), int(place[i]), int(key[i] % codes.span), with_missing, int(upto_g[i] + with_missing * missing_g[i]), int(upto_h[i] + with_missing * missing_h[i])))
     return out
 
 
-def with_cuts(weights: DataFrame, bins: int) -> DataFrame:
-    """``id, place, cut`` from ``id, place, weight``: each weight's bin, by its largest weight; the last bin of a place has no end."""
+def bins_and_cuts(weights: DataFrame, bins: int) -> tuple[DataFrame, DataFrame]:
+    """``place, weight, bin`` of each distinct weight, and ``place, bin, cut``: a bin's largest weight; the last bin of a place has no end."""
     values = weights.groupBy("place", "weight").agg(F.count(F.lit(1)).alias("n"))
     run = running(values, ["place"], [F.col("weight")], {"upto": F.col("n"), "rank": F.lit(1).cast("long")})
     totals = values.groupBy("place").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"))
@@ -220,121 +300,174 @@ def with_cuts(weights: DataFrame, bins: int) -> DataFrame:
     numbered = stored(run.join(totals, "place").select("place", "weight", number.alias("bin")), "bins")
     cuts = numbered.groupBy("place", "bin").agg(F.max("weight").alias("cut"))
     last = cuts.groupBy("place").agg(F.max("bin").alias("last"))
-    cuts = cuts.join(last, "place").select("place", "bin", F.when(F.col("bin") == F.col("last"), float("inf")).otherwise(F.col("cut")).alias("cut"))
-    return weights.join(numbered.join(cuts, ["place", "bin"]), ["place", "weight"]).select("id", "place", "cut")
+    return numbered, cuts.join(last, "place").select("place", "bin", F.when(F.col("bin") == F.col("last"), float("inf")).otherwise(F.col("cut")).alias("cut"))
 
 
-def _gathered(df: DataFrame, value: str) -> DataFrame:
-    lists = df.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", value))).alias("_w"))
-    return lists.select("id", F.transform("_w", lambda w: w["place"].cast("int")).alias("places"), F.transform("_w", lambda w: w[value]).alias("weights"))
+def with_cuts(weights: DataFrame, bins: int) -> DataFrame:
+    """``id, place, cut`` from ``id, place, weight``: each weight's bin, known by its cut."""
+    numbered, cuts = bins_and_cuts(weights, bins)
+    return weights.join(numbered.join(cuts, ["place", "bin"]), ["place", "weight"]).select("id", "place", "cut")
 
 
-def training_rows(rows: DataFrame, weights: DataFrame, bins: int) -> DataFrame:
-    """``id, y, validation, margin, places, weights`` from ``rows(id, y, validation)`` and ``weights(id, place, weight)``; weights of training rows are their bins' cuts."""
-    held = weights.join(rows.filter("validation").select("id"), "id", "left_semi")
+def training_blocks(rows: DataFrame, weights: DataFrame, codes: Codes) -> tuple[DataFrame, DataFrame]:
+    """Blocks of ``rows(id, y, validation)`` and ``weights(id, place, weight)``, and the bins' cuts ``place, bin, cut``; a validation row's weight lies in the first bin whose cut is not below it."""
     own = stored(weights.join(rows.filter("not validation").select("id"), "id", "left_semi"), "weights")
-    lists = _gathered(with_cuts(own, bins), "cut").unionByName(_gathered(held, "weight"))
-    none = lambda c, t: F.coalesce(c, F.array().cast(t))
-    full = rows.join(lists, "id", "left").select("id", F.col("y").cast("double").alias("y"), "validation", F.lit(0.0).alias("margin"), none(F.col("places"), "array<int>").alias("places"), none(F.col("weights"), "array<double>").alias("weights"))
-    out = stored(full, "training")
-    discard(own)
-    return out
+    numbered, cuts = bins_and_cuts(own, codes.bins)
+    cuts = stored(cuts, "cuts")
+    ends = cuts.groupBy("place").agg(F.array_sort(F.collect_list(F.struct("cut", "bin"))).alias("ends"))  # at most ``bins`` a place
+    held = weights.join(rows.filter("validation").select("id"), "id", "left_semi").join(ends, "place")
+    held = held.select("id", "place", F.filter("ends", lambda e: e["cut"] >= F.col("weight"))[0]["bin"].alias("bin"))
+    entries = own.join(numbered, ["place", "weight"]).select("id", "place", "bin").unionByName(held)
+    lists = entries.groupBy("id").agg(F.collect_list(F.struct(F.col("place").cast("int").alias("place"), F.col("bin").cast("int").alias("bin"))).alias("w"))
+    none = F.array().cast(lists.schema["w"].dataType)
+    full = rows.join(lists, "id", "left").select(F.col("id").cast("long").alias("id"), F.col("y").cast("double").alias("y"), "validation", F.coalesce("w", none).alias("w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bool, list[pa.RecordBatch]] = {False: [], True: []}
 
+        def given(validation: bool) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held[validation]).combine_chunks().to_batches()[0]
+            w = t["w"].flatten()
+            held[validation] = []
+            return Block.made(validation, t["id"].to_numpy(), t["y"].to_numpy(), np.diff(t["w"].offsets.to_numpy()), *[w.field(k).to_numpy() for k in range(2)], codes).batch()
 
-COLUMNS = ["id", "y", "validation", "margin", "places", "weights"]
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                piece = batch.slice(at, SLICE)
+                for validation in (False, True):
+                    some = piece.filter(pc.equal(piece["validation"], validation))
+                    if some.num_rows:
+                        held[validation].append(some)
+                        if sum(len(x["w"].flatten()) for x in held[validation]) >= ENTRIES:
+                            yield given(validation)
+        for validation, parts in held.items():
+            if parts:
+                yield given(validation)
 
+    # dealt out by id, so that blocks are of one size
+    out = stored(full.repartition(codes.buckets, "id").mapInArrow(run, BLOCK), "training")
+    discard(own, numbered)
+    return out, cuts
 
-def _state(work: DataFrame, trees: list[Tree], size: int, config: TreeConfig, turn: int) -> tuple[int, int, float, float | None]:
-    """Totals of the round's sample, and the losses of all training and validation rows before it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = h = n = m = 0
-        loss = held = 0.0
-        for rows in slices(batches):
-            margin = margins_of(rows, trees, size)
-            own, v = sampled(rows, config, turn), rows.validation
-            a, b = slopes(rows, margin)
-            g, h = g + int(a[own].sum()), h + int(b[own].sum())
-            each = np.logaddexp(0, margin) - rows.y * margin
-            loss, held, n, m = loss + float(each[~v].sum()), held + float(each[v].sum()), n + int((~v).sum()), m + int(v.sum())
-        yield pa.RecordBatch.from_pydict({"g": [g], "h": [h], "loss": [loss], "held": [held], "n": [n], "m": [m]})
+FOUND = pa.schema([("node", pa.int64()), ("gain", pa.float64()), ("place", pa.int64()), ("bin", pa.int64()), ("missing_left", pa.bool_()), ("g", pa.int64()), ("h", pa.int64()), ("loss", pa.float64()), ("held", pa.float64()), ("n", pa.int64()), ("m", pa.int64())])
 
-    done = work.select(*COLUMNS).mapInArrow(run, "g long, h long, loss double, held double, n long, m long")
-    r = done.agg(*[F.sum(c).alias(c) for c in ("g", "h", "loss", "held", "n", "m")]).head()
-    return r.g or 0, r.h or 0, (r.loss / r.n if r.n else 0.0), (r.held / r.m if r.m else None)
 
+def _level(work: DataFrame, trees: list[Tree], tree: Tree, totals: dict[int, tuple[int, int]] | None, codes: Codes, config: TreeConfig, turn: int) -> tuple[list, tuple[int, int, float, float | None]]:
+    """The best splits of the nodes in ``totals``, one row for each that has one; without ``totals`` those of the root.
 
-def _level(work: DataFrame, trees: list[Tree], tree: Tree, totals: dict[int, tuple[int, int]], size: int, config: TreeConfig, turn: int) -> list:
-    """The best splits of the nodes in ``totals``, one row for each that has one."""
+    With them come totals of the round's sample, and the losses of all training and validation rows before it.
+    """
+    numbers, size, buckets = sorted(totals) if totals else [0], codes.size, codes.buckets
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = places_of_round(size, config.places, config.seed, turn)
-        active = np.zeros(2 * max(totals) + 2, bool)
-        active[list(totals)] = True
-        held: list[tuple[list, list]] = []
-
-        def given() -> pa.RecordBatch:
-            (node, place, cut), (g, h) = summed([np.concatenate(x) for x in zip(*[k for k, _ in held], strict=True)], [np.concatenate(x) for x in zip(*[v for _, v in held], strict=True)])
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (node, place, cut, g, h)], names=["node", "place", "cut", "g", "h"])
-
-        for rows in slices(batches):
-            g, h = slopes(rows, margins_of(rows, trees, size))
-            node = nodes_of(rows, [tree], size)[0]
-            own = sampled(rows, config, turn) & active[node]
-            row = np.repeat(np.arange(len(rows.counts)), rows.counts)
-            pick = own[row] & seen[rows.places]
-            row = row[pick]
-            held.append(summed([node[row], rows.places[pick].astype(np.int64), rows.weights[pick]], [g[row], h[row]]))
-            if sum(len(k[0]) for k, _ in held) > 2_000_000:  # bounds the task's memory
-                yield given()
-                held.clear()
-        if held:
-            yield given()
+        seen = places_of_round(size, config.places, config.seed, turn)[codes.places()]
+        ranks = np.full(2 * numbers[-1] + 3, -1, np.int64)
+        ranks[numbers] = np.arange(len(numbers))
+        parts: list[tuple] = []
+        total, counts, losses = [0, 0], [0, 0], [0.0, 0.0]
+
+        def given() -> Iterator[pa.RecordBatch]:
+            key, g, h = parts[0] if len(parts) == 1 else summed(*[np.concatenate(x) for x in zip(*parts, strict=True)]) if parts else [np.zeros(0, np.int64)] * 3
+            parts.clear()
+            code, rank = key // len(numbers), (key % len(numbers)).astype(np.uint16)
+            first = codes.first(np.arange(buckets + 1))
+            ends = np.searchsorted(code, first)
+            of = list(zip(first.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=False))
+            columns = [[packed(np.diff(code[i:j], prepend=f), np.uint16) for f, i, j in of], [rank[i:j].tobytes() if len(numbers) > 1 else b"" for _, i, j in of], *[[packed(v[i:j], np.int32) for _, i, j in of] for v in (g, h)]]
+            beside = [pa.array([x] * buckets, kind) for x, kind in ((total[0], pa.int64()), (total[1], pa.int64()), (losses[0], pa.float64()), (losses[1], pa.float64()), (counts[0], pa.int64()), (counts[1], pa.int64()))]
+            total[:], counts[:], losses[:] = [0, 0], [0, 0], [0.0, 0.0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), *[pa.array(x, pa.binary()) for x in columns], *beside], names=["bucket", "step", "rank", "gs", "hs", "g", "h", "loss", "held", "n", "m"])
+
+        for rows in blocks(batches, codes):
+            margin = margins_of(rows, trees, size)
+            if totals is None:
+                v = int(rows.validation)
+                losses[v] += float((np.logaddexp(0, margin) - rows.y * margin).sum())
+                counts[v] += len(rows.id)
+            if rows.validation:
+                continue
+            g, h = slopes(rows, margin)
+            own = sampled(rows, config, turn)
+            total[0], total[1] = total[0] + int(g[own].sum()), total[1] + int(h[own].sum())
+            rank = ranks[nodes_of(rows, [tree], size)[0]]
+            rank[~own] = -1
+            # entries of sampled rows in open nodes, at places that the round sees
+            fresh = np.append(True, rows.code[1:] != rows.code[:-1])[: len(rows.code)]
+            at, code = np.cumsum(fresh) - 1, rows.code[fresh]
+            pick = (rank >= 0)[rows.row] & seen[code // codes.span][at]
+            row = rows.row[pick]
+            to = at[pick] * len(numbers) + rank[row]
+            width = len(code) * len(numbers)
+            hit = np.zeros(width, bool)
+            hit[to] = True
+            hit = np.flatnonzero(hit)
+            # whole numbers below 2 ** 53 are summed exactly
+            one, two = (np.bincount(to, v[row], width)[hit].astype(np.int64) for v in (g, h))
+            parts.append((code[hit // len(numbers)] * len(numbers) + hit % len(numbers), one, two))
+            if len(parts) > 1 and sum(len(p[0]) for p in parts) > 4 * ENTRIES:  # bounds the task's memory
+                parts[:] = [summed(*[np.concatenate(x) for x in zip(*parts, strict=True)])]
+                if len(parts[0][0]) > 2 * ENTRIES:
+                    yield from given()
+        yield from given()
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b[c].to_numpy() for c in ("node", "place", "cut", "g", "h")] for b in batches if b.num_rows]
-        found = splits_of(*[np.concatenate(x) for x in zip(*parts, strict=True)], totals, config) if parts else []
-        names = ["node", "gain", "place", "cut", "missing_left", "g_left", "h_left"]
-        yield pa.RecordBatch.from_pylist([dict(zip(names, f, strict=True)) for f in found], schema=pa.schema(list(zip(names, (pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64()), strict=True))))
-
-    dealt = work.select(*COLUMNS).mapInArrow(sums, "node long, place long, cut double, g long, h long").repartition("node", "place")
-    found = dealt.mapInArrow(best, "node long, gain double, place long, cut double, missing_left boolean, g_left long, h_left long")
-    chosen: dict = {}
-    for r in found.collect():  # a row for each node and task at most
-        if r.node not in chosen or (r.gain, -r.place, -r.cut) > (chosen[r.node].gain, -chosen[r.node].place, -chosen[r.node].cut):
+        parts, beside, first = [], np.zeros(6), None
+        whole = [0, 0, 0, 0]
+        for b in batches:
+            for i in range(b.num_rows):
+                first = b["bucket"][i].as_py() if first is None else first
+                code = codes.first(np.int64(b["bucket"][i].as_py())) + np.cumsum(unpacked(b["step"][i], np.uint16))
+                rank = np.frombuffer(b["rank"][i].as_buffer(), np.uint16).astype(np.int64) if len(numbers) > 1 else 0
+                parts.append([code + rank * (size * codes.span), unpacked(b["gs"][i], np.int32), unpacked(b["hs"][i], np.int32)])
+                if b["bucket"][i].as_py() == first:  # every bucket has each task's totals
+                    whole = [x + b[c][i].as_py() for x, c in zip(whole, ("g", "h", "n", "m"), strict=True)]
+                    beside[:2] += b["loss"][i].as_py(), b["held"][i].as_py()
+        if parts:
+            of = [(n, *totals[n]) for n in numbers] if totals else [(0, whole[0], whole[1])]
+            found = splits_of(*[np.concatenate(x) for x in zip(*parts, strict=True)], of, codes, config)
+            out = [dict(zip(FOUND.names[:7], f, strict=True)) for f in found]
+            state = {"g": whole[0], "h": whole[1], "loss": float(beside[0]), "held": float(beside[1]), "n": whole[2], "m": whole[3]}
+            yield pa.RecordBatch.from_pylist([*out, state], schema=FOUND)
+
+    dealt = work.mapInArrow(sums, "bucket int, step binary, rank binary, gs binary, hs binary, g long, h long, loss double, held double, n long, m long").repartition(buckets, "bucket")
+    names = {pa.int64(): "long", pa.float64(): "double", pa.bool_(): "boolean"}
+    chosen, state = {}, None
+    for r in dealt.mapInArrow(best, ", ".join(f"{f.name} {names[f.type]}" for f in FOUND)).collect():  # a row for each node and task at most, and one more
+        if r.node is None:
+            state = state or (r.g, r.h, r.loss / r.n if r.n else 0.0, r.held / r.m if r.m else None)
+        elif r.node not in chosen or (r.gain, -r.place) > (chosen[r.node].gain, -chosen[r.node].place):
             chosen[r.node] = r
-    return [chosen[n] for n in sorted(chosen)]
+    return [chosen[n] for n in sorted(chosen)], state or (0, 0, 0.0, None)
 
 
-def fit_tree(work: DataFrame, trees: list[Tree], total: tuple[int, int], size: int, config: TreeConfig, turn: int) -> Tree:
-    tree, open_nodes, sums = Tree(), {0: total}, {0: total}
-    for _ in range(config.depth):
-        if not open_nodes:
-            break
-        found = _level(work, trees, tree, open_nodes, size, config, turn)
+def fit_tree(work: DataFrame, trees: list[Tree], found: list, total: tuple[int, int], codes: Codes, config: TreeConfig, turn: int) -> Tree:
+    """A tree whose root splits as ``found`` says; its cuts are numbers of bins."""
+    tree, sums = Tree(), {0: total}
+    for level in range(config.depth):
+        if level:
+            found = _level(work, trees, tree, open_nodes, codes, config, turn)[0]
         open_nodes = {}
         for r in found:
             g, h = sums[r.node]
-            tree.splits[r.node], tree.gains[r.node] = (r.place, r.cut, r.missing_left), r.gain
-            open_nodes |= {2 * r.node + 1: (r.g_left, r.h_left), 2 * r.node + 2: (g - r.g_left, h - r.h_left)}
+            tree.splits[r.node], tree.gains[r.node] = (r.place, r.bin, r.missing_left), r.gain
+            open_nodes |= {2 * r.node + 1: (r.g, r.h), 2 * r.node + 2: (g - r.g, h - r.h)}
         sums |= open_nodes
+        if not open_nodes:
+            break
     leaves = set(sums) - set(tree.splits)
     tree.values = {n: -config.rate * (sums[n][0] / UNIT) / (sums[n][1] / UNIT + config.penalty) for n in sorted(leaves)}
     return tree
 
 
-def _moved(work: DataFrame, trees: list[Tree], size: int) -> DataFrame:
-    """The rows with the margins after ``trees``, written again."""
-    names = work.columns
+def _moved(work: DataFrame, trees: list[Tree], codes: Codes) -> DataFrame:
+    """The blocks with the margins after ``trees``, written again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                piece = batch.slice(at, SLICE)
-                margin = pa.array(margins_of(Slice.of(piece), trees, size))
-                yield pa.RecordBatch.from_arrays([margin if c == "margin" else piece[c] for c in names], names=names)
+        for rows in blocks(batches, codes):
+            yield replace(rows, margin=margins_of(rows, trees, codes.size)).batch()
 
-    return stored(work.mapInArrow(run, work.schema), "training")
+    return stored(work.mapInArrow(run, BLOCK), "training")
 
 
 def fit_forest(rows: DataFrame, weights: DataFrame, size: int, config: TreeConfig = TreeConfig()) -> Forest:
@@ -343,17 +476,16 @@ def fit_forest(rows: DataFrame, weights: DataFrame, size: int, config: TreeConfi
     Null validation marks count as training rows; rows without weights have all places missing; without a training row of each label the forest has no tree.
     """
     rows = rows.select("id", "y", F.coalesce("validation", F.lit(False)).alias("validation"))
-    work = training_rows(rows, weights, config.bins)
-    n, ones = work.filter("not validation").agg(F.count(F.lit(1)), F.sum("y")).head()
+    n, ones = rows.filter("not validation").agg(F.count(F.lit(1)), F.sum("y")).head()
     if not n or ones in (0, n):
-        discard(work)
         return Forest({0: -20.0}.get(ones, 20.0) if n else 0.0, size, [])
     start = math.log(ones / (n - ones))
-    work, old = stored(work.withColumn("margin", F.lit(start)).repartition(F.expr("xxhash64(id)")), "training"), work
-    discard(old)
-    forest, since = Forest(start, size, []), []
+    codes = Codes(size, config.bins, rows.sparkSession.sparkContext.defaultParallelism)
+    work, cuts = training_blocks(rows, weights, codes)
+    # a tree of a single leaf: the first margin
+    forest, since = Forest(start, size, []), [Tree(values={0: start})]
     for turn in range(config.rounds + 1):
-        g, h, loss, held = _state(work, since, size, config, turn)
+        found, (g, h, loss, held) = _level(work, since, Tree(), None, codes, config, turn)
         if turn:
             forest.losses.append((loss, held))
             if held is not None:
@@ -363,14 +495,18 @@ def fit_forest(rows: DataFrame, weights: DataFrame, size: int, config: TreeConfi
                     break
         if turn == config.rounds:
             break
-        tree = fit_tree(work, since, (g, h), size, config, turn)
+        tree = fit_tree(work, since, found, (g, h), codes, config, turn)
         forest.trees.append(tree)
         since.append(tree)
-        if len(since) == KEEP:
-            moved = _moved(work, since, size)
+        if len(since) >= KEEP:
+            moved = _moved(work, since, codes)
             discard(work)
             work, since = moved, []
-    discard(work)
+    places = sorted(set().union(*[t.places() for t in forest.trees]))
+    cut = {(r.place, r.bin): r.cut for r in cuts.filter(F.col("place").isin(places)).collect()}  # at most ``bins`` for each split
+    for t in forest.trees:
+        t.splits = {n: (place, cut[place, number], missing_left) for n, (place, number, missing_left) in t.splits.items()}
+    discard(work, cuts)
     return forest
 
 
@@ -385,7 +521,7 @@ def forest_margin(df: DataFrame, forest: Forest, places: Column, weights: Column
             for at in range(0, batch.num_rows, SLICE):
                 piece = batch.slice(at, SLICE)
                 n = piece.num_rows
-                rows = Slice(np.zeros(n), np.zeros(n), np.full(n, start), np.zeros(n, bool), np.diff(piece["_places"].offsets.to_numpy()), piece["_places"].flatten().to_numpy(), piece["_weights"].flatten().to_numpy())
+                rows = Slice(np.full(n, start), np.diff(piece["_places"].offsets.to_numpy()), piece["_places"].flatten().to_numpy(), piece["_weights"].flatten().to_numpy())
                 yield pa.RecordBatch.from_arrays([*[piece[c] for c in fields], pa.array(margins_of(rows, trees, size))], names=[*fields, name])
 
     from pyspark.sql.types import DoubleType, StructField, StructType

@@ -134,3 +134,30 @@ def test_defined_cases(spark):
     both = spark.createDataFrame([(1, 1, None), (2, 0, False), (3, 0, False)], "id long, y int, validation boolean")
     forest = T.fit_forest(both, none, 3, T.TreeConfig(rounds=2, rows=1.1))
     assert len(forest.trees) == 2 and all(not t.splits and set(t.values) == {0} for t in forest.trees)
+
+
+def test_entries_are_packed(spark):
+    rng = T.np.random.default_rng(3)
+    codes = T.Codes(70_001, 256, 3)
+    places, bins, counts = rng.choice(7_000, 500, replace=False), rng.integers(0, 257, 500), T.np.array([200, 0, 300])
+    made = T.Block.made(False, T.np.arange(3), T.np.zeros(3), counts, places, bins, codes)
+    batch = made.batch()
+    again = T.Block.of(batch, 0, codes)
+    assert (again.code == made.code).all() and (again.row == made.row).all()
+    assert sum(len(batch[c][0].as_buffer()) for c in ("step", "row")) < 500 * 5 + 100  # four bytes an entry, steps that do not fit beside them
+    dense = again.dense(T.np.sort(places), 70_001)
+    row = T.np.repeat(T.np.arange(3), counts)
+    assert all(dense[r, T.np.searchsorted(T.np.sort(places), p)] == b for r, p, b in zip(row, places, bins, strict=True)) and T.np.isnan(dense).sum() == 1000
+    v = T.np.array([0, -1, 2**31, -(2**40), 2**31 - 1])
+    assert (T.unpacked(T.pa.scalar(T.packed(v, T.np.int32), T.pa.binary()), T.np.int32) == v).all()
+
+
+def test_a_level_is_one_row_for_a_task_and_bucket(spark):
+    own, weights = table(spark, sample(7, 300))
+    codes = T.Codes(9, 256, 4)
+    work, cuts = T.training_blocks(own, weights, codes)
+    assert work.count() <= 2 * 4 and cuts.count() > 100
+    start = [T.Tree(values={0: 0.0})]
+    found, (g, h, loss, held) = T._level(work, start, T.Tree(), None, codes, T.TreeConfig(rows=1.1), 0)
+    y = [r[1] for r in sample(7, 300) if not r[2]]
+    assert (g / T.UNIT, h / T.UNIT) == (len(y) / 2 - sum(y), len(y) / 4) and loss == held == pytest.approx(math.log(2)) and len(found) == 1
