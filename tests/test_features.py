@@ -79,3 +79,21 @@ def test_bigram_scores(docs):
     assert set(got) == set(want)
     for i, x in want.items():
         assert got[i] == (len(x), pytest.approx(sum(x) / len(x)))
+
+
+def test_entropies_find_tokens_once(docs):
+    lists = X.term_lists(docs, "doc_id", words())
+    got = {r.doc_id: r.entropy for r in X.entropies(lists, "doc_id").collect()}
+    want = {i: -sum(n / sum(c.values()) * math.log(n / sum(c.values())) for n in c.values()) for i, c in by_key().items() if c}
+    assert got == pytest.approx(want)
+    text = docs.filter("doc_id = 5")
+    once = X.entropies(X.term_lists(text, "doc_id", X.word_tokens(X.fold(F.col("text")))), "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert once.count(X.TOKEN) == 1
+
+
+def test_tokens_of_plain_and_other_texts(spark):
+    texts = ["Ab a_b, x yz 12!", "", None, "\u00c9t\u00e9 a b cd", "na\u00efve \u0645\u0631\u062d\u0628\u0627 a\u0301b x\u0301", "\u4f60\u597d \u4f60 \U0001d400\U0001d401 z", "_ __ a-b-cd", "\u00bd \u01c6x \u017f"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    old = F.translate(F.lower(F.coalesce("text", F.lit(""))), *X.ACCENTS)
+    for r in df.select(X.fold(F.col("text")).alias("a"), old.alias("b"), X.word_tokens(X.fold(F.col("text"))).alias("c"), F.regexp_extract_all(old, F.lit(r"(?U)(\b\w\w+\b)"), F.lit(1)).alias("d")).collect():
+        assert (r.a, r.c) == (r.b, r.d)
