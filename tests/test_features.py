@@ -97,3 +97,17 @@ def test_tokens_of_plain_and_other_texts(spark):
     old = F.translate(F.lower(F.coalesce("text", F.lit(""))), *X.ACCENTS)
     for r in df.select(X.fold(F.col("text")).alias("a"), old.alias("b"), X.word_tokens(X.fold(F.col("text"))).alias("c"), F.regexp_extract_all(old, F.lit(r"(?U)(\b\w\w+\b)"), F.lit(1)).alias("d")).collect():
         assert (r.a, r.c) == (r.b, r.d)
+
+
+@pytest.mark.parametrize("frequent", [0, 2, 100])
+def test_part_sums(docs, monkeypatch, frequent):
+    monkeypatch.setattr(X, "FREQUENT", frequent)
+    model = X.unigram_model(docs.filter("doc_id is not null"), words())
+    logp = {r.token: r.logp for r in model.collect()}
+    want = {}
+    for i, text in ROWS:
+        for at, t in enumerate((text or "").split(), 1):
+            if i is not None and t in logp:
+                want.setdefault((i, at % 3), []).append(logp[t])
+    sums = X.part_sums(docs.filter("doc_id is not null"), "doc_id", words(), model, 3)
+    assert {(r.doc_id, r.k): (r.lp, r.n) for r in sums.collect()} == {k: (pytest.approx(sum(v)), len(v)) for k, v in want.items()}
