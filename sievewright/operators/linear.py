@@ -4,23 +4,31 @@ Minimises ``|w|^2 / 2 + c * sum(weight * max(0, 1 - s * (w x + b))^2)`` with ``s
 A step solves the Newton equation by conjugate gradients, each of whose products with the Hessian is a pass over the rows, and is
 shortened until the loss falls.
 
-Data movement: tasks get the weights (``size + 1`` numbers, bounded by the vocabulary) and give one number for each place that their rows touch, summed
-by place: the rows themselves are never shuffled, and the driver gets ``size + 1`` numbers a pass.
+Data movement: tasks get the weights (``size + 1`` numbers, bounded by the vocabulary) and give as many sums each: the rows themselves are never shuffled. The
+sums of more than ``PARTS`` tasks are added up in the square root of so many tasks, before the driver gets them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..session import discard, stored
+
 #: The most steps, products of a step, and halvings of its length; the slope, against the first one, that is flat enough.
 STEPS, PRODUCTS, HALVINGS, FLAT = 50, 40, 20, 1e-6
+#: Most entries of a block of several rows, and most tasks whose sums go to the driver as they are.
+BLOCK, PARTS = 1_000_000, 32
+#: What a block holds: signs, weights and numbers of entries of its rows, places and values of their entries.
+PACKED = {"s": np.float64, "weight": np.float64, "size": np.int32, "places": np.int32, "x": np.float64}
 
 
 @dataclass
@@ -33,64 +41,100 @@ class Linear:
     passes: int = 0
 
 
-def _dots(batch: pa.RecordBatch, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each row the product with ``w``; for each entry its row, place and value."""
-    places, x = batch["places"].flatten().to_numpy(), batch["weights"].flatten().to_numpy()
-    row = np.repeat(np.arange(batch.num_rows), np.diff(batch["places"].offsets.to_numpy()))
-    return np.bincount(row, x * w[places], batch.num_rows) + w[-1], row, places, x
+def _dots(w: np.ndarray, size: np.ndarray, places: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of ``size`` entries each the product with ``w``, and for each entry its row."""
+    row = np.repeat(np.arange(len(size)), size)
+    return np.bincount(row, x * w[places], len(size)) + w[-1], row
+
+
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row the number of its entries; for each entry its place and value."""
+    return np.diff(batch["places"].offsets.to_numpy()), batch["places"].flatten().to_numpy(), batch["weights"].flatten().to_numpy()
 
 
-def _summed(rows: DataFrame, size: int, of: Callable[[pa.RecordBatch], tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> tuple[float, np.ndarray]:
-    """The sum of what ``of`` gives for batches: a number, and for each row a factor of its entries ``(row, place, value)``."""
+def _packed(rows: DataFrame) -> DataFrame:
+    """``rows(s, weight, places, weights)`` as blocks of bytes, one a row: a pass then moves few large values and makes no lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, loss = np.zeros(size + 1), 0.0
         for batch in batches:
-            if batch.num_rows:
-                value, factor, row, places, x = of(batch)
-                loss += value
-                total[:size] += np.bincount(places, factor[row] * x, size)
-                total[size] += factor.sum()
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1)), pa.array(np.append(total[hit], loss))], names=["place", "v"])
-
-    found = rows.select("s", "weight", "places", "weights").mapInArrow(run, "place long, v double").groupBy("place").agg(F.sum("v").alias("v")).toArrow()
-    out, loss = np.zeros(size + 1), 0.0
-    for place, v in zip(found["place"].to_numpy(), found["v"].to_numpy(), strict=True):
-        if place < 0:
-            loss = float(v)
-        else:
-            out[place] = v
-    return loss, out
+            size, places, x = _entries(batch)
+            ends, start = np.append(0, np.cumsum(size)), 0
+            while start < batch.num_rows:
+                stop = max(start + 1, int(np.searchsorted(ends, ends[start] + BLOCK, "right")) - 1)
+                own, entries = slice(start, stop), slice(ends[start], ends[stop])
+                columns = batch["s"].to_numpy()[own], batch["weight"].to_numpy()[own], size[own], places[entries], x[entries]
+                yield pa.RecordBatch.from_arrays([pa.array([c.astype(t).tobytes()], pa.binary()) for c, t in zip(columns, PACKED.values(), strict=True)], names=[*PACKED])
+                start = stop
+
+    return rows.select("s", "weight", "places", "weights").mapInArrow(run, ", ".join(f"{name} binary" for name in PACKED))
 
 
-def _objective(rows: DataFrame, size: int, w: np.ndarray, c: float) -> tuple[float, np.ndarray]:
-    def of(batch: pa.RecordBatch):  # noqa: ANN202
-        z, row, places, x = _dots(batch, w)
-        s, weight = batch["s"].to_numpy(), batch["weight"].to_numpy()
+def _summed(blocks: DataFrame, parts: int, size: int, of: Callable[..., tuple[float, np.ndarray, np.ndarray]]) -> tuple[float, np.ndarray]:
+    """The sum of what ``of`` gives for blocks: a number, a factor for each row, and the row of each entry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size + 2)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                s, weight, n, places, x = (np.frombuffer(batch[name][i].as_buffer(), t) for name, t in PACKED.items())
+                value, factor, row = of(s, weight, n, places, x)
+                total[:size] += np.bincount(places, factor[row] * x, size)
+                total[size:] += factor.sum(), value
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size + 2)
+        for batch in batches:
+            for v in batch["v"]:
+                total += np.frombuffer(v.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+    found = blocks.mapInArrow(run, "v binary")
+    if parts > PARTS:
+        found = found.repartition(math.isqrt(parts)).mapInArrow(add, "v binary")
+    total = np.zeros(size + 2)
+    for v in found.toArrow()["v"]:
+        total += np.frombuffer(v.as_buffer())
+    return float(total[-1]), total[:-1]
+
+
+def _objective(blocks: DataFrame, parts: int, size: int, w: np.ndarray, c: float) -> tuple[float, np.ndarray]:
+    def of(s, weight, *entries):  # noqa: ANN001, ANN002, ANN202
+        z, row = _dots(w, *entries)
         short = np.maximum(0.0, 1 - s * z)
-        return float((weight * short**2).sum()), -2 * c * weight * s * short, row, places, x
+        return float((weight * short**2).sum()), -2 * c * weight * s * short, row
 
-    loss, slope = _summed(rows, size, of)
+    loss, slope = _summed(blocks, parts, size, of)
     return w @ w / 2 + c * loss, w + slope
 
 
-def _curved(rows: DataFrame, size: int, w: np.ndarray, v: np.ndarray, c: float) -> np.ndarray:
+def _curved(blocks: DataFrame, parts: int, size: int, w: np.ndarray, v: np.ndarray, c: float) -> np.ndarray:
     """The product of the Hessian at ``w`` with ``v``."""
 
-    def of(batch: pa.RecordBatch):  # noqa: ANN202
-        z, row, places, x = _dots(batch, w)
-        active = batch["s"].to_numpy() * z < 1
-        return 0.0, 2 * c * batch["weight"].to_numpy() * active * _dots(batch, v)[0], row, places, x
+    def of(s, weight, *entries):  # noqa: ANN001, ANN002, ANN202
+        z, row = _dots(w, *entries)
+        return 0.0, 2 * c * weight * (s * z < 1) * _dots(v, *entries)[0], row
 
-    return v + _summed(rows, size, of)[1]
+    return v + _summed(blocks, parts, size, of)[1]
 
 
 def fit_squared_hinge(rows: DataFrame, size: int, c: float = 1.0) -> Linear:
-    """For ``rows(y, weight, places, weights)``: ``y`` 1 or 0, places below ``size``, each once a row. Write ``rows`` first: they are read in every pass."""
+    """For ``rows(y, weight, places, weights)``: ``y`` 1 or 0, places below ``size``, each once a row. ``rows`` are read once: what the passes read is written in blocks."""
     rows = rows.select(F.when(F.col("y") == 1, 1.0).otherwise(-1.0).alias("s"), F.col("weight").cast("double").alias("weight"), "places", "weights")
+    written = stored(_packed(rows), "blocks")
+    blocks = written.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _minimum(blocks, size, c)
+    finally:
+        blocks.unpersist()
+        discard(written)
+
+
+def _minimum(blocks: DataFrame, size: int, c: float) -> Linear:
+    """The fit to ``_packed`` rows."""
+    parts = blocks.rdd.getNumPartitions()
     w, passes = np.zeros(size + 1), 1
-    loss, slope = _objective(rows, size, w, c)
+    loss, slope = _objective(blocks, parts, size, w, c)
     first = np.linalg.norm(slope)
     for _ in range(STEPS):
         norm = np.linalg.norm(slope)
@@ -98,11 +142,12 @@ def fit_squared_hinge(rows: DataFrame, size: int, c: float = 1.0) -> Linear:
             break
         way, rest = np.zeros_like(w), -slope
         step, size2 = rest.copy(), rest @ rest
-        enough = (min(0.1, norm / max(first, 1e-300)) * norm) ** 2
+        # a step need not be exacter than the end asks for
+        enough = max(min(0.1, norm / max(first, 1e-300)) * norm, FLAT * first / 2) ** 2
         for _ in range(PRODUCTS):
             if size2 <= enough:
                 break
-            product, passes = _curved(rows, size, w, step, c), passes + 1
+            product, passes = _curved(blocks, parts, size, w, step, c), passes + 1
             length = size2 / (step @ product)
             way += length * step
             rest -= length * product
@@ -111,7 +156,7 @@ def fit_squared_hinge(rows: DataFrame, size: int, c: float = 1.0) -> Linear:
         length, fall = 1.0, slope @ way
         for _ in range(HALVINGS):
             there = w + length * way
-            new_loss, new_slope = _objective(rows, size, there, c)
+            new_loss, new_slope = _objective(blocks, parts, size, there, c)
             passes += 1
             if new_loss <= loss + 1e-4 * length * fall:
                 break
@@ -128,6 +173,6 @@ def linear_margin(df: DataFrame, model: Linear, name: str = "margin") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_dots(batch, w)[0])], names=[*names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_dots(w, *_entries(batch))[0])], names=[*names, name])
 
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, DoubleType())]))

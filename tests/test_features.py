@@ -69,6 +69,24 @@ def test_no_term_is_shuffled_by_document(spark):
     assert not re.search(r"hashpartitioning\(doc_id#\w+, \w+#", ranks)
 
 
+def test_stacked_weights_stay_in_their_row(spark):
+    texts = ["one two three two", "two three four", None, "", "Ünder one two", "zz", "one three two one two three"]
+    df = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(texts)], "id long, text string, more string")
+    terms = X.stacked_terms(df, "id", "text")
+    vocab = X.stacked_vocabulary(terms, "id")
+    got = X.stacked_rows(df, "text", vocab, 7)
+    assert "hashpartitioning" not in plan(got) and got.columns == ["id", "text", "more", "places", "weights"]
+    rows = {r.id: r for r in got.collect()}
+    assert [rows[i].text for i in range(7)] == texts and {r.more for r in rows.values()} == {"kept"}
+    want = {}
+    for r in X.stacked_tfidf(terms, vocab, 7, "id").collect():
+        want.setdefault(r.id, []).append((r.place, r.weight))
+    assert {len(want.get(i, [])) for i in (2, 3)} == {0} and max(map(len, want.values())) > 20
+    for i, r in rows.items():
+        own = sorted(want.get(i, []))
+        assert r.places == [p for p, _ in own] and r.weights == pytest.approx([w for _, w in own])
+
+
 def test_bigram_scores(docs):
     pairs = [(i, a, b) for i, text in ROWS for w in [(text or "").split()] for a, b in zip(w, w[1:], strict=False)]
     both, first, types = Counter((a, b) for _, a, b in pairs), Counter(a for _, a, _ in pairs), len({b for _, _, b in pairs})

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sievewright.operators import linear as L
 
@@ -44,3 +45,26 @@ def test_defined_cases(spark):
     assert not none.weights.any() and none.constant == 0
     blank = L.fit_squared_hinge(rows_of(spark, np.zeros((4, 3)), [1, 1, 1, 0], np.ones(4)), 3)
     assert not blank.weights.any() and blank.constant == pytest.approx(2 * 2 / (1 + 2 * 4), abs=1e-6)
+
+
+def test_rows_are_read_once_and_blocks_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.random((60, 9)) * (rng.random((60, 9)) < 0.4)
+    x[11] = 0
+    y = (x[:, 1] > x[:, 2]).astype(int)
+    rows, read = rows_of(spark, x, y, np.ones(60)), spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    whole = L.fit_squared_hinge(rows.mapInArrow(seen, rows.schema), 9)
+    assert whole.passes > 3 and read.value == 60
+    # blocks of a row or two, and sums that are added up in tasks first
+    monkeypatch.setattr(L, "BLOCK", 5)
+    monkeypatch.setattr(L, "PARTS", 1)
+    packed = L._packed(rows.select(F.lit(1.0).alias("s"), "weight", "places", "weights"))
+    assert 15 < packed.count() < 60
+    cut = L.fit_squared_hinge(rows, 9)
+    assert cut.loss == pytest.approx(whole.loss, abs=1e-9) and np.append(cut.weights, cut.constant) == pytest.approx(np.append(whole.weights, whole.constant), abs=1e-6)
