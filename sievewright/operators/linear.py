@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..session import discard, stored
+from .features import pieces
 
 #: The most steps, products of a step, and halvings of its length; the slope, against the first one, that is flat enough.
 STEPS, PRODUCTS, HALVINGS, FLAT = 50, 40, 20, 1e-6
 #: Most entries of a block of several rows, and most tasks whose sums go to the driver as they are.
-BLOCK, PARTS = 1_000_000, 32
+BLOCK, PARTS = 100_000, 32
 #: What a block holds: signs, weights and numbers of entries of its rows, places and values of their entries.
 PACKED = {"s": np.float64, "weight": np.float64, "size": np.int32, "places": np.int32, "x": np.float64}
 
@@ -56,15 +57,9 @@ def _packed(rows: DataFrame) -> DataFrame:
     """``rows(s, weight, places, weights)`` as blocks of bytes, one a row: a pass then moves few large values and makes no lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size, places, x = _entries(batch)
-            ends, start = np.append(0, np.cumsum(size)), 0
-            while start < batch.num_rows:
-                stop = max(start + 1, int(np.searchsorted(ends, ends[start] + BLOCK, "right")) - 1)
-                own, entries = slice(start, stop), slice(ends[start], ends[stop])
-                columns = batch["s"].to_numpy()[own], batch["weight"].to_numpy()[own], size[own], places[entries], x[entries]
-                yield pa.RecordBatch.from_arrays([pa.array([c.astype(t).tobytes()], pa.binary()) for c, t in zip(columns, PACKED.values(), strict=True)], names=[*PACKED])
-                start = stop
+        for batch in (piece for whole in batches for piece in pieces(whole, ["places"], BLOCK)):
+            columns = batch["s"].to_numpy(), batch["weight"].to_numpy(), *_entries(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([c.astype(t).tobytes()], pa.binary()) for c, t in zip(columns, PACKED.values(), strict=True)], names=[*PACKED])
 
     return rows.select("s", "weight", "places", "weights").mapInArrow(run, ", ".join(f"{name} binary" for name in PACKED))
 

@@ -4,6 +4,7 @@ import math
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +130,15 @@ def test_part_sums(docs, monkeypatch, frequent):
                 want.setdefault((i, at % 3), []).append(logp[t])
     sums = X.part_sums(docs.filter("doc_id is not null"), "doc_id", words(), model, 3)
     assert {(r.doc_id, r.k): (r.lp, r.n) for r in sums.collect()} == {k: (pytest.approx(sum(v)), len(v)) for k, v in want.items()}
+
+
+def test_long_batches_are_weighed_in_pieces(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "one two three two" if i % 5 else None) for i in range(40)], "id long, text string").coalesce(1)
+    terms = X.stacked_terms(df, "id", "text")
+    vocab = X.stacked_vocabulary(terms, "id")
+    whole = {r.id: r for r in X.stacked_rows(df, "text", vocab, 40).collect()}
+    monkeypatch.setattr(X, "PIECE", 50)
+    assert {r.id: r for r in X.stacked_rows(df, "text", vocab, 40).collect()} == whole and len(whole) == 40
+    batch = pa.RecordBatch.from_pylist([{"a": [1] * n, "b": [2]} for n in (0, 3, 9, 1, 1, 0)])
+    cut = list(X.pieces(batch, ["a", "b"], 6))
+    assert [p.num_rows for p in cut] == [2, 1, 3] and pa.Table.from_batches(cut).to_pylist() == batch.to_pylist()
