@@ -10,6 +10,9 @@ place is the node's total less the sum over its bins. A round's totals and losse
 tasks of the next level: the tree, ``2 ** depth`` nodes. Sums are integers (units of ``1 / UNIT``), so that trees do not depend on the order of tasks. Margins are written again every ``KEEP``
 rounds; in between they come from the stored ones and the trees since.
 
+That holds where tasks cannot run side by side. Where they can, entries are dealt out once by place: each task keeps all entries of its places, four bytes each and in a file beyond ``HELD``, and the rows' labels, margins and nodes,
+and goes through all rounds in one stage. Of a level the tasks exchange their best splits and one bit a row, on which side it goes; no sums are moved. Both ways give the same trees.
+
 Each split learns to which side missing rows go. Splits need ``least`` curvature on both sides and a positive gain
 ``GL^2/(HL+penalty) + GR^2/(HR+penalty) - G^2/(H+penalty)``; of equal gains the lowest place, then the lowest cut, then missing to the right wins. The first margin is the
 log-odds of the training rows. If there are validation rows, fitting ends when their loss has not fallen for ``patience`` rounds.
@@ -17,18 +20,23 @@ log-odds of the training rows. If there are validation rows, fitting ends when t
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Iterator
+import secrets
+import tempfile
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, stored
 from .ranges import running
+from .together import Circle, slots
 
 UNIT = 2.0**30
 KEEP = 20
@@ -273,12 +281,7 @@ def splits_of(key: np.ndarray, g: np.ndarray, h: np.ndarray, totals: list[tuple[
     missing_g, missing_h = (t - np.add.reduceat(v, starts)[group] for t, v in ((all_g, g), (all_h, h)))
     upto_g, upto_h = ((c := np.cumsum(v)) - (c[starts] - v[starts])[group] for v in (g, h))
 
-    def gain(left_g: np.ndarray, left_h: np.ndarray) -> np.ndarray:
-        lg, lh, rg, rh, ag, ah = (x / UNIT for x in (left_g, left_h, all_g - left_g, all_h - left_h, all_g, all_h))
-        value = lg**2 / (lh + config.penalty) + rg**2 / (rh + config.penalty) - ag**2 / (ah + config.penalty)
-        return np.where((lh >= config.least) & (rh >= config.least) & (value > LEAST_GAIN), value, -np.inf)
-
-    right, left = gain(upto_g, upto_h), np.where(last, -np.inf, gain(upto_g + missing_g, upto_h + missing_h))
+    right, left = gains(upto_g, upto_h, all_g, all_h, config), np.where(last, -np.inf, gains(upto_g + missing_g, upto_h + missing_h, all_g, all_h, config))
     best = np.maximum(right, left)
     out = []
     for n in np.unique(rank).tolist():
@@ -455,8 +458,7 @@ def fit_tree(work: DataFrame, trees: list[Tree], found: list, total: tuple[int,
         sums |= open_nodes
         if not open_nodes:
             break
-    leaves = set(sums) - set(tree.splits)
-    tree.values = {n: -config.rate * (sums[n][0] / UNIT) / (sums[n][1] / UNIT + config.penalty) for n in sorted(leaves)}
+    tree.values = leaf_values(sums, tree, config)
     return tree
 
 
@@ -470,16 +472,8 @@ def _moved(work: DataFrame, trees: list[Tree], codes: Codes) -> DataFrame:
     return stored(work.mapInArrow(run, BLOCK), "training")
 
 
-def fit_forest(rows: DataFrame, weights: DataFrame, size: int, config: TreeConfig = TreeConfig()) -> Forest:
-    """Boosted trees for ``rows(id, y, validation)``, whose features are ``weights(id, place, weight)`` with places below ``size``.
-
-    Null validation marks count as training rows; rows without weights have all places missing; without a training row of each label the forest has no tree.
-    """
-    rows = rows.select("id", "y", F.coalesce("validation", F.lit(False)).alias("validation"))
-    n, ones = rows.filter("not validation").agg(F.count(F.lit(1)), F.sum("y")).head()
-    if not n or ones in (0, n):
-        return Forest({0: -20.0}.get(ones, 20.0) if n else 0.0, size, [])
-    start = math.log(ones / (n - ones))
+def _fit_blocks(rows: DataFrame, weights: DataFrame, start: float, size: int, config: TreeConfig) -> Forest:
+    """The forest of ``rows(id, y, validation)`` and ``weights(id, place, weight)``, a few jobs a level."""
     codes = Codes(size, config.bins, rows.sparkSession.sparkContext.defaultParallelism)
     work, cuts = training_blocks(rows, weights, codes)
     # a tree of a single leaf: the first margin
@@ -510,6 +504,310 @@ def fit_forest(rows: DataFrame, weights: DataFrame, size: int, config: TreeConfi
     return forest
 
 
+# ---- tasks that keep the entries of their places, side by side
+
+#: A piece of rows: without a bucket the rows' ids, labels and marks, with one its entries by place and how many each place has.
+PIECE = "task int, bucket int, piece long, id binary, y binary, validation binary, count binary, row binary, weight binary"
+#: Buckets of places for each task, which are put in order one after the other; bytes of entries that a task holds in memory, the others lie in a file of its own.
+FOLDS, HELD = 8, 1 << 28
+
+
+def dealt(lists: DataFrame, size: int, tasks: int, buckets: int) -> DataFrame:
+    """The entries of ``lists(id, y, validation, places, weights)``, each with the task that keeps its place; a place's bucket is its rest by ``buckets``. Every task gets the rows' labels."""
+    width = -(-size // buckets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        number = TaskContext.get().partitionId() << 32
+
+        def given() -> pa.RecordBatch:
+            nonlocal number
+            t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held.clear()
+            place, weight = (t[name].flatten().to_numpy() for name in ("places", "weights"))
+            row = np.repeat(np.arange(t.num_rows, dtype=np.uint32), np.diff(t["places"].offsets.to_numpy()))
+            bucket = place % buckets
+            order = np.lexsort((place, bucket))
+            place, row, weight, ends = place[order], row[order], weight[order].astype(np.float64), np.searchsorted(bucket[order], np.arange(buckets + 1))
+            own = [t["id"].to_numpy().tobytes(), t["y"].to_numpy().tobytes(), t["validation"].to_numpy(zero_copy_only=False).tobytes()]
+            parts = [(b % tasks, b, number, None, None, None, np.bincount(place[i:j] // buckets, minlength=width).astype(np.uint32).tobytes(), row[i:j].tobytes(), weight[i:j].tobytes()) for b, (i, j) in enumerate(zip(ends, ends[1:], strict=False))]
+            parts += [(k, -1, number, *own, None, None, None) for k in range(tasks)]
+            number += 1
+            kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 6]
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*parts, strict=True), kinds, strict=True)], names=[c.split()[0] for c in PIECE.split(", ")])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                held.append(batch.slice(at, SLICE))
+                if sum(len(b["places"].flatten()) for b in held) >= ENTRIES:
+                    yield given()
+        if held:
+            yield given()
+
+    plain = lists.select(F.col("id").cast("long").alias("id"), F.col("y").cast("double").alias("y"), "validation", F.col("places").cast("array<int>").alias("places"), F.col("weights").cast("array<double>").alias("weights"))
+    return plain.mapInArrow(run, PIECE).repartitionById(tasks, F.col("task")).sortWithinPartitions("bucket")
+
+
+class Fold:
+    """The entries of one bucket of places: rows in the order of (place, bin), training rows and validation rows apart. A code is a bin of a place that a training row has."""
+
+    def __init__(self, place: np.ndarray, row: np.ndarray, weight: np.ndarray, validation: np.ndarray, bins: int, keep: Callable[[np.ndarray], Callable[[], np.ndarray]]) -> None:
+        held = validation[row]
+        own = np.flatnonzero(~held)
+        own = own[np.lexsort((weight[own], place[own]))]
+        p, w = place[own], weight[own]
+        # each distinct weight of a place
+        fresh = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (w[1:] != w[:-1]))[: len(p)])
+        n, p, w = np.diff(np.append(fresh, len(p))), p[fresh], w[fresh]
+        first = np.append(True, p[1:] != p[:-1])[: len(p)]
+        starts, group = np.flatnonzero(first), np.cumsum(first) - 1
+        before = np.cumsum(n) - n
+        distinct, total = np.diff(np.append(starts, len(p))), np.add.reduceat(n, starts) if len(p) else n
+        number = np.where((distinct <= bins)[group], np.arange(len(p)) - starts[group], np.floor((before - before[starts][group]) * bins / total[group])).astype(np.int64)
+        new = np.append(True, (p[1:] != p[:-1]) | (number[1:] != number[:-1]))[: len(p)]
+        at = np.flatnonzero(new)
+        #: of each code its place and its largest weight, infinite for a place's last; where its entries begin
+        self.place, self.cut = p[at], w[np.append(at[1:], len(w))[: len(at)] - 1]
+        self.cut[np.append(self.place[1:] != self.place[:-1], True)[: len(at)]] = np.inf
+        self.starts = np.append(before[at], len(own)).astype(np.int64)
+        self.rows = keep(row[own])
+        # a validation row's weight lies in the first bin whose cut is not below it
+        other = np.flatnonzero(held)
+        other = other[np.argsort(place[other], kind="stable")]
+        vp, vw, code = place[other], weight[other], np.full(len(other), -1, np.int64)
+        bounds = zip(*(np.searchsorted(x, np.unique(vp), side) for side in ("left", "right") for x in (vp, self.place)), strict=True)
+        for i, a, j, b in bounds:
+            if a < b:
+                code[i:j] = a + np.searchsorted(self.cut[a:b], vw[i:j])
+        order = np.argsort(code, kind="stable")
+        order = order[code[order] >= 0]
+        self.others, self.other_starts = row[other][order], np.searchsorted(code[order], np.arange(len(self.place) + 1))
+
+    def best(self, rank: np.ndarray, g: np.ndarray, h: np.ndarray, totals: list[tuple[int, int]], seen: np.ndarray, config: TreeConfig) -> list[tuple | None]:
+        """For each node ``(gain, place, cut, missing_left, g_left, h_left)`` or nothing; ``rank`` has each row's node, or the number of nodes; ``g`` and ``h`` are 0 there."""
+        nodes, codes = len(totals), len(self.place)
+        if not codes:
+            return [None] * nodes
+        row = self.rows()
+        if nodes == 1:
+            sums = [np.add.reduceat(v[row], self.starts[:-1])[None] for v in (g, h)]
+        else:
+            key = np.repeat(np.arange(codes) * (nodes + 1), np.diff(self.starts)) + rank[row]
+            # whole numbers below 2 ** 53 are summed exactly
+            sums = [np.bincount(key, v[row], codes * (nodes + 1)).astype(np.int64).reshape(codes, nodes + 1).T for v in (g, h)]
+        out: list[tuple | None] = []
+        for n, (all_g, all_h) in enumerate(totals):
+            at = np.flatnonzero(((sums[0][n] != 0) | (sums[1][n] != 0)) & seen[self.place])
+            out.append(None)
+            if not len(at):
+                continue
+            place, g_own, h_own = self.place[at], sums[0][n][at], sums[1][n][at]
+            first = np.append(True, place[1:] != place[:-1])
+            starts, last, group = np.flatnonzero(first), np.append(first[1:], True), np.cumsum(first) - 1
+            missing_g, missing_h = (t - np.add.reduceat(v, starts)[group] for t, v in ((all_g, g_own), (all_h, h_own)))
+            upto_g, upto_h = ((c := np.cumsum(v)) - (c[starts] - v[starts])[group] for v in (g_own, h_own))
+            right = gains(upto_g, upto_h, all_g, all_h, config)
+            left = np.where(last, -np.inf, gains(upto_g + missing_g, upto_h + missing_h, all_g, all_h, config))
+            best = np.maximum(right, left)
+            i = int(best.argmax())  # of equal ones the lowest place and cut
+            if best[i] > 0:
+                with_missing = bool(left[i] > right[i])
+                out[-1] = float(best[i]), int(place[i]), float(self.cut[at[i]]), with_missing, int(upto_g[i] + with_missing * missing_g[i]), int(upto_h[i] + with_missing * missing_h[i])
+        return out
+
+    def goes_left(self, place: int, cut: float, missing_left: bool, rows: int) -> np.ndarray:
+        out = np.full(rows, missing_left)
+        a, b = np.searchsorted(self.place, [place, place + 1])
+        end = a + int(np.searchsorted(self.cut[a:b], cut, "right"))
+        own, s, t = self.rows(), self.starts, self.other_starts
+        for rows_of, (low, middle, high) in ((own, s[[a, end, b]]), (self.others, t[[a, end, b]])):
+            out[rows_of[low:middle]] = True
+            out[rows_of[middle:high]] = False
+        return out
+
+
+def gains(left_g: np.ndarray, left_h: np.ndarray, all_g: np.ndarray | int, all_h: np.ndarray | int, config: TreeConfig) -> np.ndarray:
+    lg, lh, rg, rh, ag, ah = (x / UNIT for x in (left_g, left_h, all_g - left_g, all_h - left_h, all_g, all_h))
+    value = lg**2 / (lh + config.penalty) + rg**2 / (rh + config.penalty) - ag**2 / (ah + config.penalty)
+    return np.where((lh >= config.least) & (rh >= config.least) & (value > LEAST_GAIN), value, -np.inf)
+
+
+class Columns:
+    """What a task keeps: all rows' ids, labels and marks, in the order of their ids, and the entries of its places."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], tasks: int, buckets: int, bins: int) -> None:
+        self.file, self.held, self.folds = tempfile.TemporaryFile(), 0, {}
+        rows: dict[int, tuple] = {}
+        waiting: list[tuple] = []
+        ranks: dict[int, np.ndarray] = {}
+        bucket = -1
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = {name: batch[name][i] for name in batch.schema.names}
+                b, piece = r["bucket"].as_py(), r["piece"].as_py()
+                plain = lambda name, kind: np.frombuffer(r[name].as_buffer(), kind)  # noqa: B023, E731
+                if b < 0:
+                    rows[piece] = plain("id", np.int64).copy(), plain("y", np.float64).copy(), plain("validation", np.bool_).copy()
+                    continue
+                if b != bucket:
+                    if bucket < 0:
+                        ranks = self._ordered(rows)
+                    self._fold(bucket, waiting, bins)
+                    bucket = b
+                count = plain("count", np.uint32)
+                waiting.append((np.repeat(np.arange(len(count)) * buckets + b, count), ranks[piece][plain("row", np.uint32)], plain("weight", np.float64).copy()))
+        if bucket < 0:
+            self._ordered(rows)
+        self._fold(bucket, waiting, bins)
+
+    def _ordered(self, rows: dict[int, tuple]) -> dict[int, np.ndarray]:
+        """Puts the rows in the order of their ids; each piece's rows in it."""
+        self.id, self.y, self.validation = (np.concatenate([rows[p][k] for p in sorted(rows)]) for k in range(3))
+        order = np.argsort(self.id, kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order))
+        self.id, self.y, self.validation = self.id[order], self.y[order], self.validation[order]
+        return dict(zip(sorted(rows), np.split(rank, np.cumsum([len(rows[p][0]) for p in sorted(rows)])[:-1]), strict=True))
+
+    def _fold(self, bucket: int, waiting: list[tuple], bins: int) -> None:
+        if waiting:
+            parts = [np.concatenate(x) for x in zip(*waiting, strict=True)]
+            waiting.clear()
+            self.folds[bucket] = Fold(*parts, self.validation, bins, self._kept)
+
+    def _kept(self, row: np.ndarray) -> Callable[[], np.ndarray]:
+        if self.held + row.nbytes <= HELD:
+            self.held += row.nbytes
+            return lambda: row
+        at, n = self.file.seek(0, 2), len(row)
+        row.tofile(self.file)
+        self.file.flush()
+
+        def read() -> np.ndarray:
+            self.file.seek(at)
+            return np.fromfile(self.file, np.uint32, n)
+
+        return read
+
+
+def grown(own: Columns, circle: Circle, start: float, size: int, buckets: int, config: TreeConfig) -> Forest:
+    """The forest, in every task; what decides comes from one of them."""
+    forest, train, held = Forest(start, size, []), ~own.validation, own.validation
+    margin = np.full(len(own.id), start)
+    for turn in range(config.rounds + 1):
+
+        def lost() -> list[float | None]:
+            each = np.logaddexp(0, margin) - own.y * margin  # noqa: B023
+            return [float(x.mean()) if len(x) else None for x in (each[train], each[held])]
+
+        if turn:
+            forest.losses.append(tuple(circle.said(lost)))
+            if forest.losses[-1][1] is not None:
+                fallen = [x for _, x in forest.losses]
+                forest.best_round = min(range(len(fallen)), key=lambda i: (fallen[i], i)) + 1
+                if turn - forest.best_round >= config.patience:
+                    break
+        if turn == config.rounds:
+            break
+        p = 1 / (1 + np.exp(-margin))
+        mine = train & (uniform(own.id, config.seed, 2, turn) < config.rows)
+        g, h = np.rint((p - own.y) * UNIT).astype(np.int64) * mine, np.rint(np.maximum(p * (1 - p), 1e-16) * UNIT).astype(np.int64) * mine
+        seen = places_of_round(size, config.places, config.seed, turn)
+        tree, node = Tree(), np.zeros(len(margin), np.int16)
+        open_nodes = {0: tuple(circle.said(lambda: [int(g.sum()), int(h.sum())]))}  # noqa: B023
+        sums = dict(open_nodes)
+        for _ in range(config.depth):
+            # both sides of a split need ``least``
+            numbers = [n for n in sorted(open_nodes) if open_nodes[n][1] / UNIT >= 2 * config.least]
+            if not numbers:
+                break
+            ranks = np.full(2 ** (config.depth + 1), len(numbers), np.int64)
+            ranks[numbers] = np.arange(len(numbers))
+            rank = ranks[node]
+            rank[~mine] = len(numbers)
+            inside = rank < len(numbers)
+            in_g, in_h = (v * inside if len(numbers) == 1 else v.astype(np.float64) for v in (g, h))
+            best: dict[int, tuple] = {}
+            for fold in own.folds.values():
+                for n, found in zip(numbers, fold.best(rank, in_g, in_h, [open_nodes[n] for n in numbers], seen, config), strict=True):
+                    if found and (n not in best or (found[0], -found[1]) > (best[n][0], -best[n][1])):
+                        best[n] = found
+            every = [json.loads(m) for m in circle.gathered(json.dumps([[n, *b] for n, b in best.items()]).encode())]
+            chosen: dict[int, list] = {}
+            for n, *found in (x for m in every for x in m):
+                if n not in chosen or (found[0], -found[1]) > (chosen[n][0], -chosen[n][1]):
+                    chosen[n] = found
+            # the task that keeps a split's place says which of the node's rows go left
+            told = []
+            for n, (_, place, cut, missing_left, *_rest) in sorted(chosen.items()):
+                if (fold := own.folds.get(place % buckets)) is not None:
+                    told.append(np.int64(n).tobytes() + np.packbits(fold.goes_left(place, cut, missing_left, len(node))[node == n]).tobytes())
+            sides = np.zeros(len(node), bool)
+            lengths = {n: int((node == n).sum()) for n in chosen}
+            for message in circle.gathered(b"".join(told)):
+                at = 0
+                while at < len(message):
+                    n = int(np.frombuffer(message, np.int64, 1, at)[0])
+                    long = (lengths[n] + 7) // 8
+                    sides[node == n] = np.unpackbits(np.frombuffer(message, np.uint8, long, at + 8), count=lengths[n]).astype(bool)
+                    at += 8 + long
+            open_nodes, before = {}, node.copy()
+            for n, (gain, place, cut, missing_left, left_g, left_h) in sorted(chosen.items()):
+                tree.splits[n], tree.gains[n] = (place, cut, missing_left), gain
+                here = before == n
+                node[here] = np.where(sides[here], 2 * n + 1, 2 * n + 2)
+                open_nodes |= {2 * n + 1: (left_g, left_h), 2 * n + 2: (sums[n][0] - left_g, sums[n][1] - left_h)}
+            sums |= open_nodes
+        tree.values = leaf_values(sums, tree, config)
+        values = np.zeros(max(tree.values) + 1)
+        values[list(tree.values)] = list(tree.values.values())
+        margin += values[node]
+        forest.trees.append(tree)
+    return forest
+
+
+def leaf_values(sums: dict[int, tuple[int, int]], tree: Tree, config: TreeConfig) -> dict[int, float]:
+    return {n: -config.rate * (sums[n][0] / UNIT) / (sums[n][1] / UNIT + config.penalty) for n in sorted(set(sums) - set(tree.splits))}
+
+
+def fit_together(lists: DataFrame, start: float, size: int, config: TreeConfig, tasks: int) -> Forest:
+    """The forest of ``lists(id, y, validation, places, weights)`` by ``tasks`` tasks that run side by side."""
+    buckets, secret = FOLDS * tasks, secrets.token_bytes(16)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Columns(batches, tasks, buckets, config.bins)
+        with own.file, Circle(secret) as circle:
+            forest = grown(own, circle, start, size, buckets, config)
+            if circle.number == 0:
+                yield pa.RecordBatch.from_pydict({"forest": [json.dumps(forest.to_dict())]})
+
+    found = dealt(lists, size, tasks, buckets).mapInArrow(run, "forest string", barrier=True).collect()
+    return Forest.from_dict(json.loads(found[0].forest))
+
+
+def fit_forest(rows: DataFrame, weights: DataFrame, size: int, config: TreeConfig = TreeConfig()) -> Forest:
+    """``fit_lists`` for ``rows(id, y, validation)``, whose features are ``weights(id, place, weight)``."""
+    lists = weights.groupBy("id").agg(F.collect_list(F.struct("place", "weight")).alias("w"))
+    return fit_lists(rows.join(lists, "id", "left").select("id", "y", "validation", F.col("w.place").alias("places"), F.col("w.weight").alias("weights")), size, config)
+
+
+def fit_lists(lists: DataFrame, size: int, config: TreeConfig = TreeConfig()) -> Forest:
+    """Boosted trees for ``lists(id, y, validation, places, weights)`` with places below ``size``, each once a row.
+
+    Null validation marks count as training rows; rows without weights have all places missing; without a training row of each label the forest has no tree.
+    """
+    none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind)).alias(c)
+    rows = lists.select("id", "y", F.coalesce("validation", F.lit(False)).alias("validation"), none("places", "array<int>"), none("weights", "array<double>"))
+    n, ones = rows.filter("not validation").agg(F.count(F.lit(1)), F.sum("y")).head()
+    if not n or ones in (0, n):
+        return Forest({0: -20.0}.get(ones, 20.0) if n else 0.0, size, [])
+    start = math.log(ones / (n - ones))
+    if tasks := slots(rows.sparkSession):
+        return fit_together(rows, start, size, config, tasks)
+    weights = rows.select("id", F.explode(F.arrays_zip("places", "weights")).alias("w")).select("id", F.col("w.places").alias("place"), F.col("w.weights").alias("weight"))
+    return _fit_blocks(rows.select("id", "y", "validation"), weights, start, size, config)
+
+
 def forest_margin(df: DataFrame, forest: Forest, places: Column, weights: Column, name: str = "margin") -> DataFrame:
     """``df`` with the forest's margin of each row's places (any order, each once) and weights."""
     fields, trees, size = df.columns, forest.trees, forest.size

@@ -161,3 +161,23 @@ def test_a_level_is_one_row_for_a_task_and_bucket(spark):
     found, (g, h, loss, held) = T._level(work, start, T.Tree(), None, codes, T.TreeConfig(rows=1.1), 0)
     y = [r[1] for r in sample(7, 300) if not r[2]]
     assert (g / T.UNIT, h / T.UNIT) == (len(y) / 2 - sum(y), len(y) / 4) and loss == held == pytest.approx(math.log(2)) and len(found) == 1
+
+
+@pytest.mark.parametrize("held", [1 << 28, 0])
+def test_tasks_side_by_side_give_the_trees_of_the_other_way(spark, monkeypatch, held):
+    monkeypatch.setattr(T, "HELD", held)
+    rows = sample(13, 400) + [(10_000 + i, i % 2, False, {}) for i in range(5)]
+    own, weights = table(spark, rows)
+    config = T.TreeConfig(rounds=25, depth=4, bins=16)
+    asked = []
+    monkeypatch.setattr(T, "slots", lambda s: asked.append(s) or 3)
+    one = T.fit_forest(own, weights, 9, config)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("forest", "")
+    T.fit_forest(own, weights, 9, config)
+    assert len(tracker.getJobIdsForGroup("forest")) < 25  # fewer jobs than rounds
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    monkeypatch.setattr(T, "slots", lambda s: 0)
+    other = T.fit_forest(own, weights, 9, config)
+    assert asked and one.trees == other.trees and len(one.trees) == 25 and one.best_round == other.best_round
+    assert [x for pair in one.losses for x in pair] == pytest.approx([x for pair in other.losses for x in pair])
