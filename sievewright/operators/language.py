@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import bind
 from ..functions.numbers import sane_perplexity
 from ..session import stored
+from .contexts import scored
 from .features import counted, over_cores
 
 DISCOUNT = 0.75
@@ -137,9 +138,19 @@ def perplexities(grams: DataFrame, model: BackOff, key: str) -> DataFrame:
 
 def kn_perplexity(df: DataFrame, key: str, tokens: Column, order: int = 3, max_length: int = MAX_LENGTH, stride: int = STRIDE) -> DataFrame:
     """``key, tokens, perplexity`` of every row under the model of all rows; 0 and 1 for rows without a scored token."""
-    grams = window_grams(df, key, tokens, max_length, stride)
-    scored = perplexities(grams, fit_backoff(grams, order), key)
-    return df.select(key).join(scored, key, "left").select(key, F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("perplexity", F.lit(1.0)).alias("perplexity"))
+    found = scored(df, key, tokens, order, max_length, stride, DISCOUNT).select(key, "tokens", sane_perplexity(F.exp("nll")).alias("perplexity"))
+    return df.select(key).join(found, key, "left").select(key, F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("perplexity", F.lit(1.0)).alias("perplexity"))
+
+
+def own_ratio(df: DataFrame, key: str, tokens: Column, model: Column, max_length: int = MAX_LENGTH, stride: int = STRIDE) -> DataFrame:
+    """``perplexity_ratio`` of every row where the rows themselves make the models: the observer those where ``model`` is 0, the performer those where it is 1."""
+    found = scored(df, key, tokens, 2, max_length, stride, DISCOUNT, model)
+    return found.select(key, "tokens", "nll", F.col("ce").alias("cross_entropy"), F.try_divide("nll", "ce").alias("ratio"))
+
+
+def own_entropies(df: DataFrame, key: str, tokens: Column, max_length: int = MAX_LENGTH, stride: int = STRIDE) -> DataFrame:
+    """``predicted_entropies`` of every row under the pairs of all rows."""
+    return scored(df, key, tokens, 2, max_length, stride, DISCOUNT).select(key, "tokens", F.col("ce").alias("entropy"))
 
 
 def _xlogy(x: Column, y: Column) -> Column:

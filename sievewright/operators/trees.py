@@ -635,8 +635,8 @@ def gains(left_g: np.ndarray, left_h: np.ndarray, all_g: np.ndarray | int, all_h
 class Columns:
     """What a task keeps: all rows' ids, labels and marks, in the order of their ids, and the entries of its places."""
 
-    def __init__(self, batches: Iterator[pa.RecordBatch], tasks: int, buckets: int, bins: int) -> None:
-        self.file, self.held, self.folds = tempfile.TemporaryFile(), 0, {}
+    def __init__(self, batches: Iterator[pa.RecordBatch], buckets: int, bins: int, most: int) -> None:
+        self.most, self.file, self.held, self.folds = most, tempfile.TemporaryFile(), 0, {}
         rows: dict[int, tuple] = {}
         waiting: list[tuple] = []
         ranks: dict[int, np.ndarray] = {}
@@ -676,7 +676,7 @@ class Columns:
             self.folds[bucket] = Fold(*parts, self.validation, bins, self._kept)
 
     def _kept(self, row: np.ndarray) -> Callable[[], np.ndarray]:
-        if self.held + row.nbytes <= HELD:
+        if self.held + row.nbytes <= self.most:
             self.held += row.nbytes
             return lambda: row
         at, n = self.file.seek(0, 2), len(row)
@@ -775,7 +775,7 @@ def fit_together(lists: DataFrame, start: float, size: int, config: TreeConfig,
     buckets, secret = FOLDS * tasks, secrets.token_bytes(16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Columns(batches, tasks, buckets, config.bins)
+        own = Columns(batches, buckets, config.bins, HELD)
         with own.file, Circle(secret) as circle:
             forest = grown(own, circle, start, size, buckets, config)
             if circle.number == 0:

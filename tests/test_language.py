@@ -117,3 +117,35 @@ def test_empty(spark):
     assert {(r.id, r.tokens, r.perplexity) for r in L.kn_perplexity(df, "id", F.col("t")).collect()} == {(0, 0, 1.0), (1, 0, 1.0)}
     with pytest.raises(ValueError):
         L.fit_backoff(df, 4)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_rows_under_their_own_models(spark, monkeypatch, small):
+    from sievewright.operators import contexts as C
+
+    if small:  # many pieces, buckets and merges, and a file
+        for name, value in (("PIECE", 30), ("BUCKET", 40), ("HELD", 1), ("SCORED", 20), ("WAITING", 10)):
+            monkeypatch.setattr(C, name, value)
+    docs = corpus(21, 40) + [["only", "here"], ["w1", "w1"], ["lonely"]]
+    df = frame(spark, docs)
+    grams = L.window_grams(df, "id", F.col("t"), 10, 4)
+    vocabulary = L.vocabulary_of(grams)
+    models = [L.fit_backoff(grams.filter(F.col("id") % 2 == m), 2, vocabulary) for m in (0, 1)]
+    want = {r.id: tuple(r) for r in L.perplexity_ratio(grams, *models, "id").collect()}
+    got = L.own_ratio(df, "id", F.col("t"), F.col("id") % 2, 10, 4)
+    assert {r.id: pytest.approx(tuple(r)) for r in got.collect()} == want
+    want = {r.id: tuple(r) for r in L.predicted_entropies(grams, L.fit_backoff(grams, 2), "id").collect()}
+    assert {r.id: pytest.approx(tuple(r)) for r in L.own_entropies(df, "id", F.col("t"), 10, 4).collect()} == want
+    for order in (2, 3):
+        want = {r.id: (r.tokens, r.perplexity) for r in L.perplexities(grams, L.fit_backoff(grams, order), "id").collect()}
+        got = {r.id: (r.tokens, pytest.approx(r.perplexity)) for r in L.kn_perplexity(df, "id", F.col("t"), order, 10, 4).collect()}
+        assert got == {i: want.get(i, (0, 1.0)) for i in range(len(docs))}
+
+
+def test_grams_meet_no_join(spark, monkeypatch):
+    from sievewright.operators import contexts as C
+
+    plans = []
+    monkeypatch.setattr(C, "stored", lambda df, name, f=C.stored: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or f(df, name))
+    L.kn_perplexity(frame(spark, corpus(3)), "id", F.col("t"), 3, 10, 4).collect()
+    assert sum(p.count("Join") for _, p in plans) == 1 and not any("Generate" in p for _, p in plans)  # only sums meet their keys
