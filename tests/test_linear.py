@@ -68,3 +68,21 @@ def test_rows_are_read_once_and_blocks_change_nothing(spark, monkeypatch):
     assert 15 < packed.count() < 60
     cut = L.fit_squared_hinge(rows, 9)
     assert cut.loss == pytest.approx(whole.loss, abs=1e-9) and np.append(cut.weights, cut.constant) == pytest.approx(np.append(whole.weights, whole.constant), abs=1e-6)
+
+
+@pytest.mark.parametrize("held", [1 << 28, 0])
+def test_tasks_side_by_side_take_the_same_steps(spark, monkeypatch, held):
+    rng = np.random.default_rng(9)
+    x = rng.random((70, 8)) * (rng.random((70, 8)) < 0.4)
+    x[5] = 0
+    y = (x[:, 1] > x[:, 2]).astype(int)
+    rows = rows_of(spark, x, y, np.ones(70))
+    monkeypatch.setattr(L, "BLOCK", 20)
+    monkeypatch.setattr(L, "HELD", held)
+    spark.sparkContext.setJobGroup(f"hinge {held}", "")
+    one = L.fit_squared_hinge(rows, 8)
+    assert one.passes > 12 and len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"hinge {held}")) < 8  # not a job a pass
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    monkeypatch.setattr(L, "slots", lambda s: 0)
+    other = L.fit_squared_hinge(rows, 8)
+    assert one.loss == pytest.approx(other.loss, rel=1e-12) and one.weights == pytest.approx(other.weights, abs=1e-6)
